@@ -73,11 +73,11 @@ def daily(spark, sf) -> DataFrame:
     by_nation = (
         line.join(supplier, line.l_suppkey == supplier.s_suppkey)
         .groupBy("s_nationkey", "day")
-        .agg(F.sum("l_extendedprice").alias("_v"), F.sum("l_quantity").alias("volume"))
+        .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("_v"), F.sum("l_quantity").alias("volume"))
     )
     names = nation_names(spark, sf)
     return by_nation.join(names, by_nation.s_nationkey == names.n_nationkey).select(
-        "symbol", "sector", "day", F.col("day").cast("timestamp_ntz").alias("ts"), F.round(F.col("_v") / F.col("volume"), 4).alias("close"), "volume"
+        "symbol", "sector", "day", F.col("day").cast("timestamp_ntz").alias("ts"), (F.col("_v") / F.col("volume")).alias("close"), "volume"
     )
 
 
@@ -97,7 +97,7 @@ DAILY = """names AS (
   SELECT n_nationkey, n_name AS symbol, r_name AS sector FROM nation JOIN region ON n_regionkey = r_regionkey),
 daily AS (
   SELECT symbol, sector, CAST(l_shipdate AS DATE) AS day, CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) AS ts,
-         round(sum(l_extendedprice) / sum(l_quantity), 4) AS close, sum(l_quantity) AS volume
+         CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / sum(l_quantity) AS close, sum(l_quantity) AS volume
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN names ON s_nationkey = n_nationkey GROUP BY 1, 2, 3, 4),
 universe AS (
   SELECT symbol, round(sum(s_acctbal), 2) AS market_cap, sector
