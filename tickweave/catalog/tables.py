@@ -23,7 +23,6 @@ RETS = CANDIDATES + """, rets AS (
 aligned AS (
   SELECT stock_a, stock_b, a.ts, a.day, a.ret AS x_a, b.ret AS x_b FROM candidates
   JOIN rets a ON a.symbol = stock_a JOIN rets b ON b.symbol = stock_b AND b.ts = a.ts WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)"""
-YEAR = 365 * 86_400
 
 
 def candidates(spark, sf):
@@ -31,9 +30,8 @@ def candidates(spark, sf):
 
 
 def daily_returns(spark, sf):
-    """Log returns of daily prices; one chunk spans a year of days."""
-    prev = R.lagged(daily(spark, sf), ["symbol"], ["ts"], {"_prev": ("close", 1)}, chunk=YEAR)
-    return prev.withColumn("ret", R.change("close", F.col("_prev"), "log")).drop("_prev")
+    """Log returns of daily prices: one row per nation and day, so plain windows."""
+    return R.returns(daily(spark, sf), "log", chunk=None)
 
 
 def aligned(spark, sf):
@@ -133,7 +131,7 @@ tests AS (SELECT stock_a, stock_b, corr(x_a, y1) - corr(x_b, x1) AS lead_score F
 @register("j14_empirical_pairs", f"""WITH {LEADS} SELECT stock_a || '_' || stock_b AS pair, stock_a, stock_b, CASE WHEN lead_score > 0 THEN stock_a ELSE stock_b END AS leader,
  CASE WHEN lead_score > 0 THEN stock_b ELSE stock_a END AS follower FROM tests WHERE 1 / (1 + 100 * abs(lead_score)) < 0.4""")
 def empirical_pairs(spark, sf):
-    tests = L.lead_lag(aligned(spark, sf), [1], chunk=YEAR)
+    tests = L.lead_lag(aligned(spark, sf), [1], chunk=None)
     tests = tests.withColumn("p_value", 1 / (1 + 100 * F.abs("lead_score")))
     twice = tests.unionByName(tests.withColumn("p_value", F.lit(0.39999) + F.col("p_value")))
     return J.empirical_pairs(twice, "leader", 0.4).drop("p_value")

@@ -12,6 +12,8 @@ which fails once one key owns a third of the data. Three pieces avoid that:
   running value inside the chunk.
 
 Only chunk-level tables are windowed per key; their size is set by the calendar.
+Series that are themselves bounded by the calendar (one row per key and day)
+may pass ``chunk=None``: one plain window per key, one shuffle, no second pass.
 Keys must not be NULL. ``order`` is a total order, its first column drives the chunks.
 """
 
@@ -49,10 +51,13 @@ def index_rows(
     order: Sequence[str],
     pos: str = "_pos",
     total: str | None = None,
-    chunk: float = DAY,
+    chunk: float | None = DAY,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series (and the series length)."""
     keys, order = list(keys), list(order)
+    if chunk is None:
+        df = df.withColumn(pos, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
+        return df.withColumn(total, F.count(F.lit(1)).over(W.partitionBy(*keys))) if total else df
     rows = df.withColumn("_chunk", chunk_of(df, order[0], chunk))
     per_chunk = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
     by_key = W.partitionBy(*keys)
@@ -97,7 +102,7 @@ def over_series(
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     before: int = 0,
     after: int = 0,
-    chunk: float = DAY,
+    chunk: float | None = DAY,
     block: int = BLOCK,
     keep_pos: str | None = None,
 ) -> DataFrame:
@@ -110,8 +115,12 @@ def over_series(
     """
     block = max(block, 4 * max(before, after, 1))
     indexed = index_rows(df, keys, order, chunk=chunk)
-    spread = into_blocks(indexed, "_pos", before, after, block)
-    w = W.partitionBy(*keys, "_block").orderBy("_pos")
+    if chunk is None:
+        spread = indexed.withColumns({"_block": F.lit(0), "_own": F.lit(True)})
+    else:
+        spread = into_blocks(indexed, "_pos", before, after, block)
+    whole = [*keys] if chunk is None else [*keys, "_block"]
+    w = W.partitionBy(*whole).orderBy(*(order if chunk is None else ["_pos"]))
     out = build(spread, w).filter("_own").drop("_own", "_block")
     return out.withColumnRenamed("_pos", keep_pos) if keep_pos else out.drop("_pos")
 
@@ -124,13 +133,20 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, tuple[str, Column | str]],
-    chunk: float = DAY,
+    chunk: float | None = DAY,
 ) -> DataFrame:
     """Running sum / count / max / min / last-known value from the start of the series.
 
     ``values`` maps a new column to (kind, expression).
     """
     keys, order = list(keys), list(order)
+    if chunk is None:
+        frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        exprs = {}
+        for name, (kind, v) in values.items():
+            x = F.col(v) if isinstance(v, str) else v
+            exprs[name] = (F.last(x, ignorenulls=True) if kind == "last" else getattr(F, kind)(x)).over(frame)
+        return df.withColumns(exprs)
     inputs = {f"_in_{name}": (F.col(v) if isinstance(v, str) else v) for name, (_, v) in values.items()}
     rows = df.withColumns({"_chunk": chunk_of(df, order[0], chunk), **inputs})
     totals = []
@@ -178,7 +194,7 @@ def running(
     return out.drop("_chunk", *helpers)
 
 
-def lagged(df: DataFrame, keys, order, values: dict[str, tuple[str, int]], chunk: float = DAY) -> DataFrame:
+def lagged(df: DataFrame, keys, order, values: dict[str, tuple[str, int]], chunk: float | None = DAY) -> DataFrame:
     """Shifted columns: {new: (column, k)}; k > 0 looks back, k < 0 ahead."""
     back = max([k for _, k in values.values()] + [0])
     ahead = max([-k for _, k in values.values()] + [0])
