@@ -127,7 +127,7 @@ def periodic_snapshots(spark, sf):
 
 
 def landed_stream(spark, sf, files: int = 4):
-    """The messages written as JSON files in arrival order, read back as a stream of several micro-batches."""
+    """The messages written as JSON files and read back as a stream."""
     path = scratch_path(spark, "messages")
     raw_messages(spark, sf).repartitionByRange(files, "seq").sortWithinPartitions("seq").write.json(path)
     return G.message_stream(spark, path, files_per_trigger=files)
@@ -172,9 +172,9 @@ def watermarked_updates(spark, sf):
     return spark.read.parquet(out).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("st7_monitor")
+@register("st7_monitor", f"WITH {STATE} SELECT asset_id, 1::BIGINT AS n FROM ft WHERE spread <= 0.05 AND depth >= 100 AND mid BETWEEN 0.05 AND 0.95")
 def monitor(spark, sf):
-    snaps, lasting, mark = (scratch_path(spark, n) for n in ("snaps", "lasting", "mark"))
-    tracked = K.persistence(K.pressure_signal(K.book_features(K.book_state(G.route(G.parse_messages(landed_stream(spark, sf)))))))
-    O.start_monitor(tracked, snaps, lasting, mark, interval=None).awaitTermination()
-    return spark.read.parquet(snaps).groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"))
+    folder, mark = scratch_path(spark, "monitor"), scratch_path(spark, "mark")
+    features = K.book_features(K.book_state(G.route(G.parse_messages(landed_stream(spark, sf)))))
+    O.start_monitor(features, folder, mark, interval=None).awaitTermination()
+    return spark.read.parquet(f"{folder}/snapshots").groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"))

@@ -132,6 +132,12 @@ def resample_grid(spark, sf):
     return grid(spark, sf).select("symbol", "ts", "close", "volume")
 
 
+@register("a22_minute_last", f"WITH {TICKS} SELECT symbol, date_trunc('minute', ts)::VARCHAR AS minute, arg_max(price, event_id) AS close, sum(qty)::BIGINT AS volume FROM ticks GROUP BY 1, 2")
+def minute_last(spark, sf):
+    t = ticks(spark, sf).withColumns({"close": F.col("price"), "volume": F.col("qty")})
+    return B.minute_last(t, ["close"], ["volume"], order=T_ORDER).select("symbol", "minute", "close", "volume")
+
+
 @register("w11_resample_observed", TICKS.join(["WITH ", """, m AS (SELECT symbol, CAST(ts AS DATE) AS day, date_trunc('minute', ts) AS minute, arg_max(price, event_id) AS close, sum(qty) AS volume FROM ticks GROUP BY 1, 2, 3),
 slots AS (SELECT symbol, day, unnest(generate_series(min(minute), max(minute), INTERVAL 1 MINUTE)) AS ts FROM m GROUP BY 1, 2),
 g AS (SELECT s.symbol, s.ts, coalesce(m.volume, 0)::BIGINT AS volume, last_value(m.close IGNORE NULLS) OVER (PARTITION BY s.symbol, s.day ORDER BY s.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM slots s LEFT JOIN m ON m.symbol = s.symbol AND m.minute = s.ts)
@@ -271,7 +277,16 @@ def wilder_atr(spark, sf):
     return I.wilder_atr(bars(spark, sf)).select("symbol", "ts", r6("atr").alias("atr"))
 
 
-@register("i10_parabolic_sar")
+SAR = BARS + """, sn AS (SELECT symbol, ts, high, low, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM bars),
+sar AS (SELECT symbol, ts, i, high, low, high AS ph, low AS pl, low AS sar, high AS ep, 0.02::DOUBLE AS af, 1 AS up FROM sn WHERE i = 1
+ UNION ALL SELECT symbol, ts, i, high, low, ph, pl, CASE WHEN flip THEN ep ELSE s END, CASE WHEN flip THEN (CASE WHEN up = 1 THEN low ELSE high END) WHEN up = 1 THEN greatest(ep, high) ELSE least(ep, low) END,
+   CASE WHEN flip THEN 0.02 WHEN (CASE WHEN up = 1 THEN greatest(ep, high) ELSE least(ep, low) END) <> ep THEN least(af + 0.02, 0.2) ELSE af END, CASE WHEN flip THEN -up ELSE up END
+ FROM (SELECT *, CASE WHEN up = 1 THEN low < s ELSE high > s END AS flip FROM (
+   SELECT n.symbol, n.ts, n.i, n.high, n.low, sar.high AS ph, sar.low AS pl, ep, af, up, CASE WHEN up = 1 THEN least(sar + af * (ep - sar), sar.low, sar.pl) ELSE greatest(sar + af * (ep - sar), sar.high, sar.ph) END AS s
+   FROM sar JOIN sn n ON n.symbol = sar.symbol AND n.i = sar.i + 1)))"""
+
+
+@register("i10_parabolic_sar", f"WITH RECURSIVE {SAR} SELECT symbol, ts::VARCHAR AS ts, round(sar, 6) AS sar, up::DOUBLE AS up FROM sar")
 def parabolic_sar(spark, sf):
     return I.parabolic_sar(bars(spark, sf)).select("symbol", "ts", r6("sar").alias("sar"), "up")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickweave.catalog.fixtures import BARS, MARKETS, bars, markets, r6, table, ticks
 from tickweave.catalog.panel_paths import ORDER, STEPS
-from tickweave.catalog.series import GRID, ICHIMOKU, grid
+from tickweave.catalog.series import EMA, GRID, ICHIMOKU, SAR, grid
 from tickweave.operators import backtest as K
 from tickweave.operators import indicators as I
 from tickweave.operators import joins as J
@@ -215,7 +215,13 @@ def ichimoku_signal(spark, sf):
     return K.ichimoku_signal(I.ichimoku(bars(spark, sf))).select("symbol", "ts", "signal")
 
 
-@register("b13_confirmed_signal")
+_SAR_CTE = SAR[len(BARS):].lstrip(", ")
+_EMA_CTE = EMA[len(BARS):].lstrip(", ")
+
+
+@register("b13_confirmed_signal", f"""WITH RECURSIVE {ICHIMOKU}, {_EMA_CTE}, {_SAR_CTE},
+z AS (SELECT c.symbol, CASE WHEN {_UP} AND e12 - e26 > sig AND c.close > sar THEN 1 WHEN {_DOWN} AND e12 - e26 < sig AND c.close < sar THEN -1 ELSE 0 END AS signal
+ FROM (SELECT * FROM cloud) c JOIN (SELECT symbol, ts, e12, e26, sig FROM ema) e ON e.symbol = c.symbol AND e.ts = c.ts JOIN (SELECT symbol, ts, sar FROM sar) q ON q.symbol = c.symbol AND q.ts = c.ts) SELECT symbol, signal, count(*) AS n FROM z GROUP BY 1, 2""")
 def confirmed_signal(spark, sf):
     b = I.ichimoku(bars(spark, sf))
     b = b.join(I.macd(bars(spark, sf)).select("symbol", "ts", "macd", "macd_signal"), ["symbol", "ts"])

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _student_tail(t: float, df: float) -> float:
@@ -22,11 +23,11 @@ def _student_tail(t: float, df: float) -> float:
     return min(1.0, float(2 * half * np.dot(weights, values)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_student_tail(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return pd.Series([min(1.0, math.erfc(v / math.sqrt(2))) if v is not None and not math.isnan(v) else math.nan for v in z], dtype="float64")

@@ -122,18 +122,19 @@ def calibrate(orders: DataFrame, lambdas: Sequence[float], delta: float = 0.02)
     Cost is the temporary impact Σ η·n²/τ. The grid repeats orders, and all of
     it is one aggregate per (order, λ).
     """
-    grid = orders.withColumns({"base_id": F.col("order_id"), "risk_aversion": F.explode(F.array(*[F.lit(float(x)) for x in lambdas]))})
-    grid = grid.withColumn("order_id", F.concat_ws("|", F.col("base_id").cast("string"), F.col("risk_aversion").cast("string")))
-    path = ac_schedule(grid).join(grid.select("order_id", "base_id", "risk_aversion", "sigma", "eta", "horizon", "slices", "quantity"), "order_id")
+    grid = orders.withColumn("risk_aversion", F.explode(F.array(*[F.lit(float(x)) for x in lambdas])))
     tau = F.col("horizon") / F.col("slices")
-    scored = path.groupBy("base_id", "risk_aversion").agg(
-        F.sum(F.col("eta") * F.col("shares") ** 2 / tau).alias("cost"),
+    k = F.col("slice_idx")
+    path = _slices(grid).withColumns({"inventory": _remaining(k * tau, 1e-12), "_before": _remaining((k - 1) * tau, 1e-12)})
+    sold = F.col("_before") - F.col("inventory")
+    scored = path.groupBy("order_id", "risk_aversion").agg(
+        F.sum(F.col("eta") * sold**2 / tau).alias("cost"),
         (F.max("sigma") * F.sqrt(F.max(tau) * F.sum(F.col("inventory") ** 2))).alias("timing_risk"),
         F.max(F.col("eta") * F.col("quantity") ** 2 / F.col("slices") / tau).alias("even_cost"),
     )
     allowed = F.col("cost") <= (1 + delta) * F.col("even_cost")
     best = F.min_by(F.struct("risk_aversion", "cost", "timing_risk", "even_cost"), F.when(allowed, F.struct("timing_risk", "risk_aversion")))
-    return scored.groupBy(F.col("base_id").alias("order_id")).agg(best.alias("_b")).select("order_id", "_b.*")
+    return scored.groupBy("order_id").agg(best.alias("_b")).select("order_id", "_b.*")
 
 
 def volume_profile(bars: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:

@@ -27,14 +27,15 @@ TOP = f"asset_id string, seq bigint, msg_no int, item int, timestamp_ms bigint,
 def book_state_batch(updates: DataFrame) -> DataFrame:
     """Levels alive after the last update: newest size per (asset, side, price), not older than the last reset.
 
-    Both parts are aggregates, so a hot asset merges before the shuffle.
+    Resets share the aggregate (their side and price are NULL), so the messages
+    are read once and a hot asset merges before the shuffle. The window that
+    follows sees one row per price level.
     """
     at = F.struct(*ORDER)
-    levels = updates.filter(F.col("kind") != "reset").groupBy("asset_id", "side", "price").agg(
-        F.max_by("size", at).alias("size"), F.max(at).alias("_at")
-    )
-    resets = updates.filter(F.col("kind") == "reset").groupBy("asset_id").agg(F.max(at).alias("_reset"))
-    alive = levels.join(resets, "asset_id", "left").filter(F.col("_reset").isNull() | (F.col("_at") > F.col("_reset")))
+    newest = updates.groupBy("asset_id", "side", "price").agg(F.max_by("size", at).alias("size"), F.max(at).alias("_at"))
+    reset = F.max(F.when(F.col("side").isNull(), F.col("_at"))).over(W.partitionBy("asset_id"))
+    levels = newest.withColumn("_reset", reset).filter(F.col("side").isNotNull())
+    alive = levels.filter(F.col("_reset").isNull() | (F.col("_at") > F.col("_reset")))
     return alive.filter(F.col("size") > 0).select("asset_id", "side", "price", "size")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickweave.operators.select import tradable
+from tickweave.streaming.book import latest, pressure_signal
 
 # fixed values: columns of the two logs
 SNAPSHOT_LOG = ("timestamp_ms", "asset_id", "best_bid", "best_ask", "mid_price", "microprice", "edge", "spread", "imbalance", "depth")
@@ -22,19 +23,54 @@ def log_sink(df: DataFrame, path: str, checkpoint: str, columns=SNAPSHOT_LOG, fm
     return writer.start()
 
 
-def start_monitor(signals: DataFrame, snapshots: str, persistent: str, checkpoint: str, interval: str | None = "5 seconds", limit: int = 10) -> StreamingQuery:
-    """Every interval: newest features of tradable assets → one log, persistent signals (first ten) → another.
+def _tick(newest: DataFrame, previous: DataFrame | None, limits: dict) -> DataFrame:
+    """State after one tick: newest features of every asset seen so far and the tracker of its signal.
 
-    Files of a batch sit under its number, so a repeated batch after a failure
-    replaces its own output.
+    Only tradable assets are tracked at a tick. A tracker begins NEUTRAL with
+    count 0 and no start, so a first NEUTRAL counts 1 without a start time.
+    """
+    known = newest.columns
+    seen = newest if previous is None else newest.unionByName(previous.select(*known))
+    merged = latest(seen)
+    tick = merged.agg(F.max("timestamp_ms").alias("t")).scalar()
+    live = pressure_signal(tradable(merged, **limits)).select("asset_id", F.col("signal").alias("_now"))
+    state = merged.join(live, "asset_id", "left")
+    if previous is None:
+        blank = {"signal": F.lit("NEUTRAL"), "run_count": F.lit(0).cast("bigint"), "first_seen_ms": F.lit(None).cast("bigint")}
+        state = state.withColumns(blank)
+    else:
+        state = state.join(previous.select("asset_id", "signal", "run_count", "first_seen_ms"), "asset_id", "left")
+        state = state.withColumns({"signal": F.coalesce("signal", F.lit("NEUTRAL")), "run_count": F.coalesce("run_count", F.lit(0).cast("bigint"))})
+    tracked, same = F.col("_now").isNotNull(), F.col("_now") == F.col("signal")
+    state = state.withColumn("tick_ms", tick)
+    return state.select(
+        *known, "tick_ms", tracked.alias("tradable"),
+        F.when(tracked, F.col("_now")).otherwise(F.col("signal")).alias("signal"),
+        F.when(tracked & same, F.col("run_count") + 1).when(tracked, F.lit(1).cast("bigint")).otherwise(F.col("run_count")).alias("run_count"),
+        F.when(tracked & ~same, F.col("tick_ms")).otherwise(F.col("first_seen_ms")).alias("first_seen_ms"),
+    )
+
+
+def start_monitor(features: DataFrame, folder: str, checkpoint: str, interval: str | None = "5 seconds", limit: int = 10, min_count: int = 2, **limits) -> StreamingQuery:
+    """Every interval: all tradable assets → ``folder``/snapshots, persistent signals (first ten) → ``folder``/signals.
+
+    The newest features and the trackers of all assets are a table per tick
+    under ``folder``/state (one row per asset), read by the next tick. All
+    output of a tick sits under its number, so a tick repeated after a failure
+    replaces itself.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        newest = batch.groupBy("asset_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "asset_id"]), F.struct("seq", "msg_no", "item")).alias("_f")).select("asset_id", "_f.*")
-        live = tradable(newest)
-        live.select(*SNAPSHOT_LOG).write.mode("overwrite").parquet(f"{snapshots}/batch={epoch}")
-        live.filter("active").orderBy("asset_id").limit(limit).select(*SIGNAL_LOG).write.mode("overwrite").parquet(f"{persistent}/batch={epoch}")
+        spark = batch.sparkSession
+        previous = spark.read.parquet(f"{folder}/state/tick={epoch - 1}") if epoch else None
+        _tick(latest(batch), previous, limits).write.mode("overwrite").parquet(f"{folder}/state/tick={epoch}")
+        state = spark.read.parquet(f"{folder}/state/tick={epoch}")
+        state.filter("tradable").select(*SNAPSHOT_LOG).write.mode("overwrite").parquet(f"{folder}/snapshots/tick={epoch}")
+        age = F.coalesce((F.col("tick_ms") - F.col("first_seen_ms")) / 1000.0, F.lit(0.0))
+        lasting = state.filter((F.col("signal") != "NEUTRAL") & (F.col("run_count") >= min_count))
+        top = lasting.withColumn("age_seconds", age).orderBy("asset_id").limit(limit)
+        top.select(*SIGNAL_LOG).write.mode("overwrite").parquet(f"{folder}/signals/tick={epoch}")
 
-    writer = signals.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
+    writer = features.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
