@@ -196,7 +196,7 @@ def matched_baseline(starts: DataFrame, horizons: Sequence[int], seed: int = 42)
     eligible = starts.filter(known).withColumn("_draw", draw)
     ranked = index_rows(eligible, PAIR, ["_draw", "ts"], chunk=2**32 / 256)
     wanted = starts.groupBy(*PAIR).agg(F.sum(F.col("long_start").cast("bigint")).alias("_n"))
-    return ranked.join(wanted, list(PAIR)).filter(F.col("_pos") < F.col("_n")).select(*PAIR, "ts", "trading_day", "follower_price", *cols)
+    return salted_join(ranked, wanted, list(PAIR), ["ts"]).filter(F.col("_pos") < F.col("_n")).select(*PAIR, "ts", "trading_day", "follower_price", *cols)
 
 
 def excess_returns(events: DataFrame, baseline: DataFrame, horizons: Sequence[int]) -> DataFrame:
@@ -326,10 +326,9 @@ def bracket_exit(entries: DataFrame, bars: DataFrame, stops: Sequence[float], ta
     own = first_touch(orders)
     extremes = numbered.groupBy("symbol", "_block").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
     left = own.filter(F.col("_exit").isNull()).drop("_exit").withColumnRenamed("_block", "_from")
-    later = (extremes["_block"] > left["_from"]) & ((extremes["_low"] <= left["stop"]) | (extremes["_high"] >= left["target"]))
-    found = left.join(extremes, (left["symbol"] == extremes["symbol"]) & later, "left").groupBy(
-        *[left[c] for c in (*key, "entry_price", "stop", "target", "_at")]
-    ).agg(F.min("_block").alias("_block"))
+    ahead = salted_join(left, extremes, ["symbol"], ["entry_ts", "k", "m"])
+    later = (F.col("_block") > F.col("_from")) & ((F.col("_low") <= F.col("stop")) | (F.col("_high") >= F.col("target")))
+    found = ahead.groupBy(*key, "entry_price", "stop", "target", "_at").agg(F.min(F.when(later, F.col("_block"))).alias("_block"))
     rest = first_touch(found.filter(F.col("_block").isNotNull()))
     never = found.filter(F.col("_block").isNull()).withColumn("_exit", F.lit(None).cast("struct<exit_ts:timestamp_ntz,exit_reason:string>"))
     cols = [*key, "entry_price", "stop", "target", "_exit"]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio, safe_log_ratio
 from tickweave.plans.series import lagged
+from tickweave.plans.spread import salted_join
 
 
 def guard(condition: Column, message: str, value: Column) -> Column:
@@ -140,7 +141,7 @@ def calibrate(orders: DataFrame, lambdas: Sequence[float], delta: float = 0.02)
 def volume_profile(bars: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:
     """Volume weight of each bar in its group."""
     totals = bars.groupBy(*keys).agg(F.sum("volume").alias("_total"))
-    return bars.join(totals, list(keys)).withColumn("weight", ratio("volume", "_total")).drop("_total")
+    return salted_join(bars, totals, list(keys), list(order)).withColumn("weight", ratio("volume", "_total")).drop("_total")
 
 
 def volatility(bars: DataFrame, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:

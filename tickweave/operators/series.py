@@ -198,11 +198,9 @@ def frame_windows(df: DataFrame, width: int, cols: Sequence[str], target: str, k
 
 
 def temporal_split(df: DataFrame, key: str, frac: float = 0.8, out: str = "is_train") -> DataFrame:
-    """First ``frac`` of the distinct ordered keys is train. The window sees distinct keys only (days)."""
-    w = W.orderBy(key)
-    days = df.select(key).distinct()
-    ranked = days.withColumns({"_r": F.row_number().over(w), "_n": F.count(F.lit(1)).over(W.partitionBy())})
-    marked = ranked.select(F.col(key).alias("_k"), (F.col("_r") <= F.floor(F.col("_n") * frac)).alias(out))
+    """First ``frac`` of the distinct ordered keys is train."""
+    ranked = index_rows(df.select(key).distinct(), [], [key], total="_n")
+    marked = ranked.select(F.col(key).alias("_k"), (F.col("_pos") < F.floor(F.col("_n") * frac)).alias(out))
     return df.join(marked, df[key] == F.col("_k")).drop("_k")
 
 

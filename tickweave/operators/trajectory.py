@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.scalars import ratio, safe_corr, seconds
 from tickweave.plans.order_stats import quantiles_wide
 from tickweave.plans.series import DAY, lagged, over_series, running
+from tickweave.plans.spread import salted_join
 from tickweave.session import cut
 
 BINS = 10
@@ -67,7 +68,7 @@ def histogram_entropy(rows: DataFrame, keys: Sequence[str], column: str, out: st
     bounds = seen.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     width = F.col("_hi") - F.col("_lo")
     slot = F.when(width > 0, F.least(F.floor((F.col(column) - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(0)
-    counts = seen.join(bounds, list(keys)).groupBy(*keys, slot.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    counts = salted_join(seen, bounds, list(keys), [column]).groupBy(*keys, slot.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     share = F.col("_c") / F.col("_n")
     return counts.groupBy(*keys).agg(F.when(F.max("_n") >= 10, F.sum(-share * F.ln(share))).alias(out))
 
@@ -113,7 +114,7 @@ def early_features(paths: DataFrame, horizons: Sequence[float], variant: str, ke
     cutoff = F.col("_n") * F.col("horizon")
     cutoff = F.greatest(F.floor(cutoff), F.lit(5)) if variant == "a" else F.greatest(F.ceil(cutoff), F.lit(2))
     part = (
-        rows.join(n, list(keys))
+        salted_join(rows, n, list(keys), ["pos"])
         .withColumn("horizon", F.explode(F.array(*[F.lit(float(h)) for h in horizons])))
         .filter(F.col("pos") < cutoff)
     )

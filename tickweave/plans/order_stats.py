@@ -71,13 +71,17 @@ def quantiles_long(long: DataFrame, qs: Sequence[float], keys: Sequence[str] = (
         .filter((F.col("_want.k") >= F.col("_below")) & (F.col("_want.k") < F.col("_below") + F.col("_c")))
         .drop("_c")
     )
+    # what to look for in each bucket: two ranks per q at most
+    wants = wanted.groupBy(*group, "_bucket").agg(
+        F.collect_list(F.struct("q", "_frac", F.col("_want.side").alias("_side"), (F.col("_want.k") - F.col("_below")).alias("_k"))).alias("_wants")
+    )
     if not keys:
-        # at most two buckets per (column, q): small by construction
-        wanted = F.broadcast(wanted)
+        # one row per wanted bucket of a column: small by construction
+        wants = F.broadcast(wants)
     candidates = (
-        rows.join(wanted.select(*group, "_bucket").distinct(), [*group, "_bucket"], "left_semi")
+        rows.join(wants, [*group, "_bucket"])
         .groupBy(*group, "_bucket", "value")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.first("_wants").alias("_wants"))
         .withColumn(
             "_through",
             F.sum("_c").over(
@@ -85,12 +89,10 @@ def quantiles_long(long: DataFrame, qs: Sequence[float], keys: Sequence[str] = (
             ),
         )
     )
-    rank = F.col("_want.k") - F.col("_below")
-    picked = candidates.join(wanted, [*group, "_bucket"]).filter(
-        (rank >= F.col("_through") - F.col("_c")) & (rank < F.col("_through"))
-    )
-    lo = F.max(F.when(F.col("_want.side") == 0, F.col("value")))
-    hi = F.max(F.when(F.col("_want.side") == 1, F.col("value")))
+    here = F.filter("_wants", lambda x: (x["_k"] >= F.col("_through") - F.col("_c")) & (x["_k"] < F.col("_through")))
+    picked = candidates.select(*group, "value", F.inline(here))
+    lo = F.max(F.when(F.col("_side") == 0, F.col("value")))
+    hi = F.max(F.when(F.col("_side") == 1, F.col("value")))
     return picked.groupBy(*group, "q").agg((lo + (hi - lo) * F.max("_frac")).alias("value"))
 
 
