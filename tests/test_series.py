@@ -40,7 +40,7 @@ def same(got, want):
 
 def test_positions_and_length(data):
     pdf, df = data
-    out = back(index_rows(df, ["symbol"], ["ts", "id"], total="n", chunk=86_400), ["_pos", "n"])
+    out = back(index_rows(df, ["symbol"], ["ts", "id"], total="n", chunk=86_400.0), ["_pos", "n"])
     same(out["_pos"], pdf.groupby("symbol").cumcount())
     same(out["n"], pdf.groupby("symbol")["id"].transform("size"))
 

@@ -12,6 +12,7 @@ from tickweave.operators import models as M
 from tickweave.operators import prep as Z
 from tickweave.operators import trajectory as T
 from tickweave.plans.registry import register
+from tickweave.plans.spread import beside
 
 NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -146,8 +147,8 @@ def config_sweep(spark, sf):
 def linear_discriminant(spark, sf):
     data = Z.stratified_split(lines(spark, sf), "y", "id")
     scored = M.fit_lda2(data.filter("is_train"), NUM, "y")(data.filter("NOT is_train"))
-    metrics = V.class_metrics(scored, "y", "prediction").withColumn("k", F.lit(1))
-    return metrics.join(V.roc_auc(scored, "y", "score").withColumn("k", F.lit(1)), "k").select(r6("accuracy", 4).alias("accuracy"), r6("auc", 4).alias("auc"))
+    both = beside(V.class_metrics(scored, "y", "prediction"), V.roc_auc(scored, "y", "score"))
+    return both.select(r6("accuracy", 4).alias("accuracy"), r6("auc", 4).alias("auc"))
 
 
 @register("m14_pca_tree_grid")

@@ -22,12 +22,12 @@ TRAIN = PANEL + """, tr AS (SELECT *, day <= 19 AS is_train FROM cells)"""
 
 
 @register("q01_winsor", f"""WITH {TRAIN}, b AS (SELECT i, quantile_cont(x, 0.001) AS lo, quantile_cont(x, 0.999) AS hi FROM tr WHERE is_train GROUP BY 1)
-SELECT tr.is_train, i AS "interval", count(x) AS n, round(sum(CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END), 8) AS total, round(max(CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END), 6) AS top FROM tr JOIN b USING (i) GROUP BY 1, 2""")
+SELECT tr.is_train, i AS "interval", count(x) AS n, round(sum(CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END), 8) AS total, round(max(CASE WHEN x IS NOT NULL THEN least(greatest(x, lo), hi) END), 8) AS top FROM tr JOIN b USING (i) GROUP BY 1, 2""")
 def winsor(spark, sf):
     p = split_panel(spark, sf)
     w = Z.apply_winsor(p, "r", Z.fit_winsor(p.filter("is_train"), "r"))
     long = Z.long_panel(w, "r", ["is_train"])
-    return long.groupBy("is_train", F.col("interval").cast("bigint").alias("interval")).agg(F.count("value").alias("n"), r6(F.sum("value"), 8).alias("total"), r6(F.max("value")).alias("top"))
+    return long.groupBy("is_train", F.col("interval").cast("bigint").alias("interval")).agg(F.count("value").alias("n"), r6(F.sum("value"), 8).alias("total"), r6(F.max("value"), 8).alias("top"))
 
 
 _S = lambda cond: f"coalesce(sum(x) FILTER ({cond}), 0)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio, safe_corr
 from tickweave.plans.order_stats import medians, quantiles_wide, value_ranks
+from tickweave.plans.spread import beside
 
 
 def trajectory_summary(paths: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "p", ts: str = "ts") -> DataFrame:
@@ -56,7 +57,7 @@ def describe_ext(df: DataFrame, column: str, qs: Sequence[float] = (0.01, 0.05,
         F.min(column).alias("min"), F.max(column).alias("max"),
     )
     marks = quantiles_wide(df, {f"p{round(q * 1000):03d}": (column, q) for q in qs})
-    return basics.join(marks.withColumn("_k", F.lit(1)), F.col("_k") == 1, "left").drop("_k")
+    return beside(basics, marks)
 
 
 def majority_baseline(df: DataFrame, label: str) -> DataFrame:

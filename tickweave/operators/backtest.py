@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.operators.series import rolled
-from tickweave.plans.series import DAY, index_rows, over_series, running
+from tickweave.plans.series import CHUNK, index_rows, over_series, running
 from tickweave.plans.spread import hash_draw, salted_join
 
 PAIR = ("leader", "follower")
@@ -154,7 +154,7 @@ def trade_summary(trades: DataFrame) -> DataFrame:
 # --- signal frequency and event study --------------------------------------------------------
 
 
-def signal_starts(prices: DataFrame, horizons: Sequence[int] = (), leader_edge=LEADER_EDGE, follower_edge=FOLLOWER_EDGE, n: int = SMA, chunk: float | None = DAY) -> DataFrame:
+def signal_starts(prices: DataFrame, horizons: Sequence[int] = (), leader_edge=LEADER_EDGE, follower_edge=FOLLOWER_EDGE, n: int = SMA, chunk: float | None = CHUNK) -> DataFrame:
     """Signals over the whole pair series, their starts within a day, forward follower returns."""
 
     def build(d, w):
@@ -298,7 +298,7 @@ def ichimoku_signal(df: DataFrame, confirm: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("signal", F.when(up, 1).when(down, -1).otherwise(0))
 
 
-def bracket_exit(entries: DataFrame, bars: DataFrame, stops: Sequence[float], targets: Sequence[float], block: int = 128, chunk: float | None = DAY) -> DataFrame:
+def bracket_exit(entries: DataFrame, bars: DataFrame, stops: Sequence[float], targets: Sequence[float], block: int = 128, chunk: float | None = CHUNK) -> DataFrame:
     """First later bar that touches the stop (entry - k·ATR) or the target (entry + m·ATR), per grid point.
 
     ``entries``: symbol, ts, close, atr. The search looks at the rest of the
@@ -348,7 +348,7 @@ def grid_score(exits: DataFrame) -> DataFrame:
 BUY_LABEL, SHORT_LABEL, STAY_LABEL = "Comprar", "Vender en Corto", "No operar"
 
 
-def ensemble_decision(df: DataFrame, max_dispersion: float = 200.0, max_vol: float = 0.1, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), chunk: float | None = DAY) -> DataFrame:
+def ensemble_decision(df: DataFrame, max_dispersion: float = 200.0, max_vol: float = 0.1, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), chunk: float | None = CHUNK) -> DataFrame:
     """Prediction, median trend, dispersion and volatility → decision and next-bar gain; the last bar drops out."""
 
     def build(d, w):

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from tickweave.functions.scalars import corr_from_moments, safe_corr
 from tickweave.operators.joins import assign_roles, shift_to_next_day
 from tickweave.operators.select import top_n_per
-from tickweave.plans.series import DAY, over_series
+from tickweave.plans.series import CHUNK, over_series
 
 PAIR = ("stock_a", "stock_b")
 
 
-def rolling_corr(aligned: DataFrame, window: int, keys: Sequence[str] = PAIR, ts: str = "ts", x: str = "x_a", y: str = "x_b", chunk: float | None = DAY) -> DataFrame:
+def rolling_corr(aligned: DataFrame, window: int, keys: Sequence[str] = PAIR, ts: str = "ts", x: str = "x_a", y: str = "x_b", chunk: float | None = CHUNK) -> DataFrame:
     """Correlation over the last ``window`` joined rows, NULL until the window is full.
 
     Sums grow from the start of a block and the value ``window`` rows back is
@@ -40,13 +40,13 @@ def rolling_corr(aligned: DataFrame, window: int, keys: Sequence[str] = PAIR, ts
     return over_series(rows, keys, [ts], build, before=window, chunk=chunk)
 
 
-def rolling_corr_daily(aligned: DataFrame, window: int, keys: Sequence[str] = PAIR, ts: str = "ts", chunk: float | None = DAY) -> DataFrame:
+def rolling_corr_daily(aligned: DataFrame, window: int, keys: Sequence[str] = PAIR, ts: str = "ts", chunk: float | None = CHUNK) -> DataFrame:
     """The last rolling correlation of each day."""
     rolled = rolling_corr(aligned, window, keys, ts, chunk=chunk)
     return rolled.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.max_by("rolling_corr", ts).alias("rolling_corr"))
 
 
-def daily_universe(aligned: DataFrame, pairs: DataFrame, universe: DataFrame, window: int, top: int = 50, chunk: float | None = DAY) -> DataFrame:
+def daily_universe(aligned: DataFrame, pairs: DataFrame, universe: DataFrame, window: int, top: int = 50, chunk: float | None = CHUNK) -> DataFrame:
     """Tradable pairs per day: correlation known the day before, roles by size, best ``top`` per day."""
     daily = rolling_corr_daily(aligned, window, chunk=chunk)
     shifted = shift_to_next_day(daily, "day", "trading_day").filter(F.col("rolling_corr").isNotNull())
@@ -55,7 +55,7 @@ def daily_universe(aligned: DataFrame, pairs: DataFrame, universe: DataFrame, wi
     return top_n_per(shifted.join(roles, list(PAIR)), ["trading_day"], order, top)
 
 
-def lead_lag(aligned: DataFrame, lags: Sequence[int] = (1, 5, 15, 30), keys: Sequence[str] = PAIR, ts: str = "ts", x: str = "x_a", y: str = "x_b", chunk: float | None = DAY) -> DataFrame:
+def lead_lag(aligned: DataFrame, lags: Sequence[int] = (1, 5, 15, 30), keys: Sequence[str] = PAIR, ts: str = "ts", x: str = "x_a", y: str = "x_b", chunk: float | None = CHUNK) -> DataFrame:
     """Per pair and lag: corr(a[t], b[t+k]), corr(b[t], a[t+k]), their difference, the leader."""
 
     def build(d, w):

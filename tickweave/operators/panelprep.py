@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.panel import clean
 from tickweave.functions.scalars import clip, ratio
 from tickweave.plans.order_stats import quantiles, quantiles_long
+from tickweave.plans.spread import beside
 
 
 def long_panel(df: DataFrame, arr: str, ids: Sequence[str] = ()) -> DataFrame:
@@ -29,19 +30,13 @@ def fit_intervals(train: DataFrame, arr: str, qs: dict[str, float]) -> DataFrame
     return marks.agg(*[as_array(q).alias(name) for name, q in qs.items()])
 
 
-def _with_row(df: DataFrame, row: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Fields of a one-row table on every row, read by one scalar subquery."""
-    one = row.select(F.struct(*fields.values()).alias("_one")).scalar()
-    return df.withColumn("_one", one).withColumns({k: F.col("_one")[v] for k, v in fields.items()}).drop("_one")
-
-
 def fit_winsor(train: DataFrame, arr: str, lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     return fit_intervals(train, arr, {"lo": lo, "hi": hi})
 
 
 def apply_winsor(df: DataFrame, arr: str, bounds: DataFrame) -> DataFrame:
     """Clip each interval to the bounds learnt on train; NULL stays NULL."""
-    with_bounds = _with_row(df.withColumn("_x", clean(arr)), bounds, {"_lo": "lo", "_hi": "hi"})
+    with_bounds = beside(df.withColumn("_x", clean(arr)), bounds, {"_lo": "lo", "_hi": "hi"})
     pairs = F.arrays_zip("_x", "_lo", "_hi")
     clipped = with_bounds.withColumn(arr, F.transform(pairs, lambda e: clip(e["_x"], e["_lo"], e["_hi"])))
     return clipped.drop("_x", "_lo", "_hi")
@@ -55,7 +50,7 @@ def fit_robust(train: DataFrame, arr: str) -> DataFrame:
 
 def scale_robust(df: DataFrame, arr: str, params: DataFrame, out: str | None = None) -> DataFrame:
     """(x - median) / IQR per interval, missing kept."""
-    with_params = _with_row(df.withColumn("_x", clean(arr)), params, {"_m": "median", "_s": "iqr"})
+    with_params = beside(df.withColumn("_x", clean(arr)), params, {"_m": "median", "_s": "iqr"})
     scaled = F.transform(F.arrays_zip("_x", "_m", "_s"), lambda e: ratio(e["_x"] - e["_m"], e["_s"]))
     return with_params.withColumn(out or arr, scaled).drop("_x", "_m", "_s")
 
@@ -86,8 +81,7 @@ def extreme_concentration(df: DataFrame, arr: str, ids: Sequence[str], q: float
     extreme = cells.filter(F.col("size") > threshold)
     everyone = df.agg(*[F.countDistinct(c).alias(f"_{c}") for c in ids])
     touched = extreme.agg(F.count(F.lit(1)).alias("n_extreme"), *[F.countDistinct(c).alias(c) for c in ids])
-    # both sides are single rows
-    both = touched.join(everyone, F.lit(True))
+    both = beside(touched, everyone)
     return both.select("n_extreme", *[ratio(F.col(c) * 100, F.col(f"_{c}")).alias(f"pct_{c}") for c in ids])
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.operators.series import returns
-from tickweave.plans.series import DAY
+from tickweave.plans.series import CHUNK
+from tickweave.plans.spread import beside
 
 PERIODS = 252
 
 
-def return_panel(prices: DataFrame, asset: str = "symbol", day: str = "ts", price: str = "close", chunk: float | None = DAY) -> DataFrame:
+def return_panel(prices: DataFrame, asset: str = "symbol", day: str = "ts", price: str = "close", chunk: float | None = CHUNK) -> DataFrame:
     """Simple returns on the dates where every asset has one."""
     rets = returns(prices, "simple", price, [asset], [day], chunk=chunk).select(asset, day, "ret").filter(F.col("ret").isNotNull())
     n_assets = prices.select(F.countDistinct(asset).alias("n")).scalar()
@@ -58,7 +59,7 @@ def score_portfolios(weights: DataFrame, mean: DataFrame, cov: DataFrame, rf: fl
     rows = cov.groupBy(F.col("a").alias("symbol")).agg(F.map_from_entries(F.collect_list(F.struct("b", "cov"))).alias("_cov"))
     table = mean.join(rows, "symbol").agg(F.collect_list(F.struct("symbol", "mean", "_cov")).alias("_assets"))
     # one row with d assets: d is the width of the weight vectors
-    scored = vectors.join(F.broadcast(table), F.lit(True))
+    scored = beside(vectors, table)
     zero = F.lit(0.0)
     w_of = lambda s: F.coalesce(F.try_element_at("_w", s), zero)
     ret = F.aggregate("_assets", zero, lambda acc, e: acc + w_of(e["symbol"]) * e["mean"])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.scalars import clip, ratio
 from tickweave.plans.order_stats import medians, quantiles_wide
 from tickweave.plans.series import index_rows
-from tickweave.plans.spread import hash_draw, hash_unit
+from tickweave.plans.spread import beside, hash_draw, hash_unit
 
 
 def _row(df: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -43,8 +43,7 @@ def fill_defaults(df: DataFrame, rules: dict[str, str]) -> DataFrame:
         top = counts.orderBy(F.desc("_n"), F.asc(c)).limit(1)
         parts.append(top.agg(F.max(c).alias(c)))
     for p in parts:
-        # every part is a single row
-        fitted = p if fitted is None else fitted.join(p, F.lit(True))
+        fitted = p if fitted is None else beside(fitted, p)
     return _row(df, fitted).withColumns({c: F.coalesce(F.col(c), F.col("_fit")[c]) for c in rules}).drop("_fit")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from tickweave.functions.scalars import ratio, safe_corr, safe_log_ratio
-from tickweave.plans.series import BLOCK, DAY, index_rows, into_blocks, lagged, over_series, running
+from tickweave.plans.series import BLOCK, CHUNK, index_rows, into_blocks, lagged, over_series, running
 
 # --- window expressions ----------------------------------------------------------
 
@@ -40,13 +40,13 @@ def rolled(fn: str, c: Column | str, n: int, w: WindowSpec) -> Column:
 # --- operators --------------------------------------------------------------------
 
 
-def returns(df: DataFrame, kind: str = "simple", price: str = "close", keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), out: str = "ret", chunk: float | None = DAY) -> DataFrame:
+def returns(df: DataFrame, kind: str = "simple", price: str = "close", keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), out: str = "ret", chunk: float | None = CHUNK) -> DataFrame:
     """Row-to-row return ("simple", "log" or "diff"), not reset at day borders."""
     prev = lagged(df, keys, order, {"_prev": (price, 1)}, chunk=chunk)
     return prev.withColumn(out, change(price, F.col("_prev"), kind)).drop("_prev")
 
 
-def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], keys=("symbol",), order=("ts",), chunk: float | None = DAY) -> DataFrame:
+def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], keys=("symbol",), order=("ts",), chunk: float | None = CHUNK) -> DataFrame:
     """{new: (mean|std|max|min|sum, column, n)}; all columns share one shuffle."""
     reach = max(n for _, _, n in specs.values()) - 1
 
@@ -71,12 +71,12 @@ def rising_edge(df: DataFrame, flag: str, keys: Sequence[str], order=("ts",), ou
     return prev.withColumn(out, now & ~before).drop("_prev", "_day")
 
 
-def equity_curve(pnl: DataFrame, value: str, capital: float, keys: Sequence[str] = (), order=("ts",), chunk: float | None = DAY) -> DataFrame:
+def equity_curve(pnl: DataFrame, value: str, capital: float, keys: Sequence[str] = (), order=("ts",), chunk: float | None = CHUNK) -> DataFrame:
     """Capital plus the running sum of PnL."""
     return running(pnl, keys, order, {"_cum": ("sum", value)}, chunk).withColumn("equity", F.lit(float(capital)) + F.col("_cum")).drop("_cum")
 
 
-def drawdown(df: DataFrame, value: str = "equity", keys: Sequence[str] = (), order=("ts",), chunk: float | None = DAY) -> DataFrame:
+def drawdown(df: DataFrame, value: str = "equity", keys: Sequence[str] = (), order=("ts",), chunk: float | None = CHUNK) -> DataFrame:
     peaked = running(df, keys, order, {"peak": ("max", value)}, chunk)
     return peaked.withColumn("drawdown", ratio(value, "peak") - 1)
 
@@ -89,7 +89,7 @@ def recursive(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("ts",),
     block: int = BLOCK,
-    chunk: float | None = DAY,
+    chunk: float | None = CHUNK,
 ) -> DataFrame:
     """Recursions with fading memory, e.g. exponential means, in bounded blocks.
 
@@ -136,7 +136,7 @@ def autocorr1(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[s
     )
 
 
-def run_length(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], ts: str = "ts", chunk: float | None = DAY) -> DataFrame:
+def run_length(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], ts: str = "ts", chunk: float | None = CHUNK) -> DataFrame:
     """Consecutive count of equal values and the time the run began."""
 
     def build(d, w):

@@ -15,7 +15,7 @@ from tickweave.functions.distributions import normal_two_sided, student_two_side
 from tickweave.functions.scalars import ratio, safe_corr
 from tickweave.operators.aggregates import corr_matrix
 from tickweave.plans.order_stats import quantiles, quantiles_wide, value_ranks
-from tickweave.plans.series import DAY, index_rows, over_series
+from tickweave.plans.series import CHUNK, index_rows, over_series
 from tickweave.plans.spread import hash_draw
 
 DRAW_CHUNK = 2**32 / 16
@@ -62,7 +62,7 @@ def _replicates(df: DataFrame, b: int) -> DataFrame:
     return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(int(b)))))
 
 
-def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42, keys: Sequence[str] = ("stock_a", "stock_b"), ts: str = "ts", x: str = "x_a", y: str = "x_b", chunk: float | None = DAY) -> DataFrame:
+def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42, keys: Sequence[str] = ("stock_a", "stock_b"), ts: str = "ts", x: str = "x_a", y: str = "x_b", chunk: float | None = CHUNK) -> DataFrame:
     """Lead score against B shuffles of the second series, per pair.
 
     In each replicate the rows are ordered by a hash of (replicate, position);
@@ -103,7 +103,7 @@ def bootstrap_percentile(means: DataFrame, observed: float) -> DataFrame:
     )
 
 
-def bootstrap_corr(df: DataFrame, x: str, y: str, order: Sequence[str], b: int, seed: int = 0, keys: Sequence[str] = (), chunk: float | None = DAY) -> DataFrame:
+def bootstrap_corr(df: DataFrame, x: str, y: str, order: Sequence[str], b: int, seed: int = 0, keys: Sequence[str] = (), chunk: float | None = CHUNK) -> DataFrame:
     """2.5 / 97.5 % limits of the correlation over B samples with replacement.
 
     Each replicate draws as many rows as there are: row i points at row

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio, safe_corr, seconds
 from tickweave.plans.order_stats import quantiles_wide
-from tickweave.plans.series import DAY, lagged, over_series, running
+from tickweave.plans.series import CHUNK, lagged, over_series, running
 from tickweave.plans.spread import salted_join
 from tickweave.session import cut
 
 BINS = 10
 
 
-def path_rows(paths: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "p", chunk: float | None = DAY) -> DataFrame:
+def path_rows(paths: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "p", chunk: float | None = CHUNK) -> DataFrame:
     """Per-row state of each path, valid for the whole path and for every prefix of it.
 
     pos, diff, prev_diff, peak, flip_zeros (sign change, zeros count as a sign)
@@ -82,7 +82,7 @@ def _pick(variant: str, prefix: str = "") -> dict:
     return {f"{prefix}{k}": v for k, v in (shared | chosen).items()}
 
 
-def trajectory_features(paths: DataFrame, keys: Sequence[str], order: Sequence[str], variant: str = "a", value: str = "p", chunk: float | None = DAY) -> DataFrame:
+def trajectory_features(paths: DataFrame, keys: Sequence[str], order: Sequence[str], variant: str = "a", value: str = "p", chunk: float | None = CHUNK) -> DataFrame:
     """Features of whole paths.
 
     "a": squared-change volatility, zeros count as a direction, histogram
@@ -103,7 +103,7 @@ def trajectory_features(paths: DataFrame, keys: Sequence[str], order: Sequence[s
     return main.join(histogram_entropy(rows, keys, "diff", "shannon_entropy"), list(keys), "left")
 
 
-def early_features(paths: DataFrame, horizons: Sequence[float], variant: str, keys: Sequence[str], order: Sequence[str], value: str = "p", chunk: float | None = DAY) -> DataFrame:
+def early_features(paths: DataFrame, horizons: Sequence[float], variant: str, keys: Sequence[str], order: Sequence[str], value: str = "p", chunk: float | None = CHUNK) -> DataFrame:
     """Features of the first part of each path for several horizons at once.
 
     All per-row state holds for prefixes too, so the path is walked once and

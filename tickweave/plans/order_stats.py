@@ -1,7 +1,7 @@
 """Exact quantiles and ranks that stay distributed for hot groups.
 
 Both work on value counts. A fixed, order-preserving bucket (sign, decade and
-first four digits) gives a small histogram per group; only the buckets that hold
+first five digits) gives a small histogram per group; only the buckets that hold
 a wanted rank are read again. No group is gathered in one task, results are
 exact, and every step is deterministic so lost executors can be recomputed.
 """
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 
 def digit_bucket(x: Column) -> Column:
-    """Monotone bigint bucket of a double: about 9,000 buckets per decade."""
+    """Monotone bigint bucket of a double: 90,000 buckets per decade."""
     size = F.abs(x)
     decade = F.greatest(F.floor(F.log10(size)), F.lit(-300))
-    digits = F.floor(size / F.pow(F.lit(10.0), (decade - 3).cast("double")))
-    code = (decade + 400) * 10_000 + digits
+    digits = F.floor(size / F.pow(F.lit(10.0), (decade - 4).cast("double")))
+    code = (decade + 400) * 100_000 + digits
     sign = F.signum(x).cast("bigint")
     return (
         F.when(x == 0, F.lit(0).cast("bigint"))

@@ -14,6 +14,7 @@ which fails once one key owns a third of the data. Three pieces avoid that:
 Only chunk-level tables are windowed per key; their size is set by the calendar.
 Series that are themselves bounded by the calendar (one row per key and day)
 may pass ``chunk=None``: one plain window per key, one shuffle, no second pass.
+Denser series (or time stamps that pile up) take a smaller ``chunk`` in seconds.
 Keys must not be NULL. ``order`` is a total order, its first column drives the chunks.
 """
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-DAY = 86_400
+# an hour: few enough chunks per key to window them, few enough rows of a hot key in one
+CHUNK = 3_600
 BLOCK = 32_768
 _LAST = 2**62
 
@@ -51,7 +53,7 @@ def index_rows(
     order: Sequence[str],
     pos: str = "_pos",
     total: str | None = None,
-    chunk: float | None = DAY,
+    chunk: float | None = CHUNK,
 ) -> DataFrame:
     """Add the 0-based position of each row in its series (and the series length)."""
     keys, order = list(keys), list(order)
@@ -102,7 +104,7 @@ def over_series(
     build: Callable[[DataFrame, WindowSpec], DataFrame],
     before: int = 0,
     after: int = 0,
-    chunk: float | None = DAY,
+    chunk: float | None = CHUNK,
     block: int = BLOCK,
     keep_pos: str | None = None,
 ) -> DataFrame:
@@ -133,7 +135,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     values: dict[str, tuple[str, Column | str]],
-    chunk: float | None = DAY,
+    chunk: float | None = CHUNK,
 ) -> DataFrame:
     """Running sum / count / max / min / last-known value from the start of the series.
 
@@ -194,7 +196,7 @@ def running(
     return out.drop("_chunk", *helpers)
 
 
-def lagged(df: DataFrame, keys, order, values: dict[str, tuple[str, int]], chunk: float | None = DAY) -> DataFrame:
+def lagged(df: DataFrame, keys, order, values: dict[str, tuple[str, int]], chunk: float | None = CHUNK) -> DataFrame:
     """Shifted columns: {new: (column, k)}; k > 0 looks back, k < 0 ahead."""
     back = max([k for _, k in values.values()] + [0])
     ahead = max([-k for _, k in values.values()] + [0])

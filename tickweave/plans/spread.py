@@ -42,3 +42,13 @@ def one_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool
     pick = F.max_by if last else F.min_by
     row = pick(F.struct(*rest), F.struct(*order)).alias("_row")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+
+
+def beside(df: DataFrame, row: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
+    """Columns of a one-row table on every row, read by one scalar subquery (no join).
+
+    ``fields`` maps new names to columns of ``row``; without it all are taken.
+    """
+    fields = fields or {c: c for c in row.columns}
+    one = row.select(F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias("_one")).scalar()
+    return df.withColumn("_one", one).withColumns({n: F.col("_one")[n] for n in fields}).drop("_one")
