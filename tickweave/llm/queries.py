@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickweave.llm import token_counts
+from tickweave.llm import packing, token_counts
 from tickweave.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,11 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op6_best_fit_packing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), capacity=4096)
+
+
 @register("op8_token_counts")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), limit=1024)
