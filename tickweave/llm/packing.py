@@ -32,7 +32,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY = 4096
 END_ID = 1
 #: Entries of the per-task tables of known words; a table is emptied when full.
-KNOWN = 800_000
+KNOWN = 250_000
 #: Pieces of one length that one task numbers, about.
 NUMBERED_TOGETHER = 20_000
 
