@@ -24,7 +24,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:
-    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.BooleanType(): pa.bool_(), T.ArrayType(T.LongType()): pa.list_(pa.int64())}
+    kinds = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.DoubleType(): pa.float64(), T.StringType(): pa.string(), T.BinaryType(): pa.binary(), T.BooleanType(): pa.bool_(), T.ArrayType(T.LongType()): pa.list_(pa.int64()), T.ArrayType(T.BinaryType()): pa.list_(pa.binary())}
     return pa.schema([(f.name, kinds[f.dataType]) for f in schema])
 
 

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickweave.llm.frames import map_slices, pick, raw_bytes
+from tickweave.llm.frames import SLICE_ROWS, map_slices, pick, raw_bytes
 from tickweave.llm.hashing import mix, span_hashes, word_spans
 from tickweave.llm.training import Adam, Params, fold, labelled_sample, sigmoid
 
@@ -254,3 +255,16 @@ def score(docs: DataFrame, model: tuple[Params, np.ndarray], threshold: float =
     scored = map_slices(slim, make, "doc_id long, score double")
     held = F.coalesce(fold("doc_id", folds) == held_out, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def flagged(docs: DataFrame, model: tuple[Params, np.ndarray], threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of `docs`, all their columns, with _toxic: whether the score reaches `threshold`; one pass, no shuffle."""
+    params, vocabulary = model
+
+    def mark(batches):
+        for batch in batches:
+            scores = [text_scores(params, vocabulary, raw_bytes(part.column(text))) for part in (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))]
+            toxic = np.concatenate([np.zeros(0), *scores]) >= threshold
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic)], names=[*batch.schema.names, "_toxic"])
+
+    return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("_toxic", T.BooleanType())]))
