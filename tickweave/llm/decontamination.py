@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from tickweave.session import cut
 
 WINDOW = 8
-#: Share of an item's windows that a document must hold.
+#: Share of an item's windows that a document must hold, or so many of them: 13 words in a row.
 SHARE = 0.5
+ENOUGH = 6
 #: Windows of the benchmark up to which it is broadcast (8 bytes of hash and a few of slots each); beyond it the join shuffles.
 BROADCAST_WINDOWS = 200_000
 
@@ -27,6 +28,27 @@ NUMBER = r"^[+-]?[$€£]?[0-9]+([.,/:][0-9]+)*%?$"
 EDGES = r"^[^\p{L}\p{N}%$€£+-]+|[^\p{L}\p{N}%]+$"
 
 
+#: The same result of `leaks` in DuckDB SQL.
+LEAKS_SQL = rf"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+split AS (SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\r\n]+', ' . ', 'g'), '\s+'), lambda w: w <> '') AS w FROM texts),
+cores AS (SELECT side, id, list_transform(w, lambda x: regexp_replace(x, '{EDGES}', '', 'g')) AS c, list_transform(w, lambda x: regexp_matches(x, '[.!?]\W*$')) AS e FROM split),
+kinds AS (SELECT side, id, c, list_transform(c, lambda x, k: CASE
+    WHEN regexp_matches(x, '{NUMBER}') THEN '<num>'
+    WHEN k > 1 AND regexp_matches(c[k - 1], '{NUMBER}') AND list_contains(string_split('{UNITS}', ' '), lower(x)) THEN '<unit>'
+    WHEN regexp_matches(x, '^\p{{Lu}}') AND k > 1 AND NOT e[k - 1] THEN '<name>' ELSE lower(x) END) AS t FROM cores),
+pairs AS (SELECT side, id, list_filter(list_zip(t, list_transform(c, lambda x, k: CASE WHEN t[k] IN ('<num>', '<unit>', '<name>') THEN lower(x) ELSE '' END)), lambda p: p[1] <> '') AS p FROM kinds),
+templ AS (SELECT side, id, list_transform(p, lambda x: x[1]) AS t, list_transform(p, lambda x: x[2]) AS s FROM pairs WHERE len(p) > 0),
+wins AS (SELECT side, id, k AS pos, array_to_string(t[k + 1:k + {WINDOW}], chr(2)) AS w, s[k + 1:k + {WINDOW}] AS s FROM templ, LATERAL (SELECT unnest(range(greatest(len(t) - {WINDOW} + 1, 1))) AS k)),
+total AS (SELECT id AS item_id, count(DISTINCT pos) AS n_windows FROM wins WHERE side = 'i' GROUP BY 1),
+found AS (SELECT DISTINCT d.id AS doc_id, i.id AS item_id, i.pos AS item_at, d.pos - i.pos AS diff, d.s AS ours, i.s AS theirs FROM wins d JOIN wins i ON d.w = i.w AND d.side = 'd' AND i.side = 'i'),
+used AS (SELECT doc_id, item_id, diff, unnest(theirs) AS a, unnest(ours) AS b FROM found),
+torn AS (SELECT DISTINCT doc_id, item_id, diff FROM (SELECT doc_id, item_id, diff, a FROM used WHERE a <> '' GROUP BY ALL HAVING count(DISTINCT b) > 1)),
+whole AS (SELECT doc_id, item_id, count(DISTINCT item_at) AS n_found, bool_and(ours = theirs) AS verbatim FROM found ANTI JOIN torn USING (doc_id, item_id, diff) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_windows, n_found, n_found / n_windows AS share, verbatim FROM whole JOIN total USING (item_id) WHERE n_found >= least({SHARE} * n_windows, {ENOUGH})"""
+
+
 def template(text: Column) -> Column:
     """Array of (word, slot) structs; slot is the replaced value, empty for literal words. Words of punctuation alone are left out."""
     words = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " . "), r"\s+"), lambda w: w != "")
@@ -56,8 +78,8 @@ def windows(texts: DataFrame, key: str, window: int) -> DataFrame:
     return parts.select(key, count.alias("n"), F.explode(cells).alias("_w")).select(key, "n", "_w.*")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_found, share, verbatim) per document and benchmark item with at least `share` of the item's windows.
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_found, share, verbatim) per document and benchmark item with `share` or `enough` of the item's windows.
 
     verbatim: all slots have the item's own values. Null and empty texts hold no windows; an item shorter than a window is
     one window and only equals a document of the same template. Rows of one doc_id (item_id) count as one document (item),
@@ -80,9 +102,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
     torn = spread.filter("_n > 1").select("doc_id", "item_id", "offset").distinct()
     kept = found.join(torn, ["doc_id", "item_id", "offset"], "left_anti")
     whole = kept.groupBy("doc_id", "item_id").agg(F.count_distinct("item_at").cast("bigint").alias("n_found"), F.min(F.col("slots") == F.col("item_slots")).alias("verbatim"))
-    return whole.join(total, "item_id").filter(F.col("n_found") >= share * F.col("n_windows")).select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("share"), "verbatim")
+    return whole.join(total, "item_id").filter(F.col("n_found") >= F.least(share * F.col("n_windows"), F.lit(float(enough)))).select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("share"), "verbatim")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
     """The rows of `docs` whose doc_id has no leak; rows without a doc_id stay."""
-    return docs.join(leaks(docs, benchmark, window, share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaks(docs, benchmark, window, share, enough).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

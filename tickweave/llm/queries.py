@@ -58,7 +58,7 @@ def list_entries(pages: DataFrame) -> DataFrame:
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 URL_SQL = rf"""
-WITH p AS (SELECT page_id, url, {_HOST} AS host, list_filter(string_split({_PATH}, '/'), x -> x <> '') AS folders,
+WITH p AS (SELECT page_id, url, {_HOST} AS host, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS folders,
     DATE '2024-01-01' + (page_id * 53 % 365)::INT AS fetched FROM pages),
 l AS (SELECT *, string_split(host, '.') AS labels FROM p),
 keyed AS (
@@ -114,7 +114,7 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf, "documents"), limit=1024)
 
 
-@register("op9_decontamination")
+@register("op9_decontamination", decontamination.LEAKS_SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
