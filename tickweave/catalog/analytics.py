@@ -122,9 +122,8 @@ def volatility(spark, sf):
     return E.volatility(bars(spark, sf)).withColumns({"sigma_return": r6("sigma_return"), "sigma_price": r6("sigma_price")})
 
 
-# --- portfolio: the five regions are the assets ----------------------------------------------
+# --- portfolio: the regions are the assets ---------------------------------------------------
 
-ASSETS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 
 
 def region_prices(spark, sf):
@@ -149,23 +148,24 @@ def return_panel(spark, sf):
 
 @register("o02_covariance", f"WITH {RETURNS} SELECT a, b, round(c, 8) AS cov FROM cov")
 def covariance(spark, sf):
-    return O.covariance(region_returns(spark, sf), ASSETS).withColumn("cov", r6("cov", 8)).filter(F.col("cov").isNotNull())
+    return O.covariance(region_returns(spark, sf)).withColumn("cov", r6("cov", 8))
 
 
 def weights(spark, sf):
     """One candidate per supplier, weights from its key."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("candidate"), F.posexplode(F.array(*[F.lit(a) for a in ASSETS])).alias("i", "symbol"))
+    regions = table(spark, sf, "region").agg(F.sort_array(F.collect_set("r_name"))).scalar()
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("candidate"), F.posexplode(regions).alias("i", "symbol"))
     return O.normalise_weights(s.select("candidate", "symbol", ((F.col("candidate") * 7919 + F.col("i") * 104729) % 10007).cast("double").alias("weight")))
 
 
-SCORES = RETURNS + """, w0 AS (SELECT s_suppkey AS candidate, a.symbol, ((s_suppkey * 7919 + a.i * 104729) % 10007)::DOUBLE AS w FROM supplier, (SELECT unnest(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST']) AS symbol, unnest(range(5)) AS i) a),
+SCORES = RETURNS + """, w0 AS (SELECT s_suppkey AS candidate, a.symbol, ((s_suppkey * 7919 + a.i * 104729) % 10007)::DOUBLE AS w FROM supplier, (SELECT r_name AS symbol, row_number() OVER (ORDER BY r_name) - 1 AS i FROM region) a),
 w AS (SELECT candidate, symbol, w / sum(w) OVER (PARTITION BY candidate) AS w FROM w0),
 pr AS (SELECT candidate, sum(w * m) * 252 AS r FROM w JOIN mu USING (symbol) GROUP BY 1), pv AS (SELECT x.candidate, sqrt(sum(x.w * y.w * c) * 252) AS s FROM w x JOIN w y ON x.candidate = y.candidate JOIN cov ON cov.a = x.symbol AND cov.b = y.symbol GROUP BY 1), sc AS (SELECT candidate, r, s, (r - 0.05) / s AS sharpe FROM pr JOIN pv USING (candidate))"""
 
 
 def scores(spark, sf, **kw):
     rets = region_returns(spark, sf)
-    return O.score_portfolios(weights(spark, sf), O.mean_returns(rets), O.covariance(rets, ASSETS), 0.05, **kw)
+    return O.score_portfolios(weights(spark, sf), O.mean_returns(rets), O.covariance(rets), 0.05, **kw)
 
 
 @register("o03_portfolio_scores", f"WITH {SCORES} SELECT candidate, round(r, 5) AS portfolio_return, round(s, 5) AS portfolio_risk, round(sharpe, 5) AS sharpe FROM sc")

@@ -69,15 +69,14 @@ def result_export(spark, sf):
     return spark.read.parquet(path)
 
 
-def _payloads(spark, sf):
+def _payloads(spark, sf, section="Time Series (60min)", values=None):
     """One JSON payload per symbol and day (24 hourly bars at most)."""
     b = bars(spark, sf)
-    cell = F.create_map(
-        *[x for i, c in enumerate(("open", "high", "low", "close", "volume"), 1) for x in (F.lit(f"{i}. {c}"), F.col(c).cast("string"))]
-    )
+    values = values or {f"{i}. {c}": F.col(c) for i, c in enumerate(("open", "high", "low", "close", "volume"), 1)}
+    cell = F.create_map(*[x for name, c in values.items() for x in (F.lit(name), c.cast("string"))])
     entry = F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("k"), cell.alias("v"))
     body = b.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
-    text = F.concat(F.lit('{"Meta Data": {"1. Information": "bars"}, "Time Series (60min)": '), F.to_json("m"), F.lit("}"))
+    text = F.concat(F.lit(f'{{"Meta Data": {{"1. Information": "bars"}}, "{section}": '), F.to_json("m"), F.lit("}"))
     return body.select("symbol", text.alias("payload"))
 
 
@@ -86,6 +85,20 @@ def ohlcv_payload(spark, sf):
     return payloads.parse_ohlcv_payload(_payloads(spark, sf), "payload", ["symbol"])
 
 
+@register("s09_periodic_payloads", f"WITH {BARS} SELECT symbol, ts::VARCHAR AS ts, open, close, open + close AS adjusted_close, CAST(volume AS DOUBLE) AS volume, high - low AS dividend_amount, 1.0::DOUBLE AS split_coefficient FROM bars")
+def periodic_payloads(spark, sf):
+    """Weekly adjusted payloads, whose section name does not begin with the words of the daily one."""
+    values = {"1. open": F.col("open"), "2. high": F.col("high"), "3. low": F.col("low"), "4. close": F.col("close"), "5. adjusted close": F.col("open") + F.col("close"), "6. volume": F.col("volume"), "7. dividend amount": F.col("high") - F.col("low"), "8. split coefficient": F.lit(1.0)}
+    p = payloads.parse_ohlcv_payload(_payloads(spark, sf, "Weekly Adjusted Time Series", values), "payload", ["symbol"], payloads.ADJUSTED_FIELDS)
+    return p.drop("high", "low")
+
+
+@register("s09_indicator_payload", f"WITH {BARS} SELECT symbol, ts::VARCHAR AS ts, (high + low) / 2 AS SMA FROM bars")
+def indicator_payload(spark, sf):
+    made = _payloads(spark, sf, "Technical Analysis: SMA", {"SMA": (F.col("high") + F.col("low")) / 2})
+    return payloads.parse_ohlcv_payload(made, "payload", ["symbol"], ("SMA",))
+
+
 def _history(spark, sf):
     p = paths(spark, sf)
     item = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"), F.col("p"))

@@ -76,7 +76,8 @@ FEATURES = ("probability_range", "trend", "max_drawdown", "realized_volatility")
 
 
 def path_table(spark, sf):
-    return T.trajectory_features(paths(spark, sf), ["market_id"], ORDER, "b").na.drop().select("market_id", *FEATURES)
+    t = T.trajectory_features(paths(spark, sf), ["market_id"], ORDER, "b").select("market_id", *FEATURES)
+    return Z.apply_impute(t, Z.fit_impute(t, FEATURES))
 
 
 @register("m08_silhouettes")
@@ -102,7 +103,7 @@ def cross_validation(spark, sf):
     return V.class_metrics(scored, "label", "prediction").select(*[r6(c, 4).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
 
 
-@register("m10_fold_sizes", """WITH r AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5('0-' || o_orderkey), 1, 8))::BIGINT, o_orderkey) - 1 AS pos FROM orders) SELECT o_orderstatus, (pos % 5)::INT AS fold, count(*) AS n FROM r GROUP BY 1, 2""")
+@register("m10_fold_sizes", """WITH r AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5('0-' || o_orderkey), 1, 15))::BIGINT, o_orderkey) - 1 AS pos FROM orders) SELECT o_orderstatus, (pos % 5)::INT AS fold, count(*) AS n FROM r GROUP BY 1, 2""")
 def fold_sizes(spark, sf):
     f = Z.stratified_folds(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey", 5)
     return f.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n"))
@@ -208,6 +209,6 @@ def dummy(spark, sf):
     return V.dummy(line.filter(early), line.filter(~early), "y").groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("m19_group_split", "SELECT user_id, ('0x' || substr(md5('0-' || user_id), 1, 8))::BIGINT / 4294967296.0 < 0.8 AS is_train, count(*) AS n FROM events GROUP BY 1, 2")
+@register("m19_group_split", "SELECT user_id, ('0x' || substr(md5('0-' || user_id), 1, 15))::BIGINT / 1152921504606846976.0 < 0.8 AS is_train, count(*) AS n FROM events GROUP BY 1, 2")
 def group_split(spark, sf):
     return Z.group_split(table(spark, sf, "events"), "user_id").groupBy("user_id", "is_train").agg(F.count(F.lit(1)).alias("n"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickweave.catalog.fixtures import BARS, PANEL, TICKS, bars, panel, r6, table, ticks, universe
 from tickweave.catalog.panel_paths import TRAIN, split_panel
@@ -13,7 +14,7 @@ from tickweave.operators import joins as J
 from tickweave.operators import stats as H
 from tickweave.plans.registry import register
 
-_U = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+_U = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
 
 @register("h01_welch", """WITH m AS (SELECT count(*) FILTER (g) AS n1, avg(y) FILTER (g) AS m1, var_samp(y) FILTER (g) AS v1, count(*) FILTER (NOT g) AS n0, avg(y) FILTER (NOT g) AS m0, var_samp(y) FILTER (NOT g) AS v0 FROM (SELECT l_returnflag = 'R' AS g, l_extendedprice AS y FROM lineitem))
@@ -174,6 +175,18 @@ def balance(spark, sf):
     return D.balance_report(ticks(spark, sf), "symbol").withColumns({"max_share": r6("max_share"), "min_share": r6("min_share")})
 
 
+_SPEC = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "int", "event_type": "string", "amount": "double", "props": "string"}
+_DUCK = {"bigint": "BIGINT", "timestamp_ntz": "TIMESTAMP", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+
+
+@register("d07_schema_check", f"""WITH spec AS (SELECT unnest({list(_SPEC)}) AS name, unnest({[_DUCK[k] for k in _SPEC.values()]}) AS kind), have AS (SELECT column_name AS name, data_type AS kind FROM information_schema.columns WHERE table_name = 'events')
+SELECT 'missing' AS issue, name FROM spec ANTI JOIN have USING (name) UNION ALL SELECT 'extra', name FROM have ANTI JOIN spec USING (name) UNION ALL SELECT 'type', name FROM spec JOIN have USING (name) WHERE spec.kind <> have.kind""")
+def schema_check(spark, sf):
+    """Differences of the events table from a specification with one missing, one extra and one retyped column."""
+    spec = T.StructType.fromDDL(", ".join(f"{n} {k}" for n, k in _SPEC.items()))
+    return spark.createDataFrame(D.schema_check(table(spark, sf, "events"), spec), "issue string, name string")
+
+
 @register("d08_shift", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", median({c}) FILTER (tr) AS median_train, quantile_cont({c}, 0.75) FILTER (tr) - quantile_cont({c}, 0.25) FILTER (tr) AS iqr_train, 0.0::DOUBLE AS missing_train,
  median({c}) FILTER (NOT tr) AS median_test, quantile_cont({c}, 0.75) FILTER (NOT tr) - quantile_cont({c}, 0.25) FILTER (NOT tr) AS iqr_test, 0.0::DOUBLE AS missing_test FROM (SELECT *, l_shipdate < TIMESTAMP '1999-01-01' AS tr FROM lineitem)""" for c in ("l_quantity", "l_extendedprice")))

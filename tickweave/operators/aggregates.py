@@ -63,9 +63,10 @@ def describe_ext(df: DataFrame, column: str, qs: Sequence[float] = (0.01, 0.05,
 def majority_baseline(df: DataFrame, label: str) -> DataFrame:
     """Most frequent class (smallest on ties) and the accuracy of always guessing it."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(
-        F.max_by(label, F.struct("n", -F.col(label))).alias("majority_class"),
-        (F.max("n") / F.sum("n")).alias("baseline_accuracy"),
+    sizes = counts.groupBy("n").agg(F.min(label).alias("_label"), F.count(F.lit(1)).alias("_classes"))
+    return sizes.agg(
+        F.max_by("_label", "n").alias("majority_class"),
+        (F.max("n") / F.sum(F.col("n") * F.col("_classes"))).alias("baseline_accuracy"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tickweave.functions.scalars import ratio
 from tickweave.operators.series import rolled
 from tickweave.plans.series import CHUNK, index_rows, over_series, running
-from tickweave.plans.spread import hash_draw, salted_join
+from tickweave.plans.spread import DRAWS, hash_draw, salted_join
 
 PAIR = ("leader", "follower")
 NOTIONAL, COST, MIN_PRICE = 100_000.0, 0.0035, 10.0
@@ -194,7 +194,7 @@ def matched_baseline(starts: DataFrame, horizons: Sequence[int], seed: int = 42)
         known = known & F.col(c).isNotNull()
     draw = hash_draw(F.col("leader"), F.col("follower"), F.unix_seconds(F.col("ts").cast("timestamp")), seed=seed)
     eligible = starts.filter(known).withColumn("_draw", draw)
-    ranked = index_rows(eligible, PAIR, ["_draw", "ts"], chunk=2**32 / 256)
+    ranked = index_rows(eligible, PAIR, ["_draw", "ts"], chunk=DRAWS / 256)
     wanted = starts.groupBy(*PAIR).agg(F.sum(F.col("long_start").cast("bigint")).alias("_n"))
     return salted_join(ranked, wanted, list(PAIR), ["ts"]).filter(F.col("_pos") < F.col("_n")).select(*PAIR, "ts", "trading_day", "follower_price", *cols)
 

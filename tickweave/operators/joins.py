@@ -23,12 +23,15 @@ def align_pairs(bars: DataFrame, pairs: DataFrame, value: str = "close", ts: str
 
 
 def _unique(df: DataFrame, on: Sequence[str], side: str) -> DataFrame:
-    """One row per key; a repeated key stops the job."""
+    """One row per key; a repeated key stops the job.
+
+    The check is part of a filter, so it runs whatever columns are read later.
+    """
     rest = [c for c in df.columns if c not in on]
     grouped = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*rest, F.lit(1).alias("_one"))).alias("_row"))
     message = F.concat(F.lit(f"repeated key on the {side} side: "), F.to_json(F.struct(*on)))
-    checked = F.when(F.col("_n") > 1, F.raise_error(message)).otherwise(F.col("_row"))
-    return grouped.select(*on, checked.alias("_row")).select(*on, *[F.col("_row")[c].alias(c) for c in rest])
+    single = F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return grouped.filter(single).select(*on, *[F.col("_row")[c].alias(c) for c in rest])
 
 
 def join_1to1(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,7 +44,7 @@ def candidate_pairs(universe: DataFrame, group: str = "sector", symbol: str = "s
 
     The input is the symbol list, not bars; a large sector is spread over tasks.
     """
-    sector = F.when(F.col(group).isNull(), F.raise_error(F.lit("There are missing sectors."))).otherwise(F.col(group))
+    sector = F.when(F.col(group).isNull(), F.raise_error(F.concat(F.lit("no sector for symbol "), F.col(symbol)))).otherwise(F.col(group))
     names = universe.select(sector.alias(group), symbol).distinct()
     salt = F.pmod(F.xxhash64(symbol), F.lit(SALTS)).cast("int")
     a = names.select(group, F.col(symbol).alias("stock_a")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -30,12 +30,17 @@ def rolling_corr(aligned: DataFrame, window: int, keys: Sequence[str] = PAIR, ts
         d = d.withColumns({"_x": F.col(x) - F.avg(x).over(whole), "_y": F.col(y) - F.avg(y).over(whole)})
         grow = w.rowsBetween(W.unboundedPreceding, 0)
         terms = {"sx": F.col("_x"), "sy": F.col("_y"), "sxx": F.col("_x") ** 2, "syy": F.col("_y") ** 2, "sxy": F.col("_x") * F.col("_y")}
+        # changes of either side up to each row: none inside a window means a constant side
+        turns = {f"_turn_{c}": F.coalesce((F.col(c) != F.lag(c).over(w)).cast("int"), F.lit(0)) for c in (x, y)}
+        d = d.withColumns(turns).withColumns({t: F.sum(t).over(grow) for t in turns})
+        varies = [F.col(t) > F.coalesce(F.lag(t, window - 1).over(w), F.lit(0)) for t in turns]
+        d = d.withColumn("_varies", varies[0] & varies[1])
         d = d.withColumns({f"_{k}": F.sum(e).over(grow) for k, e in terms.items()})
         gone = {k: F.coalesce(F.lag(f"_{k}", window).over(w), F.lit(0.0)) for k in terms}
         s = [F.col(f"_{k}") - g for k, g in gone.items()]
         d = d.withColumn("_corr", corr_from_moments(F.lit(float(window)), *s))
-        full = F.when(F.col("_pos") >= window - 1, F.col("_corr"))
-        return d.withColumn("rolling_corr", full).drop("_x", "_y", "_corr", *[f"_{k}" for k in terms])
+        full = F.when((F.col("_pos") >= window - 1) & F.col("_varies"), F.col("_corr"))
+        return d.withColumn("rolling_corr", full).drop("_x", "_y", "_corr", "_varies", *turns, *[f"_{k}" for k in terms])
 
     return over_series(rows, keys, [ts], build, before=window, chunk=chunk)
 

@@ -28,7 +28,8 @@ from tickweave.session import cut
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
+    """Feature vector; a missing value is an error, so rows are never skipped: impute first (``prep.apply_impute``)."""
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
 # --- PCA and clusters ---------------------------------------------------------------------

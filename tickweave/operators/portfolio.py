@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.operators.series import returns
 from tickweave.plans.series import CHUNK
-from tickweave.plans.spread import beside
 
 PERIODS = 252
 
@@ -27,18 +24,15 @@ def mean_returns(rets: DataFrame, asset: str = "symbol") -> DataFrame:
     return rets.groupBy(asset).agg(F.avg("ret").alias("mean"))
 
 
-def covariance(rets: DataFrame, assets: Sequence[str], asset: str = "symbol", day: str = "ts") -> DataFrame:
-    """Sample covariance as rows (a, b, cov) for a given asset list.
+def covariance(rets: DataFrame, asset: str = "symbol", day: str = "ts") -> DataFrame:
+    """Sample covariance as rows (a, b, cov) over the dates that both assets have; the assets are those of the data.
 
-    One wide row per date, then every covariance in one aggregate: dates are
-    read once and only d·(d+1)/2 sums leave a task.
+    The assets of one date meet each other once (d·(d+1)/2 rows a date, the size of the
+    result per date) and merge into the pairs' sums before the shuffle.
     """
-    wide = rets.groupBy(day).agg(*[F.max(F.when(F.col(asset) == a, F.col("ret"))).alias(f"_{i}") for i, a in enumerate(assets)])
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.covar_samp(f"_{i}", f"_{j}").alias("cov"))
-        for i, a in enumerate(assets) for j, b in enumerate(assets) if i <= j
-    ]
-    upper = wide.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+    left = rets.select(day, F.col(asset).alias("a"), F.col("ret").alias("_x"))
+    right = rets.select(day, F.col(asset).alias("b"), F.col("ret").alias("_y"))
+    upper = left.join(right, day).filter("a <= b").groupBy("a", "b").agg(F.covar_samp("_x", "_y").alias("cov"))
     return upper.unionByName(upper.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
 
 
@@ -51,20 +45,14 @@ def normalise_weights(weights: DataFrame) -> DataFrame:
 def score_portfolios(weights: DataFrame, mean: DataFrame, cov: DataFrame, rf: float = 0.0, annualise_mean: bool = True) -> DataFrame:
     """Annual return, risk and Sharpe of each candidate.
 
-    The covariance of one asset with the rest is first folded into a map per
-    asset, so a candidate is read asset by asset and not by pairs of rows.
+    Weights meet the covariance rows of their asset; the sums per (candidate, other
+    asset) then meet that asset's weight, so no matrix stands in one row.
     ``annualise_mean=False`` keeps the source's daily mean over annual risk.
     """
-    vectors = weights.groupBy("candidate").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "weight"))).alias("_w"))
-    rows = cov.groupBy(F.col("a").alias("symbol")).agg(F.map_from_entries(F.collect_list(F.struct("b", "cov"))).alias("_cov"))
-    table = mean.join(rows, "symbol").agg(F.collect_list(F.struct("symbol", "mean", "_cov")).alias("_assets"))
-    # one row with d assets: d is the width of the weight vectors
-    scored = beside(vectors, table)
-    zero = F.lit(0.0)
-    w_of = lambda s: F.coalesce(F.try_element_at("_w", s), zero)
-    ret = F.aggregate("_assets", zero, lambda acc, e: acc + w_of(e["symbol"]) * e["mean"])
-    inner = lambda e: F.aggregate(F.map_entries(e["_cov"]), zero, lambda acc, c: acc + w_of(c["key"]) * c["value"])
-    var = F.aggregate("_assets", zero, lambda acc, e: acc + w_of(e["symbol"]) * inner(e))
-    scored = scored.select("candidate", (ret * PERIODS).alias("portfolio_return"), F.sqrt(var * PERIODS).alias("portfolio_risk"))
+    held = weights.select("candidate", "symbol", "weight")
+    ret = held.join(mean, "symbol").groupBy("candidate").agg((F.sum(F.col("weight") * F.col("mean")) * PERIODS).alias("portfolio_return"))
+    half = held.join(cov.withColumnRenamed("a", "symbol"), "symbol").groupBy("candidate", F.col("b").alias("symbol")).agg(F.sum(F.col("weight") * F.col("cov")).alias("_half"))
+    risk = half.join(held, ["candidate", "symbol"]).groupBy("candidate").agg(F.sqrt(F.sum(F.col("weight") * F.col("_half")) * PERIODS).alias("portfolio_risk"))
+    scored = ret.join(risk, "candidate")
     top = F.col("portfolio_return") if annualise_mean else F.col("portfolio_return") / PERIODS
     return scored.withColumn("sharpe", ratio(top - rf, "portfolio_risk"))

@@ -122,10 +122,10 @@ def top_n_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: in
 
 def argmax_row(df: DataFrame, column: str, tie: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """The row with the largest value; ties go to the smallest ``tie`` columns."""
-    best = F.struct(F.col(column), *[-F.col(t) for t in tie])
+    # one row per key and value first, the one of the smallest ties (of any type), then the largest value
     rest = [c for c in df.columns if c not in keys]
-    row = F.max_by(F.struct(*rest), F.when(F.col(column).isNotNull(), best)).alias("_r")
-    return df.groupBy(*keys).agg(row).select(*keys, "_r.*")
+    first = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_best")).agg(F.min_by(F.struct(*rest), F.struct(*tie) if tie else F.lit(0)).alias("_r"))
+    return first.groupBy(*keys).agg(F.max_by("_r", "_best").alias("_r")).select(*keys, "_r.*")
 
 
 def keep_top_categories(df: DataFrame, column: str, n: int, other: str = "otro") -> DataFrame:

@@ -16,9 +16,9 @@ from tickweave.functions.scalars import ratio, safe_corr
 from tickweave.operators.aggregates import corr_matrix
 from tickweave.plans.order_stats import quantiles, quantiles_wide, value_ranks
 from tickweave.plans.series import CHUNK, index_rows, over_series
-from tickweave.plans.spread import hash_draw
+from tickweave.plans.spread import DRAWS, hash_draw
 
-DRAW_CHUNK = 2**32 / 16
+DRAW_CHUNK = DRAWS / 16
 
 
 def welch(df: DataFrame, group: str, y: str) -> DataFrame:
@@ -128,12 +128,15 @@ def bootstrap_corr(df: DataFrame, x: str, y: str, order: Sequence[str], b: int,
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Least squares by normal equations: coefficient, standard error, t and p per term, R² on each row."""
+    """Least squares by normal equations: coefficient, standard error, t and p per term, R² on each row.
+
+    A row without y has nothing to fit; a missing x is an error, so impute first.
+    """
     names = list(xs)
     for a, b in interactions:
         df = df.withColumn(f"{a}:{b}", F.col(a) * F.col(b))
         names.append(f"{a}:{b}")
-    data = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(df.filter(F.col(y).isNotNull()).withColumn("_y", F.col(y).cast("double")))
+    data = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="error").transform(df.filter(F.col(y).isNotNull()).withColumn("_y", F.col(y).cast("double")))
     model = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal").fit(data)
     s = model.summary
     terms = [*names, "intercept"]

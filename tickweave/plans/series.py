@@ -15,12 +15,13 @@ Only chunk-level tables are windowed per key; their size is set by the calendar.
 Series that are themselves bounded by the calendar (one row per key and day)
 may pass ``chunk=None``: one plain window per key, one shuffle, no second pass.
 Denser series (or time stamps that pile up) take a smaller ``chunk`` in seconds.
-Keys must not be NULL. ``order`` is a total order, its first column drives the chunks.
+A NULL key is a series of its own in every mode. ``order`` is a total order, its first column drives the chunks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,6 +44,13 @@ def chunk_of(df: DataFrame, column: str, width: float) -> Column:
     return F.coalesce(F.floor(c / F.lit(width)).cast("bigint"), F.lit(_LAST))
 
 
+def join_same(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join on equal columns where NULL equals NULL; ``right`` has one row per key."""
+    side = right.select(*[F.col(f"`{c}`").alias(f"_same_{c}") if c in on else F.col(f"`{c}`") for c in right.columns])
+    match = [left[c].eqNullSafe(side[f"_same_{c}"]) for c in on]
+    return left.join(side, reduce(lambda a, b: a & b, match), "left").drop(*[f"_same_{c}" for c in on])
+
+
 def before_current() -> tuple[int, int]:
     return (W.unboundedPreceding, -1)
 
@@ -74,7 +82,7 @@ def index_rows(
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     ranked = rows.withColumn("_rank", F.row_number().over(inside))
     return (
-        ranked.join(offsets, [*keys, "_chunk"], "left")
+        join_same(ranked, offsets, [*keys, "_chunk"])
         .withColumn(pos, (F.col("_offset") + F.col("_rank") - 1).cast("bigint"))
         .drop("_chunk", "_rank", "_offset")
     )
@@ -178,7 +186,7 @@ def running(
         x = F.col(f"_in_{name}")
         expr = F.last(x, ignorenulls=True) if kind == "last" else getattr(F, kind)(x)
         local = local.withColumn(f"_loc_{name}", expr.over(inside))
-    out = local.join(carry, [*keys, "_chunk"], "left")
+    out = join_same(local, carry, [*keys, "_chunk"])
     for name, (kind, _) in values.items():
         here, past = F.col(f"_loc_{name}"), F.col(f"_carry_{name}")
         if kind in ("sum", "count"):

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+# hash draws are uniform below this: 15 hexadecimal digits
+DRAWS = 2**60
 
 
 def salted_join(
@@ -26,13 +28,13 @@ def salted_join(
 
 
 def hash_draw(*parts: Column, seed: int = 0) -> Column:
-    """Uniform bigint in [0, 2^32) from the text of the parts, the same on any engine."""
+    """Uniform bigint in [0, 2^60) from the text of the parts, the same on any engine."""
     text = F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_unit(*parts: Column, seed: int = 0) -> Column:
-    return hash_draw(*parts, seed=seed) / F.lit(4294967296.0)
+    return hash_draw(*parts, seed=seed) / F.lit(float(DRAWS))
 
 
 def one_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:

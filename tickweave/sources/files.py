@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickweave.session import shared_folder
+
 
 def read_bars(
     spark: SparkSession,
@@ -50,10 +51,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder of the cluster, or a private one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared folder of the cluster."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def universe_metadata(bars: DataFrame, symbol: str = "symbol", ts: str = "ts", fields: Sequence[str] = ("market_cap", "sector", "company_name")) -> DataFrame:

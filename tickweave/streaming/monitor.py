@@ -51,8 +51,8 @@ def _tick(newest: DataFrame, previous: DataFrame | None, limits: dict) -> DataFr
     )
 
 
-def start_monitor(features: DataFrame, folder: str, checkpoint: str, interval: str | None = "5 seconds", limit: int = 10, min_count: int = 2, **limits) -> StreamingQuery:
-    """Every interval: all tradable assets → ``folder``/snapshots, persistent signals (first ten) → ``folder``/signals.
+def start_monitor(features: DataFrame, folder: str, checkpoint: str, interval: str | None = "5 seconds", limit: int | None = None, min_count: int = 2, **limits) -> StreamingQuery:
+    """Every interval: all tradable assets → ``folder``/snapshots, persistent signals (all, or the first ``limit``) → ``folder``/signals.
 
     The newest features and the trackers of all assets are a table per tick
     under ``folder``/state (one row per asset), read by the next tick. All
@@ -68,7 +68,8 @@ def start_monitor(features: DataFrame, folder: str, checkpoint: str, interval: s
         state.filter("tradable").select(*SNAPSHOT_LOG).write.mode("overwrite").parquet(f"{folder}/snapshots/tick={epoch}")
         age = F.coalesce((F.col("tick_ms") - F.col("first_seen_ms")) / 1000.0, F.lit(0.0))
         lasting = state.filter((F.col("signal") != "NEUTRAL") & (F.col("run_count") >= min_count))
-        top = lasting.withColumn("age_seconds", age).orderBy("asset_id").limit(limit)
+        top = lasting.withColumn("age_seconds", age).orderBy("asset_id")
+        top = top if limit is None else top.limit(limit)
         top.select(*SIGNAL_LOG).write.mode("overwrite").parquet(f"{folder}/signals/tick={epoch}")
 
     writer = features.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint)
