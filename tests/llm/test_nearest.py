@@ -37,7 +37,7 @@ def test_ties_blocks_and_odd_vectors(spark, monkeypatch):
     vectors = {i: random.integers(0, 4, 8).astype(float).tolist() for i in range(1, 400)}
     for i in range(200, 260):
         vectors[i] = vectors[100]
-    vectors |= {300: None, 310: [0.0] * 8, 320: [1.0, None, 3.0, 1, 1, 1, 1, 1], 330: [math.nan] * 8, 340: [math.inf] + [1.0] * 7, 350: [1.0, 2.0]}
+    vectors |= {300: None, 310: [0.0] * 8, 320: [1.0, None] + [3.0] * 6, 330: [math.nan] * 8, 340: [math.inf] + [1.0] * 7, 350: [1.0, 2.0]}
     rows = [(i, v, 1.0) for i, v in vectors.items()] + [(5, vectors[5], 1.0), (None, vectors[5], 1.0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double")
     good = {i: v for i, v in vectors.items() if i not in (300, 310, 320, 330, 340, 350)}

@@ -87,18 +87,30 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 
 
 def common_blocks(later: Sequence, earlier: Sequence, words: Sequence[int], min_words: int) -> list[int]:
-    """Lines of `later` in aligned blocks (consecutive in both) of at least `min_words` words."""
+    """Lines of `later` in aligned blocks (consecutive in both) of at least `min_words` words.
+
+    A block that moved crosses others and falls out of an alignment, so the lines left over are aligned again while
+    those they share have words enough for a block.
+    """
     out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience(later, earlier), (-9, -9)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[k] for k in block) >= min_words:
-                out += block
-            block = []
-        block.append(i)
-        last = (i, j)
-    return out
+    rest, others = list(range(len(later))), list(range(len(earlier)))
+    while True:
+        shared = {later[i] for i in rest} & {earlier[j] for j in others}
+        rest, others = [i for i in rest if later[i] in shared], [j for j in others if earlier[j] in shared]
+        if sum(words[i] for i in rest) < min_words:
+            return sorted(out)
+        pairs = [(rest[x], others[y]) for x, y in patience([later[i] for i in rest], [earlier[j] for j in others])]
+        block: list[int] = []
+        last = (-2, -2)
+        for i, j in [*pairs, (-9, -9)]:
+            if (i, j) != (last[0] + 1, last[1] + 1):
+                if sum(words[k] for k in block) >= min_words:
+                    out += block
+                block = []
+            block.append(i)
+            last = (i, j)
+        used, met = {i for i, _ in pairs}, {j for _, j in pairs}
+        rest, others = [i for i in rest if i not in used], [j for j in others if j not in met]
 
 
 def signed(value: int) -> int:
