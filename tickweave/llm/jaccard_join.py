@@ -5,7 +5,7 @@ the bitmaps and the range of sizes; two nodes are compared by the largest overla
 and only surviving pairs are opened, down to entries, whose sets are then compared exactly.
 
 The roots are spread over the cluster by tokens: two sets that link must share one of the first tokens of each in a common order
-(as many as can be missing, and one), so only nodes below a shared token and of fitting size meet. The order puts
+(as many as can be missing, and COMMON), so only nodes below a shared token and of fitting size meet. The order puts
 frequent tokens last. Entries that share their first such token form leaf nodes; the linked entries of a leaf node
 go on as one node. Nodes below one token are first compared with one of them; where that leaves
 several components, all nodes of different components below the token are compared.
@@ -29,6 +29,10 @@ from tickweave.session import cut
 LEAF, FAN = 64, 8
 #: Tokens that the order puts last: so many at most, each in as many documents at least. They only set the order.
 FREQUENT_TOKENS, FREQUENT = 100_000, 16
+#: First tokens that linked sets share at least, if they share so many at all; each set offers that many more.
+COMMON = 4
+#: Ids up to which a list is broadcast (8 bytes each); a longer one is joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def missing(n: np.ndarray | int, percent: int):
@@ -134,20 +138,29 @@ def lowered(column: pa.Array) -> list[bytes]:
     return [t.lower() for t in raw_bytes(column)]
 
 
+def short(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+
+
+def listed(ids: DataFrame) -> DataFrame:
+    """A list of ids, as a broadcast if its measured size allows."""
+    ids = cut(ids.distinct())
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def first_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(token) once per document and token among its first ones by hash alone."""
+    """(token: 32 bits of it) once per document and token among its first ones by hash alone."""
 
     def make():
         def step(batch: pa.RecordBatch):
             values, bounds = shingle_sets(lowered(batch.column(1)), size)
             n = np.diff(bounds)
-            take = np.where(n > 0, missing(n, percent) + 1, 0)
-            keep = np.arange(len(values)) - np.repeat(bounds[:-1], n) < np.repeat(take, n)
-            return [pa.array(values[keep].view(np.int64))]
+            keep = np.arange(len(values)) - np.repeat(bounds[:-1], n) < np.repeat(missing(n, percent) + COMMON, n)
+            return [pa.array(short(values[keep]))]
 
         return step
 
-    return map_slices(docs, make, "token long")
+    return map_slices(docs, make, "token int")
 
 
 def facts(docs: DataFrame, size: int, percent: int, late: np.ndarray) -> DataFrame:
@@ -156,8 +169,9 @@ def facts(docs: DataFrame, size: int, percent: int, late: np.ndarray) -> DataFra
     def make():
         def step(batch: pa.RecordBatch):
             values, bounds = shingle_sets(lowered(batch.column(1)), size)
-            at = np.minimum(np.searchsorted(late, values), max(len(late) - 1, 0))
-            last = late[at] == values if len(late) else np.zeros(len(values), dtype=bool)
+            brief = short(values)
+            at = np.minimum(np.searchsorted(late, brief), max(len(late) - 1, 0))
+            last = late[at] == brief if len(late) else np.zeros(len(values), dtype=bool)
             n, key_a, key_b, first = [], [], [], []
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 own, end = values[lo:hi], last[lo:hi]
@@ -165,7 +179,7 @@ def facts(docs: DataFrame, size: int, percent: int, late: np.ndarray) -> DataFra
                 key_a.append(int(mix(own).sum(dtype=np.uint64).view(np.int64)))
                 key_b.append(int(mix(own ^ np.uint64(0x5BD1E995)).sum(dtype=np.uint64).view(np.int64)))
                 ordered = np.concatenate([own[~end], own[end]]) if end.any() else own
-                first.append(ordered[: missing(len(own), percent) + 1 if len(own) else 0].view(np.int64))
+                first.append(ordered[: missing(len(own), percent) + COMMON].view(np.int64))
             return batch.column(0), n, key_a, key_b, first
 
         return step
@@ -183,7 +197,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
         return step
 
-    wanted = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    wanted = docs.join(listed(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
     return map_slices(wanted, make, "node long, tokens binary").filter(F.octet_length("tokens") > 0)
 
 
@@ -213,7 +227,7 @@ def pairs_that_may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> Dat
 
 
 def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs of nodes (a, b), those with a linked pair of entries; `members`: (node, sets)."""
+    """Of the pairs of nodes (a, b), those with a linked pair of entries; `members`: (node, tokens) per entry."""
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -224,43 +238,35 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    both = pairs.join(members.select(F.col("node").alias("a"), F.col("sets").alias("_a")), "a").join(members.select(F.col("node").alias("b"), F.col("sets").alias("_b")), "b")
+    wanted = listed(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    # A leaf's size bounds each array.
+    sets = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.collect_list("tokens").alias("sets"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sets").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("sets").alias("_b")), "b")
     return map_slices(both.select("a", "b", "_a", "_b"), make, "a long, b long", rows=64)
 
 
 def leaf_nodes(entries: DataFrame, percent: int) -> DataFrame:
-    """Tree nodes of linked entries within each leaf: (member, node, tokens); node is the smallest member."""
+    """Tree nodes of linked entries within each leaf, one row per entry: member, node (its smallest member), tokens.
+
+    The row of the node's first entry also has the node's low, high and slack and its OR-combined bits.
+    """
 
     def within(group: pa.Table) -> pa.Table:
         group = group.sort_by("member")
-        sets = [numbers(t) for t in group.column("tokens").to_pylist()]
-        names = group.column("member").to_pylist()
+        names, sets = group.column("member").to_pylist(), [numbers(t) for t in group.column("tokens").to_pylist()]
         first = groups_within(sets, names, percent)
-        return pa.table([group.column("member"), pa.array([names[i] for i in first], pa.int64()), group.column("tokens")], names=["member", "node", "tokens"])
+        info: dict[int, tuple] = {}
+        for i in set(first):
+            own = [s for s, f in zip(sets, first, strict=True) if f == i]
+            maps = np.stack([bitmap(s, width(min(map(len, own)))) for s in own])
+            size = np.array([len(s) for s in own])
+            slack = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+            info[i] = int(size.min()), int(size.max()), int(slack.max()), np.bitwise_or.reduce(maps).tobytes()
+        columns = zip(*[info.get(i, (None,) * 4) for i in range(len(sets))], strict=True)
+        low, high, slack, bits = (pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))
+        return pa.table([group.column("member"), pa.array([names[i] for i in first], pa.int64()), group.column("tokens"), low, high, slack, bits], names=["member", "node", "tokens", "low", "high", "slack", "bits"])
 
-    return entries.groupBy("leaf", "part").applyInArrow(within, "member long, node long, tokens binary")
-
-
-def combined(members: DataFrame) -> DataFrame:
-    """(node, low, high, slack, bits, sets) of tree nodes: OR-combined bitmaps, size ranges, and the entries' sets."""
-
-    def make():
-        def step(batch: pa.RecordBatch):
-            low, high, slack, bits = [], [], [], []
-            for packed in batch.column(1).to_pylist():
-                sets = [numbers(p) for p in packed]
-                maps = np.stack([bitmap(s, width(min(map(len, sets)))) for s in sets])
-                size = np.array([len(s) for s in sets])
-                low.append(int(size.min())), high.append(int(size.max())), bits.append(np.bitwise_or.reduce(maps).tobytes())
-                slack.append(int((size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)).max()))
-            return batch.column(0), low, high, slack, bits, batch.column(1)
-
-        return step
-
-    # A leaf's size bounds each array.
-    gathered = members.groupBy("node").agg(F.collect_list("tokens").alias("sets"))
-    schema = "node long, low long, high long, slack long, bits binary, sets array<binary>"
-    return map_slices(gathered.select("node", "sets"), make, schema, rows=64)
+    return entries.groupBy("leaf", "part").applyInArrow(within, "member long, node long, tokens binary, low long, high long, slack long, bits binary")
 
 
 def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,23 +280,25 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     slim = pick(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     counts = first_tokens(slim, size, percent).groupBy("token").count().filter(F.col("count") >= FREQUENT)
     # FREQUENT_TOKENS rows at most.
-    late = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS).select("token").collect()], dtype=np.int64).view(np.uint64))
+    late = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS).select("token").collect()], dtype=np.int32))
     known = cut(facts(slim, size, percent, late))
-    classes = known.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("key_a", "key_b").agg(F.min("doc_id").alias("member"), F.first("n").alias("n"), F.first("first").alias("first"))
+    named = known.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    firsts = listed(named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("doc_id")).select("doc_id"))
     # Band k holds sizes whose ratio is at least percent / 100; linked sets stand in one band or in neighbours.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(100 / percent) * (1 + 1e-9))).cast("int")
-    posts = cut(classes.select("member", band.alias("band"), F.explode("first").alias("token")))
+    posts = named.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("member"), band.alias("band"), F.explode("first").alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
-    near = cut(posts.join(shared, "token").select("member", F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("token")))
+    near = cut(posts.join(shared, "token").select("member", F.col("token").alias("_token"), F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("token")))
     meeting = near.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
-    near = cut(near.join(meeting, "token"))
-
-    leaves = near.groupBy("member").agg(F.min("token").alias("leaf"))
+    near = near.join(meeting, "token")
+    least = named.select(F.col("doc_id").alias("member"), F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / 100)).alias("_least"))
+    offers = near.groupBy("member").agg(F.count_distinct("_token").alias("_n"), F.min("token").alias("leaf")).join(least, "member").filter("_n >= _least")
+    leaves = cut(offers.groupBy("member").agg(F.first("leaf").alias("leaf")))
     parts = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).alias("_parts"))
-    leaves = leaves.join(parts, "leaf").select("member", "leaf", F.pmod(F.xxhash64("member"), F.col("_parts")).alias("part"))
+    placed = leaves.join(parts, "leaf").select("member", "leaf", F.pmod(F.xxhash64("member"), F.col("_parts")).alias("part"))
     sets = sets_of(slim, leaves.select(F.col("member").alias("node")), size).withColumnRenamed("node", "member")
-    members = cut(leaf_nodes(leaves.join(sets, "member"), percent))
-    nodes = cut(combined(members))
+    members = cut(leaf_nodes(placed.join(sets, "member"), percent))
+    nodes = members.filter("bits IS NOT NULL").select("node", "low", "high", "slack", "bits")
     of = members.select("member", "node").distinct()
     near = cut(near.join(of, "member").select("token", "node").distinct())
 
@@ -298,7 +306,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     centre = near.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     tried = cut(near.join(centre, "token").select("a", F.col("node").alias("b")).filter("a <> b").select(*ordered).distinct())
-    links = cut(verified(cut(pairs_that_may_link(tried, nodes, percent)), nodes, percent))
+    links = cut(verified(cut(pairs_that_may_link(tried, nodes, percent)), members, percent))
 
     # Where several components remain below a token, the nodes of different ones against each other.
     label = components(links)
@@ -308,7 +316,7 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     left, right = here.alias("l"), here.alias("r")
     meet = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")))
     rest = meet.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(cut(pairs_that_may_link(cut(rest), nodes, percent)), nodes, percent)
+    more = verified(cut(pairs_that_may_link(cut(rest), nodes, percent)), members, percent)
 
     label = components(cut(links.unionByName(more)))
     label = of.join(label, "node", "left").select("member", F.coalesce("component", "node").alias("component"))
