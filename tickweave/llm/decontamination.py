@@ -25,20 +25,24 @@ BROADCAST_WINDOWS = 200_000
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours hour minutes minute seconds days day weeks years usd eur dollars euros percent % kb mb gb w kw v hz c f"
 
 NUMBER = r"^[+-]?[$€£]?[0-9]+([.,/:][0-9]+)*%?$"
+#: Characters at the ends of words that do not belong to them, and what ends a sentence.
 EDGES = r"^[^\p{L}\p{N}%$€£+-]+|[^\p{L}\p{N}%]+$"
+SENTENCE_END = r"[.!?][^\p{L}\p{N}\s]*$"
 
+# In texts under way: the mark of a sentence's end, and what parts a placeholder from its value.
+MARK, PART = "\x02", "\x03"
 
 #: The same result of `leaks` in DuckDB SQL.
 LEAKS_SQL = rf"""
 WITH texts AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
 split AS (SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\r\n]+', ' . ', 'g'), '\s+'), lambda w: w <> '') AS w FROM texts),
-cores AS (SELECT side, id, list_transform(w, lambda x: regexp_replace(x, '{EDGES}', '', 'g')) AS c, list_transform(w, lambda x: regexp_matches(x, '[.!?]\W*$')) AS e FROM split),
+cores AS (SELECT side, id, list_filter(flatten(list_transform(w, lambda x: [regexp_replace(x, '{EDGES}', '', 'g'), CASE WHEN regexp_matches(x, '{SENTENCE_END}') THEN chr(2) ELSE '' END])), lambda x: x <> '') AS c FROM split),
 kinds AS (SELECT side, id, c, list_transform(c, lambda x, k: CASE
     WHEN regexp_matches(x, '{NUMBER}') THEN '<num>'
     WHEN k > 1 AND regexp_matches(c[k - 1], '{NUMBER}') AND list_contains(string_split('{UNITS}', ' '), lower(x)) THEN '<unit>'
-    WHEN regexp_matches(x, '^\p{{Lu}}') AND k > 1 AND NOT e[k - 1] THEN '<name>' ELSE lower(x) END) AS t FROM cores),
-pairs AS (SELECT side, id, list_filter(list_zip(t, list_transform(c, lambda x, k: CASE WHEN t[k] IN ('<num>', '<unit>', '<name>') THEN lower(x) ELSE '' END)), lambda p: p[1] <> '') AS p FROM kinds),
+    WHEN regexp_matches(x, '^\p{{Lu}}') AND k > 1 AND c[k - 1] <> chr(2) THEN '<name>' ELSE lower(x) END) AS t FROM cores),
+pairs AS (SELECT side, id, list_filter(list_zip(t, list_transform(c, lambda x, k: CASE WHEN t[k] IN ('<num>', '<unit>', '<name>') THEN lower(x) ELSE '' END)), lambda p: p[1] <> chr(2)) AS p FROM kinds),
 templ AS (SELECT side, id, list_transform(p, lambda x: x[1]) AS t, list_transform(p, lambda x: x[2]) AS s FROM pairs WHERE len(p) > 0),
 wins AS (SELECT side, id, k AS pos, array_to_string(t[k + 1:k + {WINDOW}], chr(2)) AS w, s[k + 1:k + {WINDOW}] AS s FROM templ, LATERAL (SELECT unnest(range(greatest(len(t) - {WINDOW} + 1, 1))) AS k)),
 total AS (SELECT id AS item_id, count(DISTINCT pos) AS n_windows FROM wins WHERE side = 'i' GROUP BY 1),
@@ -49,33 +53,43 @@ whole AS (SELECT doc_id, item_id, count(DISTINCT item_at) AS n_found, bool_and(o
 SELECT doc_id, item_id, n_windows, n_found, n_found / n_windows AS share, verbatim FROM whole JOIN total USING (item_id) WHERE n_found >= least({SHARE} * n_windows, {ENOUGH})"""
 
 
-def template(text: Column) -> Column:
-    """Array of (word, slot) structs; slot is the replaced value, empty for literal words. Words of punctuation alone are left out."""
-    words = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " . "), r"\s+"), lambda w: w != "")
-    marked = F.transform(words, lambda w: F.struct(F.regexp_replace(w, EDGES, "").alias("core"), w.rlike(r"[.!?]\W*$").alias("ends")))
+def words_of(text: Column) -> Column:
+    """Words without punctuation at their ends, and MARK where a sentence or line ends. All texts are cleaned in whole-text passes."""
+    lined = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " . ")
+    marked = F.regexp_replace(lined, r"[.!?][^\p{L}\p{N}\s]*(?=\s|$)", f" {MARK} ")
+    clean = F.regexp_replace(marked, rf"(?<!\S)[^\p{{L}}\p{{N}}%$€£+\-\s{MARK}]+|[^\p{{L}}\p{{N}}%\s{MARK}]+(?!\S)", "")
+    return F.filter(F.split(clean, r"\s+"), lambda w: w != "")
 
-    def typed(x: Column, before: Column) -> Column:
-        number = x["core"].rlike(NUMBER)
-        unit = before["core"].rlike(NUMBER) & F.array_contains(F.split(F.lit(UNITS), " "), F.lower(x["core"]))
-        name = x["core"].rlike(r"^\p{Lu}") & ~before["ends"]
-        word = F.when(number, "<num>").when(unit, "<unit>").when(name, "<name>").otherwise(F.lower(x["core"]))
-        return F.struct(word.alias("word"), F.when(number | unit | name, F.lower(x["core"])).otherwise("").alias("slot"))
 
-    start = F.struct(F.lit("").alias("core"), F.lit(True).alias("ends"))
-    pairs = F.arrays_zip(marked.alias("x"), F.concat(F.array(start), marked).alias("before"))
-    # zip is one longer than the words: its last element has no word.
-    return F.filter(F.transform(F.filter(pairs, lambda p: p["x"].isNotNull()), lambda p: typed(p["x"], p["before"])), lambda t: t["word"] != "")
+def template(words: str) -> Column:
+    """Template words of an array of `words_of`; a placeholder carries its value behind PART. Marks stay."""
+    before = lambda i: F.when(i == 0, MARK).otherwise(F.get(F.col(words), i - 1))
+    slot = lambda kind, x: F.concat(F.lit(f"<{kind}>{PART}"), F.lower(x))
+    units = F.split(F.lit(UNITS), " ")
+
+    def name_or_literal(x: Column, i: Column) -> Column:
+        first = F.substring(x, 1, 1)
+        return F.when((first != F.lower(first)) & (before(i) != MARK), slot("name", x)).otherwise(F.lower(x))
+
+    def any_kind(x: Column, i: Column) -> Column:
+        unit = before(i).rlike(NUMBER) & F.array_contains(units, F.lower(x))
+        return F.when(x.rlike(NUMBER), slot("num", x)).when(unit, slot("unit", x)).otherwise(name_or_literal(x, i))
+
+    # Most texts have no digits and so no numbers and units.
+    return F.when(F.col("_digits"), F.transform(words, any_kind)).otherwise(F.transform(words, name_or_literal))
 
 
 def windows(texts: DataFrame, key: str, window: int) -> DataFrame:
     """(key, n, at, hash, slots): each window of the template; a shorter template is one window, an empty one none."""
-    words = texts.select(F.col(key), template(F.col("text")).alias("_t")).filter(F.size("_t") > 0)
-    parts = words.select(key, F.transform(F.col("_t"), lambda t: F.xxhash64(t["word"])).alias("_h"), F.transform(F.col("_t"), lambda t: t["slot"]).alias("_s"), F.exists("_t", lambda t: t["slot"] != "").alias("_any"))
+    words = texts.select(key, words_of(F.col("text")).alias("_w"), F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)).alias("_digits"))
+    typed = words.select(key, F.filter(template("_w"), lambda t: t != MARK).alias("_t"))
+    hashes = F.transform("_t", lambda t: F.xxhash64(F.substring_index(t, PART, 1)))
+    parts = typed.select(key, hashes.alias("_h"), F.when(F.exists("_t", lambda t: F.contains(t, F.lit(PART))), F.transform("_t", lambda t: F.when(F.contains(t, F.lit(PART)), F.substring_index(t, PART, -1)).otherwise(""))).alias("_s"))
     count = F.greatest(F.size("_h") - window + 1, F.lit(1))
-    filled = lambda i: F.col("_any") & F.exists(F.slice("_s", i, window), lambda s: s != "")
+    filled = lambda i: F.col("_s").isNotNull() & F.exists(F.slice("_s", i, window), lambda s: s != "")
     slots = lambda i: F.when(filled(i), F.array_join(F.slice("_s", i, window), "\x01")).otherwise("")
     cells = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("_h", i, window)).alias("hash"), slots(i).alias("slots")))
-    return parts.select(key, count.alias("n"), F.explode(cells).alias("_w")).select(key, "n", "_w.*")
+    return parts.select(key, count.alias("n"), F.explode(F.when(F.size("_h") > 0, cells)).alias("_w")).select(key, "n", "_w.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
