@@ -25,9 +25,11 @@ BROADCAST_WINDOWS = 200_000
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours hour minutes minute seconds days day weeks years usd eur dollars euros percent % kb mb gb w kw v hz c f"
 
 NUMBER = r"^[+-]?[$€£]?[0-9]+([.,/:][0-9]+)*%?$"
-#: Characters at the ends of words that do not belong to them, and what ends a sentence.
-EDGES = r"^[^\p{L}\p{N}%$€£+-]+|[^\p{L}\p{N}%]+$"
-SENTENCE_END = r"[.!?][^\p{L}\p{N}\s]*$"
+#: Punctuation that a word has at its start or end, without the signs of numbers: ASCII and general punctuation.
+LEADING = r"[!-#&-*,./:-@\[-`{-~¡¿«»\x{2010}-\x{206F}\x{3001}-\x{3003}]"
+TRAILING = r"[!-$&-/:-@\[-`{-~€£¡¿«»\x{2010}-\x{206F}\x{3001}-\x{3003}]"
+EDGES = rf"^{LEADING}+|{TRAILING}+$"
+SENTENCE_END = rf"[.!?]{TRAILING}*"
 
 # In texts under way: the mark of a sentence's end, and what parts a placeholder from its value.
 MARK, PART = "\x02", "\x03"
@@ -36,8 +38,8 @@ MARK, PART = "\x02", "\x03"
 LEAKS_SQL = rf"""
 WITH texts AS (
   SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
-split AS (SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\r\n]+', ' . ', 'g'), '\s+'), lambda w: w <> '') AS w FROM texts),
-cores AS (SELECT side, id, list_filter(flatten(list_transform(w, lambda x: [regexp_replace(x, '{EDGES}', '', 'g'), CASE WHEN regexp_matches(x, '{SENTENCE_END}') THEN chr(2) ELSE '' END])), lambda x: x <> '') AS c FROM split),
+split AS (SELECT side, id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[\r\n\x02\x03]+', ' . ', 'g'), '\s+'), lambda w: w <> '') AS w FROM texts),
+cores AS (SELECT side, id, list_filter(flatten(list_transform(w, lambda x: [regexp_replace(x, '{EDGES}', '', 'g'), CASE WHEN regexp_matches(x, '{SENTENCE_END}$') THEN chr(2) ELSE '' END])), lambda x: x <> '') AS c FROM split),
 kinds AS (SELECT side, id, c, list_transform(c, lambda x, k: CASE
     WHEN regexp_matches(x, '{NUMBER}') THEN '<num>'
     WHEN k > 1 AND regexp_matches(c[k - 1], '{NUMBER}') AND list_contains(string_split('{UNITS}', ' '), lower(x)) THEN '<unit>'
@@ -53,43 +55,52 @@ whole AS (SELECT doc_id, item_id, count(DISTINCT item_at) AS n_found, bool_and(o
 SELECT doc_id, item_id, n_windows, n_found, n_found / n_windows AS share, verbatim FROM whole JOIN total USING (item_id) WHERE n_found >= least({SHARE} * n_windows, {ENOUGH})"""
 
 
-def words_of(text: Column) -> Column:
-    """Words without punctuation at their ends, and MARK where a sentence or line ends. All texts are cleaned in whole-text passes."""
-    lined = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]+", " . ")
-    marked = F.regexp_replace(lined, r"[.!?][^\p{L}\p{N}\s]*(?=\s|$)", f" {MARK} ")
-    clean = F.regexp_replace(marked, rf"(?<!\S)[^\p{{L}}\p{{N}}%$€£+\-\s{MARK}]+|[^\p{{L}}\p{{N}}%\s{MARK}]+(?!\S)", "")
-    return F.filter(F.split(clean, r"\s+"), lambda w: w != "")
+def template(text: Column) -> Column:
+    """Array of template words, in passes over the whole text; a placeholder carries its value behind PART.
 
-
-def template(words: str) -> Column:
-    """Template words of an array of `words_of`; a placeholder carries its value behind PART. Marks stay."""
-    before = lambda i: F.when(i == 0, MARK).otherwise(F.get(F.col(words), i - 1))
-    slot = lambda kind, x: F.concat(F.lit(f"<{kind}>{PART}"), F.lower(x))
-    units = F.split(F.lit(UNITS), " ")
-
-    def name_or_literal(x: Column, i: Column) -> Column:
-        first = F.substring(x, 1, 1)
-        return F.when((first != F.lower(first)) & (before(i) != MARK), slot("name", x)).otherwise(F.lower(x))
-
-    def any_kind(x: Column, i: Column) -> Column:
-        unit = before(i).rlike(NUMBER) & F.array_contains(units, F.lower(x))
-        return F.when(x.rlike(NUMBER), slot("num", x)).when(unit, slot("unit", x)).otherwise(name_or_literal(x, i))
-
-    # Most texts have no digits and so no numbers and units.
-    return F.when(F.col("_digits"), F.transform(words, any_kind)).otherwise(F.transform(words, name_or_literal))
+    Sentence and line ends become marks, punctuation goes from the ends of words, then numbers, units behind a number
+    and capitalised words that no mark precedes are replaced.
+    """
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SENTENCE_END}(?=\s|$)|[\r\n{MARK}{PART}]+", f" {MARK} ")
+    # The first look ahead passes over letters at once.
+    clean = F.regexp_replace(marked, rf"(?={TRAILING})(?:{TRAILING}+(?!\S)|(?<!\S){LEADING}+)", "")
+    numbered = F.regexp_replace(clean, rf"(?<!\S){NUMBER[1:-1]}(?!\S)", f"<num>{PART}$0")
+    with_units = F.regexp_replace(numbered, rf"(?i)(<num>{PART}\S+\s+)({UNITS.replace(' ', '|')})(?!\S)", f"$1<unit>{PART}$2")
+    counted = F.when(text.rlike("[0-9]"), with_units).otherwise(clean)
+    named = F.regexp_replace(counted, rf"(?=\s)(?<=[^\s{MARK}])(\s+)(\p{{Lu}}\S*)", f"$1<name>{PART}$2")
+    return F.array_remove(F.array_remove(F.split(F.lower(named), r"\s+"), ""), MARK)
+
+
+def window_hashes(parts: DataFrame, column: str, window: int) -> DataFrame:
+    """Replace an array of hashes by those of its windows, by doubling: a run of 2n joins two runs of n. Past the end runs are cut short."""
+    def joined(runs: str, later: str, shift: int) -> Column:
+        return F.transform(runs, lambda x, i: F.xxhash64(x, F.get(F.col(later), i + shift)))
+
+    done, size = None, 1
+    parts = parts.withColumnRenamed(column, "_runs")
+    while size <= window:
+        if window & size:
+            parts = parts.withColumn("_done", F.col("_runs") if done is None else joined("_done", "_runs", done))
+            done = (done or 0) + size
+        size *= 2
+        if size <= window:
+            parts = parts.withColumn("_runs", joined("_runs", "_runs", size // 2))
+    return parts.withColumnRenamed("_done", column).drop("_runs")
 
 
 def windows(texts: DataFrame, key: str, window: int) -> DataFrame:
     """(key, n, at, hash, slots): each window of the template; a shorter template is one window, an empty one none."""
-    words = texts.select(key, words_of(F.col("text")).alias("_w"), F.coalesce(F.col("text").rlike("[0-9]"), F.lit(False)).alias("_digits"))
-    typed = words.select(key, F.filter(template("_w"), lambda t: t != MARK).alias("_t"))
-    hashes = F.transform("_t", lambda t: F.xxhash64(F.substring_index(t, PART, 1)))
-    parts = typed.select(key, hashes.alias("_h"), F.when(F.exists("_t", lambda t: F.contains(t, F.lit(PART))), F.transform("_t", lambda t: F.when(F.contains(t, F.lit(PART)), F.substring_index(t, PART, -1)).otherwise(""))).alias("_s"))
+    typed = texts.select(key, template(F.col("text")).alias("_t"))
+    marked = typed.select(key, "_t", F.contains(F.array_join("_t", " "), F.lit(PART)).alias("_any"))
+    hashes = F.when(F.col("_any"), F.transform("_t", lambda t: F.xxhash64(F.substring_index(t, PART, 1)))).otherwise(F.transform("_t", lambda t: F.xxhash64(t)))
+    values = F.transform("_t", lambda t: F.when(F.contains(t, F.lit(PART)), F.substring_index(t, PART, -1)).otherwise(""))
+    parts = window_hashes(marked.select(key, hashes.alias("_h"), F.when(F.col("_any"), values).alias("_s")), "_h", window)
     count = F.greatest(F.size("_h") - window + 1, F.lit(1))
-    filled = lambda i: F.col("_s").isNotNull() & F.exists(F.slice("_s", i, window), lambda s: s != "")
-    slots = lambda i: F.when(filled(i), F.array_join(F.slice("_s", i, window), "\x01")).otherwise("")
-    cells = F.transform(F.sequence(F.lit(1), count), lambda i: F.struct((i - 1).alias("at"), F.xxhash64(F.slice("_h", i, window)).alias("hash"), slots(i).alias("slots")))
-    return parts.select(key, count.alias("n"), F.explode(F.when(F.size("_h") > 0, cells)).alias("_w")).select(key, "n", "_w.*")
+    filled = lambda i: F.exists(F.slice("_s", i + 1, window), lambda s: s != "")
+    slots = lambda i: F.when(filled(i), F.array_join(F.slice("_s", i + 1, window), "\x01")).otherwise("")
+    whole = F.slice("_h", F.lit(1), count)
+    cells = F.when(F.col("_s").isNull(), F.transform(whole, lambda x: F.struct(x.alias("hash"), F.lit("").alias("slots")))).otherwise(F.transform(whole, lambda x, i: F.struct(x.alias("hash"), slots(i).alias("slots"))))
+    return parts.select(key, count.alias("n"), F.posexplode(cells).alias("at", "_w")).select(key, "n", "at", "_w.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, enough: int = ENOUGH) -> DataFrame:
