@@ -25,9 +25,12 @@ TOGETHER = 256
 
 
 def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes, each text padded with zeros to whole half-chunks (WIDTH - 1 at least), and half-chunks per text."""
+    """All bytes, each text behind WIDTH - 1 zeros and padded to whole half-chunks, and half-chunks per text.
+
+    A run of bytes that begins in one text's padding ends in the next one's zeros, so no text sees another.
+    """
     halves = np.array([-(-(len(t) + WIDTH - 1) // HALF) for t in texts], dtype=np.int64)
-    data = b"".join([t.ljust(n * HALF, b"\0") for t, n in zip(texts, halves, strict=True)])
+    data = b"".join([(bytes(WIDTH - 1) + t).ljust(n * HALF, b"\0") for t, n in zip(texts, halves, strict=True)])
     return np.frombuffer(data + b"\0" * WIDTH, dtype=np.uint8), halves
 
 
@@ -90,7 +93,9 @@ def gradients(p: Params, texts: list[bytes], label: np.ndarray, weight: np.ndarr
     d_features = d_hidden @ p["in"].T * p["scale"]
     d_mean, d_max = d_features[:, :FILTERS], d_features[:, FILTERS:]
     d_top = (d_mean / np.diff(base)[:, None])[text]
-    d_top += d_max[text] * (top == np.maximum.reduceat(top, base[:-1], axis=0)[text])
+    # Chunks that share the maximum share its gradient.
+    tied = top == np.maximum.reduceat(top, base[:-1], axis=0)[text]
+    d_top += d_max[text] * tied / np.add.reduceat(tied, base[:-1], axis=0, dtype=np.float32)[text]
     d_top *= top > 0
     d_half = np.zeros_like(tops)
     np.add.at(d_half, start, np.where(later, 0, d_top))
