@@ -9,6 +9,7 @@ from tickweave.operators import calibration as C
 from tickweave.operators import execution as E
 from tickweave.operators import portfolio as O
 from tickweave.plans.registry import register
+from tickweave.session import cut
 
 
 def orders(spark, sf):
@@ -164,7 +165,7 @@ pr AS (SELECT candidate, sum(w * m) * 252 AS r FROM w JOIN mu USING (symbol) GRO
 
 
 def scores(spark, sf, **kw):
-    rets = region_returns(spark, sf)
+    rets = cut(region_returns(spark, sf))
     return O.score_portfolios(weights(spark, sf), O.mean_returns(rets), O.covariance(rets), 0.05, **kw)
 
 

@@ -13,6 +13,7 @@ from tickweave.operators import joins as J
 from tickweave.operators import trajectory as T
 from tickweave.plans.order_stats import medians
 from tickweave.plans.registry import register
+from tickweave.session import cut
 
 
 def symbol_pairs(g):
@@ -134,7 +135,8 @@ def signal_frequency(spark, sf):
 n AS (SELECT leader, follower, sum(ls_start::INT) AS n FROM st GROUP BY 1, 2), b AS (SELECT el.* FROM el JOIN n USING (leader, follower) WHERE rn <= n), e AS (SELECT * FROM st WHERE ls_start)
 """ + " UNION ALL ".join(f"SELECT {h} AS horizon, round((SELECT avg(f{h}) FROM e), 6) AS signal, round((SELECT avg(f{h}) FROM b), 6) AS random, round((SELECT avg(f{h}) FROM e) - (SELECT avg(f{h}) FROM b), 6) AS excess_return" for h in HORIZONS))
 def event_study(spark, sf):
-    s = starts(spark, sf)
+    # read for the events, the eligible rows and the counts
+    s = cut(starts(spark, sf))
     x = K.excess_returns(K.event_study(s, HORIZONS), K.matched_baseline(s, HORIZONS), HORIZONS)
     return x.select("horizon", *[r6(c).alias(c) for c in ("signal", "random", "excess_return")])
 

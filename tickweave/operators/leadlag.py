@@ -12,6 +12,7 @@ from tickweave.functions.scalars import corr_from_moments, safe_corr
 from tickweave.operators.joins import assign_roles, shift_to_next_day
 from tickweave.operators.select import top_n_per
 from tickweave.plans.series import CHUNK, over_series
+from tickweave.session import cut
 
 PAIR = ("stock_a", "stock_b")
 
@@ -53,7 +54,8 @@ def rolling_corr_daily(aligned: DataFrame, window: int, keys: Sequence[str] = PA
 
 def daily_universe(aligned: DataFrame, pairs: DataFrame, universe: DataFrame, window: int, top: int = 50, chunk: float | None = CHUNK) -> DataFrame:
     """Tradable pairs per day: correlation known the day before, roles by size, best ``top`` per day."""
-    daily = rolling_corr_daily(aligned, window, chunk=chunk)
+    # read for its rows and for its days
+    daily = cut(rolling_corr_daily(aligned, window, chunk=chunk))
     shifted = shift_to_next_day(daily, "day", "trading_day").filter(F.col("rolling_corr").isNotNull())
     roles = assign_roles(pairs, universe)
     order = [F.col("rolling_corr").desc(), F.col("stock_a"), F.col("stock_b")]

@@ -17,6 +17,7 @@ from tickweave.operators.aggregates import corr_matrix
 from tickweave.plans.order_stats import quantiles, quantiles_wide, value_ranks
 from tickweave.plans.series import CHUNK, index_rows, over_series
 from tickweave.plans.spread import DRAWS, hash_draw
+from tickweave.session import cut
 
 DRAW_CHUNK = DRAWS / 16
 
@@ -75,7 +76,8 @@ def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42,
         return d.withColumns({"_xp": F.lag(x, lag).over(w), "_xn": F.lead(x, lag).over(w), "_yp": F.lag(y, lag).over(w), "_yn": F.lead(y, lag).over(w)})
 
     rows = aligned.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    base = over_series(rows, keys, [ts], build, before=lag, after=lag, chunk=chunk, keep_pos="_at")
+    # read for the real score, the moved values and their places
+    base = cut(over_series(rows, keys, [ts], build, before=lag, after=lag, chunk=chunk, keep_pos="_at"))
     score = safe_corr("_xp", y) - safe_corr("_xn", y)
     real = base.groupBy(*keys).agg(score.alias("lead_score"), F.count(F.lit(1)).alias("n_obs"))
     moved = _replicates(base.select(*keys, F.col("_at").alias("_from"), y), b)
