@@ -81,7 +81,7 @@ def test_bounds_never_prune_a_link():
         base = np.unique(draw.integers(0, 2**63, draw.integers(1, 300)).astype(np.uint64))
         other = np.unique(np.concatenate([base[draw.random(len(base)) > 0.08], draw.integers(0, 2**63, draw.integers(0, 20)).astype(np.uint64)]))
         if len(other) and jaccard_join.linked(base, other, 85):
-            assert jaccard_join.any_link([base], [other], 85)
+            assert jaccard_join.links_across([base], [other], [0], [1], 85) == [(0, 1)]
 
 
 def test_components_of_a_long_chain(spark):

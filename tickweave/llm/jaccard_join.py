@@ -6,9 +6,9 @@ and only surviving pairs are opened, down to entries, whose sets are then compar
 
 The roots are spread over the cluster by tokens: two sets that link must share one of the first tokens of each in a common order
 (as many as can be missing, and COMMON), so only nodes below a shared token and of fitting size meet. The order puts
-frequent tokens last. Entries that share their first such token form leaf nodes; the linked entries of a leaf node
-go on as one node. Nodes below one token are first compared with one of them; where that leaves
-several components, all nodes of different components below the token are compared.
+frequent tokens last. Entries that share their commonest such token form leaf nodes of about LEAF entries, so a large group
+of near copies is a few nodes, and node pairs below a token are compared by their combined bitmaps, then by the
+bitmaps of their entries, then by the sets. Entries that are connected already are not compared.
 """
 
 from __future__ import annotations
@@ -67,17 +67,19 @@ def may_link(a: tuple, b: tuple, percent: int) -> np.ndarray:
 
 
 class Tree:
-    """Signature tree over a bounded number of sets: entries by size, inner nodes of FAN of them."""
+    """Signature tree over a bounded number of entries: entries by size, inner nodes of FAN of them."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        self.sets = [sets[i] for i in self.order]
-        self.size = np.array([len(s) for s in self.sets], dtype=np.int64)
-        self.bits = np.stack([bitmap(s, bits) for s in self.sets])
+    def __init__(self, sizes: np.ndarray, maps: np.ndarray):
+        self.order = np.argsort(sizes, kind="stable")
+        self.size, self.bits = sizes[self.order], maps[self.order]
         self.slack = self.size - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
-        cuts = np.arange(0, len(sets), FAN)
+        cuts = np.arange(0, len(sizes), FAN)
         self.inner = (self.size[cuts], np.maximum.reduceat(self.size, cuts), np.maximum.reduceat(self.slack, cuts), np.bitwise_or.reduceat(self.bits, cuts, axis=0))
 
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray], bits: int) -> Tree:
+        return cls(np.array([len(s) for s in sets], dtype=np.int64), np.stack([bitmap(s, bits) for s in sets]))
+
     def entries(self, node: int) -> tuple:
         part = slice(node * FAN, (node + 1) * FAN)
         return self.size[part], self.size[part], self.slack[part], self.bits[part]
@@ -88,14 +90,14 @@ def crossed(a: tuple, b: tuple) -> tuple[tuple, tuple]:
 
 
 def surviving(a: Tree, b: Tree, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of entries that the dual traversal does not prune."""
+    """Pairs of entries (their numbers as given) that the dual traversal does not prune."""
     for i, j in zip(*np.nonzero(may_link(*crossed(a.inner, b.inner), percent)), strict=True):
         if a is b and j < i:
             continue
         for x, y in zip(*np.nonzero(may_link(*crossed(a.entries(i), b.entries(j)), percent)), strict=True):
             x, y = i * FAN + x, j * FAN + y
             if a is not b or x < y:
-                yield int(x), int(y)
+                yield int(a.order[x]), int(b.order[y])
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -116,18 +118,31 @@ def groups_within(sets: list[np.ndarray], names: list[int], percent: int) -> lis
             parent[i] = i = parent[parent[i]]
         return i
 
-    tree = Tree(sets, width(max(map(len, sets))))
+    tree = Tree.of_sets(sets, width(max(map(len, sets))))
     for x, y in surviving(tree, tree, percent):
-        p, q = root(tree.order[x]), root(tree.order[y])
-        if p != q and linked(tree.sets[x], tree.sets[y], percent):
+        p, q = root(x), root(y)
+        if p != q and linked(sets[x], sets[y], percent):
             parent[max(p, q)] = min(p, q)
     return [root(i) for i in range(len(sets))]
 
 
-def any_link(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> bool:
+def links_across(a: list[np.ndarray], b: list[np.ndarray], parts_a: list[int], parts_b: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links between entries of two tree nodes, as pairs of the entries' parts; parts already connected are not compared again."""
     bits = width(max(map(len, a + b)))
-    left, right = Tree(a, bits), Tree(b, bits)
-    return any(linked(left.sets[x], right.sets[y], percent) for x, y in surviving(left, right, percent))
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent.get(i, i) != i:
+            i = parent[i]
+        return i
+
+    out = []
+    for x, y in surviving(Tree.of_sets(a, bits), Tree.of_sets(b, bits), percent):
+        p, q = root(parts_a[x]), root(parts_b[y])
+        if p != q and linked(a[x], b[y], percent):
+            parent[max(p, q)] = min(p, q)
+            out.append((parts_a[x], parts_b[y]))
+    return out
 
 
 def numbers(packed: bytes) -> np.ndarray:
@@ -226,47 +241,67 @@ def pairs_that_may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> Dat
     return map_slices(both.select("a", "b", *[f"{s}_{c}" for s in "ab" for c in ("low", "high", "slack", "bits")]), make, "a long, b long", rows=2048)
 
 
-def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs of nodes (a, b), those with a linked pair of entries; `members`: (node, tokens) per entry."""
+def beside_pairs(pairs: DataFrame, entries: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, a_…, b_…): the named columns of all entries of either node, as arrays that a leaf's size bounds."""
+    wanted = listed(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    lists = entries.join(wanted, "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("member", *columns))).alias("_e"))
+    side = lambda s: lists.select(F.col("node").alias(s), *[F.col("_e")[c].alias(f"{s}_{c}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[f"{s}_{c}" for s in "ab" for c in columns])
+
+
+def pairs_with_entries(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """Of the node pairs (a, b), those of which the traversal down to the entries' bitmaps leaves some."""
 
     def make():
         def step(batch: pa.RecordBatch):
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = pa.array([any_link(list(map(numbers, x)), list(map(numbers, y)), percent) for x, y in zip(a, b, strict=True)], pa.bool_())
-            kept = batch.filter(keep)
+            keep = []
+            for one, other in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                maps = [[np.frombuffer(m, dtype=np.uint8) for m in side] for side in (one, other)]
+                size = min(len(m) for side in maps for m in side)
+                keep.append(tuple(np.stack([fold(m, size) for m in side]) for side in maps))
+            sizes = zip(batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            alive = [any(True for _ in surviving(Tree(np.array(p), x), Tree(np.array(q), y), percent)) for (x, y), (p, q) in zip(keep, sizes, strict=True)]
+            kept = batch.filter(pa.array(alive, pa.bool_()))
             return [kept.column(0), kept.column(1)]
 
         return step
 
-    wanted = listed(pairs.select(F.explode(F.array("a", "b")).alias("node")))
-    # A leaf's size bounds each array.
-    sets = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.collect_list("tokens").alias("sets"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("sets").alias("_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("sets").alias("_b")), "b")
-    return map_slices(both.select("a", "b", "_a", "_b"), make, "a long, b long", rows=64)
+    return map_slices(beside_pairs(pairs, entries, ["map", "n"]), make, "a long, b long", rows=64)
+
+
+def verified(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): parts of entries that a link connects across the node pairs."""
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            a_sets, a_parts, b_sets, b_parts = (batch.column(i).to_pylist() for i in range(2, 6))
+            found = [link for w, x, y, z in zip(a_sets, b_sets, a_parts, b_parts, strict=True) for link in links_across(list(map(numbers, w)), list(map(numbers, x)), y, z, percent)]
+            return [[a for a, _ in found], [b for _, b in found]]
+
+        return step
+
+    return map_slices(beside_pairs(pairs, entries, ["tokens", "part"]), make, "a long, b long", rows=16)
 
 
 def leaf_nodes(entries: DataFrame, percent: int) -> DataFrame:
-    """Tree nodes of linked entries within each leaf, one row per entry: member, node (its smallest member), tokens.
+    """One row per entry: member, node (the leaf's smallest member), part (the smallest member linked in the leaf), tokens, n, map.
 
-    The row of the node's first entry also has the node's low, high and slack and its OR-combined bits.
+    The row of a node's first entry also has the node's low, high and slack and its OR-combined bits.
     """
 
     def within(group: pa.Table) -> pa.Table:
         group = group.sort_by("member")
         names, sets = group.column("member").to_pylist(), [numbers(t) for t in group.column("tokens").to_pylist()]
         first = groups_within(sets, names, percent)
-        info: dict[int, tuple] = {}
-        for i in set(first):
-            own = [s for s, f in zip(sets, first, strict=True) if f == i]
-            maps = np.stack([bitmap(s, width(min(map(len, own)))) for s in own])
-            size = np.array([len(s) for s in own])
-            slack = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-            info[i] = int(size.min()), int(size.max()), int(slack.max()), np.bitwise_or.reduce(maps).tobytes()
-        columns = zip(*[info.get(i, (None,) * 4) for i in range(len(sets))], strict=True)
-        low, high, slack, bits = (pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))
-        return pa.table([group.column("member"), pa.array([names[i] for i in first], pa.int64()), group.column("tokens"), low, high, slack, bits], names=["member", "node", "tokens", "low", "high", "slack", "bits"])
+        size = np.array([len(s) for s in sets], dtype=np.int64)
+        maps = np.stack([bitmap(s, width(int(size.min()))) for s in sets])
+        slack = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        info = [int(size.min()), int(size.max()), int(slack.max()), np.bitwise_or.reduce(maps).tobytes()]
+        once = [pa.array([x] + [None] * (len(sets) - 1), k) for x, k in zip(info, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        columns = [group.column("member"), pa.array([names[0]] * len(sets), pa.int64()), pa.array([names[i] for i in first], pa.int64()), group.column("tokens"), pa.array(size), pa.array([bitmap(s, width(len(s))).tobytes() for s in sets])]
+        return pa.table([*columns, *once], names=["member", "node", "part", "tokens", "n", "map", "low", "high", "slack", "bits"])
 
-    return entries.groupBy("leaf", "part").applyInArrow(within, "member long, node long, tokens binary, low long, high long, slack long, bits binary")
+    return entries.groupBy("leaf", "slot").applyInArrow(within, "member long, node long, part long, tokens binary, n long, map binary, low long, high long, slack long, bits binary")
 
 
 def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,37 +324,29 @@ def jaccard_classes(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: s
     posts = named.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("member"), band.alias("band"), F.explode("first").alias("token"))
     shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
     near = cut(posts.join(shared, "token").select("member", F.col("token").alias("_token"), F.explode(F.array(F.xxhash64("token", "band"), F.xxhash64("token", F.col("band") + 1))).alias("token")))
-    meeting = near.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
+    meeting = near.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     near = near.join(meeting, "token")
     least = named.select(F.col("doc_id").alias("member"), F.least(F.lit(COMMON), F.ceil(F.col("n") * percent / 100)).alias("_least"))
-    offers = near.groupBy("member").agg(F.count_distinct("_token").alias("_n"), F.min("token").alias("leaf")).join(least, "member").filter("_n >= _least")
+    # Entries gather below the token that they share with most others.
+    offers = near.groupBy("member").agg(F.count_distinct("_token").alias("_n"), F.max(F.struct("_n", "token"))["token"].alias("leaf")).join(least, "member").filter("_n >= _least")
     leaves = cut(offers.groupBy("member").agg(F.first("leaf").alias("leaf")))
-    parts = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).alias("_parts"))
-    placed = leaves.join(parts, "leaf").select("member", "leaf", F.pmod(F.xxhash64("member"), F.col("_parts")).alias("part"))
+    slots = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAF)).alias("_slots"))
+    placed = leaves.join(slots, "leaf").select("member", "leaf", F.pmod(F.xxhash64("member"), F.col("_slots")).alias("slot"))
     sets = sets_of(slim, leaves.select(F.col("member").alias("node")), size).withColumnRenamed("node", "member")
-    members = cut(leaf_nodes(placed.join(sets, "member"), percent))
-    nodes = members.filter("bits IS NOT NULL").select("node", "low", "high", "slack", "bits")
-    of = members.select("member", "node").distinct()
-    near = cut(near.join(of, "member").select("token", "node").distinct())
-
-    # One node below each token against the others there.
-    centre = near.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("a"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    tried = cut(near.join(centre, "token").select("a", F.col("node").alias("b")).filter("a <> b").select(*ordered).distinct())
-    links = cut(verified(cut(pairs_that_may_link(tried, nodes, percent)), members, percent))
-
-    # Where several components remain below a token, the nodes of different ones against each other.
-    label = components(links)
-    here = near.join(label, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    open_tokens = here.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_n > 2 AND _low < _high").select("token")
-    here = cut(here.join(open_tokens, "token"))
-    left, right = here.alias("l"), here.alias("r")
-    meet = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.component") < F.col("r.component")))
-    rest = meet.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).select(*ordered).distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(cut(pairs_that_may_link(cut(rest), nodes, percent)), members, percent)
-
-    label = components(cut(links.unionByName(more)))
-    label = of.join(label, "node", "left").select("member", F.coalesce("component", "node").alias("component"))
+    entries = cut(leaf_nodes(placed.join(sets, "member"), percent))
+    nodes = entries.filter("bits IS NOT NULL").select("node", "low", "high", "slack", "bits")
+    below = cut(near.join(entries.select("member", "node").distinct(), "member").select("token", "node").distinct())
+    several = below.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("token")
+    below = below.join(several, "token")
+
+    left, right = below.alias("l"), below.alias("r")
+    meet = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.node") < F.col("r.node")))
+    pairs = cut(pairs_that_may_link(meet.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), nodes, percent))
+    pairs = cut(pairs_with_entries(pairs, entries, percent))
+    links = verified(pairs, entries, percent)
+
+    label = components(cut(links))
+    label = entries.select("member", "part").distinct().join(label, F.col("part") == F.col("node"), "left").select("member", F.coalesce("component", "part").alias("component"))
     return finish(known, label)
 
 
