@@ -119,7 +119,7 @@ def test_guards(spark):
     b = spark.createDataFrame([(1, "z")], "k int, w string")
     with pytest.raises(Exception, match="repeated key"):
         join_1to1(a, b, ["k"]).collect()
-    with pytest.raises(Exception, match="missing sectors"):
+    with pytest.raises(Exception, match="no sector"):
         candidate_pairs(spark.createDataFrame([("s", None), ("t", "u")], "symbol string, sector string")).collect()
 
 
