@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copied_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common blocks go from later documents; documents of which nothing is left go."""
-    done = line_dedup.line_dedup(docs.select(*DOCUMENT_COLUMNS))
+    done = line_dedup.line_dedup(docs.select(*DOCUMENT_COLUMNS), rare=line_dedup.RARE)
     left = done.filter("n_deleted = 0 OR trim(text) <> ''")
     changed = F.col("n_deleted") > 0
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)

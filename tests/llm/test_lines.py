@@ -103,3 +103,63 @@ def test_shared_blocks_and_hot_passages(spark):
     got = result(table)
     assert got == brute(rows, L.MIN_WORDS)
     assert sum(passage in r[4] for r in got) == 1 and sum(header in r[4] for r in got) > 100
+
+
+def brute_rare(rows, min_words, limit):
+    """Lines that go when lines of at most `limit` distinct texts count as rare: {doc_id: places}; ids are distinct and texts differ."""
+    docs = sorted((i, [x.strip() for x in t.split("\n")]) for i, t in rows)
+    words = lambda x: len(x.split())
+    held = {}
+    for i, lines in docs:
+        for x in set(lines):
+            held.setdefault(x, []).append(i)
+    rare = {x for x, at in held.items() if 0 < words(x) < min_words and 1 < len(at) <= limit}
+    by_id, source, out = dict(docs), {}, {}
+    for i, lines in docs:
+        n = [words(x) for x in lines]
+        runs = set()
+        for a in range(len(lines)):
+            end = next((e for e in range(a + 1, len(lines) + 1) if sum(n[a:e]) >= min_words), None)
+            if end and n[a]:
+                runs.add(tuple(lines[a:end]))
+        few = rare & set(lines)
+        for other in {source[r] for r in runs if r in source} | {held[x][0] for x in few if held[x][0] != i}:
+            out.setdefault(i, set()).update(L.common_blocks(lines, by_id[other], n, min_words, few))
+        for r in runs:
+            source.setdefault(r, i)
+    return {i: at for i, at in out.items() if at}
+
+
+def test_short_rare_lines_beside_edited_ones_go(spark):
+    header, rare = "one line at the top", "seven rare words that two texts share"
+    rows = [(i, f"{header}\nfirst edit {i} of it\n{rare}\nlast edit {i} of it" if i in (3, 8) else f"{header}\nown words {i}") for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    done = {r.doc_id: r for r in L.line_dedup(table, rare=L.RARE).collect()}
+    assert done[8].text == f"{header}\nfirst edit 8 of it\nlast edit 8 of it" and done[8].n_deleted == 1
+    assert all(done[i].text == t and done[i].n_deleted == 0 for i, t in rows if i != 8)
+
+
+def test_rare_lines_equal_brute_force(spark, docs):
+    rows, seen = [], set()
+    for r in sorted(docs.filter("doc_id IS NOT NULL AND text <> ''").select("doc_id", "text").collect()):
+        if r.text not in seen and (not rows or rows[-1][0] != r.doc_id):
+            rows.append((r.doc_id, r.text))
+            seen.add(r.text)
+    want = brute_rare(rows, L.MIN_WORDS, L.RARE)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in L.line_dedup(table, rare=L.RARE).collect()}
+    for i, t in rows:
+        assert got[i].n_deleted == len(want.get(i, ())), i
+        assert got[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, ()))
+    assert sum(map(len, want.values())) > sum(r.n_deleted for r in L.line_dedup(table).collect())
+
+
+def test_query_and_pipeline_use_rare_lines(spark, tmp_path):
+    from corpus_pipeline import drop_copied_lines
+    from tickweave.llm.queries import op2
+
+    rows = [(i, f"edit {i} above\nfive words that were copied\nedit {i} below", "en", "s", 1) for i in (1, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    for done in (op2(spark, str(tmp_path)), drop_copied_lines(spark, table, str(tmp_path))):
+        assert {r.doc_id: r.text for r in done.collect()}[2] == "edit 2 above\nedit 2 below"

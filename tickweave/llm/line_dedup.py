@@ -4,6 +4,8 @@ Runs of consecutive lines that just reach `min_words` words are hashed; such a r
 document that holds a run is its source, so a run in any number of documents gives one pair a document, never all pairs. A
 later document is aligned with each of its sources by patience diff over line hashes, and aligned common blocks of
 `min_words` words or more are deleted from it. Exact copies of a text need no alignment: their whole text is the block.
+With `rare`, a shorter line that few texts hold names its first holder as a source too, and a block with such a line is
+deleted whatever its length; the word rule is then for frequent lines only.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 import pyarrow as pa
 import xxhash
@@ -22,6 +24,8 @@ from tickweave.llm.frames import map_slices, texts
 from tickweave.session import cut
 
 MIN_WORDS = 20
+#: Distinct texts that hold a rare line at most. In the given tables copied lines stand in 2 or 3 texts, boilerplate in 10 and more.
+RARE = 5
 
 
 def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -86,25 +90,26 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(later: Sequence, earlier: Sequence, words: Sequence[int], min_words: int) -> list[int]:
-    """Lines of `later` in aligned blocks (consecutive in both) of at least `min_words` words.
+def common_blocks(later: Sequence, earlier: Sequence, words: Sequence[int], min_words: int, rare: Collection = ()) -> list[int]:
+    """Lines of `later` in aligned blocks (consecutive in both) of at least `min_words` words or with a line of `rare`.
 
     A block that moved crosses others and falls out of an alignment, so the lines left over are aligned again while
     those they share have words enough for a block.
     """
+    enough = lambda places: sum(words[k] for k in places) >= min_words or any(later[k] in rare for k in places)
     out: list[int] = []
     rest, others = list(range(len(later))), list(range(len(earlier)))
     while True:
         shared = {later[i] for i in rest} & {earlier[j] for j in others}
         rest, others = [i for i in rest if later[i] in shared], [j for j in others if earlier[j] in shared]
-        if sum(words[i] for i in rest) < min_words:
+        if not enough(rest):
             return sorted(out)
         pairs = [(rest[x], others[y]) for x, y in patience([later[i] for i in rest], [earlier[j] for j in others])]
         block: list[int] = []
         last = (-2, -2)
         for i, j in [*pairs, (-9, -9)]:
             if (i, j) != (last[0] + 1, last[1] + 1):
-                if sum(words[k] for k in block) >= min_words:
+                if enough(block):
                     out += block
                 block = []
             block.append(i)
@@ -150,14 +155,15 @@ def hashed(docs: DataFrame, min_words: int) -> DataFrame:
     return map_slices(docs, make, "doc_id long, key string, lines array<long>, words array<long>, runs array<long>")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = 0) -> DataFrame:
     """The rows of `docs` (doc_id, text and any other columns) with n_lines, n_deleted, copy_of and the text that stays.
 
     Lines end at \\n and are compared without blanks at their ends. The earlier document is the one of smaller doc_id, then of
     smaller text hash; null ids come last. An exact copy of an earlier text has its doc_id in copy_of and no text left. Null
     texts are empty; an empty text stays as it is. Rows equal in doc_id and text are one document and get the same
-    result. Blocks under `min_words` words stay, so short common lines alone change nothing. Columns of the input with
-    the names n_lines, n_deleted or copy_of are replaced.
+    result. Blocks under `min_words` words stay unless a line of theirs stands in at most `rare` distinct texts (0: no line
+    counts as rare), so short frequent lines alone change nothing. Columns of the input with the names n_lines, n_deleted
+    or copy_of are replaced.
     """
     rows = docs.drop("n_lines", "n_deleted", "copy_of").withColumn("text", F.coalesce("text", F.lit("")))
     keyed = rows.filter("text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("key"), "text")
@@ -169,19 +175,27 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     firsts = cut(firsts.select("key", "copied", "_first.*"))
 
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    runs = firsts.select("key", rank.alias("rank"), F.explode(F.array_distinct("runs")).alias("run"))
-    sources = runs.groupBy("run").agg(F.min("rank")["key"].alias("source"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    pairs = cut(runs.join(sources, "run").filter("key <> source").select("key", "source").distinct())
+    tagged = lambda marks, line: F.transform(F.array_distinct(marks), lambda m: F.struct(F.lit(line).alias("line"), m.alias("mark")))
+    # A line of `min_words` words is a run by itself.
+    short = F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: (x["words"] > 0) & (x["words"] < min_words)), lambda x: x["lines"])
+    marks = F.concat(tagged(F.col("runs"), False), tagged(short, True)) if rare else tagged(F.col("runs"), False)
+    held = firsts.select("key", rank.alias("rank"), F.explode(marks).alias("_m")).select("key", "rank", "_m.*")
+    sources = held.groupBy("line", "mark").agg(F.min("rank")["key"].alias("source"), F.count(F.lit(1)).alias("_n"))
+    sources = sources.filter((F.col("_n") > 1) & (~F.col("line") | (F.col("_n") <= rare))).drop("_n")
+    found = held.drop("rank").join(sources, ["line", "mark"]).filter("key <> source")
+    # A document's lines bound what is gathered for it.
+    found = cut(found.groupBy("key").agg(F.collect_set("source").alias("sources"), F.collect_set(F.when(F.col("line"), F.col("mark"))).alias("rare")))
+    pairs = found.select("key", F.explode("sources").alias("source"), "rare")
     aligned = pairs.join(firsts.select("key", F.col("lines").alias("later"), "words"), "key").join(firsts.select(F.col("key").alias("source"), F.col("lines").alias("earlier")), "source")
 
     def make():
         def step(batch: pa.RecordBatch):
-            key, later, earlier, words = (batch.column(i).to_pylist() for i in range(4))
-            return key, [common_blocks(a, b, n, min_words) for a, b, n in zip(later, earlier, words, strict=True)]
+            key, later, earlier, words, few = (batch.column(i).to_pylist() for i in range(5))
+            return key, [common_blocks(a, b, n, min_words, set(r)) for a, b, n, r in zip(later, earlier, words, few, strict=True)]
 
         return step
 
-    blocks = map_slices(aligned.select("key", "later", "earlier", "words"), make, "key string, gone array<long>")
+    blocks = map_slices(aligned.select("key", "later", "earlier", "words", "rare"), make, "key string, gone array<long>")
     # A document's lines bound what is gathered for it.
     gone = blocks.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone")).filter(F.size("_gone") > 0)
     changes = firsts.select("key", "copied", F.col("doc_id").alias("_first")).join(gone, "key", "left").filter("copied OR _gone IS NOT NULL")

@@ -32,7 +32,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("op2_line_dedup")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
-    done = line_dedup.line_dedup(table(spark, sf, "documents"))
+    done = line_dedup.line_dedup(table(spark, sf, "documents"), rare=line_dedup.RARE)
     return done.select("doc_id", "n_lines", "n_deleted", "copy_of", "text")
 
 
