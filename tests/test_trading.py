@@ -127,3 +127,25 @@ def test_performance_zero_divisors(spark):
     flat = spark.createDataFrame([(1, 100.0, 0.0), (2, 100.0, 0.0)], "trading_day int, strategy_equity double, strategy_return double")
     p = K.performance(flat).first()
     assert p["total_return"] == 0 and p["sharpe"] is None and p["sortino"] is None and p["calmar"] is None
+
+
+def test_performance_of_each_key_equals_that_series_alone(spark):
+    rows = [(s, (pd.Timestamp(f"2024-03-0{d}") + pd.Timedelta(hours=h)).to_pydatetime(), float(c)) for s, closes in {"a": (9, 7, 8, 6), "b": (5, 6, 4, 7), "c": (3, 3, 3, 3)}.items() for d, c in enumerate(closes, 4) for h in (10, 15)]
+    both = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double")
+    held = K.buy_and_hold(both, "1900-01-01", "2999-01-01", keys=["symbol"])
+    got = {r.symbol: r for r in K.performance(held, "benchmark_equity", "benchmark_return", keys=["symbol"]).collect()}
+    assert sorted(got) == ["a", "b", "c"]
+    for symbol, row in got.items():
+        alone = K.performance(K.buy_and_hold(both.filter(F.col("symbol") == symbol), "1900-01-01", "2999-01-01"), "benchmark_equity", "benchmark_return").first()
+        assert [row[c] for c in alone.asDict()] == [x if x is None else pytest.approx(x) for x in alone]
+
+
+def test_by_symbol_query_reports_every_symbol(spark):
+    from __spark_entry__ import queries
+    from tickweave.catalog.series import grid
+
+    sf = "/root/testdata/sf0.001"
+    got = queries()["b06_performance_by_symbol"](spark, sf).collect()
+    assert sorted(r.symbol for r in got) == sorted(r.symbol for r in grid(spark, sf).select("symbol").distinct().collect())
+    view = queries()["b06_performance"](spark, sf).first()
+    assert [{c: r[c] for c in view.asDict()} for r in got if r.symbol == "view"] == [view.asDict()]

@@ -100,12 +100,26 @@ t AS (SELECT n_periods, g - 1 AS total_return, pow(g, 252.0 / n_periods) - 1 AS
 SELECT n_periods, round(total_return, 6) AS total_return, round(ln(1 + cagr), 6) AS log_cagr, round(ann_vol, 5) AS ann_vol, round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown, round(ln(abs(cagr / max_drawdown)), 6) AS log_calmar FROM t"""]))
 def performance(spark, sf):
     b = K.buy_and_hold(grid(spark, sf).filter(F.col("symbol") == "view"), "1900-01-01", "2999-01-01")
-    p = K.performance(b, "benchmark_equity", "benchmark_return")
+    return rounded(K.performance(b, "benchmark_equity", "benchmark_return"))
+
+
+def rounded(p, *keys):
     return p.select(
-        "n_periods", r6("total_return").alias("total_return"), r6(F.ln(1 + F.col("cagr"))).alias("log_cagr"), r6("ann_vol", 5).alias("ann_vol"), r6("sharpe").alias("sharpe"),
+        *keys, "n_periods", r6("total_return").alias("total_return"), r6(F.ln(1 + F.col("cagr"))).alias("log_cagr"), r6("ann_vol", 5).alias("ann_vol"), r6("sharpe").alias("sharpe"),
         r6("sortino").alias("sortino"), r6("max_drawdown").alias("max_drawdown"), r6(F.ln(F.abs("calmar"))).alias("log_calmar"))
 
 
+# b06_performance is one series by its twin; this one is every symbol of the grid.
+@register("b06_performance_by_symbol", GRID.join(["WITH ", """, c AS (SELECT symbol, day, arg_max(close, ts) AS c FROM grid WHERE CAST(ts AS TIME) BETWEEN TIME '09:30:00' AND TIME '16:00:00' GROUP BY 1, 2),
+e AS (SELECT symbol, day, 100000 / first_value(c) OVER w * c AS eq FROM c WINDOW w AS (PARTITION BY symbol ORDER BY day)), r AS (SELECT symbol, day, eq, coalesce(eq / lag(eq) OVER w - 1, 0) AS r, max(eq) OVER w AS pk FROM e WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+s AS (SELECT symbol, count(*) AS n_periods, arg_max(eq, day) / arg_min(eq, day) AS g, avg(r) AS mu, stddev_samp(r) AS sd, stddev_samp(CASE WHEN r < 0 THEN r END) AS neg, min(eq / pk - 1) AS max_drawdown FROM r GROUP BY 1),
+t AS (SELECT symbol, n_periods, g - 1 AS total_return, pow(g, 252.0 / n_periods) - 1 AS cagr, sd * sqrt(252) AS ann_vol, mu / nullif(sd, 0) * sqrt(252) AS sharpe, mu / nullif(neg, 0) * sqrt(252) AS sortino, max_drawdown FROM s)
+SELECT symbol, n_periods, round(total_return, 6) AS total_return, round(ln(1 + cagr), 6) AS log_cagr, round(ann_vol, 5) AS ann_vol, round(sharpe, 6) AS sharpe, round(sortino, 6) AS sortino, round(max_drawdown, 6) AS max_drawdown, round(ln(nullif(abs(cagr / nullif(max_drawdown, 0)), 0)), 6) AS log_calmar FROM t"""]))
+def performance_by_symbol(spark, sf):
+    b = K.buy_and_hold(grid(spark, sf), "1900-01-01", "2999-01-01", keys=["symbol"])
+    return rounded(K.performance(b, "benchmark_equity", "benchmark_return", keys=["symbol"]), "symbol")
+
+
 @register("b07_trade_summary", f"""WITH {TRADES}, t AS (SELECT *, gross_pnl - transaction_cost AS net FROM trades), d AS (SELECT trading_day, count(*) AS n FROM t GROUP BY 1)
 SELECT count(*) AS total_trades, (SELECT round(avg(n), 6) FROM d) AS avg_per_day, (SELECT max(n) FROM d) AS max_per_day, round(sum(net), 2) AS total_net_pnl, round(avg(net), 4) AS avg_net_pnl, round(avg((net > 0)::INT), 6) AS win_rate,
  round(sum(net) FILTER (side = 'long'), 2) AS long_net_pnl, round(sum(net) FILTER (side = 'short'), 2) AS short_net_pnl, round(avg((net > 0)::INT) FILTER (side = 'long'), 6) AS long_win_rate FROM t""")

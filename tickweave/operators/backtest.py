@@ -87,8 +87,8 @@ def backtest(bars: DataFrame, universe: DataFrame, leader_edge: float = LEADER_E
 # --- equity and performance (day-level tables) --------------------------------------------
 
 
-def _with_returns(df: DataFrame, equity: str, ret: str, day: str) -> DataFrame:
-    prev = F.lag(equity).over(W.orderBy(day))
+def _with_returns(df: DataFrame, equity: str, ret: str, day: str, keys: Sequence[str] = ()) -> DataFrame:
+    prev = F.lag(equity).over(W.partitionBy(*keys).orderBy(day))
     return df.withColumn(ret, F.coalesce(ratio(equity, prev) - 1, F.lit(0.0)))
 
 
@@ -100,22 +100,22 @@ def daily_equity(trades: DataFrame, capital: float = NOTIONAL) -> DataFrame:
     return _with_returns(equity, "strategy_equity", "strategy_return", "trading_day")
 
 
-def buy_and_hold(bars: DataFrame, start: str, end: str, capital: float = NOTIONAL) -> DataFrame:
-    """Benchmark from minute bars: last session close per day, shares bought at the first one."""
+def buy_and_hold(bars: DataFrame, start: str, end: str, capital: float = NOTIONAL, keys: Sequence[str] = ()) -> DataFrame:
+    """Benchmark from minute bars: last session close per day, shares bought at the first one; a series per value of `keys`."""
     from tickweave.operators.select import session_filter
 
     inside = session_filter(bars.filter(F.to_date("ts").between(F.lit(start).cast("date"), F.lit(end).cast("date"))), "09:30", "16:00")
-    close = inside.groupBy(F.to_date("ts").alias("trading_day")).agg(F.max_by("close", "ts").alias("benchmark_close"))
-    first = F.first("benchmark_close").over(W.orderBy("trading_day"))
+    close = inside.groupBy(*keys, F.to_date("ts").alias("trading_day")).agg(F.max_by("close", "ts").alias("benchmark_close"))
+    first = F.first("benchmark_close").over(W.partitionBy(*keys).orderBy("trading_day"))
     equity = close.withColumn("benchmark_equity", F.lit(float(capital)) / first * F.col("benchmark_close"))
-    return _with_returns(equity, "benchmark_equity", "benchmark_return", "trading_day")
+    return _with_returns(equity, "benchmark_equity", "benchmark_return", "trading_day", keys)
 
 
-def performance(df: DataFrame, equity: str = "strategy_equity", ret: str = "strategy_return", day: str = "trading_day", periods: int = 252) -> DataFrame:
-    """One row: total return, CAGR, volatility, Sharpe, Sortino, drawdown, Calmar. Zero divisors give NULL."""
-    falls = running(df, [], [day], {"_peak": ("max", equity)}, chunk=None)
+def performance(df: DataFrame, equity: str = "strategy_equity", ret: str = "strategy_return", day: str = "trading_day", periods: int = 252, keys: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per value of `keys`: total return, CAGR, volatility, Sharpe, Sortino, drawdown, Calmar. Zero divisors give NULL."""
+    falls = running(df, keys, [day], {"_peak": ("max", equity)}, chunk=None)
     r, year = F.col(ret), F.lit(float(periods))
-    base = falls.agg(
+    base = falls.groupBy(*keys).agg(
         F.min_by(equity, day).alias("_first"), F.max_by(equity, day).alias("_last"), F.count(equity).alias("n_periods"),
         F.avg(r).alias("_mean"), F.stddev_samp(r).alias("_std"), F.stddev_samp(F.when(r < 0, r)).alias("_neg"),
         F.min(ratio(equity, "_peak") - 1).alias("max_drawdown"),
