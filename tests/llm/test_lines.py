@@ -163,3 +163,20 @@ def test_query_and_pipeline_use_rare_lines(spark, tmp_path):
     table.write.parquet(f"{tmp_path}/documents.parquet")
     for done in (op2(spark, str(tmp_path)), drop_copied_lines(spark, table, str(tmp_path))):
         assert {r.doc_id: r.text for r in done.collect()}[2] == "edit 2 above\nedit 2 below"
+
+
+def test_repeated_and_crossing_blocks_go():
+    assert L.common_blocks([1, 2, 1], [1], [30, 3, 30], 20) == [0, 2]
+    assert L.common_blocks([1, 2], [1, 3, 1, 2], [12, 12], 20) == [0, 1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), max_size=14), st.sets(st.integers(0, 4), max_size=1))
+def test_no_long_common_run_stays(later, earlier, rare):
+    words = [3 + x for x in later]
+    gone = L.common_blocks(later, earlier, words, 12, rare)
+    assert gone == sorted(set(gone))
+    common = [range(a, b) for a in range(len(later)) for b in range(a + 1, len(later) + 1) if any(later[a:b] == earlier[j : j + b - a] for j in range(len(earlier)))]
+    long = [r for r in common if sum(words[k] for k in r) >= 12 or rare & {later[k] for k in r}]
+    assert all(set(r) & set(gone) for r in long)
+    assert set(gone) <= {k for r in long for k in r}

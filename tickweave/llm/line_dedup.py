@@ -90,32 +90,69 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def automaton(lines: Sequence) -> tuple[list[dict], list[int], list[int]]:
+    """Suffix automaton of a text of lines: per state its next states, its suffix link and its longest length."""
+    after: list[dict] = [{}]
+    link, length, last = [-1], [0], 0
+    for x in lines:
+        new, p = len(after), last
+        after.append({}), link.append(0), length.append(length[last] + 1)
+        while p >= 0 and x not in after[p]:
+            after[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = after[p][x]
+            if length[q] > length[p] + 1:
+                q, old = len(after), q
+                after.append(dict(after[old])), link.append(link[old]), length.append(length[p] + 1)
+                while p >= 0 and after[p].get(x) == old:
+                    after[p][x] = q
+                    p = link[p]
+                link[old] = q
+            link[new] = q
+        last = new
+    return after, link, length
+
+
 def common_blocks(later: Sequence, earlier: Sequence, words: Sequence[int], min_words: int, rare: Collection = ()) -> list[int]:
     """Lines of `later` in aligned blocks (consecutive in both) of at least `min_words` words or with a line of `rare`.
 
-    A block that moved crosses others and falls out of an alignment, so the lines left over are aligned again while
-    those they share have words enough for a block.
+    An alignment uses each line of `earlier` once and rises in both, so blocks that moved or stand twice in `later` fall
+    out of it: of the lines left over, every run that stands anywhere in `earlier` and is long enough goes too.
     """
     enough = lambda places: sum(words[k] for k in places) >= min_words or any(later[k] in rare for k in places)
     out: list[int] = []
-    rest, others = list(range(len(later))), list(range(len(earlier)))
-    while True:
-        shared = {later[i] for i in rest} & {earlier[j] for j in others}
-        rest, others = [i for i in rest if later[i] in shared], [j for j in others if earlier[j] in shared]
-        if not enough(rest):
-            return sorted(out)
-        pairs = [(rest[x], others[y]) for x, y in patience([later[i] for i in rest], [earlier[j] for j in others])]
-        block: list[int] = []
-        last = (-2, -2)
-        for i, j in [*pairs, (-9, -9)]:
-            if (i, j) != (last[0] + 1, last[1] + 1):
-                if enough(block):
-                    out += block
-                block = []
-            block.append(i)
-            last = (i, j)
-        used, met = {i for i, _ in pairs}, {j for _, j in pairs}
-        rest, others = [i for i in rest if i not in used], [j for j in others if j not in met]
+    block: list[int] = []
+    last = (-2, -2)
+    for i, j in [*patience(later, earlier), (-9, -9)]:
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            if enough(block):
+                out += block
+            block = []
+        block.append(i)
+        last = (i, j)
+    shared, gone = set(earlier), set(out)
+    rest = [i for i in range(len(later)) if i not in gone and later[i] in shared]
+    if not enough(rest):
+        return sorted(out)
+    total, few = [0], [0]
+    for x, n in zip(later, words, strict=True):
+        total.append(total[-1] + n), few.append(few[-1] + (x in rare))
+    after, link, length = automaton(earlier)
+    state = run = done = 0
+    for at, i in enumerate(rest):
+        if not at or i != rest[at - 1] + 1:
+            state = run = 0
+        while later[i] not in after[state]:
+            state = link[state]
+            run = length[state]
+        # The longest run that ends here and stands in `earlier`; its start never moves back.
+        state, run = after[state][later[i]], run + 1
+        start = i + 1 - run
+        if total[i + 1] - total[start] >= min_words or few[i + 1] > few[start]:
+            out += range(max(start, done), i + 1)
+            done = i + 1
+    return sorted(out)
 
 
 def signed(value: int) -> int:
