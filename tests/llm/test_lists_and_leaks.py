@@ -71,3 +71,9 @@ def test_entries_hold_from_addition_to_removal(spark):
     want = {i: [b] for i, (_, _, b) in enumerate(cases)} | {90: [False], 91: [False], None: [True], 5: [True, True]}
     assert by_id == want
     assert U.judge(captures.limit(0), entries).collect() == [] and not any(r.blocked for r in U.judge(captures, entries.limit(0)).collect())
+
+
+def test_prefix_entries_of_any_depth_match(spark):
+    entries = spark.sql("SELECT 'block' AS list, 'prefix' AS kind, 'a.org/1/2/3/4/5/6/7/8/9' AS value, 'add' AS action, DATE '2024-01-01' AS at")
+    captures = spark.sql("SELECT id AS page_id, url, DATE '2024-02-01' AS fetched FROM VALUES (1, 'http://a.org/1/2/3/4/5/6/7/8/9/10?q'), (2, 'http://a.org/1/2/3/4/5/6/7/8'), (3, 'http://a.org') AS t(id, url)")
+    assert {r.page_id: r.blocked for r in U.judge(captures, entries).collect()} == {1: True, 2: False, 3: False}

@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Path folders that a prefix entry may name at most; a deeper entry is rejected.
-DEPTH = 8
-
 
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -25,13 +22,13 @@ def folders_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """Array of (kind, value): the host, its parent domains of two labels or more, and host/folder prefixes."""
+    """Array of (kind, value): the host, its parent domains of two labels or more, and host/folder prefixes of every depth."""
     host, labels = host_of(url), F.split(host_of(url), r"\.")
     n = F.size(labels)
     counts = F.filter(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda k: k <= n)
     domains = F.transform(counts, lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, n - k + 1, k), ".").alias("value")))
     folders = folders_of(url)
-    depths = F.filter(F.sequence(F.lit(1), F.lit(DEPTH)), lambda k: k <= F.size(folders))
+    depths = F.filter(F.sequence(F.lit(1), F.greatest(F.size(folders), F.lit(1))), lambda k: k <= F.size(folders))
     prefixes = F.transform(depths, lambda k: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", host, F.array_join(F.slice(folders, 1, k), "/")).alias("value")))
     return F.when(host == "", F.array().cast("array<struct<kind:string,value:string>>")).otherwise(F.concat(F.array(F.struct(F.lit("host").alias("kind"), host.alias("value"))), domains, prefixes))
 
