@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickweave.llm import decontamination, jaccard_join, line_dedup, nearest, packing, quality, secrets, token_counts, toxicity, url_lists
+from tickweave.llm import centroids, decontamination, jaccard_join, line_dedup, mixing, nearest, packing, quality, secrets, token_counts, toxicity, url_lists, whitening
 from tickweave.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,18 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")), threshold=0.7)
+
+
+@register("op11_whitening")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"), components=4)
+
+
+@register("op12_mixing")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents")).taken()
+
+
+@register("op13_centroids", centroids.CLUSTER_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf, "embeddings"), k=40, rounds=5)
