@@ -25,9 +25,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block, slots of a shard, and how often a source may be repeated.
 BLOCK, SHARD, REPEATS = 64, 65_536, 3
 #: Documents of a source are put in order by buckets of about this many.
-BUCKET = 4_000
-#: The driver holds one row a source; more sources than this are an error.
-SOURCES = 1_000_000
+BUCKET = 2_000
+#: The driver holds one row a source and sends it to all executors; more sources than this are an error.
+SOURCES = 200_000
+#: Slots that one task fills, about.
+TASK_SLOTS = 200_000
 #: Rows of an Arrow batch that a task gives out at once.
 BATCH = 65_536
 
@@ -53,6 +55,7 @@ class Plan:
     """What the driver knows of each source: its size, target, blocks and slots."""
 
     names: list[str | None]
+    documents: list[int]
     sizes: list[int]
     targets: list[Fraction]
     blocks: np.ndarray
@@ -64,10 +67,15 @@ class Plan:
     def shards(self) -> int:
         return -(-int(self.slots.sum()) // self.shard)
 
+    def sources(self, spark) -> DataFrame:
+        """number, name, source_size, target, buckets: at most SOURCES rows."""
+        rows = [(i, name, size, float(goal), -(-n // BUCKET)) for i, (name, n, size, goal) in enumerate(zip(self.names, self.documents, self.sizes, self.targets, strict=True))]
+        return F.broadcast(spark.createDataFrame(rows, "number int, name string, source_size long, target double, buckets int"))
+
 
 def plan(sized: DataFrame, weights: tuple[int, ...], block: int, shard: int, seed: int) -> Plan:
     """Sources by code point, null last; whole rounds take every block of a source, a broken round as many as its rest needs."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(SOURCES + 1).collect()
+    found = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).limit(SOURCES + 1).collect()
     if len(found) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources: merge the rare ones")
     found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -78,7 +86,7 @@ def plan(sized: DataFrame, weights: tuple[int, ...], block: int, shard: int, see
     for n, goal, count in zip(sizes, wanted, blocks.tolist(), strict=True):
         rounds = int(goal // n) if n else 0
         slots.append(rounds * count + min(count, round((goal - rounds * n) / block)) if n else 0)
-    return Plan([r["source"] for r in found], sizes, wanted, blocks, np.array(slots, dtype=np.int64), shard, seed)
+    return Plan([r["source"] for r in found], [int(r["n"]) for r in found], sizes, wanted, blocks, np.array(slots, dtype=np.int64), shard, seed)
 
 
 # --- permutations ---------------------------------------------------------------------
@@ -178,7 +186,8 @@ def slots(spark, made: Plan) -> DataFrame:
                         block = permuted(k % count, count, _key(made.seed, 2, target, k // count))
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard)), pa.array(slot, pa.int32()), pa.array(np.full(len(k), target), pa.int32()), pa.array(block)], schema=fields)
 
-    return drawn.select("shard", "source", "at", "n", "first").mapInArrow(fill, "shard long, slot int, source int, block long")
+    dealt = drawn.select("shard", "source", "at", "n", "first").repartition(-(-total // TASK_SLOTS) or 1, "shard", "source")
+    return dealt.mapInArrow(fill, "shard long, slot int, source int, block long")
 
 
 # --- blocks ---------------------------------------------------------------------------
@@ -198,11 +207,8 @@ def placed(sized: DataFrame, made: Plan) -> DataFrame:
 
     (source, bucket, rank) is unique; buckets of a source are summed, so a hot source is many tasks.
     """
-    buckets = max(1, -(-sized.count() // BUCKET))
-    spark = sized.sparkSession
-    numbers = spark.createDataFrame([(n, i) for i, n in enumerate(made.names)], "name string, number int")
-    # One row a source, at most SOURCES.
-    rows = sized.join(F.broadcast(numbers), sized["source"].eqNullSafe(numbers["name"])).select("doc_id", F.col("number").alias("source"), "size", "h", F.pmod("h", F.lit(buckets)).alias("bucket"))
+    sources = made.sources(sized.sparkSession)
+    rows = sized.join(sources, sized["source"].eqNullSafe(sources["name"])).select("doc_id", F.col("number").alias("source"), "size", "h", F.pmod("h", "buckets").cast("int").alias("bucket"))
     inside = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
     local = rows.withColumns({"rank": F.row_number().over(inside), "through": F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("size").over(W.partitionBy("source", "bucket"))})
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -224,6 +230,8 @@ def block_parts(located: DataFrame, block: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
+    """Slots are made by tasks from a handful of shard numbers, so Spark takes them for few: joins with them ask for a sorted merge."""
+
     made: Plan
     located: DataFrame
     slots: DataFrame
@@ -232,16 +240,16 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken (words the mix takes of the document) for every row of the documents."""
         times = self.slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-        parts = block_parts(self.located, self.block).join(times, ["source", "block"], "left")
+        parts = block_parts(self.located, self.block).join(times.hint("merge"), ["source", "block"], "left")
         took = F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("bigint")
         rows = parts.groupBy("source", "bucket", "rank", "doc_id", "size").agg(took.alias("taken"))
-        of_source = lambda values, kind: F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")[F.col("source")]
-        return rows.select("doc_id", "size", of_source(self.made.sizes, "bigint").alias("source_size"), of_source(map(float, self.made.targets), "double").alias("target"), "taken")
+        sources = self.made.sources(rows.sparkSession).withColumnRenamed("number", "source")
+        return rows.join(sources, "source").select("doc_id", "size", "source_size", "target", "taken")
 
     def pieces(self) -> DataFrame:
         """shard, slot, source, block, start (first word of the block in its source), doc_id, h, first, words: what every slot holds, document by document."""
         parts = block_parts(self.located, self.block).filter("words > 0").select("source", "block", "start", "doc_id", "h", "first", "words")
-        return self.slots.join(parts, ["source", "block"]).select("shard", "slot", "source", "block", (F.col("start") + F.col("first")).alias("start"), "doc_id", "h", "first", "words")
+        return self.slots.join(parts.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "block", (F.col("start") + F.col("first")).alias("start"), "doc_id", "h", "first", "words")
 
     def texts(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """shard, slot, source, text: the words of every slot, joined by single spaces. Each block's text is put together once and then copied to its slots."""
@@ -253,8 +261,9 @@ class Mix:
         # A block has `block` words, so at most as many pieces.
         whole = held.groupBy("source", "block").agg(F.array_sort(F.collect_list(piece)).alias("p"))
         block_text = whole.select("source", "block", F.array_join(F.flatten(F.transform("p", lambda x: x["w"])), " ").alias("text"))
-        named = self.slots.join(block_text, ["source", "block"])
-        return named.select("shard", "slot", F.array(*[F.lit(n) for n in self.made.names])[F.col("source")].alias("source"), "text")
+        sources = self.made.sources(docs.sparkSession).select(F.col("number").alias("source"), "name")
+        named = self.slots.join(block_text.hint("merge"), ["source", "block"]).join(sources, "source")
+        return named.select("shard", "slot", F.col("name").alias("source"), "text")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), block: int = BLOCK, shard: int = SHARD, seed: int = 12, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> Mix:

@@ -24,7 +24,7 @@ from tickweave.llm.vectors import finite_vectors, whole_numbers
 from tickweave.session import cut
 
 Long = np.longdouble
-SLICE = 4096
+SLICE, STRIP = 4096, 64
 ROUNDS = 40
 
 
@@ -116,31 +116,32 @@ def _unpack(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _totals(distinct: DataFrame, size: int, add, kind: str) -> dict[tuple[int, int], int | float]:
-    """Sums over all distinct vectors of the matrix that `add(rows)` makes of some of them; one matrix a task is shuffled."""
+    """Sums over all distinct vectors of the matrix that `add(rows)` makes of some of them; one matrix a task is shuffled, in strips of STRIP entries."""
     number = pa.int64() if kind == "long" else pa.float64()
-    fields = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("part", number)])
+    fields = pa.schema([("i", pa.int32()), ("strip", pa.int32()), ("part", pa.list_(number))])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, room = None, 0
+        total, room = None, 0.0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                rows = _unpack(batch.column(0).slice(at, SLICE), size)
-                part = add(rows)
-                if total is not None and kind == "long" and room + float(np.abs(part).max()) >= 2.0**62:
+                part = add(_unpack(batch.column(0).slice(at, SLICE), size))
+                most = float(np.abs(part).max(initial=0))
+                if total is not None and kind == "long" and room + most >= 2.0**62:
                     yield out(total)
-                    total, room = None, 0
-                room += float(np.abs(part).max())
+                    total, room = None, 0.0
+                room += most
                 total = part if total is None else total + part
         if total is not None:
             yield out(total)
 
     def out(total: np.ndarray) -> pa.RecordBatch:
-        i, j = np.indices(total.shape).reshape(2, -1)
-        return pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel(), number)], schema=fields)
+        strips = [(i, j // STRIP, total[i, j : j + STRIP].tolist()) for i in range(len(total)) for j in range(0, total.shape[1], STRIP)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*strips, strict=True), fields, strict=True)], schema=fields)
 
-    parts = distinct.mapInArrow(partial, f"i int, j int, part {kind}")
-    part = F.col("part").cast("decimal(38,0)") if kind == "long" else F.col("part")
-    return {(r[0], r[1]): r[2] for r in parts.groupBy("i", "j").agg(F.sum(part)).collect()}
+    entry = lambda j: F.get("part", F.lit(j)).cast("decimal(38,0)" if kind == "long" else "double")
+    parts = distinct.mapInArrow(partial, f"i int, strip int, part array<{kind}>")
+    rows = parts.groupBy("i", "strip").agg(*[F.sum(entry(j)).alias(f"s{j}") for j in range(STRIP)]).collect()
+    return {(r[0], r[1] * STRIP + j): r[2 + j] for r in rows for j in range(STRIP) if r[2 + j] is not None}
 
 
 def _product(y: np.ndarray) -> np.ndarray:
