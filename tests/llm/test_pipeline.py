@@ -9,8 +9,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_jaccard import brute as jaccard_brute
-from tests.llm.test_lines import brute as lines_brute
-from tickweave.llm import packing, toxicity
+from tests.llm.test_lines import brute_rare
+from tickweave.llm import line_dedup, packing, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,13 +30,23 @@ def rows(part):
     return [(r.doc_id, r.text) for r in part]
 
 
+def lines_kept(docs):
+    """(doc_id, text) after line dedup: exact copies of an earlier text go, then shared runs of 20 words and lines of few texts, then what is empty."""
+    first = {}
+    for i, t in sorted(docs):
+        first.setdefault(t, i)
+    distinct = [(i, t) for t, i in first.items() if t]
+    gone = brute_rare(distinct, line_dedup.MIN_WORDS, line_dedup.RARE)
+    left = {t: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ())) for i, t in distinct}
+    return sorted((i, left.get(t, t)) for i, t in docs if first[t] == i or not t if not gone.get(i) or left[t].strip())
+
+
 def test_each_stage(spark, stages):
     documents, toxic, lines, near, leaks, packed = stages
     model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
     scores = toxicity.text_scores(*model, [r.text.encode() for r in documents])
     assert sorted(r.doc_id for r in toxic) == sorted(r.doc_id for r, s in zip(documents, scores, strict=True) if s < 0.7)
-    want = [(int(i), t) for i, _, gone, _, t in lines_brute(rows(toxic), 20) if gone == 0 or t.strip()]
-    assert sorted(rows(lines)) == sorted(want)
+    assert sorted(rows(lines)) == lines_kept(rows(toxic))
     assert all(r.n_chars == len(r.text) for r in lines)
     assert sorted(r.doc_id for r in near) == sorted(int(i) for i, _, c in jaccard_brute(rows(lines), 5, 80) if i == c)
     assert all(r.text == dict(rows(near))[r.doc_id] for r in leaks) and {r.doc_id for r in leaks} <= {r.doc_id for r in near}
