@@ -180,3 +180,14 @@ def test_no_long_common_run_stays(later, earlier, rare):
     long = [r for r in common if sum(words[k] for k in r) >= 12 or rare & {later[k] for k in r}]
     assert all(set(r) & set(gone) for r in long)
     assert set(gone) <= {k for r in long for k in r}
+
+
+def test_helper_names_as_input_columns(spark):
+    rows = [(1, "the same short text"), (2, "the same short text"), (3, "edit a\nseven rare words that two texts share\nedit b"), (4, "edit c\nseven rare words that two texts share\nedit d"), (5, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    own = ("key", "_key", "_gone", "_first", "_copied", "_KEY_", "source", "rare", "lines", "rank", "mark")
+    wide = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in own])
+    want = {r.doc_id: r for r in L.line_dedup(plain, rare=L.RARE).collect()}
+    for r in L.line_dedup(wide, rare=L.RARE).collect():
+        assert (r.text, r.n_deleted, r.copy_of) == (want[r.doc_id].text, want[r.doc_id].n_deleted, want[r.doc_id].copy_of)
+        assert [r[c] for c in own] == [f"{c}{r.doc_id}" for c in own]

@@ -51,3 +51,14 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
 
 def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have yet: the given ones, with underscores put behind those that it has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickweave.llm.frames import map_slices, texts
+from tickweave.llm.frames import map_slices, texts, unused
 from tickweave.session import cut
 
 MIN_WORDS = 20
@@ -237,15 +237,17 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = 0) -> Da
     gone = blocks.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone")).filter(F.size("_gone") > 0)
     changes = firsts.select("key", "copied", F.col("doc_id").alias("_first")).join(gone, "key", "left").filter("copied OR _gone IS NOT NULL")
 
-    joined = rows.withColumn("key", F.md5("text")).join(cut(changes.withColumnRenamed("copied", "_copied")), "key", "left")
-    copy = F.coalesce("_copied", F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col("_first"))
+    key, copied, first, cuts = unused(rows, "_key", "_copied", "_first", "_gone")
+    marked = cut(changes.select(F.col("key").alias(key), F.col("copied").alias(copied), F.col("_first").alias(first), F.col("_gone").alias(cuts)))
+    joined = rows.withColumn(key, F.md5("text")).join(marked, key, "left")
+    copy = F.coalesce(copied, F.lit(False)) & ~F.col("doc_id").eqNullSafe(F.col(first))
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i.cast("bigint"))), "\n")
-    deleted = F.when(copy, F.size(lines)).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).cast("bigint")
-    left = F.when(copy, F.lit("")).when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text"))
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(cuts, i.cast("bigint"))), "\n")
+    deleted = F.when(copy, F.size(lines)).otherwise(F.coalesce(F.size(cuts), F.lit(0))).cast("bigint")
+    left = F.when(copy, F.lit("")).when(F.col(cuts).isNotNull(), kept).otherwise(F.col("text"))
     return joined.select(
         *[left.alias("text") if c == "text" else F.col(f"`{c}`") for c in rows.columns],
         F.size(lines).cast("bigint").alias("n_lines"),
         deleted.alias("n_deleted"),
-        F.when(copy, F.col("_first")).alias("copy_of"),
+        F.when(copy, F.col(first)).alias("copy_of"),
     )
