@@ -32,6 +32,15 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r.doc_id for r in D.leaks(docs, items).collect()] == [2]
 
 
+def test_folders_match_in_their_own_case(spark):
+    day = datetime.date(2024, 1, 1)
+    entries = spark.createDataFrame([("block", "prefix", "EX.com/Docs", "add", day), ("block", "host", "Site.ORG", "add", day), ("block", "domain", "Net.Org", "add", day)], "list string, kind string, value string, action string, at date")
+    urls = ["https://ex.com/Docs/a", "https://EX.com/Docs", "https://ex.com/docs/a", "https://ex.com/Docsy", "http://SITE.org/X", "http://a.net.org/", "http://site.org.uk/"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    got = {r.page_id: r.rules for r in U.judge(captures, entries).collect()}
+    assert got == {0: "block:prefix:ex.com/Docs", 1: "block:prefix:ex.com/Docs", 2: "", 3: "", 4: "block:host:site.org", 5: "block:domain:net.org", 6: ""}
+
+
 def test_shuffled_join_gives_the_same(spark, docs, monkeypatch):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     want = sorted(D.leaks(docs, benchmark).collect())

@@ -38,8 +38,11 @@ def validity(entries: DataFrame) -> DataFrame:
 
     `entries`: list, kind (host, domain, prefix), value, action (add, remove), at (date). On one day the removal counts
     last; repeated additions and removals change nothing; rows with a null in any of these columns, or another action, are no entries.
+    Hosts and domains match in any case, as does the host of a prefix; its folders match in their own case, as in the url.
     """
-    named = entries.select("list", "kind", F.lower("value").alias("value"), "at", F.col("action").alias("_action")).dropna().filter(F.col("_action").isin("add", "remove"))
+    host, rest = F.regexp_extract("value", "^[^/]*", 0), F.regexp_extract("value", "(?s)^[^/]*(.*)$", 1)
+    value = F.when(F.col("kind") == "prefix", F.concat(F.lower(host), rest)).otherwise(F.lower("value"))
+    named = entries.select("list", "kind", value.alias("value"), "at", F.col("action").alias("_action")).dropna().filter(F.col("_action").isin("add", "remove"))
     days = named.groupBy("list", "kind", "value", "at").agg(F.max(F.col("_action") == "remove").alias("_off"))
     # The days on which one entry changed: the calendar bounds them.
     order = W.partitionBy("list", "kind", "value").orderBy("at")
