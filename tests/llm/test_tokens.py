@@ -84,3 +84,16 @@ def test_plan_places_every_piece_once():
                 placed[length] = placed.get(length, 0) + 1
             assert end <= 100 and sum(3 * n > 100 for _, n in parts) <= 2
         assert placed == counts and len(bins) == plan.bins
+
+
+def test_pack_keeps_columns_of_any_name(spark):
+    own = ("_part", "_row", "_rank", "_base", "_slots", "_slot", "_parts", "_all", "sequence_id")
+    rows = [(i, 0, 1 + i * 7 % 60) for i in range(200)]
+    plain = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    wide = plain.selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in own])
+    want = {r.doc_id: (r.sequence_id, r.offset) for r in packing.pack(plain, 64).collect()}
+    got = packing.pack(wide, 64)
+    assert got.columns == ["doc_id", "piece", "length", *own[:-1], "sequence_id", "offset"]
+    for r in got.collect():
+        assert (r.sequence_id, r.offset) == want[r.doc_id]
+        assert [r[c] for c in own[:-1]] == [f"{c}{r.doc_id}" for c in own[:-1]]

@@ -213,7 +213,7 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of `pieces` (doc_id, piece, length and any others) with sequence_id and offset, gapless from 0.
+    """The rows of `pieces` (doc_id, piece, length and any others) with sequence_id and offset, gapless from 0; such columns of the input are replaced.
 
     `pieces` is read twice, so it should be a table or checkpoint. What reaches the driver is one row per length.
     Lengths run from 1 to `capacity`; no rows give no rows.
@@ -232,16 +232,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             "length long, _parts int, _slots array<struct<rank:long, n:long, bin:long, per:long, off:long>>",
         )
     )
-    dealt = pieces.join(plan, "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")))
+    columns = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    tie = [c for c in ("ids_crc32",) if c in columns]
+    # The input's own columns travel in one struct, so no helper clashes with them.
+    rows = pieces.select("length", "doc_id", "piece", *tie, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_all"))
+    dealt = rows.join(plan, "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("_parts")))
     before = W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     parts = dealt.groupBy("length", "_part").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    order = W.partitionBy("length", "_part").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])
+    order = W.partitionBy("length", "_part").orderBy("doc_id", "piece", *tie)
     ranked = dealt.withColumn("_row", F.row_number().over(order)).join(parts, ["length", "_part"])
     rank = F.col("_base") + F.col("_row") - 1
     slot = F.element_at(F.filter("_slots", lambda s: s["rank"] <= F.col("_rank")), -1)
     at = F.col("_rank") - F.col("_slot.rank")
     return ranked.withColumn("_rank", rank).withColumn("_slot", slot).select(
-        *pieces.columns,
+        *[F.col("_all")[c].alias(c) for c in columns],
         (F.col("_slot.bin") + F.floor(at / F.col("_slot.per"))).cast("bigint").alias("sequence_id"),
         (F.col("_slot.off") + at % F.col("_slot.per") * F.col("length")).cast("bigint").alias("offset"),
     )
