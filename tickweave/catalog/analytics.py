@@ -139,7 +139,7 @@ cov AS (SELECT x.symbol AS a, y.symbol AS b, covar_samp(x.ret, y.ret) AS c FROM
 
 
 def region_returns(spark, sf):
-    return O.return_panel(region_prices(spark, sf), chunk=None)
+    return O.return_panel(region_prices(spark, sf), bounded=True)
 
 
 @register("o01_return_panel", f"WITH {RETURNS} SELECT symbol, ts::VARCHAR AS ts, round(ret, 6) AS ret FROM rets")

@@ -107,7 +107,7 @@ c AS (SELECT *, signal IS DISTINCT FROM lag(signal) OVER w AS is_new FROM s WIND
 r AS (SELECT asset_id, seq, ts, signal, run, row_number() OVER (PARTITION BY asset_id, run ORDER BY seq) AS run_count, first_value(ts) OVER (PARTITION BY asset_id, run ORDER BY seq) AS st FROM g)
 SELECT asset_id, seq, signal, run_count, CASE WHEN signal = 'NEUTRAL' AND run = 1 THEN 0 ELSE round((epoch_us(ts) - epoch_us(st)) / 1e6, 3) END::DOUBLE AS age_seconds, signal <> 'NEUTRAL' AND run_count >= 2 AS active FROM r""")
 def persistence(spark, sf):
-    p = K.persistence_batch(event_signals(spark, sf), order=["seq"], chunk=100_000)
+    p = K.persistence_batch(event_signals(spark, sf), order=["seq"])
     return p.select("asset_id", "seq", "signal", "run_count", r6("age_seconds", 3).alias("age_seconds"), "active")
 
 

@@ -55,7 +55,8 @@ def flagship(spark, sf):
         before = F.lag("flag").over(w) & (F.lag("day").over(w) == F.col("day"))
         return d.withColumn("start", F.col("flag") & ~F.coalesce(before, F.lit(False)))
 
-    marked = over_series(grid(spark, sf), ["symbol"], ["ts"], build, before=16, after=5)
+    # one row per symbol and minute of the calendar
+    marked = over_series(grid(spark, sf), ["symbol"], ["ts"], build, before=16, after=5, bounded=True)
     return marked.filter("start").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_starts"), F.count("fwd_5").alias("n_forward"), r6(F.avg("fwd_5")).alias("mean_fwd_5"))
 
@@ -87,7 +88,7 @@ ROLLING_CORR = RETS + """, rc AS (SELECT stock_a, stock_b, ts, day, CASE WHEN co
 
 @register("w04_rolling_corr_daily", f"WITH {ROLLING_CORR} SELECT stock_a, stock_b, day::VARCHAR AS day, round(c, 6) AS rolling_corr FROM rc")
 def rolling_corr_daily(spark, sf):
-    return L.rolling_corr_daily(aligned(spark, sf), 60, chunk=None).withColumn("rolling_corr", r6("rolling_corr"))
+    return L.rolling_corr_daily(aligned(spark, sf), 60, bounded=True).withColumn("rolling_corr", r6("rolling_corr"))
 
 
 @register("w05_forward_returns", f"WITH {TICKS} SELECT event_id, " + ", ".join(f"round(lead(price, {h}) OVER ({_WT}) / price - 1, 6) AS fwd_{h}" for h in (5, 15, 30, 60)) + " FROM ticks")
@@ -186,7 +187,7 @@ def run_length(spark, sf):
 
 @register("w17_lead_lag", "WITH " + RETS + ", m AS (SELECT stock_a, stock_b, x_a, x_b" + "".join(f", lead(x_b, {k}) OVER w AS y{k}, lead(x_a, {k}) OVER w AS x{k}" for k in (1, 5, 15, 30)) + " FROM aligned WINDOW w AS (PARTITION BY stock_a, stock_b ORDER BY ts)), s AS (" + " UNION ALL ".join(f"SELECT stock_a, stock_b, {k} AS lag, corr(x_a, y{k}) AS f, corr(x_b, x{k}) AS r FROM m GROUP BY 1, 2" for k in (1, 5, 15, 30)) + ") SELECT stock_a, stock_b, lag, round(f, 6) AS forward, round(r, 6) AS reverse, round(f - r, 6) AS lead_score, CASE WHEN f - r > 0 THEN stock_a ELSE stock_b END AS leader FROM s")
 def lead_lag(spark, sf):
-    s = L.lead_lag(aligned(spark, sf), chunk=None)
+    s = L.lead_lag(aligned(spark, sf), bounded=True)
     return s.withColumns({c: r6(c) for c in ("forward", "reverse", "lead_score")})
 
 
@@ -194,7 +195,7 @@ def lead_lag(spark, sf):
 k AS (SELECT trading_day, stock_a, stock_b, c, row_number() OVER (PARTITION BY trading_day ORDER BY round(c, 9) DESC, stock_a, stock_b) AS rank FROM rc JOIN d USING (day) WHERE c IS NOT NULL AND trading_day IS NOT NULL)
 SELECT trading_day::VARCHAR AS trading_day, stock_a, stock_b, rank, round(c, 6) AS rolling_corr, CASE WHEN a.market_cap >= b.market_cap THEN stock_a ELSE stock_b END AS leader FROM k JOIN universe a ON a.symbol = stock_a JOIN universe b ON b.symbol = stock_b WHERE rank <= 10""")
 def daily_pair_universe(spark, sf):
-    u = L.daily_universe(aligned(spark, sf), candidates(spark, sf), universe(spark, sf), 60, top=10, chunk=None)
+    u = L.daily_universe(aligned(spark, sf), candidates(spark, sf), universe(spark, sf), 60, top=10, bounded=True)
     return u.select("trading_day", "stock_a", "stock_b", "rank", r6("rolling_corr").alias("rolling_corr"), "leader")
 
 

@@ -40,7 +40,7 @@ perm AS (SELECT stock_a, stock_b, any_value(lead_score) AS lead_score, any_value
 
 
 def permuted(spark, sf):
-    return H.permutation_lead_score(aligned(spark, sf), 1, 10, chunk=None)
+    return H.permutation_lead_score(aligned(spark, sf), 1, 10, bounded=True)
 
 
 @register("h03_permutation_lead_score", f"WITH {PERM} SELECT stock_a, stock_b, round(lead_score, 6) AS lead_score, n_obs, round(random_mean, 6) AS random_mean, round(random_std, 6) AS random_std, round(p_value, 6) AS p_value FROM perm")
@@ -61,7 +61,7 @@ SELECT o_orderstatus, round(quantile_cont(r, 0.025), 6) AS lower, round(quantile
 def bootstrap_corr(spark, sf):
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey).select("o_orderstatus", "o_orderkey", "c_acctbal", "o_totalprice")
-    out = H.bootstrap_corr(j, "c_acctbal", "o_totalprice", ["o_orderkey"], 40, keys=["o_orderstatus"], chunk=100_000)
+    out = H.bootstrap_corr(j, "c_acctbal", "o_totalprice", ["o_orderkey"], 40, keys=["o_orderstatus"])
     return out.withColumns({"lower": r6("lower"), "upper": r6("upper")})
 
 

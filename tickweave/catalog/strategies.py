@@ -216,7 +216,7 @@ def cumulative_pnl(spark, sf):
     from tickweave.plans.series import running
 
     m = simple_mispriced(spark, sf).withColumn("pred", (F.col("mispricing") > 0).cast("int"))
-    c = running(K.binary_pnl(m, ["pred"]), [], ["market_id"], {"cum_pnl": ("sum", "pnl_pred")}, chunk=10_000)
+    c = running(K.binary_pnl(m, ["pred"]), [], ["market_id"], {"cum_pnl": ("sum", "pnl_pred")})
     return c.select("market_id", r6("cum_pnl").alias("cum_pnl"))
 
 

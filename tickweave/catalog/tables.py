@@ -31,7 +31,7 @@ def candidates(spark, sf):
 
 def daily_returns(spark, sf):
     """Log returns of daily prices: one row per nation and day, so plain windows."""
-    return R.returns(daily(spark, sf), "log", chunk=None)
+    return R.returns(daily(spark, sf), "log", bounded=True)
 
 
 def aligned(spark, sf):
@@ -131,7 +131,7 @@ tests AS (SELECT stock_a, stock_b, corr(x_a, y1) - corr(x_b, x1) AS lead_score F
 @register("j14_empirical_pairs", f"""WITH {LEADS} SELECT stock_a || '_' || stock_b AS pair, stock_a, stock_b, CASE WHEN lead_score > 0 THEN stock_a ELSE stock_b END AS leader,
  CASE WHEN lead_score > 0 THEN stock_b ELSE stock_a END AS follower FROM tests WHERE 1 / (1 + 100 * abs(lead_score)) < 0.4""")
 def empirical_pairs(spark, sf):
-    tests = L.lead_lag(aligned(spark, sf), [1], chunk=None)
+    tests = L.lead_lag(aligned(spark, sf), [1], bounded=True)
     tests = tests.withColumn("p_value", 1 / (1 + 100 * F.abs("lead_score")))
     twice = tests.unionByName(tests.withColumn("p_value", F.lit(0.39999) + F.col("p_value")))
     return J.empirical_pairs(twice, "leader", 0.4).drop("p_value")
@@ -360,8 +360,8 @@ def same_order(spark, sf):
     from tickweave.plans.series import index_rows as number
 
     c = table(spark, sf, "customer")
-    x = number(c, [], ["c_custkey"], chunk=100_000).select("_pos", F.col("c_custkey").alias("x"))
-    y = number(c, [], ["c_acctbal", "c_custkey"], chunk=100).select("_pos", F.col("c_custkey").alias("y"))
+    x = number(c, [], ["c_custkey"]).select("_pos", F.col("c_custkey").alias("x"))
+    y = number(c, [], ["c_acctbal", "c_custkey"]).select("_pos", F.col("c_custkey").alias("y"))
     return x.join(y, "_pos", "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).agg(F.count(F.lit(1)).alias("n_differ"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.operators.series import rolled
-from tickweave.plans.series import CHUNK, index_rows, over_series, running
+from tickweave.plans.series import index_rows, over_series, running
 from tickweave.plans.spread import DRAWS, hash_draw, salted_join
 
 PAIR = ("leader", "follower")
@@ -95,7 +95,7 @@ def _with_returns(df: DataFrame, equity: str, ret: str, day: str, keys: Sequence
 def daily_equity(trades: DataFrame, capital: float = NOTIONAL) -> DataFrame:
     """Daily PnL, equity (already includes the first day's PnL) and return (first = 0)."""
     pnl = trades.groupBy("trading_day").agg(F.sum("net_pnl").alias("daily_pnl"))
-    cum = running(pnl, [], ["trading_day"], {"_cum": ("sum", "daily_pnl")}, chunk=None)
+    cum = running(pnl, [], ["trading_day"], {"_cum": ("sum", "daily_pnl")}, bounded=True)
     equity = cum.withColumn("strategy_equity", F.lit(float(capital)) + F.col("_cum")).drop("_cum")
     return _with_returns(equity, "strategy_equity", "strategy_return", "trading_day")
 
@@ -113,7 +113,7 @@ def buy_and_hold(bars: DataFrame, start: str, end: str, capital: float = NOTIONA
 
 def performance(df: DataFrame, equity: str = "strategy_equity", ret: str = "strategy_return", day: str = "trading_day", periods: int = 252, keys: Sequence[str] = ()) -> DataFrame:
     """One row, or one per value of `keys`: total return, CAGR, volatility, Sharpe, Sortino, drawdown, Calmar. Zero divisors give NULL."""
-    falls = running(df, keys, [day], {"_peak": ("max", equity)}, chunk=None)
+    falls = running(df, keys, [day], {"_peak": ("max", equity)}, bounded=True)
     r, year = F.col(ret), F.lit(float(periods))
     base = falls.groupBy(*keys).agg(
         F.min_by(equity, day).alias("_first"), F.max_by(equity, day).alias("_last"), F.count(equity).alias("n_periods"),
@@ -154,7 +154,7 @@ def trade_summary(trades: DataFrame) -> DataFrame:
 # --- signal frequency and event study --------------------------------------------------------
 
 
-def signal_starts(prices: DataFrame, horizons: Sequence[int] = (), leader_edge=LEADER_EDGE, follower_edge=FOLLOWER_EDGE, n: int = SMA, chunk: float | None = CHUNK) -> DataFrame:
+def signal_starts(prices: DataFrame, horizons: Sequence[int] = (), leader_edge=LEADER_EDGE, follower_edge=FOLLOWER_EDGE, n: int = SMA, bounded: bool = False) -> DataFrame:
     """Signals over the whole pair series, their starts within a day, forward follower returns."""
 
     def build(d, w):
@@ -165,7 +165,7 @@ def signal_starts(prices: DataFrame, horizons: Sequence[int] = (), leader_edge=L
             d = d.withColumn(f"{s}_start", F.col(f"{s}_signal") & ~before)
         return d.withColumns({f"fwd_{h}": ratio(F.lead("follower_price", h).over(w), "follower_price") - 1 for h in horizons})
 
-    return over_series(prices, PAIR, ["ts"], build, before=n, after=max([*horizons, 0]), chunk=chunk)
+    return over_series(prices, PAIR, ["ts"], build, before=n, after=max([*horizons, 0]), bounded=bounded)
 
 
 def signal_frequency(starts: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def matched_baseline(starts: DataFrame, horizons: Sequence[int], seed: int = 42)
         known = known & F.col(c).isNotNull()
     draw = hash_draw(F.col("leader"), F.col("follower"), F.unix_seconds(F.col("ts").cast("timestamp")), seed=seed)
     eligible = starts.filter(known).withColumn("_draw", draw)
-    ranked = index_rows(eligible, PAIR, ["_draw", "ts"], chunk=DRAWS / 256)
+    ranked = index_rows(eligible, PAIR, ["_draw", "ts"])
     wanted = starts.groupBy(*PAIR).agg(F.sum(F.col("long_start").cast("bigint")).alias("_n"))
     return salted_join(ranked, wanted, list(PAIR), ["ts"]).filter(F.col("_pos") < F.col("_n")).select(*PAIR, "ts", "trading_day", "follower_price", *cols)
 
@@ -298,14 +298,14 @@ def ichimoku_signal(df: DataFrame, confirm: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("signal", F.when(up, 1).when(down, -1).otherwise(0))
 
 
-def bracket_exit(entries: DataFrame, bars: DataFrame, stops: Sequence[float], targets: Sequence[float], block: int = 128, chunk: float | None = CHUNK) -> DataFrame:
+def bracket_exit(entries: DataFrame, bars: DataFrame, stops: Sequence[float], targets: Sequence[float], block: int = 128, bounded: bool = False) -> DataFrame:
     """First later bar that touches the stop (entry - k·ATR) or the target (entry + m·ATR), per grid point.
 
     ``entries``: symbol, ts, close, atr. The search looks at the rest of the
     entry's block of bars, then at block extremes, then inside the first block
     that can hold the touch. Stop wins when one bar touches both.
     """
-    numbered = index_rows(bars.select("symbol", "ts", "low", "high", "close"), ["symbol"], ["ts"], chunk=chunk)
+    numbered = index_rows(bars.select("symbol", "ts", "low", "high", "close"), ["symbol"], ["ts"], bounded=bounded)
     numbered = numbered.withColumn("_block", F.floor(F.col("_pos") / block).cast("bigint"))
     grid = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.lit(float(m)).alias("m")) for k in stops for m in targets])
     orders = (
@@ -348,13 +348,13 @@ def grid_score(exits: DataFrame) -> DataFrame:
 BUY_LABEL, SHORT_LABEL, STAY_LABEL = "Comprar", "Vender en Corto", "No operar"
 
 
-def ensemble_decision(df: DataFrame, max_dispersion: float = 200.0, max_vol: float = 0.1, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), chunk: float | None = CHUNK) -> DataFrame:
+def ensemble_decision(df: DataFrame, max_dispersion: float = 200.0, max_vol: float = 0.1, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), bounded: bool = False) -> DataFrame:
     """Prediction, median trend, dispersion and volatility → decision and next-bar gain; the last bar drops out."""
 
     def build(d, w):
         return d.withColumn("next_price", F.lead("price").over(w))
 
-    ahead = over_series(df, keys, order, build, after=1, chunk=chunk).filter(F.col("next_price").isNotNull())
+    ahead = over_series(df, keys, order, build, after=1, bounded=bounded).filter(F.col("next_price").isNotNull())
     calm = ~(F.col("dispersion") > max_dispersion) & ~(F.col("volatility") > max_vol)
     price = F.col("price")
     up = (F.col("prediction") > price) & (F.col("median") > price) & calm

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave.functions.scalars import ratio
-from tickweave.operators.series import ewm_memory, recursive, rolled
-from tickweave.plans.series import BLOCK, index_rows, into_blocks, over_series
+from tickweave.operators.series import ewm, rolled
+from tickweave.plans.series import BLOCK, affine_scan, index_rows, into_blocks, measure, over_series
 from tickweave.session import cut
 
 KEYS, ORDER = ("symbol",), ("ts",)
@@ -69,31 +69,22 @@ def fill_indicators(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.fillna(0, subset=list(cols))
 
 
-def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys=KEYS, order=ORDER) -> DataFrame:
+def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, keys=KEYS, order=ORDER, bounded: bool = False, block: int = BLOCK) -> DataFrame:
     """EMA(fast) - EMA(slow) and its EMA(signal)."""
+    cells = None if bounded else measure(bars, keys, order, block)
+    lines = ewm(bars, {"ema_fast": ("close", fast), "ema_slow": ("close", slow)}, keys, order, bounded, block, cells)
+    return ewm(lines.withColumn("macd", F.col("ema_fast") - F.col("ema_slow")), {"macd_signal": ("macd", signal)}, keys, order, bounded, block, cells)
 
-    def fn(pdf):
-        pdf["ema_fast"] = pdf["close"].ewm(span=fast, adjust=False).mean()
-        pdf["ema_slow"] = pdf["close"].ewm(span=slow, adjust=False).mean()
-        pdf["macd"] = pdf["ema_fast"] - pdf["ema_slow"]
-        pdf["macd_signal"] = pdf["macd"].ewm(span=signal, adjust=False).mean()
-        return pdf
 
-    fields = [T.StructField(n, T.DoubleType()) for n in ("ema_fast", "ema_slow", "macd", "macd_signal")]
-    return recursive(bars, fn, fields, ewm_memory(2 / (slow + 1), 2 / (signal + 1)), keys, order)
-
-
-def sma_vs_ema(bars: DataFrame, n: int = 10, keys=KEYS, order=ORDER) -> DataFrame:
+def sma_vs_ema(bars: DataFrame, n: int = 10, keys=KEYS, order=ORDER, bounded: bool = False, block: int = BLOCK) -> DataFrame:
     """SMA(n), EMA(n) and their difference."""
 
-    def fn(pdf):
-        pdf["sma"] = pdf["close"].rolling(n).mean()
-        pdf["ema"] = pdf["close"].ewm(span=n, adjust=False).mean()
-        pdf["sma_vs_ema"] = pdf["sma"] - pdf["ema"]
-        return pdf
+    def build(d, w):
+        return d.withColumn("sma", rolled("mean", "close", n, w))
 
-    fields = [T.StructField(c, T.DoubleType()) for c in ("sma", "ema", "sma_vs_ema")]
-    return recursive(bars, fn, fields, ewm_memory(2 / (n + 1)) + n, keys, order)
+    cells = None if bounded else measure(bars, keys, order, block)
+    means = over_series(bars, keys, order, build, before=n - 1, bounded=bounded, block=block, cells=cells)
+    return ewm(means, {"ema": ("close", n)}, keys, order, bounded, block, cells).withColumn("sma_vs_ema", F.col("sma") - F.col("ema"))
 
 
 def ichimoku(bars: DataFrame, short: int = 9, mid: int = 26, long: int = 52, shift: int = 26, lookahead: bool = True, keys=KEYS, order=ORDER) -> DataFrame:
@@ -113,21 +104,26 @@ def ichimoku(bars: DataFrame, short: int = 9, mid: int = 26, long: int = 52, shi
     return over_series(bars, keys, order, build, before=long + shift, after=shift if lookahead else 0)
 
 
-def wilder_atr(bars: DataFrame, n: int = 14, keys=KEYS, order=ORDER) -> DataFrame:
-    """Average true range with Wilder's smoothing, seeded by the mean of the first n ranges."""
+def wilder_atr(bars: DataFrame, n: int = 14, keys=KEYS, order=ORDER, bounded: bool = False, block: int = BLOCK) -> DataFrame:
+    """Average true range with Wilder's smoothing, seeded by the mean of the first n ranges.
 
-    def fn(pdf):
-        prev = pdf["close"].shift(1)
-        tr = pd.concat([pdf["high"] - pdf["low"], (pdf["high"] - prev).abs(), (pdf["low"] - prev).abs()], axis=1).max(axis=1)
-        seed = tr.iloc[:n].mean()
-        x = tr.copy()
-        x.iloc[: n - 1] = np.nan
-        if len(x) >= n:
-            x.iloc[n - 1] = seed
-        pdf["atr"] = x.ewm(alpha=1 / n, adjust=False).mean()
-        return pdf
+    A range with a missing price is left out of the seed and does not change the average.
+    """
+
+    def build(d, w):
+        prev = F.lag("close").over(w)
+        # greatest() skips missing distances, as on the first row
+        return d.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))).withColumns(
+            {"_seed": F.avg("_tr").over(w.rowsBetween(-(n - 1), 0)), "_at": F.col("_pos")}
+        )
 
-    return recursive(bars, fn, [T.StructField("atr", T.DoubleType())], ewm_memory(1 / n) + n + 1, keys, order)
+    cells = None if bounded else measure(bars, keys, order, block)
+    rows = over_series(bars, keys, order, build, before=n, bounded=bounded, block=block, cells=cells)
+    begun, first = F.col("_at") >= n - 1, F.col("_at") == n - 1
+    a = F.when(first | ~begun, 0.0).when(F.col("_tr").isNull(), 1.0).otherwise(1 - 1 / n)
+    b = F.when(first, F.coalesce("_seed", F.lit(0.0))).when(begun & F.col("_tr").isNotNull(), F.col("_tr") / n).otherwise(0.0)
+    out = affine_scan(rows, keys, order, {"atr": (a, b)}, bounded, block, cells)
+    return out.withColumn("atr", F.when(begun, F.col("atr"))).select(*bars.columns, "atr")
 
 
 def _sar_rows(pdf: pd.DataFrame, step: float, cap: float) -> pd.DataFrame:
@@ -155,7 +151,7 @@ def _sar_rows(pdf: pd.DataFrame, step: float, cap: float) -> pd.DataFrame:
     return pdf.assign(sar=sar, ep=ep, af=af, up=up)
 
 
-def parabolic_sar(bars: DataFrame, step: float = 0.02, cap: float = 0.2, keys=KEYS, order=ORDER, block: int = BLOCK, memory: int = 2000) -> DataFrame:
+def parabolic_sar(bars: DataFrame, step: float = 0.02, cap: float = 0.2, keys=KEYS, order=ORDER, block: int = 32_768, memory: int = 2000) -> DataFrame:
     """Parabolic stop-and-reverse, exact for series of any length.
 
     Blocks run side by side, each warmed up on the rows before it. Where a

@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
 from tickweave.operators.series import returns
-from tickweave.plans.series import CHUNK
 from tickweave.session import cut
 
 PERIODS = 252
 
 
-def return_panel(prices: DataFrame, asset: str = "symbol", day: str = "ts", price: str = "close", chunk: float | None = CHUNK) -> DataFrame:
+def return_panel(prices: DataFrame, asset: str = "symbol", day: str = "ts", price: str = "close", bounded: bool = False) -> DataFrame:
     """Simple returns on the dates where every asset has one."""
     # read for its rows and for its complete dates; an asset of one price has no return, and so no complete date
-    moves = cut(returns(prices, "simple", price, [asset], [day], chunk=chunk).select(asset, day, "ret"))
+    moves = cut(returns(prices, "simple", price, [asset], [day], bounded=bounded).select(asset, day, "ret"))
     rets = moves.filter(F.col("ret").isNotNull())
     n_assets = moves.select(F.countDistinct(asset).alias("n")).scalar()
     full = rets.groupBy(day).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == n_assets).select(day)

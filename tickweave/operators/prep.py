@@ -104,12 +104,12 @@ def group_split(df: DataFrame, key: str, frac: float = 0.8, seed: int = 0, out:
 def stratified_folds(df: DataFrame, label: str, row_id: str, k: int, seed: int = 0, out: str = "fold") -> DataFrame:
     """Fold number by shuffled position inside the class, so every fold has the class shares."""
     drawn = df.withColumn("_draw", hash_draw(F.col(row_id), seed=seed))
-    ranked = index_rows(drawn, [label], ["_draw", row_id], chunk=DRAWS / 256)
+    ranked = index_rows(drawn, [label], ["_draw", row_id])
     return ranked.withColumn(out, F.pmod("_pos", F.lit(k)).cast("int")).drop("_pos", "_draw")
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, frac: float = 0.7, seed: int = 0, out: str = "is_train") -> DataFrame:
     """The first ``frac`` of each class in hash order is train."""
     drawn = df.withColumn("_draw", hash_draw(F.col(row_id), seed=seed))
-    ranked = index_rows(drawn, [label], ["_draw", row_id], total="_n", chunk=DRAWS / 256)
+    ranked = index_rows(drawn, [label], ["_draw", row_id], total="_n")
     return ranked.withColumn(out, F.col("_pos") < F.floor(F.col("_n") * frac)).drop("_pos", "_draw", "_n")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 from tickweave.functions.scalars import ratio, safe_corr, safe_log_ratio
-from tickweave.plans.series import BLOCK, CHUNK, index_rows, into_blocks, lagged, over_series, running
+from tickweave.plans.series import BLOCK, UNMEASURED, affine_scan, index_rows, lagged, measure, over_series, running
 
 # --- window expressions ----------------------------------------------------------
 
@@ -40,20 +37,20 @@ def rolled(fn: str, c: Column | str, n: int, w: WindowSpec) -> Column:
 # --- operators --------------------------------------------------------------------
 
 
-def returns(df: DataFrame, kind: str = "simple", price: str = "close", keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), out: str = "ret", chunk: float | None = CHUNK) -> DataFrame:
+def returns(df: DataFrame, kind: str = "simple", price: str = "close", keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",), out: str = "ret", bounded: bool = False) -> DataFrame:
     """Row-to-row return ("simple", "log" or "diff"), not reset at day borders."""
-    prev = lagged(df, keys, order, {"_prev": (price, 1)}, chunk=chunk)
+    prev = lagged(df, keys, order, {"_prev": (price, 1)}, bounded=bounded)
     return prev.withColumn(out, change(price, F.col("_prev"), kind)).drop("_prev")
 
 
-def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], keys=("symbol",), order=("ts",), chunk: float | None = CHUNK) -> DataFrame:
+def rolling(df: DataFrame, specs: dict[str, tuple[str, str, int]], keys=("symbol",), order=("ts",), bounded: bool = False) -> DataFrame:
     """{new: (mean|std|max|min|sum, column, n)}; all columns share one shuffle."""
     reach = max(n for _, _, n in specs.values()) - 1
 
     def build(d, w):
         return d.withColumns({k: rolled(fn, c, n, w) for k, (fn, c, n) in specs.items()})
 
-    return over_series(df, keys, order, build, before=reach, chunk=chunk)
+    return over_series(df, keys, order, build, before=reach, bounded=bounded)
 
 
 def forward_returns(df: DataFrame, horizons: Sequence[int] = (5, 15, 30, 60), price: str = "close", keys=("symbol",), order=("ts",)) -> DataFrame:
@@ -71,60 +68,47 @@ def rising_edge(df: DataFrame, flag: str, keys: Sequence[str], order=("ts",), ou
     return prev.withColumn(out, now & ~before).drop("_prev", "_day")
 
 
-def equity_curve(pnl: DataFrame, value: str, capital: float, keys: Sequence[str] = (), order=("ts",), chunk: float | None = CHUNK) -> DataFrame:
+def equity_curve(pnl: DataFrame, value: str, capital: float, keys: Sequence[str] = (), order=("ts",), bounded: bool = False) -> DataFrame:
     """Capital plus the running sum of PnL."""
-    return running(pnl, keys, order, {"_cum": ("sum", value)}, chunk).withColumn("equity", F.lit(float(capital)) + F.col("_cum")).drop("_cum")
+    return running(pnl, keys, order, {"_cum": ("sum", value)}, bounded).withColumn("equity", F.lit(float(capital)) + F.col("_cum")).drop("_cum")
 
 
-def drawdown(df: DataFrame, value: str = "equity", keys: Sequence[str] = (), order=("ts",), chunk: float | None = CHUNK) -> DataFrame:
-    peaked = running(df, keys, order, {"peak": ("max", value)}, chunk)
+def drawdown(df: DataFrame, value: str = "equity", keys: Sequence[str] = (), order=("ts",), bounded: bool = False) -> DataFrame:
+    peaked = running(df, keys, order, {"peak": ("max", value)}, bounded)
     return peaked.withColumn("drawdown", ratio(value, "peak") - 1)
 
 
-def recursive(
-    df: DataFrame,
-    fn: Callable[[pd.DataFrame], pd.DataFrame],
-    fields: Sequence[T.StructField],
-    memory: int,
-    keys: Sequence[str] = ("symbol",),
-    order: Sequence[str] = ("ts",),
-    block: int = BLOCK,
-    chunk: float | None = CHUNK,
-) -> DataFrame:
-    """Recursions with fading memory, e.g. exponential means, in bounded blocks.
-
-    ``fn`` gets the rows of one block in order, preceded by ``memory`` rows of
-    the block before. ``memory`` is chosen so that what lies further back weighs
-    less than a double can show.
-    """
-    block = max(block, 4 * memory)
-    spread = into_blocks(index_rows(df, keys, order, chunk=chunk), "_pos", memory, 0, block)
-    schema = T.StructType([*df.schema.fields, *fields])
-    columns = schema.fieldNames()
-
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = fn(pdf.sort_values("_pos", ignore_index=True))
-        return pdf.loc[pdf["_own"], columns]
-
-    return spread.groupBy(*keys, "_block").applyInPandas(per_block, schema)
-
-
-def ewm_memory(*alphas: float) -> int:
-    """Rows after which (1-α)^k is below 1e-18, summed over nested means."""
-    return sum(math.ceil(math.log(1e-18) / math.log(1 - a)) for a in alphas)
+def smoothing(x: Column, alpha: float, gap: Column) -> tuple[Column, Column]:
+    """One step of an exponential mean as (a, b) of y = a * y_before + b.
 
+    ``gap`` is the number of rows since the value before, NULL at the first: rows without a value keep the mean, and their weight fades all the same.
+    """
+    old = F.pow(F.lit(1.0 - alpha), gap)
+    a = F.when(x.isNull() | gap.isNull(), 1.0).otherwise(old / (old + alpha))
+    b = F.when(x.isNull(), 0.0).when(gap.isNull(), x).otherwise(x * alpha / (old + alpha))
+    return a, b
 
-def ewm(df: DataFrame, spans: dict[str, tuple[str, int]], keys=("symbol",), order=("ts",), block: int = BLOCK) -> DataFrame:
-    """Exponential means {new: (column, span)}: α = 2/(span+1), y₀ = x₀, no bias adjustment."""
 
-    def fn(pdf):
-        for name, (c, span) in spans.items():
-            pdf[name] = pdf[c].ewm(span=span, adjust=False).mean()
-        return pdf
+def ewm(df: DataFrame, spans: dict[str, tuple[str, int]], keys=("symbol",), order=("ts",), bounded: bool = False, block: int = BLOCK, cells=UNMEASURED) -> DataFrame:
+    """Exponential means {new: (column, span)}: α = 2/(span+1), y₀ = x₀, no bias adjustment.
 
-    fields = [T.StructField(n, T.DoubleType()) for n in spans]
-    memory = max(ewm_memory(2 / (s + 1)) for _, s in spans.values())
-    return recursive(df, fn, fields, memory, keys, order, block)
+    A row without a value (NULL, NaN) has the mean of the rows before, NULL before the first value.
+    """
+    if not bounded and cells is UNMEASURED:
+        cells = measure(df, keys, order, block)
+    how = {"bounded": bounded, "block": block, "cells": cells}
+    names = {c: f"_x{i}" for i, c in enumerate(sorted({c for c, _ in spans.values()}))}
+    value = {x: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c, x in names.items()}
+    # every step below looks at the same cells
+    rows = cells.place(df) if cells else df
+    rows = index_rows(rows.withColumns(value), keys, order, pos="_at", **how)
+    rows = running(rows, keys, order, {f"_seen{x}": ("last", F.when(F.col(x).isNotNull(), F.col("_at"))) for x in names.values()}, **how)
+    rows = lagged(rows, keys, order, {f"_prev{x}": (f"_seen{x}", 1) for x in names.values()}, **how)
+    gap = {x: F.col("_at") - F.col(f"_prev{x}") for x in names.values()}
+    steps = {n: smoothing(F.col(names[c]), 2 / (span + 1), gap[names[c]]) for n, (c, span) in spans.items()}
+    out = affine_scan(rows, keys, order, steps, **how)
+    known = {n: F.when(F.col(f"_seen{names[c]}").isNotNull(), F.col(n)) for n, (c, _) in spans.items()}
+    return out.withColumns(known).select(*df.columns, *spans)
 
 
 def autocorr1(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], min_rows: int = 10, out: str = "autocorr") -> DataFrame:
@@ -136,18 +120,18 @@ def autocorr1(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[s
     )
 
 
-def run_length(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], ts: str = "ts", chunk: float | None = CHUNK) -> DataFrame:
+def run_length(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], ts: str = "ts", bounded: bool = False) -> DataFrame:
     """Consecutive count of equal values and the time the run began."""
 
     def build(d, w):
         prev = F.lag(column).over(w)
         return d.withColumn("_new", (F.row_number().over(w) == 1) & (F.col("_pos") == 0) | ~F.col(column).eqNullSafe(prev))
 
-    marked = over_series(df, keys, order, build, before=1, chunk=chunk, keep_pos="_at")
+    marked = over_series(df, keys, order, build, before=1, bounded=bounded, keep_pos="_at")
     start = running(
         marked, keys, order,
         {"_start": ("last", F.when(F.col("_new"), F.col("_at"))), "run_start": ("last", F.when(F.col("_new"), F.col(ts)))},
-        chunk=chunk,
+        bounded=bounded,
     )
     return start.withColumn("run_count", F.col("_at") - F.col("_start") + 1).drop("_new", "_at", "_start")
 

@@ -15,7 +15,7 @@ from tickweave.functions.distributions import normal_two_sided, student_two_side
 from tickweave.functions.scalars import ratio, safe_corr
 from tickweave.operators.aggregates import corr_matrix
 from tickweave.plans.order_stats import quantiles, quantiles_wide, value_ranks
-from tickweave.plans.series import CHUNK, index_rows, over_series
+from tickweave.plans.series import index_rows, over_series
 from tickweave.plans.spread import DRAWS, hash_draw
 from tickweave.session import cut
 
@@ -63,7 +63,7 @@ def _replicates(df: DataFrame, b: int) -> DataFrame:
     return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(int(b)))))
 
 
-def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42, keys: Sequence[str] = ("stock_a", "stock_b"), ts: str = "ts", x: str = "x_a", y: str = "x_b", chunk: float | None = CHUNK) -> DataFrame:
+def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42, keys: Sequence[str] = ("stock_a", "stock_b"), ts: str = "ts", x: str = "x_a", y: str = "x_b", bounded: bool = False) -> DataFrame:
     """Lead score against B shuffles of the second series, per pair.
 
     In each replicate the rows are ordered by a hash of (replicate, position);
@@ -77,12 +77,12 @@ def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42,
 
     rows = aligned.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     # read for the real score, the moved values and their places
-    base = cut(over_series(rows, keys, [ts], build, before=lag, after=lag, chunk=chunk, keep_pos="_at"))
+    base = cut(over_series(rows, keys, [ts], build, before=lag, after=lag, bounded=bounded, keep_pos="_at"))
     score = safe_corr("_xp", y) - safe_corr("_xn", y)
     real = base.groupBy(*keys).agg(score.alias("lead_score"), F.count(F.lit(1)).alias("n_obs"))
     moved = _replicates(base.select(*keys, F.col("_at").alias("_from"), y), b)
     moved = moved.withColumn("_draw", hash_draw(F.col("b"), F.col("_from"), seed=seed))
-    moved = index_rows(moved, [*keys, "b"], ["_draw", "_from"], pos="_at", chunk=DRAW_CHUNK)
+    moved = index_rows(moved, [*keys, "b"], ["_draw", "_from"], pos="_at")
     null = moved.join(base.select(*keys, "_at", "_xp", "_xn"), [*keys, "_at"]).groupBy(*keys, "b").agg(score.alias("_null"))
     joined = null.join(real, list(keys))
     return joined.groupBy(*keys).agg(
@@ -94,7 +94,7 @@ def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42,
 def subset_bootstrap(df: DataFrame, y: str, row_id: str, n: int, b: int, seed: int = 0) -> DataFrame:
     """Means of B samples of n rows without replacement."""
     draws = _replicates(df.select(row_id, y), b).withColumn("_draw", hash_draw(F.col("b"), F.col(row_id), seed=seed))
-    ranked = index_rows(draws, ["b"], ["_draw", row_id], chunk=DRAW_CHUNK)
+    ranked = index_rows(draws, ["b"], ["_draw", row_id])
     return ranked.filter(F.col("_pos") < n).groupBy("b").agg(F.avg(y).alias("mean"))
 
 
@@ -105,7 +105,7 @@ def bootstrap_percentile(means: DataFrame, observed: float) -> DataFrame:
     )
 
 
-def bootstrap_corr(df: DataFrame, x: str, y: str, order: Sequence[str], b: int, seed: int = 0, keys: Sequence[str] = (), chunk: float | None = CHUNK) -> DataFrame:
+def bootstrap_corr(df: DataFrame, x: str, y: str, order: Sequence[str], b: int, seed: int = 0, keys: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     """2.5 / 97.5 % limits of the correlation over B samples with replacement.
 
     Each replicate draws as many rows as there are: row i points at row
@@ -113,7 +113,7 @@ def bootstrap_corr(df: DataFrame, x: str, y: str, order: Sequence[str], b: int,
     """
     keys = list(keys)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *order, x, y)
-    base = index_rows(rows, keys, order, pos="_at", total="_n", chunk=chunk)
+    base = index_rows(rows, keys, order, pos="_at", total="_n", bounded=bounded)
     points = _replicates(base.select(*keys, F.col("_at").alias("_i"), "_n"), b)
     points = points.withColumn("_at", F.pmod(hash_draw(F.col("b"), F.col("_i"), seed=seed), F.col("_n")))
     # equal pointers of one replicate merge before the rows are fetched

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio, safe_corr, seconds
 from tickweave.plans.order_stats import quantiles_wide
-from tickweave.plans.series import CHUNK, lagged, over_series, running
+from tickweave.plans.series import lagged, over_series, running
 from tickweave.plans.spread import salted_join
 from tickweave.session import cut
 
 BINS = 10
 
 
-def path_rows(paths: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "p", chunk: float | None = CHUNK) -> DataFrame:
+def path_rows(paths: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "p", bounded: bool = False) -> DataFrame:
     """Per-row state of each path, valid for the whole path and for every prefix of it.
 
     pos, diff, prev_diff, peak, flip_zeros (sign change, zeros count as a sign)
@@ -28,9 +28,9 @@ def path_rows(paths: DataFrame, keys: Sequence[str], order: Sequence[str], value
         d = d.withColumn("prev_diff", F.lag("diff").over(w))
         return d.withColumn("flip_zeros", F.coalesce((F.signum("diff") != F.signum("prev_diff")).cast("int"), F.lit(0)))
 
-    rows = over_series(paths, keys, order, build, before=2, chunk=chunk, keep_pos="pos")
+    rows = over_series(paths, keys, order, build, before=2, bounded=bounded, keep_pos="pos")
     earlier_sign = F.when(F.col("prev_diff") != 0, F.signum("prev_diff"))
-    rows = running(rows, keys, order, {"peak": ("max", value), "_sign": ("last", earlier_sign)}, chunk)
+    rows = running(rows, keys, order, {"peak": ("max", value), "_sign": ("last", earlier_sign)}, bounded)
     turn = (F.col("diff") != 0) & (F.signum("diff") != F.col("_sign"))
     return rows.withColumn("flip", F.coalesce(turn.cast("int"), F.lit(0))).drop("_sign")
 
@@ -82,14 +82,14 @@ def _pick(variant: str, prefix: str = "") -> dict:
     return {f"{prefix}{k}": v for k, v in (shared | chosen).items()}
 
 
-def trajectory_features(paths: DataFrame, keys: Sequence[str], order: Sequence[str], variant: str = "a", value: str = "p", chunk: float | None = CHUNK) -> DataFrame:
+def trajectory_features(paths: DataFrame, keys: Sequence[str], order: Sequence[str], variant: str = "a", value: str = "p", bounded: bool = False) -> DataFrame:
     """Features of whole paths.
 
     "a": squared-change volatility, zeros count as a direction, histogram
     entropy, moments and autocorrelation. "b": standard-deviation volatility,
     zeros left out, entropy of the direction.
     """
-    rows = path_rows(paths, keys, order, value, chunk)
+    rows = path_rows(paths, keys, order, value, bounded)
     if variant == "b":
         return rows.groupBy(*keys).agg(*[e.alias(k) for k, e in _core(value).items()]).select(*keys, "n_obs", *[e.alias(k) for k, e in _pick("b").items()])
     rows = cut(rows.select(*keys, value, "pos", "diff", "prev_diff", "peak", "flip_zeros", "flip"))
@@ -103,13 +103,13 @@ def trajectory_features(paths: DataFrame, keys: Sequence[str], order: Sequence[s
     return main.join(histogram_entropy(rows, keys, "diff", "shannon_entropy"), list(keys), "left")
 
 
-def early_features(paths: DataFrame, horizons: Sequence[float], variant: str, keys: Sequence[str], order: Sequence[str], value: str = "p", chunk: float | None = CHUNK) -> DataFrame:
+def early_features(paths: DataFrame, horizons: Sequence[float], variant: str, keys: Sequence[str], order: Sequence[str], value: str = "p", bounded: bool = False) -> DataFrame:
     """Features of the first part of each path for several horizons at once.
 
     All per-row state holds for prefixes too, so the path is walked once and
     only the aggregation runs per horizon.
     """
-    rows = path_rows(paths, keys, order, value, chunk)
+    rows = path_rows(paths, keys, order, value, bounded)
     n = paths.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     cutoff = F.col("_n") * F.col("horizon")
     cutoff = F.greatest(F.floor(cutoff), F.lit(5)) if variant == "a" else F.greatest(F.ceil(cutoff), F.lit(2))

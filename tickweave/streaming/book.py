@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickweave.operators.series import run_length
 from tickweave.operators.select import tradable
-from tickweave.plans.series import CHUNK
 from tickweave.streaming.messages import PRICE
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -74,12 +73,12 @@ def pressure_signal(features: DataFrame, min_edge: str = "0.002", buy: str = "0.
     return features.withColumn("signal", F.when(up, "BUY_PRESSURE").when(down, "SELL_PRESSURE").otherwise("NEUTRAL"))
 
 
-def persistence_batch(signals: DataFrame, keys: Sequence[str] = ("asset_id",), order: Sequence[str] = ("seq",), ts: str = "ts", min_count: int = 2, chunk: float | None = CHUNK) -> DataFrame:
+def persistence_batch(signals: DataFrame, keys: Sequence[str] = ("asset_id",), order: Sequence[str] = ("seq",), ts: str = "ts", min_count: int = 2, bounded: bool = False) -> DataFrame:
     """Consecutive count, run start, age; active = not neutral and seen at least ``min_count`` times.
 
     A tracker begins neutral with no start time, so a first run of NEUTRAL has none.
     """
-    runs = run_length(signals, "signal", keys, order, ts, chunk)
+    runs = run_length(signals, "signal", keys, order, ts, bounded)
     first = signals.groupBy(*keys).agg(F.min_by(ts, F.struct(*order)).alias("_first"))
     runs = runs.join(first, list(keys))
     opening = (F.col("signal") == "NEUTRAL") & (F.col("run_start") == F.col("_first"))
