@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tickweave.operators import stats as H
 from tickweave.operators.evaluate import roc_auc
-from tickweave.plans.order_stats import digit_bucket, quantiles, value_ranks
+from tickweave.operators.aggregates import average_ranks
+from tickweave.plans import series as P
+from tickweave.plans.order_stats import quantiles, quantiles_long, value_ranks
 from tickweave.plans.spread import one_of, salted_join
 
 QS = [0.0, 0.001, 0.25, 0.5, 0.77, 0.999, 1.0]
@@ -37,11 +39,48 @@ def test_grouped_quantiles(spark):
         assert v == pytest.approx(np.quantile(pdf[pdf.k == k].x, q), rel=1e-12)
 
 
-def test_bucket_keeps_order(spark):
-    x = np.sort(np.concatenate([CASES["heavy"], CASES["normal"], 10.0 ** np.arange(-5, 6), np.nextafter(10.0 ** np.arange(-5, 6), 0), [0.0, np.inf, -np.inf]]))
+def test_bit_image_keeps_order(spark):
+    x = np.sort(np.concatenate([CASES["heavy"], CASES["normal"], CASES["tiny"], 2.0 ** np.arange(-1074, 1024, 7), np.nextafter(2.0 ** np.arange(-60, 60), 0), 10.0 ** np.arange(-5, 6), [0.0, np.inf, -np.inf]]))
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
-    b = df.select("x", digit_bucket(F.col("x")).alias("b")).toPandas().sort_values("x")["b"].to_numpy()
-    assert (np.diff(b) >= 0).all()
+    b = df.select("x", P.order_number(df, "x").alias("b"), P.bit_image(F.col("x")).alias("i")).toPandas().sort_values("x")
+    assert (np.diff(b["b"].to_numpy()) >= 0).all()
+    finite = np.isfinite(b["x"].to_numpy())
+    bits = np.abs(b["x"].to_numpy()).view(np.int64).astype(float) * np.sign(b["x"].to_numpy())
+    np.testing.assert_allclose(b["i"].to_numpy()[finite], bits[finite], rtol=1e-15, atol=1)
+
+
+HARD = {
+    "epoch microseconds": 1_700_000_000_000_000.0 + np.random.default_rng(8).permutation(4_000) * 977.0,
+    "one narrow range": np.random.default_rng(9).uniform(0.990, 0.991, 4_000),
+    "heavy tail": np.exp(np.random.default_rng(10).standard_cauchy(4_000).clip(-600, 600)),
+    "one value and a few": np.append(np.full(3_900, 0.25), np.random.default_rng(11).normal(0, 1, 100)),
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_hard_values_in_small_blocks(spark, name):
+    x = HARD[name]
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(5)
+    got = quantiles_long(df.select(F.lit("x").alias("column"), F.col("x").alias("value")), QS, block=200).toPandas().sort_values("q")["value"].to_numpy()
+    np.testing.assert_allclose(got, np.quantile(x, QS), rtol=1e-12)
+    ranks = value_ranks(df, "x", block=200).toPandas().set_index("value")["rank"]
+    np.testing.assert_array_equal(ranks.loc[x].to_numpy(), pd.Series(x).rank().to_numpy())
+    # what one task orders: distinct values of a block
+    counts = df.groupBy("x").count()
+    cells = P.measure(counts, [], ["x"], 200)
+    if cells:
+        blocks = cells.spread(counts).groupBy("_block").count().toPandas()["count"]
+        assert blocks.max() <= 200 * (1 + 2 / P.CELLS) and blocks.sum() == len(np.unique(x))
+    else:
+        assert len(np.unique(x)) <= 200
+
+
+def test_rank_columns(spark):
+    pdf = pd.DataFrame({"id": range(300), "a": np.random.default_rng(12).integers(0, 5, 300).astype(float), "b": np.random.default_rng(13).normal(0, 1, 300)})
+    pdf.loc[::17, "a"] = np.nan
+    got = average_ranks(spark.createDataFrame(pdf), ["a", "b"], ["id"]).toPandas().sort_values("id")
+    np.testing.assert_array_equal(got["a"].to_numpy(), pdf["a"].rank().to_numpy())
+    np.testing.assert_array_equal(got["b"].to_numpy(), pdf["b"].rank().to_numpy())
 
 
 def test_ranks_and_auc(spark):

@@ -97,13 +97,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", row
     return df.agg(F.array(*cells).alias("_m")).select(F.inline("_m"))
 
 
-def average_ranks(df: DataFrame, cols: Sequence[str], row_id: Sequence[str]) -> DataFrame:
-    """Columns replaced by their average ranks."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])
-    long = df.select(*row_id, F.explode(cells).alias("_c")).select(*row_id, "_c.column", "_c.value")
-    ranks = value_ranks(long, "value", ["column"]).select("column", "value", "rank")
-    ranked = long.join(ranks, ["column", "value"])
-    return ranked.groupBy(*row_id).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in cols])
+def average_ranks(df: DataFrame, cols: Sequence[str], row_id: Sequence[str] = ()) -> DataFrame:
+    """``row_id`` and the columns replaced by their average ranks; NULL and NaN have none.
+
+    A rank table has one row per distinct value, so it is joined to the wide rows column by column: small where values repeat, and a
+    value that many rows share is a skewed join, which Spark splits.
+    """
+    out = df.select(*row_id, *[F.col(c).cast("double").alias(c) for c in cols])
+    for c in cols:
+        ranks = value_ranks(df, c).select(F.col("value").alias("_value"), F.col("rank").alias("_rank"))
+        out = out.join(ranks, F.col(c) == F.col("_value"), "left").withColumn(c, F.col("_rank")).drop("_value", "_rank")
+    return out
 
 
 def moments(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:

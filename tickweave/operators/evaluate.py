@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
-from tickweave.plans.order_stats import digit_bucket, value_ranks
+from tickweave.plans.order_stats import value_ranks
 from tickweave.plans.series import running
 
 
@@ -54,8 +54,8 @@ def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
 def roc_curve(df: DataFrame, y: str, score: str) -> DataFrame:
     """(threshold, tpr, fpr) at every distinct score: predicted positive = score ≥ threshold."""
     per = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(F.col(y).cast("bigint")).alias("_p"), F.sum(1 - F.col(y).cast("bigint")).alias("_f"))
-    flipped = per.withColumns({"_b": -digit_bucket(F.col("threshold")), "_o": -F.col("threshold")})
-    cum = running(flipped, [], ["_b", "_o"], {"_tp": ("sum", "_p"), "_fp": ("sum", "_f")})
+    flipped = per.withColumn("_o", -F.col("threshold"))
+    cum = running(flipped, [], ["_o"], {"_tp": ("sum", "_p"), "_fp": ("sum", "_f")})
     total = per.agg(F.struct(F.sum("_p").alias("p"), F.sum("_f").alias("f"))).scalar()
     return cum.withColumn("_t", total).select("threshold", ratio("_tp", F.col("_t.p")).alias("tpr"), ratio("_fp", F.col("_t.f")).alias("fpr"))
 

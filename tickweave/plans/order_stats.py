@@ -1,9 +1,10 @@
 """Exact quantiles and ranks that stay distributed for hot groups.
 
-Both work on value counts. A fixed, order-preserving bucket (sign, decade and
-first five digits) gives a small histogram per group; only the buckets that hold
-a wanted rank are read again. No group is gathered in one task, results are
-exact, and every step is deterministic so lost executors can be recomputed.
+Equal values merge first, by an aggregate that combines before its shuffle; all that follows sees each distinct value of a group
+once, with its count. The rank of a value is then a running sum of counts in value order. Groups of up to a block of
+rows are one window each. Longer ones go through the measured blocks of ``plans.series``: a histogram over the bit pattern of the
+values, whose heavy cells are cut again, between their own ends, until they are small, so that neither narrow ranges nor
+heavy tails fill a task. No group is gathered in one task and results are exact.
 """
 
 from __future__ import annotations
@@ -14,20 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def digit_bucket(x: Column) -> Column:
-    """Monotone bigint bucket of a double: 90,000 buckets per decade."""
-    size = F.abs(x)
-    decade = F.greatest(F.floor(F.log10(size)), F.lit(-300))
-    digits = F.floor(size / F.pow(F.lit(10.0), (decade - 4).cast("double")))
-    code = (decade + 400) * 100_000 + digits
-    sign = F.signum(x).cast("bigint")
-    return (
-        F.when(x == 0, F.lit(0).cast("bigint"))
-        .when(size == F.lit(float("inf")), sign * F.lit(100_000_000))
-        .otherwise(sign * code)
-        .cast("bigint")
-    )
+from tickweave.plans.series import BLOCK, join_same, running
 
 
 def _numbers(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -38,62 +26,33 @@ def _numbers(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFra
     return long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def quantiles_long(long: DataFrame, qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def _small(rows: DataFrame, group: Sequence[str], block: int) -> bool:
+    """Whether no group has more than ``block`` rows, and so no more distinct values."""
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block).isEmpty()
+
+
+def _upto(counts: DataFrame, group: Sequence[str], n: str, small: bool, block: int) -> DataFrame:
+    """``_through``: rows of the group with this value or a smaller one; ``_all``: rows of the group."""
+    out = running(counts, group, ["value"], {"_through": ("sum", n)}, bounded=small, block=block)
+    if small:
+        return out.withColumn("_all", F.sum(n).over(W.partitionBy(*group)))
+    return join_same(out, counts.groupBy(*group).agg(F.sum(n).alias("_all")), group)
+
+
+def quantiles_long(long: DataFrame, qs: Sequence[float], keys: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
     """(keys, column, value) rows → (keys, column, q, value), linear interpolation."""
-    keys = list(keys)
     group = [*keys, "column"]
-    rows = long.withColumn("_bucket", digit_bucket(F.col("value")))
-    hist = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_c"))
-    by_group = W.partitionBy(*group)
-    hist = hist.withColumns(
-        {
-            "_n": F.sum("_c").over(by_group),
-            "_upto": F.sum("_c").over(by_group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)),
-        }
-    )
-    place = F.col("q") * (F.col("_n") - 1)
-    wanted = (
-        hist.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-        .select(
-            *group,
-            "_bucket",
-            "q",
-            (F.col("_upto") - F.col("_c")).alias("_below"),
-            "_c",
-            (place - F.floor(place)).alias("_frac"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit(0).alias("side"), F.floor(place).alias("k")),
-                    F.struct(F.lit(1).alias("side"), F.ceil(place).alias("k")),
-                )
-            ).alias("_want"),
-        )
-        .filter((F.col("_want.k") >= F.col("_below")) & (F.col("_want.k") < F.col("_below") + F.col("_c")))
-        .drop("_c")
-    )
-    # what to look for in each bucket: two ranks per q at most
-    wants = wanted.groupBy(*group, "_bucket").agg(
-        F.collect_list(F.struct("q", "_frac", F.col("_want.side").alias("_side"), (F.col("_want.k") - F.col("_below")).alias("_k"))).alias("_wants")
-    )
-    if not keys:
-        # one row per wanted bucket of a column: small by construction
-        wants = F.broadcast(wants)
-    candidates = (
-        rows.join(wants, [*group, "_bucket"])
-        .groupBy(*group, "_bucket", "value")
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_wants").alias("_wants"))
-        .withColumn(
-            "_through",
-            F.sum("_c").over(
-                W.partitionBy(*group, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-            ),
-        )
-    )
-    here = F.filter("_wants", lambda x: (x["_k"] >= F.col("_through") - F.col("_c")) & (x["_k"] < F.col("_through")))
-    picked = candidates.select(*group, "value", F.inline(here))
-    lo = F.max(F.when(F.col("_side") == 0, F.col("value")))
-    hi = F.max(F.when(F.col("_side") == 1, F.col("value")))
-    return picked.groupBy(*group, "q").agg((lo + (hi - lo) * F.max("_frac")).alias("value"))
+    counts = long.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = _upto(counts, group, "_c", _small(long, group, block), block)
+    # the two ranks that each q lies between, where this value holds one of them
+    place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    holds = lambda k: (k >= F.col("_through") - F.col("_c")) & (k < F.col("_through"))
+    each = [F.struct(F.lit(float(q)).alias("q"), (place(q) - F.floor(place(q))).alias("frac"), holds(F.floor(place(q))).alias("low"), holds(F.ceil(place(q))).alias("high")) for q in dict.fromkeys(qs)]
+    found = ranked.select(*group, "value", F.inline(F.filter(F.array(*each), lambda x: x["low"] | x["high"])))
+    low, high = F.max(F.when(F.col("low"), F.col("value"))), F.max(F.when(F.col("high"), F.col("value")))
+    # the second part is 0 for a rank that is a row's own, whatever the values
+    between = F.when(F.max("frac") == 0, low).otherwise(low + (high - low) * F.max("frac"))
+    return found.groupBy(*group, "q").agg(between.alias("value"))
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
@@ -120,28 +79,11 @@ def medians(df: DataFrame, cols: dict[str, str], keys: Sequence[str] = ()) -> Da
     return quantiles_wide(df, {a: (c, 0.5) for a, c in cols.items()}, keys)
 
 
-def value_ranks(
-    df: DataFrame, column: str, keys: Sequence[str] = (), extra: dict[str, Column] | None = None
-) -> DataFrame:
+def value_ranks(df: DataFrame, column: str, keys: Sequence[str] = (), extra: dict[str, Column] | None = None, block: int = BLOCK) -> DataFrame:
     """One row per distinct value: ties ``n``, average rank ``rank``, extra aggregates."""
     keys = list(keys)
     value = F.col(column).cast("double")
-    counts = (
-        df.filter(F.col(column).isNotNull() & ~F.isnan(value))
-        .groupBy(*keys, value.alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), *[a.alias(k) for k, a in (extra or {}).items()])
-        .withColumn("_bucket", digit_bucket(F.col("value")))
-    )
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    below = (
-        counts.groupBy(*keys, "_bucket")
-        .agg(F.sum("n").alias("_c"))
-        .select(*keys, "_bucket", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_below"))
-    )
-    inside = W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        counts.withColumn("_through", F.sum("n").over(inside))
-        .join(below, [*keys, "_bucket"])
-        .withColumn("rank", F.col("_below") + F.col("_through") - F.col("n") + (F.col("n") + 1) / F.lit(2.0))
-        .drop("_bucket", "_below", "_through")
-    )
+    rows = df.filter(F.col(column).isNotNull() & ~F.isnan(value))
+    counts = rows.groupBy(*keys, value.alias("value")).agg(F.count(F.lit(1)).alias("n"), *[a.alias(k) for k, a in (extra or {}).items()])
+    out = running(counts, keys, ["value"], {"_through": ("sum", "n")}, bounded=_small(rows, keys, block), block=block)
+    return out.withColumn("rank", F.col("_through") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).drop("_through")

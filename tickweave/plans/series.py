@@ -42,6 +42,17 @@ _INF = float("inf")
 # --- measuring ------------------------------------------------------------------------
 
 
+def bit_image(x: Column) -> Column:
+    """The 64-bit pattern of a finite double, read as a number with the double's sign: it rises with x, in equal steps inside each power of two."""
+    size = F.abs(x)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("double")
+    power = F.pow(F.lit(2.0), guess)
+    # the logarithm may be off by one next to a power of two
+    exponent = F.greatest(guess + F.when(size / power >= 2, 1.0).when(size < power, -1.0).otherwise(0.0), F.lit(-1022.0))
+    pattern = (exponent + 1023 + (size / F.pow(F.lit(2.0), exponent) - 1)) * F.lit(2.0**52)
+    return F.when(x == 0, 0.0).when(x < 0, -pattern).otherwise(pattern)
+
+
 def order_number(df: DataFrame, column: str, skip: Column | int = 0) -> Column:
     """A double that rises with the column, whatever orderable type that has; NULL is -inf, NaN is inf.
 
@@ -56,6 +67,9 @@ def order_number(df: DataFrame, column: str, skip: Column | int = 0) -> Column:
     if isinstance(kind, T.BooleanType):
         c = c.cast("int")
     number = c.cast("double")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        image = F.when(F.abs(number) == _INF, number).otherwise(bit_image(number))
+        return F.when(number.isNull(), F.lit(-_INF)).when(F.isnan(number), F.lit(_INF)).otherwise(image)
     return F.when(number.isNull(), F.lit(-_INF)).when(F.isnan(number), F.lit(_INF)).otherwise(number)
 
 
