@@ -1,5 +1,7 @@
 """Grid resampling, trade matching and bracket exits against plain loops."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from tickweave.operators import backtest as K
 from tickweave.operators.bars import resample_grid, resample_observed
 from tickweave.operators.joins import candidate_pairs, join_1to1
+from tickweave.plans import series as P
 
 RNG = np.random.default_rng(11)
 
@@ -114,6 +117,26 @@ def test_bracket_first_touch(spark, block):
             assert pd.isna(r.exit_ts) and r.exit_reason is None
 
 
+def test_bracket_work_is_bounded(spark, capsys):
+    """100,000 bars: orders that nothing touches, orders touched at the very end, and a bar without prices."""
+    n = 100_000
+    bars = spark.range(n).select(F.lit("a").alias("symbol"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), *[F.when(F.col("id") != 50, F.lit(100.0) + d).alias(c) for c, d in (("close", 0), ("high", 0.5), ("low", -0.5))])
+    bars = bars.withColumn("high", F.when(F.col("ts") == F.timestamp_seconds(F.lit((n - 1) * 60)), 109.0).otherwise(F.col("high")))
+    entries = bars.filter(F.unix_seconds("ts") % 600_000 == 0).withColumn("atr", F.lit(2.0))
+    out = K.bracket_exit(entries, bars, [1.0], [4.0, 5.0])
+    got = out.toPandas()
+    assert len(got) == 20
+    near = got[got.m == 4.0]
+    assert (near.exit_reason == "target").all() and near.exit_ts.nunique() == 1 and (near.pnl == 8.0).all()
+    assert got[got.m == 5.0].exit_ts.isna().all()
+    levels = K.extremes_tree(P.index_rows(bars, ["symbol"], ["ts"]), 128)
+    assert [lv.count() for lv in levels] == [782, 7, 1]
+    assert max(lv.agg(F.max(F.size("_kids"))).first()[0] for lv in levels) == 128
+    out.explain()
+    joins = re.findall(r"Join \[([^\]]*)\]", capsys.readouterr().out)
+    assert len(joins) >= 5 and all("symbol" in keys and "," in keys for keys in joins)
+
+
 def test_guards(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
     b = spark.createDataFrame([(1, "z")], "k int, w string")

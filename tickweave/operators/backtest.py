@@ -12,6 +12,7 @@ from tickweave.functions.scalars import ratio
 from tickweave.operators.series import rolled
 from tickweave.plans.series import index_rows, over_series, running
 from tickweave.plans.spread import DRAWS, hash_draw, salted_join
+from tickweave.session import cut
 
 PAIR = ("leader", "follower")
 NOTIONAL, COST, MIN_PRICE = 100_000.0, 0.0035, 10.0
@@ -298,43 +299,74 @@ def ichimoku_signal(df: DataFrame, confirm: Sequence[str] = ()) -> DataFrame:
     return df.withColumn("signal", F.when(up, 1).when(down, -1).otherwise(0))
 
 
+def extremes_tree(numbered: DataFrame, block: int) -> list[DataFrame]:
+    """Levels of a tree over each symbol's bars: (symbol, _node, _kids), ``block`` kids a node at most.
+
+    Kids of the first level are bars, of the next ones the lowest low and highest high of a node below. Positions are dense, so kid i of
+    node n is number n * block + i of the level below. The first level is kept, as all others are made from it.
+    """
+
+    def grouped(rows, number, *fields):
+        kid = F.struct(F.col(number).alias("number"), *fields)
+        return rows.groupBy("symbol", F.floor(F.col(number) / block).cast("bigint").alias("_node")).agg(F.sort_array(F.collect_list(kid)).alias("_kids"))
+
+    levels = [cut(grouped(numbered, "_pos", "low", "high", "ts"))]
+    last = levels[0].agg(F.max("_node")).first()[0] or 0
+    while last > 0:
+        ends = levels[-1].select("symbol", "_node", F.array_min(F.transform("_kids", lambda x: x["low"])).alias("low"), F.array_max(F.transform("_kids", lambda x: x["high"])).alias("high"))
+        levels.append(grouped(ends, "_node", "low", "high"))
+        last //= block
+    return levels
+
+
 def bracket_exit(entries: DataFrame, bars: DataFrame, stops: Sequence[float], targets: Sequence[float], block: int = 128, bounded: bool = False) -> DataFrame:
     """First later bar that touches the stop (entry - k·ATR) or the target (entry + m·ATR), per grid point.
 
-    ``entries``: symbol, ts, close, atr. The search looks at the rest of the
-    entry's block of bars, then at block extremes, then inside the first block
-    that can hold the touch. Stop wins when one bar touches both.
+    ``entries``: symbol, ts, close, atr. An order climbs a tree of extremes from its own bar: at each level it looks at the kids
+    to the right of where it comes from, and the first one that holds a touch ends the climb. From there it descends, always into the
+    first kid with a touch, to a bar. That is ``block`` kids a level whatever the number of bars, also for orders that nothing ever
+    touches. Stop wins when one bar touches both.
     """
     numbered = index_rows(bars.select("symbol", "ts", "low", "high", "close"), ["symbol"], ["ts"], bounded=bounded)
-    numbered = numbered.withColumn("_block", F.floor(F.col("_pos") / block).cast("bigint"))
+    levels = extremes_tree(numbered, block)
+    places = levels[0].select("symbol", F.explode("_kids").alias("_kid")).select("symbol", F.col("_kid.ts").alias("entry_ts"), F.col("_kid.number").alias("_from"))
     grid = F.array(*[F.struct(F.lit(float(k)).alias("k"), F.lit(float(m)).alias("m")) for k in stops for m in targets])
+    key = ["symbol", "entry_ts", "k", "m"]
     orders = (
         entries.select("symbol", F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"), "atr", F.explode(grid).alias("_g"))
         .select("symbol", "entry_ts", "entry_price", "_g.k", "_g.m", (F.col("entry_price") - F.col("_g.k") * F.col("atr")).alias("stop"), (F.col("entry_price") + F.col("_g.m") * F.col("atr")).alias("target"))
-        .join(numbered.select("symbol", F.col("ts").alias("entry_ts"), F.col("_pos").alias("_at"), "_block"), ["symbol", "entry_ts"])
+        .join(places, ["symbol", "entry_ts"])
+        .withColumns({"_level": F.lit(None).cast("int"), "_place": F.lit(None).cast("bigint"), "_exit": F.lit(None).cast(f"struct<ts:{bars.schema['ts'].dataType.simpleString()},reason:string>")})
     )
-    key = ["symbol", "entry_ts", "k", "m"]
-    hit = F.when(F.col("low") <= F.col("stop"), "stop").when(F.col("high") >= F.col("target"), "target")
-
-    def first_touch(pending):
-        """Pending orders carry the block to look into; keep the first touch after the entry."""
-        near = pending.join(numbered.select("symbol", "_block", "_pos", "ts", "low", "high"), ["symbol", "_block"])
-        touch = F.when((F.col("_pos") > F.col("_at")) & hit.isNotNull(), F.col("_pos"))
-        row = F.struct(F.col("ts").alias("exit_ts"), hit.alias("exit_reason"))
-        return near.groupBy(*key, "entry_price", "stop", "target", "_at", "_block").agg(F.min_by(row, touch).alias("_exit"))
-
-    own = first_touch(orders)
-    extremes = numbered.groupBy("symbol", "_block").agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
-    left = own.filter(F.col("_exit").isNull()).drop("_exit").withColumnRenamed("_block", "_from")
-    ahead = salted_join(left, extremes, ["symbol"], ["entry_ts", "k", "m"])
-    later = (F.col("_block") > F.col("_from")) & ((F.col("_low") <= F.col("stop")) | (F.col("_high") >= F.col("target")))
-    found = ahead.groupBy(*key, "entry_price", "stop", "target", "_at").agg(F.min(F.when(later, F.col("_block"))).alias("_block"))
-    rest = first_touch(found.filter(F.col("_block").isNotNull()))
-    never = found.filter(F.col("_block").isNull()).withColumn("_exit", F.lit(None).cast("struct<exit_ts:timestamp_ntz,exit_reason:string>"))
-    cols = [*key, "entry_price", "stop", "target", "_exit"]
-    done = own.filter(F.col("_exit").isNotNull()).select(*cols).unionByName(rest.select(*cols)).unionByName(never.select(*cols))
-    price = F.when(F.col("_exit.exit_reason") == "stop", F.col("stop")).when(F.col("_exit.exit_reason") == "target", F.col("target"))
-    return done.select(*key, "entry_price", F.col("_exit.exit_ts").alias("exit_ts"), F.col("_exit.exit_reason").alias("exit_reason"), (price - F.col("entry_price")).alias("pnl"))
+    # orders that have no business at a level ask for nodes that do not exist, each for another one
+    nowhere = -1 - F.pmod(F.xxhash64(*key), F.lit(1 << 40))
+
+    def look(state: DataFrame, level: int, asks: Column, node: Column, after: Column) -> DataFrame:
+        """``_first``: number of the first kid behind place ``after`` of the node that holds a touch; at bars, the exit."""
+        asked = state.withColumn("_node", F.when(asks, node).otherwise(nowhere))
+        nodes = levels[level - 1]
+        # few nodes, many orders: those of the upper levels are repeated, bars are not
+        met = asked.join(nodes, ["symbol", "_node"], "left") if level == 1 else salted_join(asked, nodes, ["symbol", "_node"], key, "left")
+        touched = lambda x: (x["low"] <= F.col("stop")) | (x["high"] >= F.col("target"))
+        at = F.array_min(F.transform("_kids", lambda x, i: F.when((i > after) & touched(x), i)))
+        met = met.withColumn("_at", at)
+        kid = F.get("_kids", F.col("_at"))
+        if level == 1:
+            reason = F.when(kid["low"] <= F.col("stop"), "stop").otherwise("target")
+            met = met.withColumn("_exit", F.when(F.col("_at").isNotNull(), F.struct(kid["ts"].alias("ts"), reason.alias("reason"))).otherwise(F.col("_exit")))
+        return met.withColumn("_first", kid["number"]).drop("_kids", "_at", "_node")
+
+    state = orders
+    for level in range(1, len(levels) + 1):
+        open_yet = F.col("_level").isNull()
+        state = look(state, level, open_yet, F.floor(F.col("_from") / block).cast("bigint"), (F.col("_from") % block).cast("int"))
+        found = F.col("_first").isNotNull()
+        state = state.withColumns({"_place": F.when(found, F.col("_first")).otherwise(F.col("_place")), "_level": F.when(found, F.lit(level)).otherwise(F.col("_level")), "_from": F.floor(F.col("_from") / block).cast("bigint")}).drop("_first")
+    for level in range(len(levels) - 1, 0, -1):
+        state = look(state, level, F.col("_level") > level, F.col("_place"), F.lit(-1))
+        state = state.withColumn("_place", F.coalesce("_first", "_place")).drop("_first")
+    price = F.when(F.col("_exit.reason") == "stop", F.col("stop")).when(F.col("_exit.reason") == "target", F.col("target"))
+    return state.select(*key, "entry_price", F.col("_exit.ts").alias("exit_ts"), F.col("_exit.reason").alias("exit_reason"), (price - F.col("entry_price")).alias("pnl"))
 
 
 def grid_score(exits: DataFrame) -> DataFrame:

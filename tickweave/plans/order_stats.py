@@ -47,11 +47,11 @@ def quantiles_long(long: DataFrame, qs: Sequence[float], keys: Sequence[str] = (
     # the two ranks that each q lies between, where this value holds one of them
     place = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
     holds = lambda k: (k >= F.col("_through") - F.col("_c")) & (k < F.col("_through"))
-    each = [F.struct(F.lit(float(q)).alias("q"), (place(q) - F.floor(place(q))).alias("frac"), holds(F.floor(place(q))).alias("low"), holds(F.ceil(place(q))).alias("high")) for q in dict.fromkeys(qs)]
-    found = ranked.select(*group, "value", F.inline(F.filter(F.array(*each), lambda x: x["low"] | x["high"])))
-    low, high = F.max(F.when(F.col("low"), F.col("value"))), F.max(F.when(F.col("high"), F.col("value")))
+    each = [F.struct(F.lit(float(q)).alias("q"), (place(q) - F.floor(place(q))).alias("_frac"), holds(F.floor(place(q))).alias("_low"), holds(F.ceil(place(q))).alias("_high")) for q in dict.fromkeys(qs)]
+    found = ranked.select(*group, "value", F.inline(F.filter(F.array(*each), lambda x: x["_low"] | x["_high"])))
+    low, high = F.max(F.when(F.col("_low"), F.col("value"))), F.max(F.when(F.col("_high"), F.col("value")))
     # the second part is 0 for a rank that is a row's own, whatever the values
-    between = F.when(F.max("frac") == 0, low).otherwise(low + (high - low) * F.max("frac"))
+    between = F.when(F.max("_frac") == 0, low).otherwise(low + (high - low) * F.max("_frac"))
     return found.groupBy(*group, "q").agg(between.alias("value"))
 
 
