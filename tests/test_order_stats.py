@@ -10,7 +10,7 @@ from tickweave.operators.evaluate import roc_auc
 from tickweave.operators.aggregates import average_ranks
 from tickweave.plans import series as P
 from tickweave.plans.order_stats import quantiles, quantiles_long, value_ranks
-from tickweave.plans.spread import one_of, salted_join
+from tickweave.plans.spread import one_of, permuted, round_draws, salted_join
 
 QS = [0.0, 0.001, 0.25, 0.5, 0.77, 0.999, 1.0]
 CASES = {
@@ -123,6 +123,30 @@ def test_one_of(spark):
     assert {(r.k, r.v) for r in one_of(df, ["k"], ["t"]).collect()} == {(1, "a"), (2, None)}
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 12, 257, 4001])
+def test_permuted_takes_every_place_once(spark, n):
+    rows = spark.range(n).withColumn("b", F.explode(F.array(*map(F.lit, range(4))))).withColumn("p", permuted(F.col("id"), F.lit(n).cast("long"), round_draws(F.col("b"), seed=7)))
+    got = rows.toPandas().sort_values(["b", "id"])
+    for _, g in got.groupby("b"):
+        assert sorted(g["p"]) == list(range(n))
+    orders = {tuple(g["p"]) for _, g in got.groupby("b")}
+    assert n < 12 or (len(orders) == 4 and all(abs(np.corrcoef(o, range(n))[0, 1]) < 4 / np.sqrt(n) for o in orders))
+
+
+def test_subsets_are_drawn_without_replacement(spark):
+    df = spark.createDataFrame([(i * 3, float(2**i)) for i in range(20)], "id int, y double")
+    means = H.subset_bootstrap(df, "y", "id", 4, 50).toPandas()["mean"]
+    assert all(bin(int(m * 4)).count("1") == 4 for m in means) and means.nunique() > 40
+    assert H.subset_bootstrap(df, "y", "id", 90, 2).toPandas()["mean"].tolist() == [pytest.approx((2**20 - 1) / 20)] * 2
+
+
+def test_no_ranks_in_the_permutation_plan(spark, capsys):
+    pdf = pd.DataFrame({"stock_a": "a", "stock_b": "b", "ts": pd.date_range("2024-01-01", periods=40, freq="6h"), "x_a": np.arange(40.0) % 7, "x_b": np.arange(40.0) % 5})
+    H.permutation_lead_score(spark.createDataFrame(pdf), 1, 3, bounded=True).explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_permutation_keeps_every_value(spark):
     """With B shuffles the null scores centre on zero and p is a share."""
     rng = np.random.default_rng(6)

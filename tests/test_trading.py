@@ -133,8 +133,8 @@ def test_bracket_work_is_bounded(spark, capsys):
     assert [lv.count() for lv in levels] == [782, 7, 1]
     assert max(lv.agg(F.max(F.size("_kids"))).first()[0] for lv in levels) == 128
     out.explain()
-    joins = re.findall(r"Join \[([^\]]*)\]", capsys.readouterr().out)
-    assert len(joins) >= 5 and all("symbol" in keys and "," in keys for keys in joins)
+    keys = [[k for k in j.split(", ") if not k.startswith("symbol#")] for j in re.findall(r"Join \[([^\]]*)\]", capsys.readouterr().out)]
+    assert len(keys) >= 5 and all(keys)  # no join on the symbol alone
 
 
 def test_guards(spark):

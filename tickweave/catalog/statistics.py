@@ -13,6 +13,7 @@ from tickweave.operators import bars as B
 from tickweave.operators import joins as J
 from tickweave.operators import stats as H
 from tickweave.plans.registry import register
+from tickweave.plans.spread import permuted_sql, round_draws_sql
 
 _U = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 
@@ -33,7 +34,9 @@ def mann_whitney(spark, sf):
 
 
 PERM = RETS + f""", base AS (SELECT stock_a, stock_b, x_b, row_number() OVER w - 1 AS pos, lag(x_a) OVER w AS xp, lead(x_a) OVER w AS xn FROM aligned WINDOW w AS (PARTITION BY stock_a, stock_b ORDER BY ts)),
-mv AS (SELECT stock_a, stock_b, b, x_b, row_number() OVER (PARTITION BY stock_a, stock_b, b ORDER BY {_U.format("'42-' || b || '-' || pos")}, pos) - 1 AS pos FROM base, (SELECT unnest(range(1, 11)) AS b)),
+rep AS (SELECT b, {round_draws_sql("b", 42)} AS d FROM (SELECT unnest(range(1, 11)) AS b)),
+src AS (SELECT stock_a, stock_b, x_b, pos AS place, n, b, d FROM (SELECT *, count(*) OVER (PARTITION BY stock_a, stock_b) AS n FROM base), rep),
+walk AS ({permuted_sql("stock_a, stock_b, x_b", "src")}), mv AS (SELECT *, p AS pos FROM walk WHERE p < n),
 nul AS (SELECT stock_a, stock_b, b, corr(xp, mv.x_b) - corr(xn, mv.x_b) AS s FROM mv JOIN base USING (stock_a, stock_b, pos) GROUP BY 1, 2, 3),
 rl AS (SELECT stock_a, stock_b, count(*) AS n_obs, corr(xp, x_b) - corr(xn, x_b) AS lead_score FROM base GROUP BY 1, 2),
 perm AS (SELECT stock_a, stock_b, any_value(lead_score) AS lead_score, any_value(n_obs) AS n_obs, avg(s) AS random_mean, stddev_pop(s) AS random_std, avg((abs(s) >= abs(lead_score))::INT) AS p_value FROM nul JOIN rl USING (stock_a, stock_b) GROUP BY 1, 2)"""
@@ -43,13 +46,14 @@ def permuted(spark, sf):
     return H.permutation_lead_score(aligned(spark, sf), 1, 10, bounded=True)
 
 
-@register("h03_permutation_lead_score", f"WITH {PERM} SELECT stock_a, stock_b, round(lead_score, 6) AS lead_score, n_obs, round(random_mean, 6) AS random_mean, round(random_std, 6) AS random_std, round(p_value, 6) AS p_value FROM perm")
+@register("h03_permutation_lead_score", f"WITH RECURSIVE {PERM} SELECT stock_a, stock_b, round(lead_score, 6) AS lead_score, n_obs, round(random_mean, 6) AS random_mean, round(random_std, 6) AS random_std, round(p_value, 6) AS p_value FROM perm")
 def permutation_lead_score(spark, sf):
     return permuted(spark, sf).withColumns({c: r6(c) for c in ("lead_score", "random_mean", "random_std", "p_value")})
 
 
-@register("h04_subset_bootstrap", f"""WITH d AS (SELECT b, c_acctbal AS y, row_number() OVER (PARTITION BY b ORDER BY {_U.format("'0-' || b || '-' || c_custkey")}, c_custkey) AS rn FROM customer, (SELECT unnest(range(1, 31)) AS b)),
-m AS (SELECT b, avg(y) AS mean FROM d WHERE rn <= 50 GROUP BY 1) SELECT round(avg(mean), 4) AS bootstrap_mean, round(stddev_pop(mean), 4) AS bootstrap_std, round(avg((mean < 4600)::INT), 6) AS percentile FROM m""")
+@register("h04_subset_bootstrap", f"""WITH RECURSIVE rep AS (SELECT b, {round_draws_sql("b")} AS d FROM (SELECT unnest(range(1, 31)) AS b)),
+src AS (SELECT y0, place, n, b, d FROM (SELECT c_acctbal AS y0, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer), rep),
+walk AS ({permuted_sql("y0", "src")}), m AS (SELECT b, avg(y0) AS mean FROM walk WHERE p < least(n, 50) GROUP BY 1) SELECT round(avg(mean), 4) AS bootstrap_mean, round(stddev_pop(mean), 4) AS bootstrap_std, round(avg((mean < 4600)::INT), 6) AS percentile FROM m""")
 def subset_bootstrap(spark, sf):
     m = H.subset_bootstrap(table(spark, sf, "customer"), "c_acctbal", "c_custkey", 50, 30)
     return H.bootstrap_percentile(m, 4600).withColumns({"bootstrap_mean": r6("bootstrap_mean", 4), "bootstrap_std": r6("bootstrap_std", 4), "percentile": r6("percentile")})
@@ -108,7 +112,7 @@ def target_corr(spark, sf):
     return H.target_corr(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice").withColumn("corr", r6("corr"))
 
 
-@register("h11_role_accuracy", f"""WITH {PERM}, m AS (SELECT p_value, (CASE WHEN lead_score > 0 THEN stock_a ELSE stock_b END) = (CASE WHEN a.market_cap >= b.market_cap THEN stock_a ELSE stock_b END) AS ok FROM perm JOIN universe a ON a.symbol = stock_a JOIN universe b ON b.symbol = stock_b)
+@register("h11_role_accuracy", f"""WITH RECURSIVE {PERM}, m AS (SELECT p_value, (CASE WHEN lead_score > 0 THEN stock_a ELSE stock_b END) = (CASE WHEN a.market_cap >= b.market_cap THEN stock_a ELSE stock_b END) AS ok FROM perm JOIN universe a ON a.symbol = stock_a JOIN universe b ON b.symbol = stock_b)
 SELECT count(*) AS n_pairs, round(avg(ok::INT), 6) AS agreement, round(avg(CASE WHEN p_value < 0.25 THEN ok::INT END), 6) AS agreement_significant FROM m""")
 def role_accuracy(spark, sf):
     roles = J.assign_roles(candidates(spark, sf), universe(spark, sf))

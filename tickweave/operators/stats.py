@@ -16,10 +16,9 @@ from tickweave.functions.scalars import ratio, safe_corr
 from tickweave.operators.aggregates import corr_matrix
 from tickweave.plans.order_stats import quantiles, quantiles_wide, value_ranks
 from tickweave.plans.series import index_rows, over_series
-from tickweave.plans.spread import DRAWS, hash_draw
+from tickweave.plans.spread import hash_draw, permuted, round_draws
 from tickweave.session import cut
 
-DRAW_CHUNK = DRAWS / 16
 
 
 def welch(df: DataFrame, group: str, y: str) -> DataFrame:
@@ -59,17 +58,21 @@ def mann_whitney(df: DataFrame, group: str, y: str) -> DataFrame:
     return sums.withColumn("p_value", normal_two_sided("z")).select("u", "z", "p_value")
 
 
-def _replicates(df: DataFrame, b: int) -> DataFrame:
-    return df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(int(b)))))
+def _replicates(df: DataFrame, b: int, seed: int | None = None) -> DataFrame:
+    """Every row once per replicate ``b``; with a seed also ``_draws``, the keys of the replicate's permutation."""
+    out = df.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(int(b)))))
+    if seed is None:
+        return out
+    draws = df.sparkSession.range(1, int(b) + 1).select(F.col("id").cast("int").alias("b"), round_draws(F.col("id"), seed=seed).alias("_draws"))
+    return out.join(F.broadcast(draws), "b")  # one row a replicate
 
 
 def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42, keys: Sequence[str] = ("stock_a", "stock_b"), ts: str = "ts", x: str = "x_a", y: str = "x_b", bounded: bool = False) -> DataFrame:
     """Lead score against B shuffles of the second series, per pair.
 
-    In each replicate the rows are ordered by a hash of (replicate, position);
-    the rank of a row is the place its y moves to. A moved y meets the x values
-    ``lag`` rows before and after, so one aggregate per (pair, replicate) gives
-    both correlations. Ranks are taken in hash chunks: no pair fills a task.
+    A replicate sends the y of each row to the place that a keyed permutation of the pair's positions gives it, by arithmetic: nothing is
+    sorted or ranked per replicate. A moved y meets the x values ``lag`` rows before and after, so one
+    aggregate per (pair, replicate) gives both correlations.
     """
 
     def build(d, w):
@@ -80,9 +83,8 @@ def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42,
     base = cut(over_series(rows, keys, [ts], build, before=lag, after=lag, bounded=bounded, keep_pos="_at"))
     score = safe_corr("_xp", y) - safe_corr("_xn", y)
     real = base.groupBy(*keys).agg(score.alias("lead_score"), F.count(F.lit(1)).alias("n_obs"))
-    moved = _replicates(base.select(*keys, F.col("_at").alias("_from"), y), b)
-    moved = moved.withColumn("_draw", hash_draw(F.col("b"), F.col("_from"), seed=seed))
-    moved = index_rows(moved, [*keys, "b"], ["_draw", "_from"], pos="_at")
+    sized = base.select(*keys, F.col("_at").alias("_from"), y).join(real.select(*keys, "n_obs"), list(keys))
+    moved = _replicates(sized, b, seed).select(*keys, "b", y, permuted(F.col("_from"), F.col("n_obs"), F.col("_draws")).alias("_at"))
     null = moved.join(base.select(*keys, "_at", "_xp", "_xn"), [*keys, "_at"]).groupBy(*keys, "b").agg(score.alias("_null"))
     joined = null.join(real, list(keys))
     return joined.groupBy(*keys).agg(
@@ -92,10 +94,10 @@ def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42,
 
 
 def subset_bootstrap(df: DataFrame, y: str, row_id: str, n: int, b: int, seed: int = 0) -> DataFrame:
-    """Means of B samples of n rows without replacement."""
-    draws = _replicates(df.select(row_id, y), b).withColumn("_draw", hash_draw(F.col("b"), F.col(row_id), seed=seed))
-    ranked = index_rows(draws, ["b"], ["_draw", row_id])
-    return ranked.filter(F.col("_pos") < n).groupBy("b").agg(F.avg(y).alias("mean"))
+    """Means of B samples of n rows without replacement: the rows that a replicate's permutation sends below n."""
+    base = index_rows(df.select(row_id, y), [], [row_id], total="_n")
+    places = _replicates(base, b, seed).withColumn("_place", permuted(F.col("_pos"), F.col("_n"), F.col("_draws")))
+    return places.filter(F.col("_place") < n).groupBy("b").agg(F.avg(y).alias("mean"))
 
 
 def bootstrap_percentile(means: DataFrame, observed: float) -> DataFrame:

@@ -54,3 +54,61 @@ def beside(df: DataFrame, row: DataFrame, fields: dict[str, str] | None = None)
     fields = fields or {c: c for c in row.columns}
     one = row.select(F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias("_one")).scalar()
     return df.withColumn("_one", one).withColumns({n: F.col("_one")[n] for n in fields}).drop("_one")
+
+
+# the largest prime under 2^31: products of two remainders fit into a bigint
+_PRIME = 2**31 - 1
+# an even number, so that the halves end where they began
+_ROUNDS = 6
+# further walks, far more than any table needs: each ends outside with a chance of 2 / sqrt(n)
+_WALKS = 64
+
+
+def round_draws(*key: Column, seed: int = 0) -> Column:
+    """Shifts and factors of ``permuted`` for one key; made once per key, not per row."""
+    draw = lambda k: F.pmod(hash_draw(*key, F.lit(k), seed=seed), F.lit(_PRIME - 1)) + 1
+    return F.array(*[F.struct(draw(2 * k).alias("shift"), draw(2 * k + 1).alias("factor")) for k in range(_ROUNDS)])
+
+
+def permuted(place: Column, n: Column, draws: Column) -> Column:
+    """Where a keyed pseudorandom permutation of 0 .. n-1 sends ``place``, in integer arithmetic: no sort, no shuffle.
+
+    A Feistel network on a grid of ceil(sqrt(n)) columns and as many lines as n needs: line and column take turns in shifting each other. Places
+    that end beyond n are sent on until they end inside, which keeps it one to one.
+    """
+    names = ("x", "y", "across", "down")
+    pack = lambda *parts: F.struct(*[p.cast("bigint").alias(c) for p, c in zip(parts, names, strict=True)])
+    # evaluates an expression once, for all places where it is used
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+
+    def shift(s: Column, d: Column) -> Column:
+        t = (s["y"] + d["shift"]) % _PRIME
+        return pack(s["y"], (s["x"] + t * t % _PRIME * d["factor"] % _PRIME) % s["across"], s["down"], s["across"])
+
+    def send(x: Column, wide: Column) -> Column:
+        begin = pack(F.floor(x / wide), x % wide, F.floor((n + wide - 1) / wide), wide)
+        return F.aggregate(draws, begin, shift, lambda s: s["x"] * s["down"] + s["y"])
+
+    def inside(x: Column, wide: Column) -> Column:
+        on = F.aggregate(F.sequence(F.lit(1), F.lit(_WALKS)), x, lambda v, _: F.when(v < n, v).otherwise(send(v, wide)))
+        return F.when(x < n, x).otherwise(let(on, lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a permuted place stayed outside")).cast("bigint"))))
+
+    wide = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("bigint"), F.lit(1).cast("bigint"))
+    return let(wide, lambda w: let(send(place, w), lambda x: inside(x, w)))
+
+
+def permuted_sql(columns: str, source: str) -> str:
+    """DuckDB twin of ``permuted``, to stand in WITH RECURSIVE: rows of ``source`` (the columns, b, place, n) with ``p``, where p < n."""
+    def once(rows: str, place: str) -> str:
+        out = f"SELECT {columns}, b, n, wide, high, d, {place} // wide AS x, {place} % wide AS y FROM {rows}"
+        for k in range(_ROUNDS):
+            t = f"((y + d[{2 * k + 1}]) % {_PRIME})"
+            out = f"SELECT {columns}, b, n, wide, high, d, y AS x, (x + ({t} * {t} % {_PRIME}) * d[{2 * k + 2}] % {_PRIME}) % {'wide' if k % 2 else 'high'} AS y FROM ({out})"
+        return f"SELECT {columns}, b, n, wide, high, d, x * wide + y AS p FROM ({out})"
+
+    grid = f"SELECT *, (n + wide - 1) // wide AS high FROM (SELECT *, greatest(ceil(sqrt(n::DOUBLE))::BIGINT, 1) AS wide FROM {source})"
+    return f"{once(f'({grid})', 'place')} UNION ALL {once('walk WHERE p >= n', 'p')}"
+
+
+def round_draws_sql(key: str, seed: int = 0) -> str:
+    return "[" + ", ".join(f"('0x' || substr(md5('{seed}-' || {key} || '-{k}'), 1, 15))::BIGINT % {_PRIME - 1} + 1" for k in range(2 * _ROUNDS)) + "]"
