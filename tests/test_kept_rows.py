@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickweave import session
 from tickweave.operators import aggregates, leadlag, models, select, series
 from tickweave.operators.joins import join_1to1
-from tickweave.plans.series import index_rows, running
+from tickweave.plans.series import index_rows, lagged, running
 from tickweave.plans.spread import DRAWS, hash_draw
 from tickweave.sources import payloads
 
@@ -26,15 +26,18 @@ def rows(df):
 
 
 def test_null_keys_are_series_in_every_mode(bars):
-    for chunk in (3600, None):
-        done = index_rows(bars, ["symbol"], ["ts"], total="_n", chunk=chunk)
+    for block in (4, 100):
+        done = index_rows(bars, ["symbol"], ["ts"], total="_n", block=block)
         assert done.filter("symbol IS NULL").agg(F.max("_pos"), F.max("_n"), F.count("*")).first() == (11, 12, 12)
+    values = {"s": ("sum", "close"), "m": ("max", "close"), "l": ("last", F.when(F.col("close") > 6, F.col("close")))}
     for op in (
-        lambda c: running(bars, ["symbol"], ["ts"], {"s": ("sum", "close"), "m": ("max", "close"), "l": ("last", F.when(F.col("close") > 6, F.col("close")))}, chunk=c),
-        lambda c: series.returns(bars, "simple", "close", ["symbol"], ["ts"], chunk=c),
-        lambda c: series.rolling(bars, {"m": ("mean", "close", 3)}, ["symbol"], ["ts"], chunk=c),
+        lambda **how: running(bars, ["symbol"], ["ts"], values, **how),
+        lambda **how: lagged(bars, ["symbol"], ["ts"], {"p": ("close", 2), "q": ("close", -1)}, **how),
     ):
-        assert rows(op(3600)) == rows(op(None)) and op(3600).count() == 24
+        assert rows(op(block=4)) == rows(op(bounded=True)) == rows(op()) and op(block=4).count() == 24
+    for bounded in (False, True):
+        assert series.rolling(bars, {"m": ("mean", "close", 3)}, ["symbol"], ["ts"], bounded=bounded).filter("symbol IS NULL AND m IS NOT NULL").count() == 10
+        assert series.returns(bars, "simple", "close", ["symbol"], ["ts"], bounded=bounded).filter("symbol IS NULL AND ret IS NOT NULL").count() == 11
 
 
 def test_repeated_keys_stop_the_join_whatever_is_read(spark):
@@ -61,12 +64,12 @@ def test_text_labels_and_ties(spark):
     assert [tuple(r) for r in select.argmax_row(best, "v", ["name"], ["k"]).collect()] == [(1, 5.0, "a")]
 
 
-@pytest.mark.parametrize("chunk", [3600, None])
-def test_constant_windows_have_no_correlation(spark, chunk):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_constant_windows_have_no_correlation(spark, bounded):
     start = dt.datetime(2024, 1, 1)
     data = [("a", "b", start + dt.timedelta(minutes=i), 0.1 if i < 60 else 0.1 * i, ((i * 37) % 11) / 3) for i in range(100)]
     df = spark.createDataFrame(data, "stock_a string, stock_b string, ts timestamp_ntz, x_a double, x_b double")
-    got = leadlag.rolling_corr(df, 20, chunk=chunk).orderBy("ts").collect()
+    got = leadlag.rolling_corr(df, 20, bounded=bounded).orderBy("ts").collect()
     assert [r.rolling_corr is None for r in got] == [i < 60 for i in range(100)]
 
 

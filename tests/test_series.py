@@ -1,4 +1,4 @@
-"""Ordered plans against pandas, with tiny chunks and blocks and one hot key."""
+"""Ordered plans against pandas, with tiny blocks and one hot key."""
 
 import numpy as np
 import pandas as pd

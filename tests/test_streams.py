@@ -102,7 +102,7 @@ def test_persistence_stream_equals_batch(spark, landed, tmp_path):
     run(K.persistence(K.pressure_signal(K.book_features(K.book_state(stream)))), str(tmp_path / "out"), str(tmp_path / "mark"))
     got = spark.read.parquet(str(tmp_path / "out"))
     signals = got.select("asset_id", "seq", "msg_no", "item", "signal", F.timestamp_millis("timestamp_ms").alias("ts"))
-    twin = K.persistence_batch(signals, order=["seq", "msg_no", "item"], chunk=50)
+    twin = K.persistence_batch(signals, order=["seq", "msg_no", "item"])
     a = sorted((r.asset_id, r.seq, r.run_count, r.age_seconds, r.active) for r in got.collect())
     b = sorted((r.asset_id, r.seq, r.run_count, r.age_seconds, r.active) for r in twin.collect())
     assert a == b and len({r[2] for r in a}) > 1
