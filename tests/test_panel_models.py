@@ -111,3 +111,22 @@ def test_leave_one_out_and_discriminant(spark):
     w = np.linalg.solve(pooled, a.mean(0) - b.mean(0))
     want = np.c_[x1, x2] @ w - 0.5 * w @ (a.mean(0) + b.mean(0))
     np.testing.assert_allclose(scored.sort_values("id")["score"], want, rtol=1e-8)
+
+
+def test_codes_of_many_labels(spark):
+    from tickweave.operators import prep
+
+    df = spark.range(5_000).selectExpr("id", "IF(id % 50 = 0, NULL, concat('http://host/', md5(string(id % 3000)))) AS label")
+    got = prep.encode(df, "label", "code").toPandas()
+    labels = sorted(got["label"].dropna().unique())
+    assert len(got) == 5_000 and got.loc[got["label"].isna(), "code"].isna().all()
+    known = got.dropna(subset=["label"])
+    assert (known["code"].astype(int).to_numpy() == known["label"].map({x: i for i, x in enumerate(labels)}).to_numpy()).all()
+
+
+def test_same_order_takes_an_order_for_each_side(spark):
+    from tickweave.operators import select
+
+    a = spark.createDataFrame([(i, -i, f"k{i:03d}") for i in range(30)], "x int, y int, k string")
+    assert select.same_order(a, a, "x", ["k"]).first()[0] == 0
+    assert select.same_order(a, a, "x", ["k"], ["y"]).first()[0] == 30

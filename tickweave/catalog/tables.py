@@ -350,19 +350,15 @@ def key_overlap(spark, sf):
     return X.key_overlap(table(spark, sf, "documents"), table(spark, sf, "labels"), ["doc_id"])
 
 
-@register("r03_same_keys", "SELECT 1::BIGINT AS max_difference, false AS same")
+@register("r03_same_keys", "WITH k AS (SELECT doc_id, sum(d) AS d FROM (SELECT doc_id, 1 AS d FROM documents UNION ALL SELECT doc_id, -1 FROM labels) GROUP BY 1) SELECT coalesce(max(abs(d)), 0)::BIGINT AS max_difference, coalesce(max(abs(d)), 0) = 0 AS same FROM k")
 def same_keys(spark, sf):
     return X.same_keys(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id")
 
 
 @register("r03_same_order", "SELECT count(*) AS n_differ FROM (SELECT c_custkey AS x, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) FULL JOIN (SELECT c_custkey AS y, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer) USING (i) WHERE x IS DISTINCT FROM y")
 def same_order(spark, sf):
-    from tickweave.plans.series import index_rows as number
-
     c = table(spark, sf, "customer")
-    x = number(c, [], ["c_custkey"]).select("_pos", F.col("c_custkey").alias("x"))
-    y = number(c, [], ["c_acctbal", "c_custkey"]).select("_pos", F.col("c_custkey").alias("y"))
-    return x.join(y, "_pos", "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).agg(F.count(F.lit(1)).alias("n_differ"))
+    return X.same_order(c, c, "c_custkey", ["c_custkey"], ["c_acctbal", "c_custkey"])
 
 
 @register("r04_dedup_keep_last", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +85,12 @@ def cap_quantiles(df: DataFrame, cols: Sequence[str], lo: float = 0.01, hi: floa
 
 
 def encode(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Integer codes in the sorted order of the labels."""
-    model = StringIndexer(inputCol=column, outputCol="_code", stringOrderType="alphabetAsc", handleInvalid="keep").fit(df)
-    known = len(model.labels)
-    return model.transform(df).withColumn(out, F.when(F.col("_code") < known, F.col("_code").cast("int"))).drop("_code")
+    """Integer codes in the sorted order of the labels, NULL for NULL.
+
+    Labels are numbered where they are, by measured blocks of the distinct ones, and joined back; none reaches the driver.
+    """
+    labels = index_rows(df.select(F.col(column).alias("_label")).filter("_label IS NOT NULL").distinct(), [], ["_label"], pos="_code")
+    return df.join(labels, F.col(column) == F.col("_label"), "left").withColumn(out, F.col("_code").cast("int")).drop("_label", "_code")
 
 
 def threshold_flag(df: DataFrame, column: str, cut_at: float, out: str) -> DataFrame:

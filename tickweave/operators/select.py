@@ -180,12 +180,12 @@ def same_keys(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     )
 
 
-def same_order(a: DataFrame, b: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
-    """One row: number of positions at which the ordered key columns differ."""
+def same_order(a: DataFrame, b: DataFrame, column: str, order: Sequence[str], order_b: Sequence[str] | None = None) -> DataFrame:
+    """One row: number of positions at which the ordered key columns differ; ``order_b`` is b's own order, if it has another."""
     from tickweave.plans.series import index_rows
 
     x = index_rows(a, [], order).select("_pos", F.col(column).alias("_x"))
-    y = index_rows(b, [], order).select("_pos", F.col(column).alias("_y"))
+    y = index_rows(b, [], order_b or order).select("_pos", F.col(column).alias("_y"))
     differs = x.join(y, "_pos", "full_outer").filter(~F.col("_x").eqNullSafe(F.col("_y")))
     return differs.agg(F.count(F.lit(1)).alias("n_differ"))
 
