@@ -37,14 +37,16 @@ def rolling_corr(aligned: DataFrame, window: int, keys: Sequence[str] = PAIR, ts
         d = d.withColumns({"_varies": varies[0] & varies[1], "_part": F.floor(F.col("_pos") / window)})
         part = W.partitionBy(*keys, "_block", "_part")
         inside = part.orderBy(ts)
+        # the same order as w, sorted as the parts are
+        along = W.partitionBy(*keys, "_block").orderBy("_part", ts)
         d = d.withColumns({"_mx": F.avg(x).over(part), "_my": F.avg(y).over(part)})
         d = d.withColumns({"_x": F.col(x) - F.col("_mx"), "_y": F.col(y) - F.col("_my")})
         terms = {"sx": F.col("_x"), "sy": F.col("_y"), "sxx": F.col("_x") ** 2, "syy": F.col("_y") ** 2, "sxy": F.col("_x") * F.col("_y")}
         d = d.withColumns({f"_{k}": F.sum(e).over(inside.rowsBetween(W.unboundedPreceding, 0)) for k, e in terms.items()})
         # the whole part before: what its last row has come to, known to the first row of this one
         kept = [f"_{k}" for k in terms] + ["_mx", "_my"]
-        d = d.withColumns({f"_l{k}": F.lag(k).over(w) for k in kept}).withColumns({f"_l{k}": F.first(f"_l{k}").over(inside) for k in kept})
-        sx, sy, sxx, syy, sxy = [F.col(f"_l_{k}") - F.coalesce(F.lag(f"_{k}", window).over(w), F.lit(0.0)) for k in terms]
+        d = d.withColumns({f"_l{k}": F.lag(k).over(along) for k in kept}).withColumns({f"_l{k}": F.first(f"_l{k}").over(inside) for k in kept})
+        sx, sy, sxx, syy, sxy = [F.col(f"_l_{k}") - F.coalesce(F.lag(f"_{k}", window).over(along), F.lit(0.0)) for k in terms]
         n = full - 1 - (F.col("_pos") % window)
         dx, dy = F.col("_l_mx") - F.col("_mx"), F.col("_l_my") - F.col("_my")
         moved = [sx + n * dx, sy + n * dy, sxx + 2 * dx * sx + n * dx * dx, syy + 2 * dy * sy + n * dy * dy, sxy + dx * sy + dy * sx + n * dx * dy]

@@ -65,9 +65,9 @@ _WALKS = 64
 
 
 def round_draws(*key: Column, seed: int = 0) -> Column:
-    """Shifts and factors of ``permuted`` for one key; made once per key, not per row."""
+    """Shifts and factors of ``permuted`` for one key, two rounds a piece; made once per key, not per row."""
     draw = lambda k: F.pmod(hash_draw(*key, F.lit(k), seed=seed), F.lit(_PRIME - 1)) + 1
-    return F.array(*[F.struct(draw(2 * k).alias("shift"), draw(2 * k + 1).alias("factor")) for k in range(_ROUNDS)])
+    return F.array(*[F.struct(*[draw(4 * k + i).alias(c) for i, c in enumerate(("shift", "factor", "shift2", "factor2"))]) for k in range(_ROUNDS // 2)])
 
 
 def permuted(place: Column, n: Column, draws: Column) -> Column:
@@ -76,18 +76,21 @@ def permuted(place: Column, n: Column, draws: Column) -> Column:
     A Feistel network on a grid of ceil(sqrt(n)) columns and as many lines as n needs: line and column take turns in shifting each other. Places
     that end beyond n are sent on until they end inside, which keeps it one to one.
     """
-    names = ("x", "y", "across", "down")
-    pack = lambda *parts: F.struct(*[p.cast("bigint").alias(c) for p, c in zip(parts, names, strict=True)])
     # evaluates an expression once, for all places where it is used
     let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
 
-    def shift(s: Column, d: Column) -> Column:
-        t = (s["y"] + d["shift"]) % _PRIME
-        return pack(s["y"], (s["x"] + t * t % _PRIME * d["factor"] % _PRIME) % s["across"], s["down"], s["across"])
+    def mixed(v: Column, shift: Column, factor: Column) -> Column:
+        t = (v + shift) % _PRIME
+        return t * t % _PRIME * factor % _PRIME
 
-    def send(x: Column, wide: Column) -> Column:
-        begin = pack(F.floor(x / wide), x % wide, F.floor((n + wide - 1) / wide), wide)
-        return F.aggregate(draws, begin, shift, lambda s: s["x"] * s["down"] + s["y"])
+    def send(place: Column, wide: Column) -> Column:
+        high = F.floor((n + wide - 1) / wide)
+
+        def rounds(v: Column, d: Column) -> Column:
+            line = (F.floor(v / wide) + mixed(v % wide, d["shift"], d["factor"])) % high
+            return line * wide + (v % wide + mixed(line, d["shift2"], d["factor2"])) % wide
+
+        return F.aggregate(draws, place.cast("bigint"), rounds)
 
     def inside(x: Column, wide: Column) -> Column:
         on = F.aggregate(F.sequence(F.lit(1), F.lit(_WALKS)), x, lambda v, _: F.when(v < n, v).otherwise(send(v, wide)))
