@@ -113,6 +113,55 @@ def test_leave_one_out_and_discriminant(spark):
     np.testing.assert_allclose(scored.sort_values("id")["score"], want, rtol=1e-8)
 
 
+def test_leave_one_out_equals_refits(spark):
+    n = 40
+    y = (RNG.random(n) < 0.4).astype(int)
+    x = RNG.normal(0, [1, 30, 0.01], (n, 3)) + np.outer(y, [1.2, 10, 0.0])
+    frame = pd.DataFrame({"id": np.arange(n), "y": y, "x1": x[:, 0], "x2": x[:, 1], "x3": x[:, 2]})
+    got = M.leave_one_out_lda2(spark.createDataFrame(frame), ["x1", "x2", "x3"], "y").toPandas().sort_values("id")
+    want = []
+    for i in range(n):
+        rest = np.arange(n) != i
+        a, b = x[rest & (y == 1)], x[rest & (y == 0)]
+        pooled = ((len(a) - 1) * np.cov(a.T) + (len(b) - 1) * np.cov(b.T)) / (n - 3)
+        w = np.linalg.solve(pooled, a.mean(0) - b.mean(0))
+        want.append(x[i] @ w - 0.5 * w @ (a.mean(0) + b.mean(0)) + np.log(len(a) / len(b)))
+    np.testing.assert_allclose(got["score"], want, rtol=1e-8, atol=1e-10)
+    assert list(got["prediction"]) == [int(s > 0) for s in want] and list(got.columns) == ["id", "y", "x1", "x2", "x3", "score", "prediction"]
+
+
+def test_leave_one_out_of_lone_and_missing_rows(spark):
+    rows = [(1, 1, 5.0), (2, 0, 1.0), (3, 0, 2.0), (4, 0, 4.0), (5, 0, None), (6, None, 3.0)]
+    got = {r["id"]: (r["score"], r["prediction"]) for r in M.leave_one_out_lda2(spark.createDataFrame(rows, "id int, y int, x double").filter("id < 5"), ["x"], "y").collect()}
+    # without row 1 there is no class 1 left
+    assert got[1] == (None, 0) and all(got[i][0] is not None for i in (2, 3, 4))
+    full = spark.createDataFrame(rows, "id int, y int, x double")
+    got = {r["id"]: r["prediction"] for r in M.leave_one_out_lda2(full.filter("id <> 5"), ["x"], "y").collect()}
+    assert got[6] is None
+    with pytest.raises(ValueError, match="rows of both"):
+        M.leave_one_out_lda2(full.filter("y = 0"), ["x"], "y")
+
+
+def test_leave_one_out_by_fits_is_bounded(spark):
+    df = spark.range(30).selectExpr("id", "id % 2 AS y", "double(id) AS x")
+    with pytest.raises(ValueError, match="30 fits"):
+        M.cross_validate(df, ["x"], "y", "id", k=None, most_fits=29)
+
+
+def test_two_stages_beat_the_majority(spark):
+    n = 900
+    kind = RNG.choice(3, n, p=[0.25, 0.5, 0.25])
+    frame = pd.DataFrame({"id": np.arange(n), "label": kind.astype(float), "size": RNG.normal(0, 0.3, n) + (kind != 1), "sign": RNG.normal(0, 0.4, n) + np.where(kind == 1, 0, kind - 1)})
+    data = M.assemble(spark.createDataFrame(frame), ["size", "sign"])
+    train, test = data.filter("id % 3 <> 0"), data.filter("id % 3 = 0")
+    scored = M.two_stage(max_iter=5).fit(train).transform(test)
+    got = scored.toPandas()
+    np.testing.assert_allclose(got[["p_down", "p_flat", "p_up"]].sum(axis=1), 1.0)
+    best = got[["p_down", "p_flat", "p_up"]].to_numpy().argmax(axis=1)
+    assert (got["prediction"] == best).all() and (got["prediction"] == got["label"]).mean() > 0.75
+    assert set(scored.columns) == {*test.columns, "p_down", "p_flat", "p_up", "prediction"}
+
+
 def test_codes_of_many_labels(spark):
     from tickweave.operators import prep
 

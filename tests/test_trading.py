@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickweave.operators import backtest as K
+from tickweave.operators import portfolio
 from tickweave.operators.bars import resample_grid, resample_observed
 from tickweave.operators.joins import candidate_pairs, join_1to1
 from tickweave.plans import series as P
@@ -172,3 +173,32 @@ def test_by_symbol_query_reports_every_symbol(spark):
     assert sorted(r.symbol for r in got) == sorted(r.symbol for r in grid(spark, sf).select("symbol").distinct().collect())
     view = queries()["b06_performance"](spark, sf).first()
     assert [{c: r[c] for c in view.asDict()} for r in got if r.symbol == "view"] == [view.asDict()]
+
+
+def test_blocked_covariance_equals_pairwise(spark):
+    rng = np.random.default_rng(5)
+    n_days, n_assets = 70, 23
+    wide = pd.DataFrame(rng.normal(0, 0.02, (n_days, n_assets)) + 5, columns=[f"s{i}" for i in range(n_assets)])
+    wide[rng.random(wide.shape) < 0.2] = np.nan
+    wide["late"] = np.where(np.arange(n_days) > 66, 0.1, np.nan)
+    wide["never"] = np.nan
+    long = wide.rename_axis("ts").reset_index().melt("ts", var_name="symbol", value_name="ret")
+    df = spark.createDataFrame(long).withColumn("ret", F.when(~F.isnan("ret"), F.col("ret")))
+    want = wide.cov(min_periods=1)
+    for block, days in ((4, 16), (64, 256)):
+        got = portfolio.covariance(df, block=block, days=days).toPandas()
+        assert not got.duplicated(["a", "b"]).any() and "never" not in set(got["a"])
+        assert len(got) == 24 * 24 - sum(2 for c in wide.columns[:23] if not (wide[c].notna() & wide["late"].notna()).any())
+        for r in got.itertuples():
+            shared = (wide[r.a].notna() & wide[r.b].notna()).sum()
+            if shared < 2:
+                assert r.cov is None or np.isnan(r.cov)
+            else:
+                assert abs(r.cov - wide[[r.a, r.b]].dropna().cov().to_numpy()[0, -1] if r.a != r.b else r.cov - want.loc[r.a, r.a]) < 1e-14
+
+
+def test_blocked_covariance_meets_strips_not_days(spark):
+    df = spark.range(600 * 40).selectExpr("id % 600 AS ts", "concat('s', id DIV 600) AS symbol", "sin(id) AS ret")
+    plan = portfolio.covariance(df, block=8, days=64)._jdf.queryExecution().executedPlan().toString()
+    # the only join is the one with the assets' means
+    assert plan.count("Join ") + plan.count("Join[") <= 1 + plan.count("Final Plan") and portfolio.covariance(df, block=8, days=64).count() == 1600

@@ -8,6 +8,7 @@ from tickweave.catalog.fixtures import BARS, DAILY, MARKETS, bars, daily, market
 from tickweave.operators import calibration as C
 from tickweave.operators import execution as E
 from tickweave.operators import portfolio as O
+from tickweave.operators.series import returns
 from tickweave.plans.registry import register
 from tickweave.session import cut
 
@@ -152,6 +153,13 @@ def covariance(spark, sf):
     return O.covariance(region_returns(spark, sf)).withColumn("cov", r6("cov", 8))
 
 
+@register("o02_covariance_all_symbols", f"""WITH {DAILY}, r0 AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM daily)
+SELECT x.symbol AS a, y.symbol AS b, round(covar_samp(x.ret, y.ret), 8) AS cov FROM r0 x JOIN r0 y USING (ts) WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2""")
+def covariance_all_symbols(spark, sf):
+    d = daily(spark, sf)
+    return O.covariance(returns(d, "simple", "close", ["symbol"], ["ts"], bounded=True)).withColumn("cov", r6("cov", 8))
+
+
 def weights(spark, sf):
     """One candidate per supplier, weights from its key."""
     regions = table(spark, sf, "region").agg(F.sort_array(F.collect_set("r_name"))).scalar()

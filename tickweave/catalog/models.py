@@ -103,6 +103,24 @@ def cross_validation(spark, sf):
     return V.class_metrics(scored, "label", "prediction").select(*[r6(c, 4).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
 
 
+# every row's scores from the sums of all other rows, solved as 2 by 2 systems
+_LOO = """WITH t AS (SELECT l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE / 1000 AS z, (l_returnflag = 'R')::INT AS y FROM lineitem),
+s AS (SELECT y, count(*) AS n, avg(x) AS mx, avg(z) AS mz, var_pop(x) * count(*) AS xx, var_pop(z) * count(*) AS zz, covar_pop(x, z) * count(*) AS xz FROM t GROUP BY y),
+r AS (SELECT t.*, own.n - 1 AS own_n, (own.mx * own.n - x) / (own.n - 1) AS omx, (own.mz * own.n - z) / (own.n - 1) AS omz,
+  own.xx + other.xx - (x - own.mx) ^ 2 * own.n / (own.n - 1) AS xx, own.zz + other.zz - (z - own.mz) ^ 2 * own.n / (own.n - 1) AS zz,
+  own.xz + other.xz - (x - own.mx) * (z - own.mz) * own.n / (own.n - 1) AS xz, other.n AS en, other.mx AS emx, other.mz AS emz
+  FROM t JOIN s own ON own.y = t.y JOIN s other ON other.y <> t.y),
+d AS (SELECT *, CASE WHEN y = 1 THEN 1 ELSE -1 END AS sgn, x - (omx + emx) / 2 AS gx, z - (omz + emz) / 2 AS gz, omx - emx AS hx, omz - emz AS hz, xx * zz - xz * xz AS det FROM r),
+c AS (SELECT y, sgn * ((own_n + en - 2) * (gx * (zz * hx - xz * hz) + gz * (xx * hz - xz * hx)) / det + ln(own_n / en)) AS score FROM d)"""
+
+
+@register("m10_leave_one_out", f"{_LOO} SELECT y, (score > 0)::INT AS prediction, count(*) AS n, round(avg(score), 6) AS mean_score FROM c GROUP BY 1, 2")
+def leave_one_out(spark, sf):
+    rows = lines(spark, sf).select("y", "l_quantity", (F.col("l_extendedprice") / 1000).alias("thousands"))
+    scored = M.leave_one_out_lda2(rows, ["l_quantity", "thousands"], "y")
+    return scored.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean_score"))
+
+
 @register("m10_fold_sizes", """WITH r AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ('0x' || substr(md5('0-' || o_orderkey), 1, 15))::BIGINT, o_orderkey) - 1 AS pos FROM orders) SELECT o_orderstatus, (pos % 5)::INT AS fold, count(*) AS n FROM r GROUP BY 1, 2""")
 def fold_sizes(spark, sf):
     f = Z.stratified_folds(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey", 5)
@@ -136,6 +154,12 @@ def multiclass_boosting(spark, sf):
     return M.compare_models(train, test, {"boosting": M.multiclass_boost()}).select("model", *[r6(c, 3).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
 
 
+@register("m12_two_stage")
+def two_stage(spark, sf):
+    train, test = panel_split(spark, sf)
+    return M.compare_models(train, test, {"two stages": M.two_stage()}).select("model", *[r6(c, 3).alias(c) for c in ("accuracy", "balanced_accuracy", "macro_f1")])
+
+
 @register("m12_config_sweep")
 def config_sweep(spark, sf):
     train, _ = panel_split(spark, sf)

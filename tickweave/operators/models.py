@@ -7,10 +7,11 @@ feature plan and a lost executor does not restart it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, Transformer
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
 )
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tickweave.operators.evaluate import class_metrics
 from tickweave.operators.prep import fit_scale, standardise, stratified_folds
+from tickweave.plans.series import index_rows
 from tickweave.session import cut
 
 
@@ -108,7 +110,49 @@ def multiclass_boost(max_iter: int = 10, max_depth: int = 3, seed: int = 42) ->
     return OneVsRest(classifier=GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed), labelCol="label", featuresCol="features")
 
 
-def compare_models(train: DataFrame, test: DataFrame, models: dict[str, Estimator]) -> DataFrame:
+@dataclass
+class TwoStage:
+    """Three classes by two chained models: does it move, and if it does, up or down.
+
+    Labels are 0 (down), 1 (flat) and 2 (up). The second model is fitted on the moving rows of the training
+    part only; the class probabilities are the products along the chain.
+    """
+
+    move: Estimator
+    direction: Estimator
+
+    def fit(self, train: DataFrame) -> TwoStageModel:
+        train = cut(train)
+        moves = F.col("label") != 1.0
+        first = self.move.fit(train.withColumn("label", moves.cast("double")))
+        second = self.direction.fit(train.filter(moves).withColumn("label", (F.col("label") == 2.0).cast("double")))
+        return TwoStageModel(first, second)
+
+
+@dataclass
+class TwoStageModel:
+    move: Transformer
+    direction: Transformer
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Adds ``p_down``, ``p_flat``, ``p_up`` and ``prediction``, the likeliest of them (ties: flat, then up)."""
+        out = df
+        for model, name in ((self.move, "_moves"), (self.direction, "_rises")):
+            scored = model.transform(out).withColumn(name, vector_to_array("probability")[1])
+            out = scored.select(*out.columns, name)
+        moves, rises = F.col("_moves"), F.col("_rises")
+        out = out.withColumns({"p_down": moves * (1 - rises), "p_flat": 1 - moves, "p_up": moves * rises}).drop("_moves", "_rises")
+        best = F.greatest("p_down", "p_flat", "p_up")
+        return out.withColumn("prediction", F.when(F.col("p_flat") == best, 1.0).when(F.col("p_up") == best, 2.0).otherwise(0.0))
+
+
+def two_stage(max_iter: int = 10, max_depth: int = 3, seed: int = 42) -> TwoStage:
+    """Boosted trees in both stages."""
+    base = {"labelCol": "label", "featuresCol": "features", "maxIter": max_iter, "maxDepth": max_depth, "seed": seed}
+    return TwoStage(GBTClassifier(**base), GBTClassifier(**base))
+
+
+def compare_models(train: DataFrame, test: DataFrame, models: dict[str, Estimator | TwoStage]) -> DataFrame:
     """Metrics of several estimators on one split; inputs carry features and label."""
     train, test = cut(train), cut(test)
     out = None
@@ -132,22 +176,27 @@ def config_sweep(train: DataFrame, valid: DataFrame, make: Callable[..., Estimat
     return out.orderBy(F.desc("macro_f1"), "setting")
 
 
-def cross_validate(df: DataFrame, cols: Sequence[str], y: str, row_id: str, est: Estimator | None = None, k: int | None = 5, seed: int = 0) -> DataFrame:
+def cross_validate(
+    df: DataFrame, cols: Sequence[str], y: str, row_id: str, est: Estimator | None = None, k: int | None = 5, seed: int = 0, most_fits: int = 500
+) -> DataFrame:
     """Out-of-fold predictions with stratified folds; ``k=None`` leaves one row out at a time.
 
-    Scaling is fit on each training part. Leave-one-out needs as many fits as
-    rows and is meant for market-level tables.
+    Scaling is fit on each training part. Leave-one-out needs as many fits as rows, so a table of
+    more than ``most_fits`` rows is an error; ``leave_one_out_lda2`` has no such limit.
     """
     est = est or logistic()
     data = df.select(row_id, y, *cols).withColumn("label", F.col(y).cast("double"))
     if k is None:
-        ids = [r[0] for r in data.select(row_id).orderBy(row_id).collect()]
-        parts = [(data.filter(F.col(row_id) != i), data.filter(F.col(row_id) == i)) for i in ids]
+        data = cut(data)
+        k = data.count()
+        if k > most_fits:
+            raise ValueError(f"leaving one of {k} rows out needs {k} fits, more than {most_fits}: use folds or leave_one_out_lda2")
+        folds = cut(index_rows(data, [], [row_id], "fold"))
     else:
         folds = cut(stratified_folds(data, y, row_id, k, seed))
-        parts = [(folds.filter(F.col("fold") != i), folds.filter(F.col("fold") == i)) for i in range(k)]
     out = None
-    for train, test in parts:
+    for i in range(k):
+        train, test = folds.filter(F.col("fold") != i), folds.filter(F.col("fold") == i)
         fitted = fit_scale(train, cols)
         model = est.fit(assemble(standardise(train, cols, fitted), cols))
         scored = model.transform(assemble(standardise(test, cols, fitted), cols)).select(row_id, y, "label", "prediction")
@@ -155,8 +204,8 @@ def cross_validate(df: DataFrame, cols: Sequence[str], y: str, row_id: str, est:
     return out
 
 
-def fit_lda2(train: DataFrame, cols: Sequence[str], y: str) -> Callable[[DataFrame], DataFrame]:
-    """Two-class linear discriminant: class means and pooled covariance in one aggregate, a d×d solve on the driver."""
+def class_moments(train: DataFrame, cols: Sequence[str], y: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows, means and scatter about the mean of the classes 0 and 1, from one aggregate."""
     d = len(cols)
     flag = F.col(y) == 1
 
@@ -173,9 +222,19 @@ def fit_lda2(train: DataFrame, cols: Sequence[str], y: str) -> Callable[[DataFra
         m[np.triu_indices(d)] = values
         return m + m.T - np.diag(np.diag(m))
 
-    n1, n0 = row["one"]["n"], row["zero"]["n"]
-    m1, m0 = np.array(row["one"]["mean"]), np.array(row["zero"]["mean"])
-    pooled = ((n1 - 1) * square(row["one"]["cov"]) + (n0 - 1) * square(row["zero"]["cov"])) / (n1 + n0 - 2)
+    def moments(r):
+        if r["n"] == 0:
+            raise ValueError("a linear discriminant of two classes needs rows of both")
+        # one row alone has no covariance and no scatter
+        return r["n"], np.array(r["mean"]), (r["n"] - 1) * square(r["cov"]) if r["n"] > 1 else np.zeros((d, d))
+
+    return [moments(row["zero"]), moments(row["one"])]
+
+
+def fit_lda2(train: DataFrame, cols: Sequence[str], y: str) -> Callable[[DataFrame], DataFrame]:
+    """Two-class linear discriminant: class means and pooled covariance in one aggregate, a d×d solve on the driver."""
+    (n0, m0, s0), (n1, m1, s1) = class_moments(train, cols, y)
+    pooled = (s1 + s0) / (n1 + n0 - 2)
     weight = np.linalg.solve(pooled, m1 - m0)
     bias = -0.5 * float(weight @ (m1 + m0)) + float(np.log(n1 / n0))
 
@@ -188,6 +247,57 @@ def fit_lda2(train: DataFrame, cols: Sequence[str], y: str) -> Callable[[DataFra
     return score
 
 
+def leave_one_out_lda2(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
+    """Score and prediction of every row by the two-class discriminant fitted on all other rows.
+
+    No refit: taking one row out moves its class mean along the row's deviation and takes a rank-one
+    matrix off the scatter, so the inverse follows by one division. One aggregate and a d×d inverse,
+    then one pass of column expressions, for any number of rows. The discriminant does not depend on
+    the columns' scales, so scaling inside each training part would change nothing. A row that is its class's only one
+    gets the other class and a NULL score; a row without which the columns are linearly dependent, or with a
+    missing feature or label, gets NULL for both.
+    """
+    d = len(cols)
+    known = F.col(y).isNotNull()
+    for c in cols:
+        known = known & F.col(c).isNotNull()
+    moments = class_moments(df.filter(known), cols, y)
+    n = sum(m[0] for m in moments)
+    # columns in which the scatter of all rows is the identity
+    root = np.linalg.cholesky(np.linalg.inv(moments[0][2] + moments[1][2]))
+    means = [m @ root for _, m, _ in moments]
+    one = F.col(y) == 1
+
+    def dot(u, v):
+        return sum((a * b for a, b in zip(u[1:], v[1:])), u[0] * v[0])
+
+    def names(prefix):
+        return [f"_{prefix}{j}" for j in range(d)]
+
+    def columns(prefix):
+        return [F.col(c) for c in names(prefix)]
+
+    held = F.when(one, moments[1][0]).otherwise(moments[0][0])
+    z = {name: dot([F.col(c).cast("double") for c in cols], [F.lit(float(v)) for v in root[:, j]]) for j, name in enumerate(names("z"))}
+    out = df.withColumn("_held", held.cast("double")).withColumns(z)
+    out = out.withColumns({name: F.col(f"_z{j}") - F.when(one, float(means[1][j])).otherwise(float(means[0][j])) for j, name in enumerate(names("d"))})
+    shift = {name: F.try_divide(F.col(f"_d{j}"), F.col("_held") - 1) for j, name in enumerate(names("s"))}
+    out = out.withColumns(shift)
+    # means of both classes without the row, as half their sum and as their difference
+    ahead = {name: float(means[1][j] - means[0][j]) - F.when(one, F.col(f"_s{j}")).otherwise(-F.col(f"_s{j}")) for j, name in enumerate(names("h"))}
+    centred = {name: F.col(f"_z{j}") - (float(means[1][j] + means[0][j]) - F.col(f"_s{j}")) / 2 for j, name in enumerate(names("g"))}
+    out = out.withColumns(ahead | centred)
+    part = F.try_divide(F.col("_held"), F.col("_held") - 1)
+    left = 1 - part * dot(columns("d"), columns("d"))
+    bilinear = dot(columns("g"), columns("h")) + F.try_divide(part * dot(columns("g"), columns("d")) * dot(columns("h"), columns("d")), left)
+    n0, n1 = F.lit(float(moments[0][0])), F.lit(float(moments[1][0]))
+    prior = F.log(F.when(one, (n1 - 1) / n0).otherwise(F.try_divide(n1, n0 - 1)))
+    alone = F.col("_held") == 1
+    out = out.withColumn("score", F.when(known & ~alone & (left > 1e-12), (n - 3) * bilinear + prior))
+    out = out.withColumn("prediction", F.when(known & alone, (~one).cast("int")).otherwise((F.col("score") > 0).cast("int")))
+    return out.drop("_held", *(c for prefix in "zdshg" for c in names(prefix)))
+
+
 def pca_tree_grid(df: DataFrame, cols: Sequence[str], ks: Sequence[int], depths: Sequence[int], folds: int = 3, seed: int = 42) -> DataFrame:
     """PCA + decision tree, every (k, depth) scored by cross-validation. Input: columns and label."""
     reduce = PCA(inputCol="features", outputCol="_pc")
