@@ -148,3 +148,77 @@ def test_repeated_delivery_is_dropped(spark, landed, tmp_path):
     run(twice, str(tmp_path / "out"), str(tmp_path / "mark"))
     once = G.route(G.parse_messages(spark.createDataFrame(rows, "seq bigint, value string"))).count()
     assert spark.read.parquet(str(tmp_path / "out")).count() == once
+
+
+def test_monitor_ticks_without_messages(spark, landed, tmp_path):
+    _, folder = landed
+    beats = tmp_path / "beats"
+    beats.mkdir()
+    for i in range(4):
+        (beats / f"b{i}.json").write_text(json.dumps({"timestamp": f"2023-11-14 23:0{i}:00"}) + "\n")
+        os.utime(beats / f"b{i}.json", (time.time() - 50 + i, time.time() - 50 + i))
+    clock = spark.readStream.schema("timestamp timestamp").option("maxFilesPerTrigger", 1).json(str(beats))
+    # all messages come with the first beat; three ticks have none
+    book = K.book_features(K.book_state(G.route(G.parse_messages(G.message_stream(spark, folder, files_per_trigger=6)))))
+    O.start_monitor(book, str(tmp_path / "m"), str(tmp_path / "mark"), interval=None, beats=clock, max_spread=1, min_depth=0).awaitTermination()
+    state = spark.read.parquet(str(tmp_path / "m" / "state"))
+    # the last two ticks are kept
+    assert sorted(r[0] for r in state.select("tick").distinct().collect()) == [2, 3]
+    first, second = ({r.asset_id: r for r in state.filter(F.col("tick") == t).collect()} for t in (2, 3))
+    assert set(first) == set(second) == {"1", "2", "3"}
+    for asset, r in second.items():
+        assert r.tradable and r.signal == first[asset].signal and r.run_count == first[asset].run_count + 1
+        assert r.tick_ms - first[asset].tick_ms == 60_000 and r.timestamp_ms == first[asset].timestamp_ms and r.first_seen_ms == first[asset].first_seen_ms
+    snapshots = spark.read.parquet(str(tmp_path / "m" / "snapshots"))
+    assert {r.tick: r["count"] for r in snapshots.groupBy("tick").count().collect()} == {0: 3, 1: 3, 2: 3, 3: 3}
+    signals = spark.read.parquet(str(tmp_path / "m" / "signals"))
+    for r in signals.filter("tick = 3").collect():
+        assert r.run_count == second[r.asset_id].run_count and r.age_seconds == (second[r.asset_id].tick_ms - second[r.asset_id].first_seen_ms) / 1000
+
+
+class States(dict):
+    """Map state in memory that counts what is read and written."""
+
+    reads = writes = 0
+
+    def containsKey(self, key):
+        return key in self
+
+    def getValue(self, key):
+        self.reads += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.writes += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.writes += 1
+        del self[key]
+
+
+def test_ladder_touches_few_pages():
+    index, pages, want, rnd = States(), States(), {}, random.Random(4)
+    whole = K.Ladder("BUY", index, pages)
+    for p in range(10_000):
+        whole.set(Decimal(p * 7919 % 10_000), Decimal(p + 1))
+        want[Decimal(p * 7919 % 10_000)] = Decimal(p + 1)
+    whole.save()
+    assert sum(len(v[0]) for v in pages.values()) == 10_000 and max(len(v[0]) for v in pages.values()) <= K.PAGE
+    for _ in range(300):
+        index.reads = index.writes = pages.reads = pages.writes = 0
+        ladder = K.Ladder("BUY", index, pages)
+        # often the best level goes, so the next one must be known
+        price = rnd.choice([max(want), min(want), Decimal(rnd.randrange(10_000))])
+        size = Decimal(rnd.choice([0, 0, 5]))
+        ladder.set(price, size)
+        want.pop(price, None)
+        if size:
+            want[price] = size
+        assert ladder.best(True) == (max(want), want[max(want)]) and ladder.best(False) == (min(want), want[min(want)])
+        ladder.save()
+        assert index.reads <= 1 and pages.reads <= 4 and pages.writes <= 2
+    last = K.Ladder("BUY", index, pages)
+    last.clear()
+    last.save()
+    assert not pages and K.Ladder("BUY", index, pages).best(True) == (None, None)

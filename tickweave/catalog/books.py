@@ -126,11 +126,19 @@ def periodic_snapshots(spark, sf):
 # --- bounded stream runs ------------------------------------------------------------------
 
 
-def landed_stream(spark, sf, files: int = 4):
-    """The messages written as JSON files and read back as a stream."""
+SLICES = 4
+
+
+def landed_stream(spark, sf):
+    """The messages landed as one folder of files after the other, read back as a stream of one micro-batch each."""
     path = scratch_path(spark, "messages")
-    raw_messages(spark, sf).repartitionByRange(files, "seq").sortWithinPartitions("seq").write.json(path)
-    return G.message_stream(spark, path, files_per_trigger=files)
+    raw = raw_messages(spark, sf)
+    first, last = raw.agg(F.min("seq"), F.max("seq")).first()
+    for t in range(SLICES):
+        # one file a slice: the stream reads whole slices in the order of their times
+        part = raw.filter(F.floor((F.col("seq") - first) * SLICES / (last - first + 1)) == t)
+        part.coalesce(1).write.mode("append").json(path)
+    return G.message_stream(spark, path, files_per_trigger=1)
 
 
 def stream_signals(spark, sf):
@@ -172,7 +180,15 @@ def watermarked_updates(spark, sf):
     return spark.read.parquet(out).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("st7_monitor", f"WITH {STATE} SELECT asset_id, 1::BIGINT AS n FROM ft WHERE spread <= 0.05 AND depth >= 100 AND mid BETWEEN 0.05 AND 0.95")
+# the tradable assets after each slice of the messages
+_TICKS = f"""{MSG}, ends AS (SELECT t, min(event_id) + (t + 1) * (max(event_id) - min(event_id) + 1) / {SLICES} AS e FROM events, range({SLICES}) x(t) GROUP BY t),
+rs AS (SELECT t, asset_id, max(seq) AS r FROM upd JOIN ends ON seq < e WHERE kind = 'reset' GROUP BY 1, 2),
+lv AS (SELECT t, asset_id, side, price, arg_max(size, seq * 10 + item) AS size, max(seq) AS seq FROM upd JOIN ends ON seq < e WHERE kind <> 'reset' GROUP BY 1, 2, 3, 4),
+top AS (SELECT t, asset_id, max(price) FILTER (side = 'BUY') AS bb, arg_max(size, price) FILTER (side = 'BUY') AS bs, min(price) FILTER (side = 'SELL') AS ba, arg_min(size, price) FILTER (side = 'SELL') AS sz
+  FROM lv LEFT JOIN rs USING (t, asset_id) WHERE (r IS NULL OR lv.seq >= r) AND size > 0 GROUP BY 1, 2)"""
+
+
+@register("st7_monitor", f"WITH {_TICKS} SELECT asset_id, count(*) AS n FROM top WHERE (ba - bb) <= 0.05 AND bs + sz >= 100 AND (bb + ba) / 2 BETWEEN 0.05 AND 0.95 GROUP BY 1")
 def monitor(spark, sf):
     folder, mark = scratch_path(spark, "monitor"), scratch_path(spark, "mark")
     features = K.book_features(K.book_state(G.route(G.parse_messages(landed_stream(spark, sf)))))

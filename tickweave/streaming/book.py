@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
@@ -124,36 +125,123 @@ def top_lists(features: DataFrame, n: int = 5) -> DataFrame:
 # --- streaming state -------------------------------------------------------------------------
 
 
+PAGE = 128
+
+
+class Ladder:
+    """Price levels of one side of one book, ascending, in pages of at most ``PAGE`` levels.
+
+    Only the list of pages (their lowest prices) is read with every batch; a page is read when an update or
+    the best price needs it, and written back when it changed. An update touches one page, however deep the book.
+    """
+
+    def __init__(self, side: str, index, pages) -> None:
+        self.side, self.index, self.pages = side, index, pages
+        lows, ids, self.next = index.getValue((side,)) if index.containsKey((side,)) else ([], [], 0)
+        self.lows, self.ids = [Decimal(p) for p in lows], list(ids)
+        self.loaded: dict[int, tuple[list[Decimal], list[Decimal]]] = {}
+        self.changed: set[int] = set()
+        self.dropped: set[int] = set()
+        self.moved = False
+
+    def _page(self, at: int) -> tuple[list[Decimal], list[Decimal]]:
+        number = self.ids[at]
+        if number not in self.loaded:
+            prices, sizes = self.pages.getValue((self.side, number))
+            self.loaded[number] = [Decimal(p) for p in prices], [Decimal(x) for x in sizes]
+        return self.loaded[number]
+
+    def _new_page(self, at: int, prices: list[Decimal], sizes: list[Decimal]) -> None:
+        self.lows.insert(at, prices[0])
+        self.ids.insert(at, self.next)
+        self.loaded[self.next] = prices, sizes
+        self.changed.add(self.next)
+        self.next += 1
+        self.moved = True
+
+    def _drop_page(self, at: int) -> None:
+        number = self.ids.pop(at)
+        self.lows.pop(at)
+        self.loaded.pop(number, None)
+        self.changed.discard(number)
+        self.dropped.add(number)
+        self.moved = True
+
+    def set(self, price: Decimal, size: Decimal) -> None:
+        """New size of a level; zero or less takes the level away."""
+        if not self.ids:
+            if size > 0:
+                self._new_page(0, [price], [size])
+            return
+        at = max(bisect_right(self.lows, price) - 1, 0)
+        prices, sizes = self._page(at)
+        i = bisect_left(prices, price)
+        found = i < len(prices) and prices[i] == price
+        if size > 0 and found:
+            sizes[i] = size
+        elif size > 0:
+            prices.insert(i, price)
+            sizes.insert(i, size)
+        elif found:
+            del prices[i], sizes[i]
+        else:
+            return
+        self.changed.add(self.ids[at])
+        if not prices:
+            self._drop_page(at)
+        elif len(prices) > PAGE:
+            half = len(prices) // 2
+            self._new_page(at + 1, prices[half:], sizes[half:])
+            del prices[half:], sizes[half:]
+
+    def clear(self) -> None:
+        while self.ids:
+            self._drop_page(len(self.ids) - 1)
+
+    def best(self, highest: bool) -> tuple[Decimal | None, Decimal | None]:
+        if not self.ids:
+            return None, None
+        end = -1 if highest else 0
+        prices, sizes = self._page(len(self.ids) - 1 if highest else 0)
+        return prices[end], sizes[end]
+
+    def save(self) -> None:
+        for number in self.dropped:
+            if self.pages.containsKey((self.side, number)):
+                self.pages.removeKey((self.side, number))
+        for number in self.changed:
+            prices, sizes = self.loaded[number]
+            self.pages.updateValue((self.side, number), ([str(p) for p in prices], [str(x) for x in sizes]))
+        if self.moved:
+            self.index.updateValue((self.side,), ([str(p) for p in self.lows], self.ids, self.next))
+
+
 class BookProcessor(StatefulProcessor):
     """Keeps the price levels of one asset and emits the top of the book after every update."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price string", "size string")
+        self.index = handle.getMapState("index", "side string", "lows array<string>, ids array<int>, next int")
+        self.pages = handle.getMapState("pages", "side string, page int", "prices array<string>, sizes array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # one asset's updates of one micro-batch, which the source's rate limit bounds; the shuffle keeps no order
         pdf = pd.concat(list(rows)).sort_values(list(ORDER), ignore_index=True)
-        book = {(k[0], Decimal(k[1])): Decimal(v[0]) for k, v in self.levels.iterator()}
-        before = dict(book)
+        book = {side: Ladder(side, self.index, self.pages) for side in ("BUY", "SELL")}
         out = []
         marks = list(zip(pdf["seq"], pdf["msg_no"], pdf["kind"]))
         for i, r in enumerate(pdf.itertuples(index=False)):
             if r.kind == "reset":
-                book.clear()
-            elif r.size > 0:
-                book[(r.side, r.price)] = r.size
+                for ladder in book.values():
+                    ladder.clear()
             else:
-                book.pop((r.side, r.price), None)
+                book[r.side].set(r.price, r.size)
             # a snapshot is one update: wait for its last level
             if r.kind != "level" and i + 1 < len(marks) and marks[i + 1] == (r.seq, r.msg_no, "snapshot"):
                 continue
-            bid = max((p for s, p in book if s == "BUY"), default=None)
-            ask = min((p for s, p in book if s == "SELL"), default=None)
-            out.append((key[0], r.seq, r.msg_no, r.item, r.timestamp_ms, bid, ask, book.get(("BUY", bid)), book.get(("SELL", ask))))
-        for k in before.keys() - book.keys():
-            self.levels.removeKey((k[0], str(k[1])))
-        for k, v in book.items():
-            if before.get(k) != v:
-                self.levels.updateValue((k[0], str(k[1])), (str(v),))
+            (bid, bid_size), (ask, ask_size) = book["BUY"].best(True), book["SELL"].best(False)
+            out.append((key[0], r.seq, r.msg_no, r.item, r.timestamp_ms, bid, ask, bid_size, ask_size))
+        for ladder in book.values():
+            ladder.save()
         columns = [c.split()[0] for c in TOP.split(", ")]
         yield pd.DataFrame(out, columns=columns)
 
