@@ -233,9 +233,9 @@ def test_wilder_and_macd_equal_pandas(spark):
         np.testing.assert_allclose(I.sma_vs_ema(df, block=block).toPandas().sort_values("ts")["sma_vs_ema"], pdf["close"].rolling(10).mean() - pdf["close"].ewm(span=10, adjust=False).mean(), rtol=0, atol=1e-11)
 
 
-@pytest.mark.parametrize("window", [3, 40, 2_500])
+@pytest.mark.parametrize("window", [3, 40, 2_500, 60 * 391])
 def test_rolling_correlation_of_any_length(spark, window):
-    n = 6_000
+    n = 6_000 if window <= 2_500 else 50_000
     x = 1e4 + np.cumsum(RNG.normal(0, 1, n))  # drifts far from its start
     y = 0.3 * x + RNG.normal(0, 5, n)
     pdf = pd.DataFrame({"stock_a": "a", "stock_b": "b", "ts": pd.date_range("2024-01-01", periods=n, freq="1min"), "x_a": x, "x_b": y})

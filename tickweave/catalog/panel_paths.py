@@ -18,7 +18,9 @@ def split_panel(spark, sf):
     return temporal_split(panel(spark, sf), "day")
 
 
-TRAIN = PANEL + """, tr AS (SELECT *, day <= 19 AS is_train FROM cells)"""
+# the last day of the training part: four fifths of the days that occur
+LAST_TRAIN_DAY = "(SELECT list_sort(list(DISTINCT day))[floor(0.8 * count(DISTINCT day))::INT] FROM panel)"
+TRAIN = PANEL + f""", tr AS (SELECT *, day <= {LAST_TRAIN_DAY} AS is_train FROM cells)"""
 
 
 @register("q01_winsor", f"""WITH {TRAIN}, b AS (SELECT i, quantile_cont(x, 0.001) AS lo, quantile_cont(x, 0.999) AS hi FROM tr WHERE is_train GROUP BY 1)
@@ -129,7 +131,7 @@ def quantile_buckets(spark, sf):
     return Z.bucket(p, "vol", Z.fit_edges(p, "vol", [0, 0.2, 0.4, 0.6, 0.8, 1]), "bucket").select("id", "bucket")
 
 
-@register("q15_train_edge_buckets", f"""WITH {SUMS}, v AS (SELECT id, day, sqrt(sq) AS vol FROM sums JOIN panel USING (id)), e AS (SELECT list_sort(list_distinct(quantile_cont(vol, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM v WHERE day <= 19)
+@register("q15_train_edge_buckets", f"""WITH {SUMS}, v AS (SELECT id, day, sqrt(sq) AS vol FROM sums JOIN panel USING (id)), e AS (SELECT list_sort(list_distinct(quantile_cont(vol, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e FROM v WHERE day <= {LAST_TRAIN_DAY})
 SELECT id, least(greatest(len(list_filter(e, lambda y: y < vol)) - 1, 0), len(e) - 2) AS bucket FROM v, e""")
 def train_edge_buckets(spark, sf):
     p = P.path_features(split_panel(spark, sf), "r").select("id", "is_train", F.col("realized_vol_bps").alias("vol"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickweave.catalog.fixtures import BARS, PANEL, TICKS, bars, panel, r6, table, ticks, universe
-from tickweave.catalog.panel_paths import TRAIN, split_panel
+from tickweave.catalog.panel_paths import LAST_TRAIN_DAY, TRAIN, split_panel
 from tickweave.catalog.tables import RETS, aligned, candidates
 from tickweave.operators import audit as D
 from tickweave.operators import bars as B
@@ -200,7 +200,7 @@ def shift(spark, sf):
     return D.shift_report(line.filter(early), line.filter(~early), ["l_quantity", "l_extendedprice"])
 
 
-@register("d08_class_shift", f"WITH {PANEL}, p AS (SELECT day <= 19 AS tr, reod FROM panel) SELECT reod, round(count(*) FILTER (tr) / (SELECT count(*) FROM p WHERE tr), 6) AS share_train, round(count(*) FILTER (NOT tr) / (SELECT count(*) FROM p WHERE NOT tr), 6) AS share_test FROM p GROUP BY 1")
+@register("d08_class_shift", f"WITH {PANEL}, p AS (SELECT day <= {LAST_TRAIN_DAY} AS tr, reod FROM panel) SELECT reod, round(count(*) FILTER (tr) / (SELECT count(*) FROM p WHERE tr), 6) AS share_train, round(count(*) FILTER (NOT tr) / (SELECT count(*) FROM p WHERE NOT tr), 6) AS share_test FROM p GROUP BY 1")
 def class_shift(spark, sf):
     p = split_panel(spark, sf)
     s = D.class_shift(p.filter("is_train"), p.filter("NOT is_train"), "reod")

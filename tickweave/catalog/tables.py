@@ -229,9 +229,7 @@ def pearson_matrix(spark, sf):
 
 @register("a13_spearman_matrix", "WITH r AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _NUM) + " FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS value FROM r" for a, b in _PAIRS))
 def spearman_matrix(spark, sf):
-    # (order, line) repeats in this table, so rows are told apart by their place in the file
-    df = table(spark, sf, "lineitem").withColumn("_id", F.monotonically_increasing_id())
-    return A.corr_matrix(df, _NUM, "spearman", ["_id"]).withColumn("value", r6("value"))
+    return A.corr_matrix(table(spark, sf, "lineitem"), _NUM, "spearman").withColumn("value", r6("value"))
 
 
 @register("a14_moments", f"""WITH {TICKS}, m AS (SELECT symbol, avg(price) AS mu FROM ticks GROUP BY 1), c AS (SELECT symbol, avg(pow(price - mu, 2)) AS m2, avg(pow(price - mu, 3)) AS m3, avg(pow(price - mu, 4)) AS m4 FROM ticks JOIN m USING (symbol) GROUP BY 1)

@@ -88,7 +88,7 @@ def sector_pair_counts(universe: DataFrame, sector: str = "sector", symbol: str
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson", row_id: Sequence[str] = ()) -> DataFrame:
-    """Upper triangle in long form (a, b, value). Spearman ranks need a row id."""
+    """Upper triangle in long form (a, b, value)."""
     if method == "spearman":
         df = average_ranks(df, cols, row_id)
     cells = [

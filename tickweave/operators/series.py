@@ -120,8 +120,8 @@ def autocorr1(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[s
     )
 
 
-def run_length(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], ts: str = "ts", bounded: bool = False) -> DataFrame:
-    """Consecutive count of equal values and the time the run began."""
+def run_length(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[str], ts: str = "ts", bounded: bool = False, opening: str | None = None) -> DataFrame:
+    """Consecutive count of equal values and the time the run began; ``opening`` marks the first run of each series."""
 
     def build(d, w):
         prev = F.lag(column).over(w)
@@ -133,7 +133,8 @@ def run_length(df: DataFrame, column: str, keys: Sequence[str], order: Sequence[
         {"_start": ("last", F.when(F.col("_new"), F.col("_at"))), "run_start": ("last", F.when(F.col("_new"), F.col(ts)))},
         bounded=bounded,
     )
-    return start.withColumn("run_count", F.col("_at") - F.col("_start") + 1).drop("_new", "_at", "_start")
+    marks = {"run_count": F.col("_at") - F.col("_start") + 1} | ({opening: F.col("_start") == 0} if opening else {})
+    return start.withColumns(marks).drop("_new", "_at", "_start")
 
 
 def early_slice(df: DataFrame, horizons: Sequence[float], variant: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -79,10 +79,8 @@ def persistence_batch(signals: DataFrame, keys: Sequence[str] = ("asset_id",), o
 
     A tracker begins neutral with no start time, so a first run of NEUTRAL has none.
     """
-    runs = run_length(signals, "signal", keys, order, ts, bounded)
-    first = signals.groupBy(*keys).agg(F.min_by(ts, F.struct(*order)).alias("_first"))
-    runs = runs.join(first, list(keys))
-    opening = (F.col("signal") == "NEUTRAL") & (F.col("run_start") == F.col("_first"))
+    runs = run_length(signals, "signal", keys, order, ts, bounded, opening="_opening")
+    opening = (F.col("signal") == "NEUTRAL") & F.col("_opening")
     start = F.when(~opening, F.col("run_start"))
     age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)
     return runs.withColumns(
@@ -91,7 +89,7 @@ def persistence_batch(signals: DataFrame, keys: Sequence[str] = ("asset_id",), o
             "age_seconds": F.coalesce(age, F.lit(0.0)),
             "active": (F.col("signal") != "NEUTRAL") & (F.col("run_count") >= min_count),
         }
-    ).drop("_first", "run_start")
+    ).drop("_opening", "run_start")
 
 
 def latest(features: DataFrame, keys: Sequence[str] = ("asset_id",), order: Sequence[str] = ORDER) -> DataFrame:
