@@ -104,6 +104,12 @@ def test_parabolic_sar_is_independent_of_blocks(spark):
     one = I.parabolic_sar(df).toPandas().sort_values("ts")["sar"].to_numpy()
     many = I.parabolic_sar(df, block=40, memory=4).toPandas().sort_values("ts")["sar"].to_numpy()
     np.testing.assert_allclose(one, many, rtol=0, atol=0)
+    # a series without a name has borders of its own
+    both = df.unionByName(df.withColumn("symbol", F.lit(None).cast("string")))
+    got = I.parabolic_sar(both, block=40, memory=4).toPandas().sort_values("ts")
+    assert len(got) == 2 * n
+    for part in (got[got["symbol"].isna()], got[got["symbol"] == "a"]):
+        np.testing.assert_allclose(one, part["sar"].to_numpy(), rtol=0, atol=0)
 
 
 def test_empty_and_single_row(spark, data):

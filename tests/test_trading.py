@@ -202,3 +202,15 @@ def test_blocked_covariance_meets_strips_not_days(spark):
     plan = portfolio.covariance(df, block=8, days=64)._jdf.queryExecution().executedPlan().toString()
     # the only join is the one with the assets' means
     assert plan.count("Join ") + plan.count("Join[") <= 1 + plan.count("Final Plan") and portfolio.covariance(df, block=8, days=64).count() == 1600
+
+
+def test_session_ends_to_the_second(spark):
+    def trades(last):
+        rows = [("a", "b", pd.Timestamp(f"2024-03-04 {t}"), p) for t, p in (("09:29:59", 50.0), ("09:30:00", 51.0), ("12:00:00", 52.0), (last, 53.0))]
+        df = spark.createDataFrame(pd.DataFrame(rows, columns=["leader", "follower", "ts", "follower_price"]))
+        df = df.withColumns({"trading_day": F.to_date("ts"), "leader_price": F.lit(100.0), "leader_sma": F.lit(99.0), "long_signal": F.lit(True), "short_signal": F.lit(False)})
+        return [(r.entry_time.strftime("%H:%M:%S"), r.exit_time.strftime("%H:%M:%S"), r.exit_reason) for r in K.match_trades(df).collect()]
+
+    assert trades("15:55:00") == [("09:30:00", "15:55:00", "forced_eod_exit")]
+    # the session is over half a second before the bar
+    assert trades("15:55:00.500") == [] and trades("15:55:30") == []

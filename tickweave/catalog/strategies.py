@@ -38,13 +38,13 @@ sig AS (SELECT *, coalesce(lp > ls * 1.006 AND fp < fs * 1.002, false) AS lng, c
 
 DAY_SIGNALS = _signals("PARTITION BY leader, follower, trading_day ORDER BY ts")
 ALL_SIGNALS = _signals("PARTITION BY leader, follower ORDER BY ts")
-TRADES = DAY_SIGNALS + """, ok AS (SELECT *, strftime(ts, '%H:%M') AS clock FROM sig WHERE strftime(ts, '%H:%M') BETWEEN '09:30' AND '15:55' AND NOT (fp <= 10)),
+TRADES = DAY_SIGNALS + """, ok AS (SELECT *, strftime(ts, '%H:%M:%S') AS clock FROM sig WHERE strftime(ts, '%H:%M:%S') BETWEEN '09:30:00' AND '15:55:00' AND NOT (fp <= 10)),
 ent AS (SELECT leader, follower, trading_day, min(ts) AS entry_time FROM ok WHERE lng OR sht GROUP BY 1, 2, 3),
 en AS (SELECT ent.*, CASE WHEN lng THEN 'long' ELSE 'short' END AS side, fp AS entry_price FROM ent JOIN ok ON ok.leader = ent.leader AND ok.follower = ent.follower AND ok.ts = ent.entry_time),
 ex AS (SELECT en.leader, en.follower, en.trading_day, min(ok.ts) AS exit_time FROM en JOIN ok ON ok.leader = en.leader AND ok.follower = en.follower AND ok.trading_day = en.trading_day AND ok.ts > entry_time
-  WHERE clock >= '15:55' OR (side = 'long' AND lp < ls) OR (side = 'short' AND lp > ls) GROUP BY 1, 2, 3),
+  WHERE clock >= '15:55:00' OR (side = 'long' AND lp < ls) OR (side = 'short' AND lp > ls) GROUP BY 1, 2, 3),
 trades AS (SELECT en.*, exit_time, ok.fp AS exit_price, 100000 / entry_price AS shares, 100000 / entry_price * CASE WHEN side = 'long' THEN fp - entry_price ELSE entry_price - fp END AS gross_pnl, 2 * 100000 / entry_price * 0.0035 AS transaction_cost,
-  CASE WHEN clock >= '15:55' THEN 'forced_eod_exit' WHEN side = 'long' THEN 'leader_below_base_sma' ELSE 'leader_above_base_sma' END AS exit_reason
+  CASE WHEN clock >= '15:55:00' THEN 'forced_eod_exit' WHEN side = 'long' THEN 'leader_below_base_sma' ELSE 'leader_above_base_sma' END AS exit_reason
   FROM en JOIN ex USING (leader, follower, trading_day) JOIN ok ON ok.leader = en.leader AND ok.follower = en.follower AND ok.ts = exit_time)"""
 
 

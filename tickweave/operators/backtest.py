@@ -48,6 +48,11 @@ def pair_signals(prices: DataFrame, leader_edge: float = LEADER_EDGE, follower_e
     return _signal_columns(prices, W.partitionBy(*PAIR, "trading_day").orderBy("ts"), leader_edge, follower_edge, n)
 
 
+def _seconds(clock: str) -> int:
+    hours, minutes = clock.split(":")
+    return int(hours) * 3600 + int(minutes) * 60
+
+
 def match_trades(
     signals: DataFrame, notional: float = NOTIONAL, cost: float = COST, min_price: float = MIN_PRICE, start: str = "09:30", end: str = "15:55"
 ) -> DataFrame:
@@ -55,22 +60,23 @@ def match_trades(
 
     Entry: first usable bar with a signal. Exit: first later usable bar where the
     leader is back across its mean, or the end of the session. A day without an
-    exit bar gives no trade.
+    exit bar gives no trade. Both ends of the session belong to it, to the second: 15:55:30 is outside.
     """
-    clock = F.date_format("ts", "HH:mm")
-    usable = clock.between(start, end) & ~F.coalesce(F.col("follower_price") <= min_price, F.lit(False))
+    clock = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), F.col("ts"))
+    usable = clock.between(_seconds(start), _seconds(end)) & ~F.coalesce(F.col("follower_price") <= min_price, F.lit(False))
     day = W.partitionBy(*PAIR, "trading_day")
     side = F.when(F.col("long_signal"), "long").when(F.col("short_signal"), "short")
     entry = F.min_by(F.struct(F.col("ts").alias("ts"), side.alias("side"), F.col("follower_price").alias("price")), F.when(usable & side.isNotNull(), F.col("ts")))
     rows = signals.withColumn("_in", entry.over(day)).filter(F.col("_in").isNotNull())
     back = F.when(F.col("_in.side") == "long", F.col("leader_price") < F.col("leader_sma")).otherwise(F.col("leader_price") > F.col("leader_sma"))
-    forced = clock >= end
+    forced = clock >= _seconds(end)
     exits = usable & (F.col("ts") > F.col("_in.ts")) & (F.coalesce(back, F.lit(False)) | forced)
     rows = rows.withColumn("_out", F.min(F.when(exits, F.col("ts"))).over(day)).filter(F.col("ts") == F.col("_out"))
     shares = F.lit(notional) / F.col("_in.price")
     move = F.col("follower_price") - F.col("_in.price")
     gross = shares * F.when(F.col("_in.side") == "long", move).otherwise(-move)
     fee = 2 * shares * cost
+    # fixed values: the labels of the exit reasons
     reason = F.when(forced, "forced_eod_exit").when(F.col("_in.side") == "long", "leader_below_base_sma").otherwise("leader_above_base_sma")
     return rows.select(
         "trading_day", *PAIR,

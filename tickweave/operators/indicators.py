@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tickweave.functions.scalars import ratio
 from tickweave.operators.series import ewm, rolled
-from tickweave.plans.series import BLOCK, affine_scan, index_rows, into_blocks, measure, over_series
+from tickweave.plans.series import BLOCK, affine_scan, index_rows, into_blocks, join_same, measure, over_series
 from tickweave.session import cut
 
 KEYS, ORDER = ("symbol",), ("ts",)
@@ -154,9 +154,8 @@ def _sar_rows(pdf: pd.DataFrame, step: float, cap: float) -> pd.DataFrame:
 def parabolic_sar(bars: DataFrame, step: float = 0.02, cap: float = 0.2, keys=KEYS, order=ORDER, block: int = 32_768, memory: int = 2000) -> DataFrame:
     """Parabolic stop-and-reverse, exact for series of any length.
 
-    Blocks run side by side, each warmed up on the rows before it. Where a
-    block began from another state than the block before it ended with, it runs
-    again from the right state, until all borders agree.
+    Blocks run side by side, each warmed up on the rows before it. A block that began from another state
+    than the block before it ended with runs again from the right state, and only such blocks, until all borders agree.
     """
     state = ("sar", "ep", "af", "up")
     known = [f"_known_{s}" for s in state]
@@ -181,9 +180,12 @@ def parabolic_sar(bars: DataFrame, step: float = 0.02, cap: float = 0.2, keys=KE
         ends = border.filter("_own").select(*keys, "_pos", *[F.col(s).alias(k) for s, k in zip(state, known)])
         begins = border.filter("NOT _own").select(*keys, "_pos", "_block", *state)
         agree = [F.col(s).eqNullSafe(F.col(k)) for s, k in zip(state, known)]
-        wrong = begins.join(ends, [*keys, "_pos"]).filter(~(agree[0] & agree[1] & agree[2] & agree[3]))
+        wrong = join_same(begins, ends, [*keys, "_pos"], "inner").filter(~(agree[0] & agree[1] & agree[2] & agree[3]))
+        wrong = cut(wrong.select(*keys, "_pos", "_block", *known))
         if wrong.isEmpty():
             break
-        fixed = spread.join(ends.withColumn("_block", F.floor(F.col("_pos") / size) + 1), [*keys, "_pos", "_block"], "left")
-        out = run(fixed)
+        # one border a block, so one row a block that began wrong
+        again = join_same(spread, wrong.select(*keys, "_block"), [*keys, "_block"], "left_semi")
+        redone = run(join_same(again, wrong, [*keys, "_pos", "_block"]))
+        out = cut(join_same(out, wrong.select(*keys, "_block"), [*keys, "_block"], "left_anti").unionByName(redone))
     return out.filter("_own").select(*bars.columns, *state)
