@@ -1,4 +1,5 @@
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -52,3 +53,25 @@ def test_ties_blocks_and_odd_vectors(spark, monkeypatch):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.95 * sum(map(len, want.values()))
     assert got[100] == want[100]
     assert N.nearest(table.limit(0)).collect() == []
+
+
+def test_regions_hold_every_neighbour_within_the_bound():
+    random = np.random.default_rng(7)
+    centres = random.standard_normal((40, 16)) * 6
+    vectors = centres[random.integers(0, 40, 3000)] + random.standard_normal((3000, 16)) * 0.3
+    vectors[50:90] = vectors[50]
+    ids = np.arange(3000)
+    sample = N.Sample([SimpleNamespace(vector=v, vec_id=i) for i, v in zip(ids[:900], vectors[:900], strict=True)], 60)
+    region, far = sample.region(16, vectors)
+    widths = {(16, int(r)): float(far[region == r].max()) for r in np.unique(region)}
+    asked = ids % 10 == 0
+    bounds = sample.bound(16, vectors[asked], ids[asked], 10)
+    reached = sample.reached(16, vectors[asked], bounds, widths)
+    for q, bound, found in zip(ids[asked], bounds, reached, strict=True):
+        distance = np.sqrt(((vectors - vectors[q]) ** 2).sum(axis=1))
+        distance[q] = np.inf
+        nearest = np.argsort(distance)[:10]
+        assert distance[nearest].max() <= bound
+        assert set(region[nearest].tolist()) <= set(found)
+    # Clustered vectors leave most regions out.
+    assert np.mean([len(f) for f in reached]) < len(widths) / 4
