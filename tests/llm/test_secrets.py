@@ -32,6 +32,12 @@ def test_base_spans_equal_brute_force(spark, docs, odd_docs, no_docs):
     assert secrets.report(no_docs).collect() == []
 
 
+def test_text_of_very_many_matches(spark):
+    texts = ["é token=abcdefgh" * n for n in (127, 128, 129, 257)] + ["token=abcdefgh\n" * 40_000]
+    for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == brute(texts[r.doc_id])
+
+
 def test_further_kinds_add_spans(spark):
     text = "see ghp_" + "Z9" * 18 + " and -----BEGIN RSA PRIVATE KEY----- Bearer " + "Z" * 24
     row = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Alternatives that a rule's query has at most; beyond it the rule scans fully.
 MOST_ALTERNATIVES = 64
+#: Matches of a text whose places are summed up together.
+PART = 128
 
 
 @dataclass(frozen=True)
@@ -102,14 +104,22 @@ def spans_of(text: Column, rule: Rule) -> Column:
     gaps = F.split(text, rule.java, -1)
     lengths = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value")), lambda x: F.struct(F.length(x["gap"]).cast("bigint").alias("gap"), F.length(x["hit"]).cast("bigint").alias("hit"), F.length(x["value"]).alias("value")))
     none = F.array().cast("array<struct<start:bigint,end:bigint,value:int>>")
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    state = lambda at: F.struct(at.alias("at"), none.alias("out"))
 
     def add(s: Column, x: Column) -> Column:
         start = s["at"] + x["gap"]
         one = F.array(F.struct(start.alias("start"), (start + x["hit"]).alias("end"), x["value"].alias("value")))
         return F.struct((start + x["hit"]).alias("at"), F.concat(s["out"], one).alias("out"))
 
-    found = F.filter(F.aggregate(lengths, state, add)["out"], lambda x: x["value"] >= rule.least)
+    # Lists grow by copying, so matches go in parts; each part starts where the one before ended.
+    def in_parts(all_of: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), ((F.size(all_of) - 1) / PART).cast("int")), lambda n: F.slice(all_of, n * PART + 1, PART))
+        step = lambda done, part: F.concat(done, F.array(F.aggregate(part, state(F.element_at(done, -1)["at"]), add)))
+        return F.flatten(F.transform(F.aggregate(parts, F.array(state(F.lit(0).cast("bigint"))), step), lambda x: x["out"]))
+
+    # The array of one element gives `lengths` a name, so that it is evaluated once.
+    spans = F.element_at(F.transform(F.array(lengths), in_parts), 1)
+    found = F.filter(spans, lambda x: x["value"] >= rule.least)
     return F.when(text.rlike(rule.java), F.transform(found, lambda x: F.struct(x["start"], x["end"]))).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 
