@@ -86,3 +86,13 @@ def test_tables_with_odd_rows(spark, odd_docs, no_docs, net):
         assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % folds == left) for r in rows)
         empty = {r.score for r in rows if r.doc_id in (3, 4)}
         assert len(empty) <= 1
+
+
+def test_equal_texts_have_equal_scores():
+    random = np.random.default_rng(2)
+    texts = [bytes(random.integers(32, 127, random.integers(1, 900)).astype(np.uint8)) for _ in range(60)]
+    model = quality.train(texts[:40], np.arange(40) % 2)
+    alone = quality.text_scores(model, texts[:1] + texts[-1:])
+    for at in (0, 1, 7, 30):
+        mixed = quality.text_scores(model, texts[1 : 1 + at] + texts[:1] + texts[-1:])
+        assert mixed[-2:].tolist() == alone.tolist()

@@ -19,7 +19,8 @@ SAMPLE_PER_CLASS = 1500
 WIDTH, FILTERS, BYTE_DIM, HIDDEN = 6, 24, 8, 16
 CHUNK = 512
 HALF = CHUNK // 2
-EPOCHS, BATCH = 12, 32
+#: Steps of gradients, whatever the sample's size.
+STEPS, BATCH = 12 * 94, 32
 #: Half-chunks that are in memory at once.
 TOGETHER = 256
 
@@ -68,8 +69,10 @@ def text_scores(p: Params, texts: list[bytes]) -> np.ndarray:
     total = int(halves.sum())
     tops = np.concatenate([responses(p, tables, data, a, min(a + TOGETHER, total)).max(axis=1) for a in range(0, total, TOGETHER)])
     features = pooled(tops, halves)[0]
-    hidden = np.tanh((features - p["centre"]) * p["scale"] @ p["in"] + p["in_shift"])
-    return sigmoid((hidden @ p["out"] + p["out_shift"]).astype(np.float64))
+    # Sums row by row: a matrix product rounds by the row's place in the batch, and equal texts have equal scores.
+    scaled = ((features - p["centre"]) * p["scale"]).astype(np.float64)
+    hidden = np.tanh((scaled[:, :, None] * p["in"]).sum(axis=1) + p["in_shift"])
+    return sigmoid((hidden * p["out"]).sum(axis=1) + p["out_shift"])
 
 
 def gradients(p: Params, texts: list[bytes], label: np.ndarray, weight: np.ndarray) -> Params:
@@ -129,7 +132,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Params:
     fixed = {"centre": first.mean(axis=0), "scale": 1 / (first.std(axis=0) + 0.1)}
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     adam = Adam(p, 0.004)
-    epochs = max(EPOCHS, min(40, 600 * BATCH // len(texts)))
+    epochs = -(-STEPS // -(-len(texts) // BATCH))
     for epoch in range(epochs):
         adam.rate = 0.004 if epoch < epochs - 3 else 0.001
         mixed = random.permutation(len(texts))

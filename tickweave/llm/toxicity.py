@@ -25,7 +25,8 @@ HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 8
 #: Length of a character run, and rows of the table that runs are hashed to.
 GRAM, GRAMS = 4, 16384
 VOCABULARY = 8192
-EPOCHS, BATCH = 7, 48
+#: Steps of gradients, whatever the sample's size.
+STEPS, BATCH = 7 * 50, 48
 #: Windows that are in memory at once.
 TOGETHER = 4096
 
@@ -222,7 +223,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[Params
     vocabulary = start_values(p, corpus, labels)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     adam = Adam(p, 0.01)
-    epochs = max(EPOCHS, min(30, 250 * BATCH // len(texts)))
+    epochs = -(-STEPS // -(-len(texts) // BATCH))
     for epoch in range(epochs):
         adam.rate = 0.01 if epoch < epochs - 2 else 0.002
         logits = window_logits(p, vocabulary, corpus)
