@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio, safe_log_ratio
 from tickweave.plans.series import lagged
-from tickweave.plans.spread import salted_join
+from tickweave.plans.spread import dealt, salted_join
 
 
 def guard(condition: Column, message: str, value: Column) -> Column:
@@ -44,12 +44,16 @@ def twap(orders: DataFrame) -> DataFrame:
 
 def vwap_schedule(orders: DataFrame, profile: DataFrame) -> DataFrame:
     """Shares by volume weight. ``profile``: order_id, slice_idx, volume; negative or zero-sum is an error."""
-    w = W.partitionBy("order_id")
+    w = W.partitionBy("order_id").orderBy("slice_idx")
     v = guard(F.col("volume") >= 0, "volume profile must not be negative", F.col("volume").cast("double"))
-    rows = profile.withColumn("_v", v).withColumn("_sum", F.sum("_v").over(w))
+    n = profile.count()
+    rows = dealt(profile.select("order_id", "slice_idx", v.alias("_v")), n, "order_id")
+    # one sort serves both windows: a hash join keeps the order of its larger side
+    rows = rows.withColumn("_sum", F.sum("_v").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     share = guard(F.col("_sum") > 0, "volume profile must have a positive sum", ratio("_v", "_sum"))
-    done = rows.join(orders.select("order_id", "quantity"), "order_id").withColumn("shares", F.col("quantity") * share)
-    left = F.col("quantity") - F.sum("shares").over(w.orderBy("slice_idx").rowsBetween(W.unboundedPreceding, 0))
+    quantities = dealt(orders.select("order_id", "quantity"), n, "order_id").hint("shuffle_hash")
+    done = rows.join(quantities, "order_id").withColumn("shares", F.col("quantity") * share)
+    left = F.col("quantity") - F.sum("shares").over(w.rowsBetween(W.unboundedPreceding, 0))
     return done.withColumn("inventory", left).select("order_id", "slice_idx", "shares", "inventory")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+# rows a task gets where their number is known
+PART = 500_000
 # hash draws are uniform below this: 15 hexadecimal digits
 DRAWS = 2**60
 
@@ -27,6 +30,11 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows dealt by key over as many tasks as ``n`` rows ask for, whatever the session's number of partitions."""
+    return df.repartition(max(1, math.ceil(n / PART)), *keys)
+
+
 def hash_draw(*parts: Column, seed: int = 0) -> Column:
     """Uniform bigint in [0, 2^60) from the text of the parts, the same on any engine."""
     text = F.concat_ws("-", F.lit(str(seed)), *[p.cast("string") for p in parts])
