@@ -3,6 +3,9 @@
 An order row has: order_id, quantity, horizon, slices, sigma, eta, risk_aversion.
 Schedules are rows (order_id, slice_idx, t, shares, inventory); the rows of one
 order are its slices, a number set by the order itself.
+
+Spark sizes a table of slices like the orders that it comes from, and would broadcast it. Slices therefore
+meet by shuffles of as many parts as their number asks for.
 """
 
 from __future__ import annotations
@@ -79,13 +82,15 @@ def blend(ac: DataFrame, vw: DataFrame, alphas: Sequence[float]) -> DataFrame:
     """α·risk-averse + (1-α)·volume schedule for each α, rescaled to the full quantity."""
     if any(not 0 <= a <= 1 for a in alphas):
         raise ValueError("alpha must lie in [0, 1]")
-    both = ac.select("order_id", "slice_idx", F.col("shares").alias("_a")).join(vw.select("order_id", "slice_idx", F.col("shares").alias("_v")), ["order_id", "slice_idx"])
-    both = both.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
-    w = W.partitionBy("order_id", "alpha")
-    raw = F.col("alpha") * F.col("_a") + (1 - F.col("alpha")) * F.col("_v")
-    rows = both.withColumn("_raw", raw).withColumns({"_total": F.sum("_raw").over(w), "_q": F.sum("_a").over(w)})
-    shares = F.col("_raw") * ratio("_q", "_total")
-    return rows.select("order_id", "alpha", "slice_idx", shares.alias("shares"))
+    n, on = ac.count(), ["order_id", "slice_idx"]
+    left, right = ac.select(*on, F.col("shares").alias("_a")), vw.select(*on, F.col("shares").alias("_v"))
+    both = dealt(dealt(left, n, *on).join(dealt(right, n, *on).hint("merge"), on), n, "order_id")
+    w = W.partitionBy("order_id")
+    raw = [F.lit(float(a)) * F.col("_a") + (1 - F.lit(float(a))) * F.col("_v") for a in alphas]
+    # all alphas share one window, so that rows are repeated only after it
+    rows = both.withColumns({f"_t{i}": F.sum(x).over(w) for i, x in enumerate(raw)} | {"_q": F.sum("_a").over(w)})
+    cells = [F.struct(F.lit(float(a)).alias("alpha"), (x * ratio("_q", f"_t{i}")).alias("shares")) for i, (a, x) in enumerate(zip(alphas, raw, strict=True))]
+    return rows.select(*on, F.inline(F.array(*cells))).select("order_id", "alpha", "slice_idx", "shares")
 
 
 def inventory(schedule: DataFrame, keys: Sequence[str] = ("order_id",)) -> DataFrame:
