@@ -107,7 +107,8 @@ def inventory(schedule: DataFrame, keys: Sequence[str] = ("order_id",)) -> DataF
 def impact_prices(schedule: DataFrame, mids: DataFrame, gamma: float, eta: float, tau: float, keys: Sequence[str] = ("order_id",)) -> DataFrame:
     """Fill price: mid + permanent impact of the shares before + temporary impact of this slice."""
     before = F.sum("shares").over(W.partitionBy(*keys).orderBy("slice_idx").rowsBetween(W.unboundedPreceding, -1))
-    rows = schedule.join(mids, [*keys, "slice_idx"])
+    n, on = mids.count(), [*keys, "slice_idx"]
+    rows = dealt(dealt(schedule, n, *on).join(dealt(mids, n, *on).hint("merge"), on), n, *keys)
     price = F.col("mid") + gamma * F.coalesce(before, F.lit(0.0)) + eta * F.col("shares") / tau
     return rows.withColumn("price", price)
 
