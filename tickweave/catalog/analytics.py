@@ -10,6 +10,7 @@ from tickweave.operators import execution as E
 from tickweave.operators import portfolio as O
 from tickweave.operators.series import returns
 from tickweave.plans.registry import register
+from tickweave.plans.spread import dealt
 from tickweave.session import cut
 
 
@@ -97,8 +98,9 @@ def shortfall(spark, sf):
 
 @register("x09_timing_risk", f"WITH {AC} SELECT order_id, round(max(sigma) * sqrt(max(tau) * sum(inv * inv)), 3) AS timing_risk FROM ac GROUP BY 1")
 def timing_risk(spark, sf):
-    o = orders(spark, sf)
-    path = E.ac_schedule(o).join(o.select("order_id", "sigma", (F.col("horizon") / F.col("slices")).alias("tau")), "order_id")
+    o = orders(spark, sf).withColumn("tau", F.col("horizon") / F.col("slices"))
+    # slices of an order are made where its risk is summed, and carry what they need of it
+    path = E.ac_schedule(dealt(o, o.agg(F.coalesce(F.sum("slices"), F.lit(0))).first()[0], "order_id"), keep=["sigma", "tau"])
     return E.timing_risk(path, ["order_id"]).withColumn("timing_risk", r6("timing_risk", 3))
 
 

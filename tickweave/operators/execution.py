@@ -68,14 +68,14 @@ def _remaining(t: Column, linear_below: float) -> Column:
     return F.when(lam < linear_below, q * (1 - t / horizon)).otherwise(curve)
 
 
-def ac_schedule(orders: DataFrame, linear_below: float = 1e-12) -> DataFrame:
-    """Risk-averse schedule with linear impact; each slice sells the drop of the inventory curve."""
+def ac_schedule(orders: DataFrame, linear_below: float = 1e-12, keep: Sequence[str] = ()) -> DataFrame:
+    """Risk-averse schedule with linear impact; each slice sells the drop of the inventory curve. ``keep``: columns of the order to carry along."""
     tau = F.col("horizon") / F.col("slices")
     k = F.col("slice_idx")
     rows = _slices(orders).withColumns(
         {"t": k * tau, "inventory": _remaining(k * tau, linear_below), "_before": _remaining((k - 1) * tau, linear_below)}
     )
-    return rows.withColumn("shares", F.col("_before") - F.col("inventory")).select("order_id", "slice_idx", "t", "shares", "inventory")
+    return rows.withColumn("shares", F.col("_before") - F.col("inventory")).select("order_id", "slice_idx", "t", "shares", "inventory", *keep)
 
 
 def blend(ac: DataFrame, vw: DataFrame, alphas: Sequence[float]) -> DataFrame:
