@@ -99,9 +99,10 @@ def inventory(schedule: DataFrame, keys: Sequence[str] = ("order_id",)) -> DataF
     total = F.sum("shares").over(w)
     sold = F.sum("shares").over(w.orderBy("slice_idx").rowsBetween(W.unboundedPreceding, 0))
     rows = schedule.withColumns({"_total": total, "_left": total - sold})
-    after = rows.select(*keys, "slice_idx", F.col("_left").alias("inventory"))
-    start = rows.filter(F.col("slice_idx") == 1).select(*keys, F.lit(0).alias("slice_idx"), F.col("_total").alias("inventory"))
-    return start.unionByName(after)
+    # the first slice also gives the point before it, so the schedule is read once
+    after = F.struct(F.col("slice_idx"), F.col("_left").alias("inventory"))
+    start = F.struct(F.lit(0).cast(schedule.schema["slice_idx"].dataType).alias("slice_idx"), F.col("_total").alias("inventory"))
+    return rows.select(*keys, F.inline(F.when(F.col("slice_idx") == 1, F.array(start, after)).otherwise(F.array(after))))
 
 
 def impact_prices(schedule: DataFrame, mids: DataFrame, gamma: float, eta: float, tau: float, keys: Sequence[str] = ("order_id",)) -> DataFrame:
