@@ -145,7 +145,11 @@ def signal_frequency(spark, sf):
     return f.withColumns({c: r6(c) for c in ("long_starts_per_day", "short_starts_per_day")})
 
 
-@register("b09_event_study", f"""WITH {STARTS}, el AS (SELECT *, row_number() OVER (PARTITION BY leader, follower ORDER BY ('0x' || substr(md5('42-' || leader || '-' || follower || '-' || epoch(ts)::BIGINT::VARCHAR), 1, 15))::BIGINT, ts) AS rn FROM st WHERE NOT ls_start AND f5 IS NOT NULL AND f15 IS NOT NULL AND f30 IS NOT NULL AND f60 IS NOT NULL),
+# no return from a price of zero: such a row is no eligible row
+_EVENTS = STARTS.replace("/ fp - 1", "/ nullif(fp, 0) - 1")
+
+
+@register("b09_event_study", f"""WITH {_EVENTS}, el AS (SELECT *, row_number() OVER (PARTITION BY leader, follower ORDER BY ('0x' || substr(md5('42-' || leader || '-' || follower || '-' || epoch(ts)::BIGINT::VARCHAR), 1, 15))::BIGINT, ts) AS rn FROM st WHERE NOT ls_start AND f5 IS NOT NULL AND f15 IS NOT NULL AND f30 IS NOT NULL AND f60 IS NOT NULL),
 n AS (SELECT leader, follower, sum(ls_start::INT) AS n FROM st GROUP BY 1, 2), b AS (SELECT el.* FROM el JOIN n USING (leader, follower) WHERE rn <= n), e AS (SELECT * FROM st WHERE ls_start)
 """ + " UNION ALL ".join(f"SELECT {h} AS horizon, round((SELECT avg(f{h}) FROM e), 6) AS signal, round((SELECT avg(f{h}) FROM b), 6) AS random, round((SELECT avg(f{h}) FROM e) - (SELECT avg(f{h}) FROM b), 6) AS excess_return" for h in HORIZONS))
 def event_study(spark, sf):
