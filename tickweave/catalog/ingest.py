@@ -283,9 +283,10 @@ def calendar_fields(spark, sf):
     return table(spark, sf, "events").groupBy(*fields).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("f04_math_functions", """SELECT event_id, round(ln(value), 6) AS log, round(ln(1 + value), 6) AS log1p, round(sqrt(value), 6) AS root, round(exp(-value / 100), 6) AS decay, sign(value - 50)::DOUBLE AS sgn,
+@register("f04_math_functions", """SELECT event_id, round(ln(CASE WHEN value > 0 THEN value END), 6) AS log, round(ln(1 + value), 6) AS log1p, round(sqrt(value), 6) AS root, round(exp(-value / 100), 6) AS decay, sign(value - 50)::DOUBLE AS sgn,
  round(sinh(value / 500), 6) AS sinh, ceil(value)::BIGINT AS up, floor(value)::BIGINT AS down, greatest(5, least(100, value)) AS clipped, round(least(value / (1 + value), 1 - value / (1 + value)), 6) AS boundary FROM events""")
 def math_functions(spark, sf):
+    """Scalar functions of the value; the logarithm of a value that is not positive is NULL."""
     v = F.col("value")
     p = v / (1 + v)
     return table(spark, sf, "events").select(
