@@ -184,11 +184,9 @@ def portfolio_scores(spark, sf):
     return scores(spark, sf).withColumns({c: r6(c, 5) for c in ("portfolio_return", "portfolio_risk", "sharpe")})
 
 
-@register("o04_best_portfolio", f"WITH {SCORES} SELECT candidate, round(r, 5) AS portfolio_return, round(s, 5) AS portfolio_risk, round(sharpe, 5) AS sharpe FROM sc ORDER BY sharpe DESC, candidate LIMIT 1")
+@register("o04_best_portfolio", f"WITH {SCORES} SELECT candidate, round(r, 5) AS portfolio_return, round(s, 5) AS portfolio_risk, round(sharpe, 5) AS sharpe FROM sc ORDER BY round(sharpe, 10) DESC, candidate LIMIT 1")
 def best_portfolio(spark, sf):
-    from tickweave.operators.select import argmax_row
-
-    b = argmax_row(scores(spark, sf), "sharpe", ["candidate"])
+    b = O.best_portfolio(scores(spark, sf))
     return b.withColumns({c: r6(c, 5) for c in ("portfolio_return", "portfolio_risk", "sharpe")})
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import ratio
+from tickweave.operators.select import argmax_row
 from tickweave.operators.series import returns
 from tickweave.session import cut
 
@@ -103,3 +104,12 @@ def score_portfolios(weights: DataFrame, mean: DataFrame, cov: DataFrame, rf: fl
     scored = ret.join(risk, "candidate")
     top = F.col("portfolio_return") if annualise_mean else F.col("portfolio_return") / PERIODS
     return scored.withColumn("sharpe", ratio(top - rf, "portfolio_risk"))
+
+
+def best_portfolio(scores: DataFrame, decimals: int = 10) -> DataFrame:
+    """The candidate of the largest Sharpe ratio. Ratios that agree to ``decimals`` are ties, which go to the smallest candidate.
+
+    Equal weights give equal ratios only up to the order in which a cluster adds them, so the last digits must not choose.
+    """
+    marked = scores.withColumn("_sharpe", F.round("sharpe", decimals))
+    return argmax_row(marked, "_sharpe", ["candidate"]).drop("_sharpe")
