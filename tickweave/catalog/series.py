@@ -61,7 +61,11 @@ def flagship(spark, sf):
         F.count(F.lit(1)).alias("n_starts"), F.count("fwd_5").alias("n_forward"), r6(F.avg("fwd_5")).alias("mean_fwd_5"))
 
 
-@register("w01_returns", f"WITH {TICKS} SELECT event_id, round(price / lag(price) OVER ({_WT}) - 1, 6) AS simple, round(ln(price / lag(price) OVER ({_WT})), 6) AS log, round(price - lag(price) OVER ({_WT}), 6) AS diff FROM ticks")
+# no return from a price of zero, and no logarithm of a ratio that is not positive
+_MOVE = f"price / nullif(lag(price) OVER ({_WT}), 0)"
+
+
+@register("w01_returns", f"WITH {TICKS} SELECT event_id, round({_MOVE} - 1, 6) AS simple, round(ln(CASE WHEN {_MOVE} > 0 THEN {_MOVE} END), 6) AS log, round(price - lag(price) OVER ({_WT}), 6) AS diff FROM ticks")
 def returns(spark, sf):
     def build(d, w):
         prev = F.lag("price").over(w)
