@@ -95,7 +95,7 @@ def rolling_corr_daily(spark, sf):
     return L.rolling_corr_daily(aligned(spark, sf), 60, bounded=True).withColumn("rolling_corr", r6("rolling_corr"))
 
 
-@register("w05_forward_returns", f"WITH {TICKS} SELECT event_id, " + ", ".join(f"round(lead(price, {h}) OVER ({_WT}) / price - 1, 6) AS fwd_{h}" for h in (5, 15, 30, 60)) + " FROM ticks")
+@register("w05_forward_returns", f"WITH {TICKS} SELECT event_id, " + ", ".join(f"round(lead(price, {h}) OVER ({_WT}) / nullif(price, 0) - 1, 6) AS fwd_{h}" for h in (5, 15, 30, 60)) + " FROM ticks")
 def forward_returns(spark, sf):
     f = R.forward_returns(ticks(spark, sf), price="price", order=T_ORDER)
     return f.select("event_id", *[r6(f"fwd_{h}").alias(f"fwd_{h}") for h in (5, 15, 30, 60)])
