@@ -16,7 +16,7 @@ from tickweave.functions.scalars import ratio, safe_corr
 from tickweave.operators.aggregates import corr_matrix
 from tickweave.plans.order_stats import quantiles, quantiles_wide, value_ranks
 from tickweave.plans.series import index_rows, over_series
-from tickweave.plans.spread import hash_draw, permuted, round_draws
+from tickweave.plans.spread import dealt, hash_draw, permuted, round_draws, unpermuted
 from tickweave.session import cut
 
 
@@ -94,10 +94,17 @@ def permutation_lead_score(aligned: DataFrame, lag: int, b: int, seed: int = 42,
 
 
 def subset_bootstrap(df: DataFrame, y: str, row_id: str, n: int, b: int, seed: int = 0) -> DataFrame:
-    """Means of B samples of n rows without replacement: the rows that a replicate's permutation sends below n."""
-    base = index_rows(df.select(row_id, y), [], [row_id], total="_n")
-    places = _replicates(base, b, seed).withColumn("_place", permuted(F.col("_pos"), F.col("_n"), F.col("_draws")))
-    return places.filter(F.col("_place") < n).groupBy("b").agg(F.avg(y).alias("mean"))
+    """Means of B samples of n rows without replacement: the rows that a replicate's permutation sends below n.
+
+    They are found from the n places back, so that the work per replicate is n and not the table.
+    """
+    spark = df.sparkSession
+    total = df.select(F.count(F.lit(1)).alias("_n")).scalar()
+    # a range is sized as what it holds, however many replicates and places there are
+    wanted = spark.range(int(b) * int(n)).select((F.floor(F.col("id") / F.lit(int(n))) + 1).cast("int").alias("b"), (F.col("id") % F.lit(int(n))).alias("_place"), total.alias("_n"))
+    draws = spark.range(1, int(b) + 1).select(F.col("id").cast("int").alias("b"), round_draws(F.col("id"), seed=seed).alias("_draws"))
+    places = wanted.filter(F.col("_place") < F.col("_n")).join(F.broadcast(draws), "b").select("b", unpermuted(F.col("_place"), F.col("_n"), F.col("_draws")).alias("_pos"))
+    return index_rows(df.select(row_id, y), [], [row_id]).join(places, "_pos").groupBy("b").agg(F.avg(y).alias("mean"))
 
 
 def bootstrap_percentile(means: DataFrame, observed: float) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +30,9 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, n: int, *keys: str, part: int | None = None) -> DataFrame:
     """Rows dealt by key over as many tasks as ``n`` rows ask for, whatever the session's number of partitions."""
-    return df.repartition(max(1, math.ceil(n / PART)), *keys)
+    return df.repartition(max(1, math.ceil(n / (part or PART))), *keys)
 
 
 def hash_draw(*parts: Column, seed: int = 0) -> Column:
@@ -78,34 +78,60 @@ def round_draws(*key: Column, seed: int = 0) -> Column:
     return F.array(*[F.struct(*[draw(4 * k + i).alias(c) for i, c in enumerate(("shift", "factor", "shift2", "factor2"))]) for k in range(_ROUNDS // 2)])
 
 
+# evaluates an expression once, for all places where it is used
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _mixed(v: Column, shift: Column, factor: Column) -> Column:
+    t = (v + shift) % _PRIME
+    return t * t % _PRIME * factor % _PRIME
+
+
+def _walk(place: Column, n: Column, send: Callable[[Column, Column], Column]) -> Column:
+    """Where ``send`` (on a grid of so many columns) takes the place, sent on until it is below n."""
+
+    def inside(x: Column, wide: Column) -> Column:
+        on = F.aggregate(F.sequence(F.lit(1), F.lit(_WALKS)), x, lambda v, _: F.when(v < n, v).otherwise(send(v, wide)))
+        return F.when(x < n, x).otherwise(_let(on, lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a permuted place stayed outside")).cast("bigint"))))
+
+    wide = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("bigint"), F.lit(1).cast("bigint"))
+    return _let(wide, lambda w: _let(send(place, w), lambda x: inside(x, w)))
+
+
 def permuted(place: Column, n: Column, draws: Column) -> Column:
     """Where a keyed pseudorandom permutation of 0 .. n-1 sends ``place``, in integer arithmetic: no sort, no shuffle.
 
     A Feistel network on a grid of ceil(sqrt(n)) columns and as many lines as n needs: line and column take turns in shifting each other. Places
     that end beyond n are sent on until they end inside, which keeps it one to one.
     """
-    # evaluates an expression once, for all places where it is used
-    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-
-    def mixed(v: Column, shift: Column, factor: Column) -> Column:
-        t = (v + shift) % _PRIME
-        return t * t % _PRIME * factor % _PRIME
 
     def send(place: Column, wide: Column) -> Column:
         high = F.floor((n + wide - 1) / wide)
 
         def rounds(v: Column, d: Column) -> Column:
-            line = (F.floor(v / wide) + mixed(v % wide, d["shift"], d["factor"])) % high
-            return line * wide + (v % wide + mixed(line, d["shift2"], d["factor2"])) % wide
+            line = (F.floor(v / wide) + _mixed(v % wide, d["shift"], d["factor"])) % high
+            return line * wide + (v % wide + _mixed(line, d["shift2"], d["factor2"])) % wide
 
         return F.aggregate(draws, place.cast("bigint"), rounds)
 
-    def inside(x: Column, wide: Column) -> Column:
-        on = F.aggregate(F.sequence(F.lit(1), F.lit(_WALKS)), x, lambda v, _: F.when(v < n, v).otherwise(send(v, wide)))
-        return F.when(x < n, x).otherwise(let(on, lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a permuted place stayed outside")).cast("bigint"))))
+    return _walk(place, n, send)
 
-    wide = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("bigint"), F.lit(1).cast("bigint"))
-    return let(wide, lambda w: let(send(place, w), lambda x: inside(x, w)))
+
+def unpermuted(place: Column, n: Column, draws: Column) -> Column:
+    """The place that ``permuted`` sends to ``place``: the same rounds, taken back from the last to the first."""
+
+    def send(place: Column, wide: Column) -> Column:
+        high = F.floor((n + wide - 1) / wide)
+
+        def rounds(v: Column, d: Column) -> Column:
+            line = F.floor(v / wide)
+            column = F.pmod(v % wide - _mixed(line, d["shift2"], d["factor2"]), wide)
+            return F.pmod(line - _mixed(column, d["shift"], d["factor"]), high) * wide + column
+
+        return F.aggregate(F.reverse(draws), place.cast("bigint"), rounds)
+
+    return _walk(place, n, send)
 
 
 def permuted_sql(columns: str, source: str) -> str:
