@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -19,6 +20,8 @@ from tickweave.plans.series import index_rows, over_series
 from tickweave.plans.spread import dealt, hash_draw, permuted, round_draws, unpermuted
 from tickweave.session import cut
 
+# pointers a task looks up
+POINTS = 4_000_000
 
 
 def welch(df: DataFrame, group: str, y: str) -> DataFrame:
@@ -119,23 +122,28 @@ def bootstrap_corr(df: DataFrame, x: str, y: str, order: Sequence[str], b: int,
 
     Each replicate draws as many rows as there are: row i points at row
     hash(b, i) mod n, and the pointed-at rows are fetched by an equi-join.
+    Pointers travel once, unsorted, and are looked up in a hash table of the few rows of their part.
     """
     keys = list(keys)
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *order, x, y)
-    base = index_rows(rows, keys, order, pos="_at", total="_n", bounded=bounded)
-    points = _replicates(base.select(*keys, F.col("_at").alias("_i"), "_n"), b)
-    points = points.withColumn("_at", F.pmod(hash_draw(F.col("b"), F.col("_i"), seed=seed), F.col("_n")))
-    # equal pointers of one replicate merge before the rows are fetched
-    picked = points.groupBy(*keys, "b", "_at").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    fetched = picked.join(base.select(*keys, "_at", x, y), [*keys, "_at"])
-    w, xx, yy = F.col("_w"), F.col(x), F.col(y)
+    # read for the pointers and for the rows pointed at
+    base = cut(index_rows(rows, keys, order, pos="_at", total="_n", bounded=bounded).select(*keys, "_at", "_n", F.col(x).alias("_x"), F.col(y).alias("_y")))
+    n = base.count() * int(b)
+    points = _replicates(base.select(*keys, F.col("_at").alias("_i"), "_n").repartition(max(1, math.ceil(n / POINTS))), b)
+    # never NULL, so that the join does not test the draw before it, which would draw twice
+    at = F.coalesce(F.pmod(hash_draw(F.col("b"), F.col("_i"), seed=seed), F.col("_n")), F.lit(0))
+    points = points.select(*keys, "b", at.alias("_at"))
+    on = [*keys, "_at"]
+    fetched = dealt(points, n, *on, part=POINTS).join(dealt(base.select(*on, "_x", "_y"), n, *on, part=POINTS).hint("shuffle_hash"), on)
+    xx, yy = F.col("_x"), F.col("_y")
     sums = fetched.groupBy(*keys, "b").agg(
-        F.sum(w).alias("n"), F.sum(w * xx).alias("sx"), F.sum(w * yy).alias("sy"), F.sum(w * xx * xx).alias("sxx"), F.sum(w * yy * yy).alias("syy"), F.sum(w * xx * yy).alias("sxy")
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(xx).alias("sx"), F.sum(yy).alias("sy"), F.sum(xx * xx).alias("sxx"), F.sum(yy * yy).alias("syy"), F.sum(xx * yy).alias("sxy")
     )
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
     vx, vy, cov = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n, F.col("sxy") - sx * sy / n
     corr = sums.withColumn("corr", F.when((vx > 1e-18) & (vy > 1e-18), cov / F.sqrt(vx * vy)))
-    return quantiles_wide(corr, {"lower": ("corr", 0.025), "upper": ("corr", 0.975)}, keys)
+    # a row a group and replicate, read several times
+    return quantiles_wide(cut(corr), {"lower": ("corr", 0.025), "upper": ("corr", 0.975)}, keys)
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], interactions: Sequence[tuple[str, str]] = ()) -> DataFrame:
