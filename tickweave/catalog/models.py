@@ -13,6 +13,7 @@ from tickweave.operators import prep as Z
 from tickweave.operators import trajectory as T
 from tickweave.plans.registry import register
 from tickweave.plans.spread import beside
+from tickweave.session import cut
 
 NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -170,8 +171,9 @@ def config_sweep(spark, sf):
 
 @register("m13_linear_discriminant")
 def linear_discriminant(spark, sf):
-    data = Z.stratified_split(lines(spark, sf), "y", "id")
-    scored = M.fit_lda2(data.filter("is_train"), NUM, "y")(data.filter("NOT is_train"))
+    data = Z.stratified_split(lines(spark, sf).select("id", "y", *NUM), "y", "id")
+    # read for the classes and, several times, for the ranks of the scores
+    scored = cut(M.fit_lda2(data.filter("is_train"), NUM, "y")(data.filter("NOT is_train")).select("y", "score", "prediction"))
     both = beside(V.class_metrics(scored, "y", "prediction"), V.roc_auc(scored, "y", "score"))
     return both.select(r6("accuracy", 4).alias("accuracy"), r6("auc", 4).alias("auc"))
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tickweave.functions.scalars import clip, ratio
 from tickweave.plans.order_stats import medians, quantiles_wide
-from tickweave.plans.series import index_rows
+from tickweave.plans.series import index_rows, join_same, running
 from tickweave.plans.spread import DRAWS, beside, hash_draw, hash_unit
+from tickweave.session import cut
 
 
 def _row(df: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -110,7 +111,31 @@ def stratified_folds(df: DataFrame, label: str, row_id: str, k: int, seed: int =
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, frac: float = 0.7, seed: int = 0, out: str = "is_train") -> DataFrame:
-    """The first ``frac`` of each class in hash order is train."""
-    drawn = df.withColumn("_draw", hash_draw(F.col(row_id), seed=seed))
-    ranked = index_rows(drawn, [label], ["_draw", row_id], total="_n")
-    return ranked.withColumn(out, F.col("_pos") < F.floor(F.col("_n") * frac)).drop("_pos", "_draw", "_n")
+    """The first ``frac`` of each class in hash order is train.
+
+    Only the last train row of a class is looked for: hash draws are uniform, so it lies within a few standard deviations of ``frac``, and rows are
+    ranked in that narrow range alone. One pass counts, one ranks, and every row compares itself with that row.
+    A class of which the range misses it, or in which that row's id stands several times, is numbered row by row instead.
+    """
+    draw = hash_draw(F.col(row_id), seed=seed)
+    drawn = df.withColumn("_draw", draw)
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = F.floor(F.col("_n") * frac)
+    share, gap = wanted / F.col("_n"), 8 * F.sqrt(F.lit(0.25) / F.col("_n"))
+    # a row a class
+    ends = cut(sizes.withColumn("_k", wanted).withColumns({"_low": ((share - gap) * float(DRAWS)).cast("bigint"), "_high": ((share + gap) * float(DRAWS)).cast("bigint")}))
+    placed = join_same(drawn.select(label, row_id, "_draw"), F.broadcast(ends), [label])
+    below = placed.groupBy(label).agg(F.count(F.when(F.col("_draw") < F.col("_low"), 1)).alias("_below"))
+    near = placed.filter(F.col("_draw").between(F.col("_low"), F.col("_high"))).groupBy(label, "_draw", row_id, "_k").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running(join_same(cut(near), F.broadcast(cut(below)), [label]), [label], ["_draw", row_id], {"_through": ("sum", "_c")})
+    # so many rows of the range belong to train: the last of them is the row that completes the number
+    place = F.col("_k") - F.col("_below")
+    last = cut(ranked.filter((F.col("_through") >= place) & (F.col("_through") - F.col("_c") < place)).select(label, F.col("_draw").alias("_last"), F.col(row_id).alias("_last_id"), (F.col("_through") == place).alias("_whole")))
+    found = join_same(ends.select(label, "_k"), last, [label])
+    if not found.filter((F.col("_k") > 0) & ~F.coalesce("_whole", F.lit(False))).isEmpty():
+        ranked = index_rows(drawn, [label], ["_draw", row_id], total="_n")
+        return ranked.withColumn(out, F.col("_pos") < F.floor(F.col("_n") * frac)).drop("_pos", "_draw", "_n")
+    # NULL ids come first in the order
+    upto = (F.col("_draw") < F.col("_last")) | ((F.col("_draw") == F.col("_last")) & (F.col(row_id).isNull() | (F.col(row_id) <= F.col("_last_id"))))
+    met = join_same(drawn, F.broadcast(last.drop("_whole")), [label])
+    return met.withColumn(out, F.coalesce(upto, F.lit(False))).drop("_draw", "_last", "_last_id")
