@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tickweave.llm import packing, token_counts
+from tickweave.llm import frames, packing, token_counts
 
 
 def library_ids(path, text):
@@ -24,6 +24,19 @@ def test_ids_equal_the_library(text):
     assert packing.encoder(packing.TOKENIZER).encode([text])[0] == np.array(library_ids(packing.TOKENIZER, text), dtype="<u4").tobytes()
 
 
+def test_a_worker_lets_the_word_tables_go_after_packing(docs, spark):
+    def alive():
+        import gc
+
+        return lambda batch: [[sum(type(o).__name__ == "Encoder" for o in gc.get_objects())]]
+
+    one = docs.select("doc_id", "text").coalesce(1)
+    assert packing.tokenize_pieces(one).count() == packing.tokenize_pieces(one).count() > 0
+    # the next tasks of other kinds run in the same worker
+    other = lambda: [r[0] for r in frames.map_slices(spark.range(1).coalesce(1), alive, "n long").collect()]
+    assert other() == [0]
+
+
 def test_counts_over_a_table(docs, odd_docs, no_docs):
     tokenizer = Tokenizer.from_file(token_counts.TOKENIZER)
     for table in (docs, odd_docs):

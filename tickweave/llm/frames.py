@@ -28,18 +28,47 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return pa.schema([(f.name, kinds[f.dataType]) for f in schema])
 
 
+# What this Python worker keeps for the next task, one object at most, and whether the task under way asked for it.
+_kept: dict = {}
+_asked: set = set()
+
+
+def kept(name: str, build: Callable[[], object]):
+    """The object of that name, built once in a Python worker and handed on from task to task until one runs that doesn't ask for it."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build()
+    _asked.add(name)
+    return _kept[name]
+
+
+def start_task(make: Callable | None = None):
+    """What `make` returns; lets go what earlier tasks kept and this one doesn't ask for, so that workers don't carry one stage's tables through the next."""
+    _asked.clear()
+    step = make() if make else None
+    if not _asked and _kept:
+        _kept.clear()
+    return step
+
+
+def end_task() -> None:
+    """Freed Arrow buffers go back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Sequence | None]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """`make()` runs once per task and gives a function from a slice of rows to the columns of `schema`."""
     parsed = T.StructType.fromDDL(schema)
     out = arrow_schema(parsed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = make()
+        step = start_task(make)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 columns = step(batch.slice(at, rows))
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+        end_task()
 
     return df.mapInArrow(run, parsed)
 

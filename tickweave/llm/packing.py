@@ -16,7 +16,6 @@ import zlib
 from array import array
 from collections import defaultdict
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickweave.llm.frames import map_slices, pick, texts
+from tickweave.llm.frames import kept, map_slices, pick, texts
 from tickweave.llm.token_counts import byte_letters
 from tickweave.session import cut
 
@@ -92,9 +91,8 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(path, lambda: Encoder(path))
 
 
 def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = TOKENIZER, keep_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

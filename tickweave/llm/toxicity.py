@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickweave.llm.frames import SLICE_ROWS, map_slices, pick, raw_bytes
+from tickweave.llm.frames import SLICE_ROWS, end_task, map_slices, pick, raw_bytes, start_task
 from tickweave.llm.hashing import mix, span_hashes, word_spans
 from tickweave.llm.training import Adam, Params, fold, labelled_sample, sigmoid
 
@@ -263,9 +263,11 @@ def flagged(docs: DataFrame, model: tuple[Params, np.ndarray], threshold: float
     params, vocabulary = model
 
     def mark(batches):
+        start_task()
         for batch in batches:
             scores = [text_scores(params, vocabulary, raw_bytes(part.column(text))) for part in (batch.slice(at, SLICE_ROWS) for at in range(0, batch.num_rows, SLICE_ROWS))]
             toxic = np.concatenate([np.zeros(0), *scores]) >= threshold
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic)], names=[*batch.schema.names, "_toxic"])
+        end_task()
 
     return docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("_toxic", T.BooleanType())]))
