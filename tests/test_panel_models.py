@@ -179,3 +179,14 @@ def test_same_order_takes_an_order_for_each_side(spark):
     a = spark.createDataFrame([(i, -i, f"k{i:03d}") for i in range(30)], "x int, y int, k string")
     assert select.same_order(a, a, "x", ["k"]).first()[0] == 0
     assert select.same_order(a, a, "x", ["k"], ["y"]).first()[0] == 30
+
+
+def test_scales_of_all_folds_come_from_one_aggregate(spark, monkeypatch):
+    rows = [(i, float(RNG.normal()), float(i % 7) if i % 11 else None, i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int")
+    folds = M.stratified_folds(df, "y", "id", 3).localCheckpoint()
+    for i, scale in enumerate(M.fold_scales(folds, ["a", "b"], 3)):
+        assert scale.first().asDict() == pytest.approx(M.fit_scale(folds.filter(F.col("fold") != i), ["a", "b"]).first().asDict())
+    monkeypatch.setattr(M, "fit_scale", lambda *_: pytest.fail("a scale was fitted fold by fold"))
+    out = M.cross_validate(df.fillna(0.0), ["a", "b"], "y", "id", k=3)
+    assert sorted(r["id"] for r in out.collect()) == list(range(300))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tickweave.operators.evaluate import class_metrics
 from tickweave.operators.prep import fit_scale, standardise, stratified_folds
 from tickweave.plans.series import index_rows
-from tickweave.session import cut
+from tickweave.session import cut, stored
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -176,12 +176,21 @@ def config_sweep(train: DataFrame, valid: DataFrame, make: Callable[..., Estimat
     return out.orderBy(F.desc("macro_f1"), "setting")
 
 
+def fold_scales(folds: DataFrame, cols: Sequence[str], k: int) -> list[DataFrame]:
+    """``fit_scale`` of the rows outside each of the folds 0 .. k-1, by one aggregate; one row a fold, of literals."""
+    names = [f"{figure}_{c}" for figure in ("mean", "std") for c in cols]
+    rest = {(c, i): F.when(F.col("fold") != i, F.col(c)) for c in cols for i in range(k)}
+    row = folds.agg(*[f(rest[c, i]).alias(f"{name}_{c}_{i}") for i in range(k) for name, f in (("mean", F.avg), ("std", F.stddev_pop)) for c in cols]).first()
+    one = folds.sparkSession.range(1)
+    return [one.select(*[F.lit(row[f"{n}_{i}"]).cast("double").alias(n) for n in names]) for i in range(k)]
+
+
 def cross_validate(
     df: DataFrame, cols: Sequence[str], y: str, row_id: str, est: Estimator | None = None, k: int | None = 5, seed: int = 0, most_fits: int = 500
 ) -> DataFrame:
     """Out-of-fold predictions with stratified folds; ``k=None`` leaves one row out at a time.
 
-    Scaling is fit on each training part. Leave-one-out needs as many fits as rows, so a table of
+    Scaling is fit on each training part, for all folds in one pass over the rows. Leave-one-out needs as many fits as rows, so a table of
     more than ``most_fits`` rows is an error; ``leave_one_out_lda2`` has no such limit.
     """
     est = est or logistic()
@@ -192,12 +201,15 @@ def cross_validate(
         if k > most_fits:
             raise ValueError(f"leaving one of {k} rows out needs {k} fits, more than {most_fits}: use folds or leave_one_out_lda2")
         folds = cut(index_rows(data, [], [row_id], "fold"))
+        scales = None
     else:
-        folds = cut(stratified_folds(data, y, row_id, k, seed))
+        # read about twice a fold, and each time for some columns only
+        folds = stored(stratified_folds(data, y, row_id, k, seed), "folds")
+        scales = fold_scales(folds, cols, k)
     out = None
     for i in range(k):
         train, test = folds.filter(F.col("fold") != i), folds.filter(F.col("fold") == i)
-        fitted = fit_scale(train, cols)
+        fitted = scales[i] if scales else fit_scale(train, cols)
         model = est.fit(assemble(standardise(train, cols, fitted), cols))
         scored = model.transform(assemble(standardise(test, cols, fitted), cols)).select(row_id, y, "label", "prediction")
         out = scored if out is None else out.unionByName(scored)
