@@ -190,3 +190,32 @@ def test_scales_of_all_folds_come_from_one_aggregate(spark, monkeypatch):
     monkeypatch.setattr(M, "fit_scale", lambda *_: pytest.fail("a scale was fitted fold by fold"))
     out = M.cross_validate(df.fillna(0.0), ["a", "b"], "y", "id", k=3)
     assert sorted(r["id"] for r in out.collect()) == list(range(300))
+
+
+def test_trees_on_cells_equal_trees_on_rows(spark):
+    rows = [(float(RNG.integers(5)), float(RNG.integers(3)) / 10) for _ in range(4000)]
+    df = spark.createDataFrame([(a, b, float(RNG.random() < 0.15 + 0.6 * (a > 2) * (b < 0.15))) for a, b in rows], "a double, b double, label double")
+    train, test = df.limit(3000).localCheckpoint(), df.localCheckpoint()
+    models = M.tree_models() | {"forest": M.RandomForestClassifier(numTrees=5, maxDepth=4, seed=42, labelCol="label", featuresCol="features")}
+    cells = {r["model"]: r for r in M.compare_on_cells(train, test, ["a", "b"], models).collect()}
+    whole = {r["model"]: r for r in M.compare_models(M.assemble(train, ["a", "b"]), M.assemble(test, ["a", "b"]), models).collect()}
+    for name in ("tree", "boosting"):
+        assert cells[name] == whole[name]
+    assert cells["forest"]["accuracy"] == pytest.approx(whole["forest"]["accuracy"], abs=0.03)
+
+
+def test_bins_of_many_values_are_bounded(spark):
+    df = spark.range(5000).select((F.col("id") * 1.5).alias("x"), (F.col("id") % 3).cast("double").alias("few"), F.lit(1.0).alias("label"))
+    binned = M.bin_splits(df, ["x", "few"])
+    cells = M.cells_of(df, ["x", "few"], binned)
+    assert cells.count() == 32 * 3 and cells.agg(F.sum("n")).first()[0] == 5000
+
+
+def test_tree_query_fits_counted_cells(spark, monkeypatch):
+    from tickweave.catalog import models as C
+
+    seen, tree, fit = [], M.tree_models()["tree"], M.DecisionTreeClassifier.fit
+    monkeypatch.setattr(M, "tree_models", lambda: {"tree": tree})
+    monkeypatch.setattr(M.DecisionTreeClassifier, "fit", lambda self, df, params=None: seen.append(df.columns) or fit(self, df, params))
+    assert {r["model"] for r in C.tree_models(spark, "/root/testdata/sf0.001").collect()} == {"tree", "perceptron"}
+    assert all("n" in columns for columns in seen) and seen

@@ -13,7 +13,7 @@ from tickweave.operators import prep as Z
 from tickweave.operators import trajectory as T
 from tickweave.plans.registry import register
 from tickweave.plans.spread import beside
-from tickweave.session import cut
+from tickweave.session import cut, stored
 
 NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -129,15 +129,17 @@ def fold_sizes(spark, sf):
 
 
 def binary_split(spark, sf):
-    data = Z.stratified_split(lines(spark, sf), "y", "id")
-    data = M.assemble(data.withColumn("label", F.col("y").cast("double")), NUM)
+    data = Z.stratified_split(lines(spark, sf).select("id", "y", *NUM), "y", "id")
+    data = stored(data.select(F.col("y").cast("double").alias("label"), "is_train", *NUM), "split")
     return data.filter("is_train"), data.filter("NOT is_train")
 
 
 @register("m11_tree_models")
 def tree_models(spark, sf):
     train, test = binary_split(spark, sf)
-    return M.compare_models(train, test, M.tree_models() | {"perceptron": M.perceptron(len(NUM), 2)}).select("model", *[r6(c, 3).alias(c) for c in ("accuracy", "macro_f1")])
+    trees = M.compare_on_cells(train, test, NUM, M.tree_models())
+    net = M.compare_models(M.assemble(train, NUM), M.assemble(test, NUM), {"perceptron": M.perceptron(len(NUM), 2)}, kept=True)
+    return trees.unionByName(net).select("model", *[r6(c, 3).alias(c) for c in ("accuracy", "macro_f1")])
 
 
 PANEL_COLS = ("path_return_bps", "realized_vol_bps", "path_efficiency", "late_vol_share", "sign_persistence")
